@@ -23,9 +23,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Use all task slots on an input too small to fill them.
+
+    The driver writes each table as one row group, which a single task reads.
+    Inputs with at least one split per slot are left as they are.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= slots else df.repartition(slots, key)
+
+
 def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One review row per document, with a date, rating and gold label where one exists."""
-    documents = table(spark, sf_dir, "documents")
+    documents = spread(table(spark, sf_dir, "documents"), "doc_id")
     events = table(spark, sf_dir, "events").select(
         "event_id", F.col("ts").alias("date"), "value", "event_type"
     )
