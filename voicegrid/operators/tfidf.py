@@ -195,10 +195,10 @@ def sparse_vectors(df: DataFrame, tokens: Column, vocabulary: Vocabulary) -> Dat
 
 def long_weights(vectors: DataFrame, vocabulary: Vocabulary, key: str) -> DataFrame:
     """(key, term, weight) rows of a vector table."""
-    pairs = F.arrays_zip(F.col("vector.indices").alias("i"), F.col("vector.weights").alias("w"))
+    pairs = F.arrays_zip("vector.indices", "vector.weights")
     rows = vectors.select(key, F.explode_outer(pairs).alias("cell")).where(F.col("cell").isNotNull())
     names = F.array(*(F.lit(term) for term in vocabulary.terms))
-    return rows.select(key, F.element_at(names, F.col("cell.0") + 1).alias("term"), F.col("cell.1").alias("weight"))
+    return rows.select(key, F.element_at(names, F.col("cell.indices") + 1).alias("term"), F.col("cell.weights").alias("weight"))
 
 
 def save_vocabulary(vocabulary: Vocabulary, spark, path: str) -> None:

@@ -85,7 +85,9 @@ class IngestConfig:
     """Limits and thresholds of reading, detection and validation.
 
     ``max_rows`` is off by default: a cluster has no reason to refuse a large
-    table.  Set it to get the bounded-read guard.
+    table.  Set it to get the bounded-read guard.  Quoted line breaks need
+    ``multi_line_csv``, which reads every file in one piece; switch it off for
+    large files without them, so that they are split.
     """
 
     max_rows: int | None = None
@@ -95,6 +97,7 @@ class IngestConfig:
     min_text_coverage: float = 0.05
     encodings: tuple[str, ...] = fixed.CSV_ENCODINGS
     date_formats: tuple[str, ...] = ()
+    multi_line_csv: bool = True
 
 
 @dataclass(frozen=True)

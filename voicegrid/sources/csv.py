@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pathlib import PurePosixPath
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from voicegrid import fixed_values as fixed
 from voicegrid.schema import (
@@ -41,60 +41,30 @@ def check_name(path: str) -> None:
         raise UnsupportedFileError("Only CSV files are supported. Save the dataset with a .csv extension.")
 
 
-def _lines(spark: SparkSession, path: str, encoding: str) -> DataFrame:
-    return spark.read.option("encoding", encoding).option("header", "false").csv(path)
-
-
 def pick_encoding(spark: SparkSession, path: str, encodings: tuple[str, ...]) -> str:
-    """First configured encoding that decodes every byte, in one scan.
-
-    Spark replaces undecodable UTF-8 bytes without failing, so the raw bytes
-    are tested: a file is UTF-8 when decoding and encoding gives it back.
-    """
-    raw = spark.read.format("binaryFile").load(path).select("content")
-    utf8 = F.encode(F.decode("content", "UTF-8"), "UTF-8") == F.col("content")
-    with_mark = F.hex(F.substring("content", 1, 3)) == "EFBBBF"
-    gaps = F.decode("content", "ISO-8859-1").rlike(_CP1252_GAPS)
-    tests: dict[str, Column] = {
-        "utf-8-sig": F.every(utf8),
-        "utf-8": F.every(utf8),
-        "cp1252": ~F.some(gaps),
-        "latin-1": F.lit(True),
-    }
-    known = [name for name in encodings if name in tests]
-    row = raw.agg(F.every(with_mark).alias("mark"), *(tests[name].alias(name) for name in known)).first()
-    for name in known:
-        if row[name]:
-            return name
-    raise CsvEncodingError(f"The CSV encoding is not supported. Attempted encodings: {', '.join(encodings)}.")
-
-
-def pick_encoding_by_rows(spark: SparkSession, path: str, encodings: tuple[str, ...]) -> str:
-    """Same choice from split, line-oriented reads.
+    """First configured encoding that decodes every line.
 
-    Single bytes never fail to decode, so a file that is not UTF-8 shows
-    replacement characters; this form suits files too large for one record.
+    Spark's CSV reader replaces undecodable bytes without failing, so the raw
+    lines are tested, split by split, in one job.
     """
-    text = spark.read.option("wholetext", "false").text(path)
-    utf8 = text.agg(F.coalesce(F.some(F.contains("value", F.lit("�"))), F.lit(False)).alias("broken")).first()
+    raw = spark.read.text(path)
+    gaps = F.decode(F.col("value").cast("binary"), "ISO-8859-1").rlike(_CP1252_GAPS)
+    row = raw.agg(
+        F.coalesce(F.every(F.is_valid_utf8("value")), F.lit(True)).alias("utf8"),
+        F.coalesce(F.some(gaps), F.lit(False)).alias("gaps"),
+    ).first()
+    decodes = {"utf-8-sig": row["utf8"], "utf-8": row["utf8"], "cp1252": not row["gaps"], "latin-1": True}
     for name in encodings:
-        if name.startswith("utf-8") and utf8["broken"]:
-            continue
-        if name == "cp1252":
-            latin = spark.read.option("encoding", "ISO-8859-1").option("sep", "\x00").option("quote", "").csv(path)
-            first = latin.columns[0]
-            if latin.where(F.col(first).rlike(_CP1252_GAPS)).head(1):
-                continue
-        if name in _JVM_NAMES:
+        if decodes.get(name):
             return name
     raise CsvEncodingError(f"The CSV encoding is not supported. Attempted encodings: {', '.join(encodings)}.")
 
 
-def _reader(spark: SparkSession, encoding: str):
+def _reader(spark: SparkSession, encoding: str, config: IngestConfig):
     jvm_name = _JVM_NAMES[encoding]
     if jvm_name == "windows-1252":
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    return spark.read.options(header="true", encoding=jvm_name, multiLine="true", mode="PERMISSIVE", escape='"')
+    return spark.read.options(header="true", encoding=jvm_name, multiLine=config.multi_line_csv, mode="PERMISSIVE", escape='"')
 
 
 def load_csv(spark: SparkSession, path: str, config: IngestConfig = IngestConfig()) -> LoadedCsv:
@@ -105,15 +75,15 @@ def load_csv(spark: SparkSession, path: str, config: IngestConfig = IngestConfig
     """
     check_name(path)
     try:
-        encoding = pick_encoding_by_rows(spark, path, config.encodings)
-        header = _reader(spark, encoding).csv(path)
+        encoding = pick_encoding(spark, path, config.encodings)
+        header = _reader(spark, encoding, config).csv(path)
     except AnalysisException as problem:
         raise CsvLoadError(f"The CSV file could not be read: {problem}") from problem
     if not header.columns:
         raise EmptyCsvError("The CSV does not contain readable columns or rows.")
     names = [name.lstrip(codecs.BOM_UTF8.decode("utf-8")) for name in header.columns]
     schema = T.StructType([T.StructField(name, T.StringType()) for name in [*_unique(names), _EXTRA]])
-    rows = _reader(spark, encoding).option("enforceSchema", "true").schema(schema).csv(path)
+    rows = _reader(spark, encoding, config).option("enforceSchema", "true").schema(schema).csv(path)
     counts = rows.select(F.col(_EXTRA).isNotNull().alias("long"))
     if config.max_rows is not None:
         counts = counts.limit(config.max_rows + 1)

@@ -19,9 +19,13 @@ WINDOW_LENGTHS = {"D": "1 day", "W": "7 days"}
 WINDOW_STARTS = {"D": "0 days", "W": "4 days"}
 
 
-def read_reviews(spark: SparkSession, path: str, schema: T.StructType, *, files_per_trigger: int | None = None) -> DataFrame:
-    """Stream of review files in Parquet."""
+def read_reviews(
+    spark: SparkSession, path: str, schema: T.StructType, *, pattern: str | None = None, files_per_trigger: int | None = None
+) -> DataFrame:
+    """Stream of the Parquet review files in a folder, optionally those of one name pattern."""
     reader = spark.readStream.schema(schema)
+    if pattern is not None:
+        reader = reader.option("pathGlobFilter", pattern)
     if files_per_trigger is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     return reader.parquet(path)
