@@ -42,8 +42,15 @@ def is_blank(text: Column | str) -> Column:
 
 
 def fold(text: Column | str) -> Column:
-    """Case-insensitive comparison key; upper-casing first turns sharp s into ss."""
-    return F.lower(F.upper(_column(text)))
+    """Case-insensitive comparison key.
+
+    Lower case plus the letters that fold further.  ``lower(upper(x))`` would
+    not do: the optimizer reduces it to ``lower(x)``.
+    """
+    key = F.lower(_column(text))
+    for letter, folded in (("ß", "ss"), ("ς", "σ"), ("ſ", "s")):
+        key = F.replace(key, F.lit(letter), F.lit(folded))
+    return key
 
 
 def fold_key(text: Column | str) -> Column:

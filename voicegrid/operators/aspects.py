@@ -15,6 +15,7 @@ from voicegrid import fixed_values as fixed
 from voicegrid.functions.labels import dominant_label, label_score, match_label, normalize_label
 from voicegrid.functions.text import aspect_match_text
 from voicegrid.schema import AspectError, pick_text_column, require_columns
+from voicegrid.session import compute_once
 
 Vocabulary = Mapping[str, Sequence[str]]
 
@@ -73,16 +74,16 @@ def detect_aspects(
         return test
 
     names = [F.when(any_term(words), F.lit(aspect)) for aspect, words in terms.items()]
-    added = {"detected_aspects": F.array_compact(F.array(*names))}
+    found = compute_once(prepared, "detected_aspects", F.array_compact(F.array(*names)))
     if with_terms:
-        found = []
+        lists = []
         for words in terms.values():
             longest_first = sorted(words, key=len, reverse=True)
             hits = [F.when(_term_test(text, word), F.lit(word)) for word in longest_first]
-            found.append(F.array_compact(F.array(*hits)))
-        pairs = F.map_from_arrays(F.array(*map(F.lit, terms)), F.array(*found))
-        added["matched_terms"] = F.map_filter(pairs, lambda _, words: F.size(words) > 0)
-    return prepared.withColumns(added).drop("_phrases")
+            lists.append(F.array_compact(F.array(*hits)))
+        pairs = F.map_from_arrays(F.array(*map(F.lit, terms)), F.array(*lists))
+        found = found.withColumn("matched_terms", F.map_filter(pairs, lambda _, words: F.size(words) > 0))
+    return found.drop("_phrases")
 
 
 def associate_aspect_sentiment(

@@ -8,7 +8,7 @@ includes the whole end day.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import date, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -54,9 +54,7 @@ class DashboardFilters:
 
     def is_active(self) -> bool:
         """True when any selection differs from the default."""
-        return self != DashboardFilters(search_text="" if not self.search_text.strip() else self.search_text) or bool(
-            self.search_text.strip()
-        )
+        return replace(self, search_text=self.search_text.strip()) != DashboardFilters()
 
 
 def _moment(value: DateLike | None) -> datetime | None:
@@ -87,9 +85,16 @@ def _date_tests(df: DataFrame, start: datetime | None, before: datetime | None)
 def _rating_tests(df: DataFrame, low: float | None, high: float | None) -> list[Column]:
     if "rating" not in df.columns or (low is None and high is None):
         return []
-    rating = to_number(df, "rating")
+    kind = df.schema["rating"].dataType
+    # Numeric columns are compared as they are, so that the scan can use the bounds.
+    rating = F.col("rating") if isinstance(kind, T.NumericType) else to_number(df, "rating")
     tests = [] if low is None else [rating >= low]
-    return tests if high is None else [*tests, rating <= high]
+    if high is not None:
+        tests.append(rating <= high)
+    elif isinstance(kind, (T.DoubleType, T.FloatType)):
+        # NaN sorts above every number; an upper bound would have dropped it.
+        tests.append(~F.isnan(rating))
+    return tests
 
 
 def _keep_members(df: DataFrame, column: str, values: Sequence[str], *, ignore_case: bool = False) -> DataFrame:

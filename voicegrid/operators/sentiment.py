@@ -70,7 +70,7 @@ class SentimentModel:
                 parts = [_probabilities(part, by_term, intercepts) for part in weigh(batch, vocabulary, terms)]
                 yield _best(np.concatenate(parts) if parts else np.zeros((0, len(intercepts))))
 
-        return score(classical_tokens(text))
+        return score.asNondeterministic()(classical_tokens(text))
 
     def predict(self, df: DataFrame, text_column: str = "clean_text") -> DataFrame:
         """Add ``sentiment_label`` and ``sentiment_score``."""
@@ -272,7 +272,7 @@ class SuppliedModel:
                     raise ValueError("The scorer returned an unexpected number of predictions.")
                 yield _best(found, labels)
 
-        return score(clean_for_transformer(text))
+        return score.asNondeterministic()(clean_for_transformer(text))
 
     def predict(self, df: DataFrame, text_column: str = "review_text") -> DataFrame:
         """Add ``sentiment_label`` and ``sentiment_score``."""

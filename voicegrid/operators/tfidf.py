@@ -190,7 +190,7 @@ def sparse_vectors(df: DataFrame, tokens: Column, vocabulary: Vocabulary) -> Dat
                 names=["indices", "weights"],
             )
 
-    return df.withColumn("vector", vectorize(tokens))
+    return df.withColumn("vector", vectorize.asNondeterministic()(tokens))
 
 
 def long_weights(vectors: DataFrame, vocabulary: Vocabulary, key: str) -> DataFrame:

@@ -130,7 +130,7 @@ class TopicModel:
                     rows.extend(values if ok else None for values, ok in zip(w.tolist(), known))
                 yield pa.array(rows, type=pa.list_(pa.float64()))
 
-        return solve(self.tokens(cleaned_text))
+        return solve.asNondeterministic()(self.tokens(cleaned_text))
 
     def assign(self, df: DataFrame, *, text_column: str | None = None, strict: bool = True) -> DataFrame:
         """Add topic id, label, strength and confidence (share of the row's weight).

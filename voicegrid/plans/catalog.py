@@ -15,7 +15,7 @@ from voicegrid.operators import aspects, canonical, filters, insights, labelled,
 from voicegrid.operators import sentiment, statistics, tfidf, topic_quality, topics, trends, validation
 from voicegrid.plans import pipeline
 from voicegrid.schema import ColumnMapping, SentimentConfig, SplitConfig, TopicConfig
-from voicegrid.session import rows_frame, scratch_dir
+from voicegrid.session import cut_lineage, rows_frame, scratch_dir
 from voicegrid.sources.driver_tables import CORPUS_ASPECTS, feedback, labelled_feedback, table
 from voicegrid.sources.fingerprint import fingerprint
 from voicegrid.streaming import reviews as streams
@@ -151,7 +151,7 @@ def ingestion_stats(spark, sf_dir):
 
 @query
 def optional_casts(spark, sf_dir):
-    return canonical.cast_measures(raw_reviews(spark, sf_dir), RAW_MAPPING)
+    return canonical.canonicalize(raw_reviews(spark, sf_dir), RAW_MAPPING, order_by="doc_id").casts
 
 
 @query
@@ -483,9 +483,14 @@ def _topic_tokens() -> Column:
     return tfidf.tokens_of(F.col("topic_text"), STOP_WORDS)
 
 
+def _stored_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    corpus = topics.topic_corpus(feedback(spark, sf_dir).select("doc_id", "clean_text"), order_by="doc_id")
+    return cut_lineage(corpus.select("doc_id", "topic_text"))
+
+
 @query
 def term_statistics(spark, sf_dir):
-    corpus = topics.topic_corpus(feedback(spark, sf_dir), order_by="doc_id")
+    corpus = _stored_corpus(spark, sf_dir)
     counts = tfidf.term_statistics(corpus, _topic_tokens(), 2)
     documents = corpus.count()
     chosen = tfidf.select_terms(counts, documents, max_features=VOCABULARY_SIZE, min_df=2, max_df=0.95)
@@ -494,12 +499,12 @@ def term_statistics(spark, sf_dir):
 
 @query
 def tfidf_weights(spark, sf_dir):
-    corpus = topics.topic_corpus(feedback(spark, sf_dir), order_by="doc_id")
+    corpus = _stored_corpus(spark, sf_dir)
     documents = corpus.count()
     vocabulary = tfidf.fit_vocabulary(
         corpus, _topic_tokens(), documents, max_features=VOCABULARY_SIZE, min_df=2, max_df=0.95
     )
-    vectors = tfidf.sparse_vectors(corpus.select("doc_id", "topic_text"), _topic_tokens(), vocabulary)
+    vectors = tfidf.sparse_vectors(corpus, _topic_tokens(), vocabulary)
     return tfidf.long_weights(vectors, vocabulary, "doc_id")
 
 

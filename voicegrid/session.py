@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -45,6 +45,17 @@ def scratch_table(df: DataFrame, name: str, schema: T.StructType | None = None)
     return (reader.schema(schema) if schema is not None else reader).parquet(path)
 
 
+def compute_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column that later filters must not duplicate.
+
+    The optimizer copies a projected expression into every filter on it and
+    pushes the copy to the scan.  A one-element explode stops that; it neither
+    shuffles nor leaves generated code.
+    """
+    kept = [column for column in df.columns if column != name]
+    return df.select(*kept, F.explode_outer(F.array(value)).alias(name))
+
+
 def rows_frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A small literal table (vocabulary, labels, report rows)."""
     return spark.createDataFrame(rows, schema)
