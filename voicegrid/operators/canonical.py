@@ -12,7 +12,7 @@ from voicegrid.functions.casts import to_number, to_time
 from voicegrid.functions.text import fold_key, normalize_whitespace, strip
 from voicegrid.operators.validation import ValidationReport, require_valid, text_measures, validate_dataset
 from voicegrid.schema import ColumnMapping, FeedbackError, IngestConfig
-from voicegrid.session import cut_lineage, join_small, rows_frame
+from voicegrid.session import compute_once, cut_lineage, join_small, rows_frame
 
 
 @dataclass(frozen=True)
@@ -153,7 +153,7 @@ def canonicalize(
     if mapping.text not in df.columns:
         raise FeedbackError(f"Text column '{mapping.text}' does not exist.")
     placed = with_position(df, order_by)
-    filled = placed.withColumn("_clean", normalize_whitespace(mapping.text)).where(F.col("_clean") != "")
+    filled = compute_once(placed, "_clean", normalize_whitespace(mapping.text)).where(F.col("_clean") != "")
     key = fold_key("_clean")
     aliases = [name for name in fixed.REVIEW_ID_ALIASES if name in df.columns]
     alias = _usable_alias(keep_first(filled, key, aliases), aliases) if aliases else None

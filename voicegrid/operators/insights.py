@@ -25,6 +25,7 @@ from voicegrid.operators.trends import (
     review_volume,
     sentiment_change,
     sentiment_trend,
+    store_facts,
     topic_trend,
     total_of,
     trend_status,
@@ -36,6 +37,10 @@ from voicegrid.session import cut_lineage, rows_frame
 REQUIRED = (
     "review_id", "review_text", "sentiment_label", "topic_id", "topic_label", "detected_aspects", "aspect_sentiment",
 )
+STAGE_COLUMNS = (
+    "review_id", "date", "rating", "sentiment_label", "sentiment_score", "topic_label", "detected_aspects",
+    "aspect_sentiment", "aspect_confidence",
+)
 FINDING_SCHEMA = (
     "category string, title string, evidence string, business_interpretation string, metric_name string, "
     "metric_value double, supporting_count bigint, affected_item string, representative_review_ids array<string>"
@@ -313,15 +318,6 @@ class Insights:
     executive_summary: str
 
 
-def store_facts(facts: DataFrame) -> DataFrame:
-    """Facts kept as one stored partition.
-
-    They hold one row per period, topic or aspect, and label, so the many
-    small aggregates over them need neither shuffles nor a second scan.
-    """
-    return cut_lineage(facts.coalesce(1))
-
-
 def generate_insights(
     df: DataFrame,
     *,
@@ -329,9 +325,19 @@ def generate_insights(
     frequency: str | None = None,
     order_by: str = "review_id",
     unique_ids: bool = False,
+    stored: bool = False,
 ) -> Insights:
-    """Run the insight stage on an aspect-enriched table."""
+    """Run the insight stage on an aspect-enriched table.
+
+    The stage reads its input three times.  Unless ``stored`` states that
+    reading is cheap, the columns it needs, which exclude the texts, are
+    written out first.
+    """
     require_columns(df, REQUIRED, InsightError, "Business insights")
+    enriched = df
+    if not stored:
+        used = dict.fromkeys([*(c for c in STAGE_COLUMNS if c in df.columns), order_by])
+        df = cut_lineage(df.select(*used))
     status = trend_status(df, frequency)
     reviews = store_facts(review_facts(df, status.frequency))
     spoken = store_facts(mention_facts(explode_mentions(df) if mentions is None else mentions, status.frequency))
@@ -356,7 +362,7 @@ def generate_insights(
             "aspects": aspect_trend(spoken),
         }
     return Insights(
-        df,
+        enriched,
         metrics,
         rows_frame(spark, write_findings(metrics, ids), FINDING_SCHEMA),
         rows_frame(spark, write_recommendations(metrics, ids), RECOMMENDATION_SCHEMA),

@@ -11,7 +11,7 @@ from voicegrid import fixed_values as fixed
 from voicegrid.functions.labels import label_order, normalize_label
 from voicegrid.functions.text import normalize_whitespace
 from voicegrid.schema import LabelledDataError, SplitConfig, require_columns
-from voicegrid.session import join_small
+from voicegrid.session import compute_once, cut_lineage, join_small
 
 # Rows one ranking task should handle.
 RANK_BUCKET_ROWS = 200_000
@@ -26,11 +26,9 @@ def labelled_pairs(
 ) -> DataFrame:
     """Normalized non-empty text with its canonical label; bad labels stop the job."""
     require_columns(df, [text_column, label_column], LabelledDataError, "Labelled data")
-    return df.select(
-        normalize_whitespace(text_column).alias(text_column), F.col(label_column).alias("_raw")
-    ).where(F.col(text_column) != "").select(
-        text_column, normalize_label(F.col("_raw"), mapping).alias(label_column)
-    )
+    raw = df.select(text_column, F.col(label_column).alias("_raw"))
+    filled = compute_once(raw, text_column, normalize_whitespace(text_column)).where(F.col(text_column) != "")
+    return filled.select(text_column, normalize_label(F.col("_raw"), mapping).alias(label_column))
 
 
 def _label_set(label: Column) -> Column:
@@ -98,9 +96,9 @@ def split_labelled(
     buckets and shifted by the sizes of the earlier buckets.
     """
     digest = F.md5(F.concat(F.lit(f"{config.seed}:"), F.col(text_column)))
-    rows = df.count()
-    width = max(1, math.ceil(math.log(max(rows / RANK_BUCKET_ROWS, 1), 16)))
-    keyed = df.withColumn("_digest", digest).withColumn("_bucket", F.substring("_digest", 1, width))
+    stored = cut_lineage(df.withColumn("_digest", digest))
+    width = max(1, math.ceil(math.log(max(stored.count() / RANK_BUCKET_ROWS, 1), 16)))
+    keyed = stored.withColumn("_bucket", F.substring("_digest", 1, width))
     sizes = keyed.groupBy(label_column, "_bucket").agg(F.count(F.lit(1)).alias("_size"))
     in_class = Window.partitionBy(label_column)
     before = F.sum("_size").over(in_class.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))

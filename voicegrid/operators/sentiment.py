@@ -189,9 +189,7 @@ def train_sentiment(
     mapping: Mapping[str, str] | None = None,
 ) -> tuple[SentimentModel, dict[str, object], DataFrame]:
     """Prepare, split, fit and evaluate; returns model, report and test predictions."""
-    prepared = cut_lineage(
-        prepare_labelled(df, text_column=text_column, label_column=label_column, mapping=mapping)
-    )
+    prepared = prepare_labelled(df, text_column=text_column, label_column=label_column, mapping=mapping)
     parts = cut_lineage(split_labelled(prepared, split, text_column=text_column, label_column=label_column))
     started = time.perf_counter()
     model = fit_sentiment(parts.where("split = 'train'"), config, text_column=text_column, label_column=label_column)
@@ -223,7 +221,7 @@ def train_sentiment(
         "validation_rows": sizes["validation"],
         "test_rows": sizes["test"],
         "class_distribution": {
-            row[label_column]: row["row_count"] for row in class_distribution(prepared, label_column).collect()
+            row[label_column]: row["row_count"] for row in class_distribution(parts, label_column).collect()
         },
     }
     return model, report, tested

@@ -24,7 +24,7 @@ from voicegrid.functions.text import (
     word_count,
 )
 from voicegrid.schema import FeedbackError
-from voicegrid.session import rows_frame
+from voicegrid.session import compute_once, rows_frame
 
 TRUNC_UNITS = {"D": "day", "W": "week", "M": "month"}
 
@@ -201,8 +201,8 @@ def count_duplicate_reviews(df: DataFrame, text_column: str = "clean_text") -> D
     """Repeats among non-blank texts after space and case folding, one row."""
     if text_column not in df.columns:
         return rows_frame(df.sparkSession, [(0,)], "duplicate_reviews bigint")
-    clean = normalize_whitespace(text_column)
-    per_key = df.where(clean != "").groupBy(fold_key(clean).alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    clean = compute_once(df.select(text_column), "_clean", normalize_whitespace(text_column))
+    per_key = clean.where(F.col("_clean") != "").groupBy(fold_key("_clean").alias("key")).agg(F.count(F.lit(1)).alias("n"))
     return per_key.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_reviews"))
 
 
@@ -212,12 +212,13 @@ def quality_summary(df: DataFrame, text_column: str = "clean_text") -> DataFrame
     All measures ride on the count per text key, so the table is read once.
     """
     has_text = text_column in df.columns
-    clean = normalize_whitespace(text_column) if has_text else F.lit("")
+    placed = compute_once(df, "_clean", normalize_whitespace(text_column) if has_text else F.lit(""))
     missing_cells = F.lit(0)
     for name in df.columns:
         missing_cells = missing_cells + _missing(df, name).cast("bigint")
+    key = F.when(F.col("_clean") != "", fold_key("_clean"))
     per_key = (
-        df.select(F.when(clean != "", fold_key(clean)).alias("key"), missing_cells.alias("missing"))
+        placed.select(key.alias("key"), missing_cells.alias("missing"))
         .groupBy("key")
         .agg(F.count(F.lit(1)).alias("n"), F.sum("missing").alias("missing"))
     )
@@ -237,15 +238,14 @@ def dataset_summary(df: DataFrame, *, text_column: str = "review_text") -> DataF
     """Headline measures of a review table, one row; absent columns give nulls."""
     duplicate_column = "clean_text" if "clean_text" in df.columns else text_column
     none = F.lit(None)
-    key = none.cast("binary")
-    if duplicate_column in df.columns:
-        clean = normalize_whitespace(duplicate_column)
-        key = F.when(clean != "", fold_key(clean))
+    has_text = duplicate_column in df.columns
+    placed = compute_once(df, "_clean", normalize_whitespace(duplicate_column) if has_text else F.lit(""))
+    key = F.when(F.col("_clean") != "", fold_key("_clean"))
     blank = is_blank(text_column) if text_column in df.columns else F.lit(False)
     rating = to_number(df, "rating") if "rating" in df.columns else none.cast("double")
     when = to_time(df, "date") if "date" in df.columns else none.cast("timestamp_ntz")
     per_key = (
-        df.select(key.alias("key"), blank.alias("blank"), rating.alias("rating"), when.alias("when"))
+        placed.select(key.alias("key"), blank.alias("blank"), rating.alias("rating"), when.alias("when"))
         .groupBy("key")
         .agg(
             F.count(F.lit(1)).alias("n"),

@@ -8,14 +8,25 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from voicegrid.operators.tfidf import terms_of
 from voicegrid.operators.topics import TopicFit, refit, topic_tokens
-from voicegrid.session import rows_frame
+from voicegrid.session import compute_once, rows_frame
 
 Keywords = Mapping[int, Sequence[str]]
 
 
-def keyword_presence(texts: DataFrame, tokens: Column, keywords: Keywords, *, top_n: int = 5, ngram_max: int = 2) -> DataFrame:
+def _present_terms(texts: DataFrame, tokens: Column, terms: Sequence[str]) -> DataFrame:
+    """Which of the given terms each text holds, as one array column ``present``.
+
+    Terms are runs of tokens, so a padded substring test finds single words
+    and pairs alike, and no pair has to be built.
+    """
+    joined = F.concat(F.lit(" "), F.array_join(tokens, " "), F.lit(" "))
+    prepared = texts.select(F.explode_outer(F.array(joined)).alias("_text"))
+    held = [F.when(F.col("_text").contains(f" {term} "), F.lit(term)) for term in terms]
+    return compute_once(prepared, "present", F.array_compact(F.array(*held))).select("present")
+
+
+def keyword_presence(texts: DataFrame, tokens: Column, keywords: Keywords, *, top_n: int = 5) -> DataFrame:
     """Documents per keyword and per keyword pair of one topic.
 
     The pairs wanted are known beforehand (ten per topic for five keywords),
@@ -26,21 +37,15 @@ def keyword_presence(texts: DataFrame, tokens: Column, keywords: Keywords, *, to
         top = list(words[:top_n])
         wanted += [(topic, word, word) for word in top] + [(topic, a, b) for a, b in combinations(top, 2)]
     terms = sorted({word for _, left, right in wanted for word in (left, right)})
-    pairs = F.array(
-        *(
-            F.struct(F.lit(t).alias("topic_id"), F.lit(a).alias("left_term"), F.lit(b).alias("right_term"))
-            for t, a, b in wanted
+    present = F.col("present")
+    hits = [
+        F.when(
+            F.array_contains(present, a) & F.array_contains(present, b),
+            F.struct(F.lit(t).alias("topic_id"), F.lit(a).alias("left_term"), F.lit(b).alias("right_term")),
         )
-    )
-    present = texts.select(tokens.alias("_tokens")).select(
-        F.array_intersect(F.array(*map(F.lit, terms)), terms_of(F.col("_tokens"), ngram_max)).alias("_present")
-    )
-    hits = F.filter(
-        pairs,
-        lambda pair: F.array_contains(F.col("_present"), pair["left_term"])
-        & F.array_contains(F.col("_present"), pair["right_term"]),
-    )
-    rows = present.where(F.size("_present") > 0).select(F.explode_outer(hits).alias("pair"))
+        for t, a, b in wanted
+    ]
+    rows = _present_terms(texts, tokens, terms).select(F.explode_outer(F.array_compact(F.array(*hits))).alias("pair"))
     return (
         rows.where(F.col("pair").isNotNull())
         .groupBy("pair.topic_id", "pair.left_term", "pair.right_term")
@@ -77,11 +82,11 @@ def npmi_pairs(presence: DataFrame, keywords: Keywords, documents: int, *, top_n
     return counted.select("topic_id", "left_term", "right_term", npmi.alias("npmi"))
 
 
-def topic_coherence(texts: DataFrame, tokens: Column, keywords: Keywords, documents: int, *, top_n: int = 5, ngram_max: int = 2) -> DataFrame:
+def topic_coherence(texts: DataFrame, tokens: Column, keywords: Keywords, documents: int, *, top_n: int = 5) -> DataFrame:
     """Mean pair coherence, one row; 0 for fewer than two documents or no usable pair."""
     if documents < 2:
         return rows_frame(texts.sparkSession, [(0.0,)], "topic_coherence_npmi double")
-    presence = keyword_presence(texts, tokens, keywords, top_n=top_n, ngram_max=ngram_max)
+    presence = keyword_presence(texts, tokens, keywords, top_n=top_n)
     pairs = npmi_pairs(presence, keywords, documents, top_n=top_n)
     return pairs.agg(F.coalesce(F.avg("npmi"), F.lit(0.0)).alias("topic_coherence_npmi"))
 
@@ -99,13 +104,11 @@ def topic_coverage(vectors: DataFrame) -> DataFrame:
     return vectors.agg(F.coalesce(F.avg(covered), F.lit(0.0)).alias("topic_coverage"))
 
 
-def term_coverage(texts: DataFrame, tokens: Column, terms: Sequence[str], *, ngram_max: int = 2) -> DataFrame:
+def term_coverage(texts: DataFrame, tokens: Column, terms: Sequence[str]) -> DataFrame:
     """Share of texts that contain at least one of the given terms, one row."""
-    listed = F.array(*map(F.lit, terms))
-    held = texts.select(tokens.alias("_tokens")).select(
-        F.arrays_overlap(terms_of(F.col("_tokens"), ngram_max), listed).cast("double").alias("covered")
-    )
-    return held.agg(F.coalesce(F.avg("covered"), F.lit(0.0)).alias("topic_coverage"))
+    covered = (F.size("present") > 0).cast("double")
+    held = _present_terms(texts, tokens, terms)
+    return held.agg(F.coalesce(F.avg(covered), F.lit(0.0)).alias("topic_coverage"))
 
 
 def keyword_similarity(left: Keywords, right: Keywords, *, top_n: int = 8) -> float:
@@ -142,7 +145,7 @@ def evaluate_topics(fit: TopicFit, corpus: DataFrame, *, stability_runs: int = 3
     words = [(t, i + 1, word) for t, listed in model.keywords.items() for i, word in enumerate(listed)]
     keywords = rows_frame(spark, words, "topic_id int, rank int, term string")
     tokens = topic_tokens("topic_text", model.config)
-    coherence = topic_coherence(corpus, tokens, model.keywords, fit.documents, ngram_max=model.config.ngram_max)
+    coherence = topic_coherence(corpus, tokens, model.keywords, fit.documents)
     coverage = topic_coverage(fit.vectors).first()[0]
     return {
         "number_of_topics": model.config.n_topics,

@@ -26,7 +26,7 @@ from voicegrid.operators.tfidf import (
     weigh,
 )
 from voicegrid.schema import TopicConfig, TopicError, pick_text_column, require_columns
-from voicegrid.session import cut_lineage, rows_frame, scratch_table
+from voicegrid.session import compute_once, cut_lineage, rows_frame, scratch_table
 
 SMALL_CORPUS = 20
 
@@ -38,7 +38,7 @@ def topic_corpus(
     """First row of every distinct non-empty cleaned text, with ``topic_text`` added."""
     source = text_column or pick_text_column(df, TopicError)
     require_columns(df, [source], TopicError, "Topic modelling")
-    placed = with_position(df, order_by).withColumn("topic_text", clean_topic_text(source))
+    placed = compute_once(with_position(df, order_by), "topic_text", clean_topic_text(source))
     filled = placed.where(F.col("topic_text") != "")
     return keep_first(filled, F.unhex(F.sha2("topic_text", 256)), [*df.columns, "topic_text"])
 
@@ -46,12 +46,9 @@ def topic_corpus(
 def corpus_statistics(df: DataFrame, *, text_column: str | None = None) -> DataFrame:
     """Source, modelled, blank and duplicate row counts, one row."""
     source = text_column or pick_text_column(df, TopicError)
-    text = clean_topic_text(source)
-    per_key = (
-        df.select(F.when(text != "", F.unhex(F.sha2(text, 256))).alias("key"))
-        .groupBy("key")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    cleaned = compute_once(df.select(source), "topic_text", clean_topic_text(source))
+    key = F.when(F.col("topic_text") != "", F.unhex(F.sha2("topic_text", 256)))
+    per_key = cleaned.groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("n"))
     filled = F.col("key").isNotNull()
     return per_key.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("source_rows"),
@@ -232,8 +229,8 @@ def fit_topics(
     """
     source = text_column or pick_text_column(df, TopicError)
     require_columns(df, [source], TopicError, "Topic modelling")
-    cleaned = df.select(clean_topic_text(source).alias("topic_text")).where(F.col("topic_text") != "")
-    texts = cut_lineage(cleaned.distinct())
+    cleaned = compute_once(df.select(source), "topic_text", clean_topic_text(source))
+    texts = cut_lineage(cleaned.select("topic_text").where(F.col("topic_text") != "").distinct())
     documents = texts.count()
     if documents == 0:
         raise TopicError("No usable unique review text remains for topic modeling.")

@@ -16,6 +16,7 @@ from voicegrid.functions.casts import finite, to_time
 from voicegrid.functions.labels import canonical_label
 from voicegrid.operators.statistics import period_of, span_frequency
 from voicegrid.schema import InsightError, require_columns
+from voicegrid.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -88,6 +89,15 @@ def mention_facts(mentions: DataFrame, frequency: str | None) -> DataFrame:
     )
 
 
+def store_facts(facts: DataFrame) -> DataFrame:
+    """Facts kept as one stored partition.
+
+    They hold one row per period, topic or aspect, and label, so the many
+    small aggregates over them need neither shuffles nor a second scan.
+    """
+    return cut_lineage(facts.coalesce(1))
+
+
 # ------------------------------------------------------------------ tables --
 def review_volume(facts: DataFrame) -> DataFrame:
     """Reviews per period."""
@@ -221,14 +231,14 @@ def analyze_trends(
     status = trend_status(df, frequency)
     if status.frequency is None:
         return status, {}
-    facts = review_facts(df, status.frequency)
+    facts = store_facts(review_facts(df, status.frequency))
     tables = {
         "review_volume": review_volume(facts),
         "sentiment": sentiment_trend(facts),
         "topics": topic_trend(facts),
     }
     if mentions is not None:
-        tables["aspects"] = aspect_trend(mention_facts(mentions, status.frequency))
+        tables["aspects"] = aspect_trend(store_facts(mention_facts(mentions, status.frequency)))
     if status.available:
         support = evidence_floor(total_of(facts))
         tables["fastest_growing_topic"] = fastest_growing_topic(tables["topics"], support)

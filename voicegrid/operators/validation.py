@@ -10,7 +10,7 @@ from voicegrid import fixed_values as fixed
 from voicegrid.functions.text import fold_key, normalize_whitespace
 from voicegrid.operators.profiling import score_text_columns
 from voicegrid.schema import ColumnMapping, DatasetInvalidError, IngestConfig
-from voicegrid.session import rows_frame
+from voicegrid.session import compute_once, rows_frame
 
 REPORT_SCHEMA = "code string, severity string, message string, remediation string"
 
@@ -63,11 +63,9 @@ def text_measures(df: DataFrame, text_column: str) -> DataFrame:
     Texts are counted per folded key first, so a text repeated millions of
     times is one row per task before the shuffle.
     """
-    clean = normalize_whitespace(text_column)
-    usable = clean != ""
-    counted = (
-        df.select(F.when(usable, fold_key(clean)).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    )
+    clean = compute_once(df.select(text_column), "_clean", normalize_whitespace(text_column))
+    key = F.when(F.col("_clean") != "", fold_key("_clean"))
+    counted = clean.groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("n"))
     filled = F.col("key").isNotNull()
     return counted.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("total_rows"),

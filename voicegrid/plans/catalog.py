@@ -116,11 +116,11 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def review_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trends.review_facts(enriched(spark, sf_dir), WEEK)
+    return trends.store_facts(trends.review_facts(labelled_feedback(spark, sf_dir), WEEK))
 
 
 def mention_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trends.mention_facts(mentions(spark, sf_dir), WEEK)
+    return trends.store_facts(trends.mention_facts(mentions(spark, sf_dir), WEEK))
 
 
 def _digest(column: str | Column) -> Column:
@@ -670,7 +670,7 @@ def aspect_filtered_summary(spark, sf_dir):
 # ------------------------------------------------------------------ trends --
 @query
 def trend_bounds(spark, sf_dir):
-    return trends.date_bounds(enriched(spark, sf_dir))
+    return trends.date_bounds(labelled_feedback(spark, sf_dir))
 
 
 @query
@@ -711,7 +711,7 @@ def sentiment_change(spark, sf_dir):
 
 @query
 def evidence_floor(spark, sf_dir):
-    total = enriched(spark, sf_dir).agg(F.count(F.lit(1)).alias("total_reviews"))
+    total = labelled_feedback(spark, sf_dir).agg(F.count(F.lit(1)).alias("total_reviews"))
     return total.select("total_reviews", trends.evidence_floor(F.col("total_reviews")).alias("evidence_floor"))
 
 
@@ -757,9 +757,8 @@ def evidence_ids(spark, sf_dir):
 
 @query
 def insight_metrics(spark, sf_dir):
-    bundle = insights.metrics_bundle(
-        insights.store_facts(review_facts(spark, sf_dir)), insights.store_facts(mention_facts(spark, sf_dir)), trends=True
-    )
+    reviews = trends.store_facts(trends.review_facts(enriched(spark, sf_dir), WEEK))
+    bundle = insights.metrics_bundle(reviews, mention_facts(spark, sf_dir), trends=True)
     return bundle.select(
         "total_reviews", "positive_count", "neutral_count", "negative_count", "dominant_sentiment", "topic_count",
         "aspect_count", "aspect_coverage", "topic_summary_rows", "aspect_summary_rows",

@@ -61,9 +61,9 @@ def aspect_stage(df: DataFrame, vocabulary: Vocabulary | None = None) -> dict[st
 
 
 def insight_stage(df: DataFrame, *, order_by: str = "review_id", frequency: str | None = None) -> Insights:
-    """Insights of aspect-enriched reviews."""
+    """Insights of a stored table of aspect-enriched reviews."""
     require_columns(df, REQUIRED, FeedbackError, "Business insights")
-    return generate_insights(df, order_by=order_by, frequency=frequency, unique_ids=True)
+    return generate_insights(df, order_by=order_by, frequency=frequency, unique_ids=True, stored=True)
 
 
 @dataclass(frozen=True)
