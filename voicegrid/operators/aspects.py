@@ -73,14 +73,18 @@ def detect_aspects(
             test = test | _term_test(text, word)
         return test
 
-    names = [F.when(any_term(words), F.lit(aspect)) for aspect, words in terms.items()]
-    found = compute_once(prepared, "detected_aspects", F.array_compact(F.array(*names)))
+    def listed(tests: dict[str, Column]) -> Column:
+        # array_remove stays in generated code, array_compact would not.
+        items = [F.when(test, F.lit(item)).otherwise(F.lit("")) for item, test in tests.items()]
+        return F.array_remove(F.array(*items), "")
+
+    names = {aspect: any_term(words) for aspect, words in terms.items()}
+    found = compute_once(prepared, "detected_aspects", listed(names))
     if with_terms:
         lists = []
         for words in terms.values():
             longest_first = sorted(words, key=len, reverse=True)
-            hits = [F.when(_term_test(text, word), F.lit(word)) for word in longest_first]
-            lists.append(F.array_compact(F.array(*hits)))
+            lists.append(listed({word: _term_test(text, word) for word in longest_first}))
         pairs = F.map_from_arrays(F.array(*map(F.lit, terms)), F.array(*lists))
         found = found.withColumn("matched_terms", F.map_filter(pairs, lambda _, words: F.size(words) > 0))
     return found.drop("_phrases")

@@ -22,8 +22,8 @@ def _present_terms(texts: DataFrame, tokens: Column, terms: Sequence[str]) -> Da
     """
     joined = F.concat(F.lit(" "), F.array_join(tokens, " "), F.lit(" "))
     prepared = texts.select(F.explode_outer(F.array(joined)).alias("_text"))
-    held = [F.when(F.col("_text").contains(f" {term} "), F.lit(term)) for term in terms]
-    return compute_once(prepared, "present", F.array_compact(F.array(*held))).select("present")
+    held = [F.when(F.col("_text").contains(f" {term} "), F.lit(term)).otherwise(F.lit("")) for term in terms]
+    return compute_once(prepared, "present", F.array_remove(F.array(*held), "")).select("present")
 
 
 def keyword_presence(texts: DataFrame, tokens: Column, keywords: Keywords, *, top_n: int = 5) -> DataFrame:
