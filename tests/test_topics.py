@@ -141,9 +141,9 @@ def test_unknown_text(spark, modelled):
         modelled[0].model.assign(strange).collect()
 
 
-def test_quality(modelled, themed_reviews):
+def test_quality(modelled):
     fit, _ = modelled
-    found = topic_quality.evaluate_topics(fit, topics.topic_corpus(themed_reviews), stability_runs=2)
+    found = topic_quality.evaluate_topics(fit, stability_runs=2)
     assert found["modeled_reviews"] == 30 and found["all_reviews_assigned"] and found["topic_coverage"] == 1.0
     assert -1 <= found["topic_coherence_npmi"] <= 1 and 0 < found["topic_diversity"] <= 1
     assert found["topic_stability"] > 0.5

@@ -138,14 +138,14 @@ def topic_stability(fit: TopicFit, runs: int = 3) -> float | None:
     return sum(scores) / len(scores)
 
 
-def evaluate_topics(fit: TopicFit, corpus: DataFrame, *, stability_runs: int = 3) -> dict[str, object]:
-    """Quality measures of a fitted model; ``corpus`` carries ``topic_text``."""
+def evaluate_topics(fit: TopicFit, *, stability_runs: int = 3) -> dict[str, object]:
+    """Quality measures of a fitted model on the texts it was fitted on."""
     model = fit.model
-    spark = corpus.sparkSession
+    spark = fit.texts.sparkSession
     words = [(t, i + 1, word) for t, listed in model.keywords.items() for i, word in enumerate(listed)]
     keywords = rows_frame(spark, words, "topic_id int, rank int, term string")
     tokens = topic_tokens("topic_text", model.config)
-    coherence = topic_coherence(corpus, tokens, model.keywords, fit.documents)
+    coherence = topic_coherence(fit.texts, tokens, model.keywords, fit.documents)
     coverage = topic_coverage(fit.vectors).first()[0]
     return {
         "number_of_topics": model.config.n_topics,

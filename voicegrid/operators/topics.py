@@ -212,9 +212,10 @@ def document_limits(config: TopicConfig, documents: int) -> tuple[int, float]:
 
 @dataclass(frozen=True)
 class TopicFit:
-    """A model with the stored vectors it was fitted on."""
+    """A model with the stored distinct texts and vectors it was fitted on."""
 
     model: TopicModel
+    texts: DataFrame
     vectors: DataFrame
     documents: int
 
@@ -246,7 +247,7 @@ def fit_topics(
     vectors = scratch_table(
         sparse_vectors(texts, tokens, vocabulary).select("vector.indices", "vector.weights"), "topic-vectors"
     )
-    return TopicFit(refit(vectors, documents, vocabulary, config), vectors, documents)
+    return TopicFit(refit(vectors, documents, vocabulary, config), texts, vectors, documents)
 
 
 def refit(vectors: DataFrame, documents: int, vocabulary: Vocabulary, config: TopicConfig) -> TopicModel:

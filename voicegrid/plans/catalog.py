@@ -908,9 +908,8 @@ def topic_assignments(spark, sf_dir):
 
 @query
 def topic_quality_report(spark, sf_dir):
-    rows = feedback(spark, sf_dir)
-    fit = topics.fit_topics(rows, TOPICS)
-    found = topic_quality.evaluate_topics(fit, topics.topic_corpus(rows, order_by="doc_id"), stability_runs=2)
+    fit = topics.fit_topics(feedback(spark, sf_dir), TOPICS)
+    found = topic_quality.evaluate_topics(fit, stability_runs=2)
     return rows_frame(spark, [(name, float(value)) for name, value in found.items()], "metric string, value double")
 
 

@@ -6,13 +6,13 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from voicegrid.operators.aspects import Vocabulary, analyze_aspects
 from voicegrid.operators.insights import REQUIRED, Insights, generate_insights
 from voicegrid.operators.sentiment import SentimentModel, SuppliedModel, predict_sentiment
 from voicegrid.operators.topic_quality import evaluate_topics
-from voicegrid.operators.topics import TopicFit, model_topics, topic_corpus, topic_summary
+from voicegrid.operators.topics import TopicFit, model_topics, topic_summary
 from voicegrid.schema import FeedbackError, TopicConfig, require_columns
 from voicegrid.session import scratch_table
 from voicegrid.sources.sinks import write_topic_run
@@ -49,9 +49,8 @@ def topic_stage(
     """Fit topics, assign every review, evaluate."""
     require_columns(df, AFTER_SENTIMENT, FeedbackError, "Topic modelling")
     fit, rows = model_topics(df, config, order_by=order_by, strict=strict)
-    corpus = topic_corpus(df, order_by=order_by)
     keywords = fit.model.keyword_table(df.sparkSession)
-    return TopicStage(rows, fit, topic_summary(rows, keywords), evaluate_topics(fit, corpus, stability_runs=stability_runs))
+    return TopicStage(rows, fit, topic_summary(rows, keywords), evaluate_topics(fit, stability_runs=stability_runs))
 
 
 def aspect_stage(df: DataFrame, vocabulary: Vocabulary | None = None) -> dict[str, DataFrame]:
@@ -134,7 +133,7 @@ def run_topic_job(df: DataFrame, path: str, config: TopicConfig = TopicConfig(),
     """Stand-alone topic run: fit, evaluate, save model and outputs below ``path``."""
     fit, rows = model_topics(df, config, order_by=order_by)
     summary = topic_summary(rows, fit.model.keyword_table(df.sparkSession))
-    evaluation = evaluate_topics(fit, topic_corpus(df, order_by=order_by), stability_runs=stability_runs)
+    evaluation = evaluate_topics(fit, stability_runs=stability_runs)
     fit.model.save(df.sparkSession, f"{path}/model")
-    write_topic_run(rows.withColumn("topic_id", F.col("topic_id")), summary, evaluation, path)
+    write_topic_run(rows, summary, evaluation, path)
     return TopicStage(rows, fit, summary, evaluation)
