@@ -12,7 +12,7 @@ TABLES = (
 ).split()
 WITHOUT_SQL = {
     "sentiment_scored", "sentiment_supplied", "sentiment_training", "topic_assignments", "topic_quality_report",
-    "pipeline_enriched", "dataset_fingerprint",
+    "full_analysis", "dataset_fingerprint",
 }
 pytestmark = pytest.mark.skipif(not TESTDATA.exists(), reason="driver tables are absent")
 

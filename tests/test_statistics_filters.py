@@ -1,5 +1,6 @@
 """Filters and descriptive statistics."""
 
+import statistics
 from datetime import datetime
 
 import pytest
@@ -94,6 +95,16 @@ def test_ratings(spark):
     assert stats.rating_statistics(frame.where("rating = 'invalid'")).collect() == []
 
 
+@pytest.mark.parametrize("size", [1, 2, 7, 100, 1001])
+def test_median_of_many_values(spark, monkeypatch, size):
+    monkeypatch.setattr(stats, "DIRECT_VALUES", 0)
+    frame = spark.range(size).select((F.pmod(F.col("id") * 7919, F.lit(size)) * F.lit(0.5)).alias("rating"))
+    heavy = frame.unionAll(frame.where("rating < 1").crossJoin(spark.range(size // 2)).select("rating"))
+    values = [r.rating for r in heavy.collect()]
+    row = stats.rating_statistics(heavy).first()
+    assert row["count"] == len(values) and row.median == pytest.approx(statistics.median(values))
+
+
 @pytest.mark.parametrize(("days", "unit"), [(31, "D"), (90, "D"), (91, "W"), (365, "W"), (731, "M"), (2190, "M")])
 def test_frequency(spark, days, unit):
     frame = spark.sql(f"select timestamp'2020-01-01 10:00' as date union all select timestamp'2020-01-01 10:00' + interval {days} days")

@@ -89,12 +89,16 @@ def raw_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelled feedback with aspects; the product's rank is the topic id."""
-    rows = labelled_feedback(spark, sf_dir)
+def with_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled feedback; the product's rank is the topic id."""
     names = F.array(*map(F.lit, ("de", "en", "es", "fr")))
-    with_topic = rows.withColumn("topic_id", (F.array_position(names, F.col("product")) - 1).cast("int"))
-    return aspects.associate_aspect_sentiment(with_topic, CORPUS_ASPECTS)
+    topic = (F.array_position(names, F.col("product")) - 1).cast("int")
+    return labelled_feedback(spark, sf_dir).withColumn("topic_id", topic)
+
+
+def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled feedback with topics and aspects."""
+    return aspects.associate_aspect_sentiment(with_topics(spark, sf_dir), CORPUS_ASPECTS)
 
 
 def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -524,7 +528,7 @@ def _keyword_rows(spark: SparkSession) -> DataFrame:
 
 @query
 def topic_summary(spark, sf_dir):
-    return topics.topic_summary(enriched(spark, sf_dir), _keyword_rows(spark))
+    return topics.topic_summary(with_topics(spark, sf_dir), _keyword_rows(spark))
 
 
 @query
@@ -535,12 +539,12 @@ def topic_filtered_summary(spark, sf_dir):
 
 @query
 def topic_size_extremes(spark, sf_dir):
-    return topics.topic_size_extremes(topics.topic_summary(enriched(spark, sf_dir), _keyword_rows(spark)))
+    return topics.topic_size_extremes(topics.topic_summary(with_topics(spark, sf_dir), _keyword_rows(spark)))
 
 
 @query
 def topic_keyword_table(spark, sf_dir):
-    return topics.keyword_table(topics.topic_summary(enriched(spark, sf_dir), _keyword_rows(spark)))
+    return topics.keyword_table(topics.topic_summary(with_topics(spark, sf_dir), _keyword_rows(spark)))
 
 
 @query
@@ -550,7 +554,7 @@ def topic_sentiment(spark, sf_dir):
 
 @query
 def topic_representatives(spark, sf_dir):
-    return topics.topic_representatives(enriched(spark, sf_dir).withColumn("topic_strength", F.col("sentiment_score")))
+    return topics.topic_representatives(with_topics(spark, sf_dir).withColumn("topic_strength", F.col("sentiment_score")))
 
 
 @query
@@ -914,7 +918,7 @@ def topic_quality_report(spark, sf_dir):
 
 
 @query
-def pipeline_enriched(spark, sf_dir):
+def full_analysis(spark, sf_dir):
     rows = canonical.canonicalize(
         feedback(spark, sf_dir).drop("sentiment_label", "sentiment_score", "clean_text"),
         ColumnMapping("review_text", "date", "rating", "product", "category", "version"),
