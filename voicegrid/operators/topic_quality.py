@@ -9,7 +9,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from voicegrid.operators.topics import TopicFit, refit, topic_tokens
-from voicegrid.session import compute_once, rows_frame
+from voicegrid.session import compute_once, cut_lineage, rows_frame
 
 Keywords = Mapping[int, Sequence[str]]
 
@@ -60,6 +60,8 @@ def npmi_pairs(presence: DataFrame, keywords: Keywords, documents: int, *, top_n
     -1, pairs seen in every document get 1.
     """
     spark = presence.sparkSession
+    # At most one row per keyword and pair; stored, as three joins read it.
+    presence = cut_lineage(presence.coalesce(1))
     rows = [(t, a, b) for t, words in keywords.items() for a, b in combinations(list(words[:top_n]), 2)]
     wanted = rows_frame(spark, rows, "topic_id int, left_term string, right_term string")
     single = presence.where(F.col("left_term") == F.col("right_term")).select(
