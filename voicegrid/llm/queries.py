@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from voicegrid.llm.bpe_transducer import round_trip
 from voicegrid.llm.circulant_minhash import near_duplicates
 from voicegrid.llm.positional_index import decontaminate
 
@@ -18,6 +20,11 @@ def op5_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
+def op6_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
 def op10_positional_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
     digest = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
@@ -26,5 +33,6 @@ def op10_positional_decontamination(spark: SparkSession, sf_dir: str) -> DataFra
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_circulant_minhash": op5_circulant_minhash,
+    "op6_bpe_transducer": op6_bpe_transducer,
     "op10_positional_decontamination": op10_positional_decontamination,
 }
