@@ -43,7 +43,7 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     if not _POWERS or len(_POWERS[0]) < size:
         grown = []
         for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            values = np.full(max(size, _SEGMENT + 4096), base, np.uint64)
+            values = np.full(max(2 * size, 4096), base, np.uint64)
             values[0] = 1
             grown.append(np.multiply.accumulate(values))
         _POWERS[:] = grown
