@@ -11,6 +11,7 @@ from voicegrid.llm.bpe_transducer import round_trip
 from voicegrid.llm.circulant_minhash import near_duplicates
 from voicegrid.llm.positional_index import decontaminate
 from voicegrid.llm.token_shards import read_shards, write_shards
+from voicegrid.llm.warc import read_archives, write_archives
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +32,11 @@ def op6_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op9_warc_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = read_archives(write_archives(table(spark, sf_dir, "pages"), min_bytes=0))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_positional_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
     digest = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
@@ -41,5 +47,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_wavelet_shards": op4_wavelet_shards,
     "op5_circulant_minhash": op5_circulant_minhash,
     "op6_bpe_transducer": op6_bpe_transducer,
+    "op9_warc_ranges": op9_warc_ranges,
     "op10_positional_decontamination": op10_positional_decontamination,
 }

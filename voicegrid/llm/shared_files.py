@@ -26,7 +26,7 @@ def write_file(folder: str, suffix: str, content: bytes) -> str:
     """Writes one file under a new name and returns its address."""
     address = f"{folder}/{uuid.uuid4().hex}{suffix}"
     system, path = fs.FileSystem.from_uri(address)
-    with system.open_output_stream(path) as out:
+    with system.open_output_stream(path, compression=None) as out:
         out.write(content)
     return address
 
