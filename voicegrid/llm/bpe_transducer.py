@@ -37,8 +37,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from voicegrid.llm.text_arrays import binaries, column_of, in_chunks
 
-MAX_STATES = 150_000
-MAX_PIECES = 200_000
+MAX_STATES = 300_000
+MAX_PIECES = 400_000
 #: Bytes between two looks for fixed tokens within one piece.
 LOOKAHEAD = 64
 
@@ -256,13 +256,16 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        first, *rest = text.split(" ")
         try:
-            return self.plain[first] + b"".join(map(self.spaced.__getitem__, rest))
+            return self.line_feed.join([self._line(line) for line in text.split("\n")])
         except _Uneven:
             first, *rest = _SINGLE_SPACE.split(text)
             return self._uneven("", first) + b"".join([self._uneven(" ", piece) for piece in rest])
 
+    def _line(self, line: str) -> bytes:
+        first, *rest = line.split(" ")
+        return self.plain[first] + b"".join(map(self.spaced.__getitem__, rest))
+
     def _uneven(self, lead: str, piece: str) -> bytes:
         try:
             return (self.spaced if lead else self.plain)[piece]
