@@ -11,6 +11,7 @@ from voicegrid.llm.bpe_transducer import round_trip
 from voicegrid.llm.circulant_minhash import near_duplicates
 from voicegrid.llm.positional_index import decontaminate
 from voicegrid.llm.token_shards import read_shards, write_shards
+from voicegrid.llm.toxic_compression import fit, held_out, score
 from voicegrid.llm.warc import read_archives, write_archives
 
 
@@ -32,6 +33,14 @@ def op6_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op7_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    scored = score(documents, fit(documents, table(spark, sf_dir, "labels")))
+    return scored.select(
+        "doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted")
+    )
+
+
 def op9_warc_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = read_archives(write_archives(table(spark, sf_dir, "pages"), min_bytes=0))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -47,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_wavelet_shards": op4_wavelet_shards,
     "op5_circulant_minhash": op5_circulant_minhash,
     "op6_bpe_transducer": op6_bpe_transducer,
+    "op7_compression_toxicity": op7_compression_toxicity,
     "op9_warc_ranges": op9_warc_ranges,
     "op10_positional_decontamination": op10_positional_decontamination,
 }
