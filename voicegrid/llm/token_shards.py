@@ -30,7 +30,7 @@ from voicegrid.llm.wavelet import WaveletFile, build
 from voicegrid.session import scratch_table
 
 SHARD_TOKENS = 2_000_000
-MAX_WORDS = 300_000
+MAX_WORDS = 600_000
 
 
 class WordEncoder:
@@ -44,6 +44,24 @@ class WordEncoder:
         self.tokenizer.encode_special_tokens = True
         self.bits = max(1, (self.tokenizer.get_vocab_size() - 1).bit_length())
         self.words: dict[str, bytes] = {"": b""}
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.word_end = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, number in self.tokenizer.get_vocab().items():
+            self.word_end[number] = bool(suffix) and token.endswith(suffix)
+
+    def _learn(self, words: list[str]) -> None:
+        for word, found in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
+            self.words[word] = np.array(found.ids, "<u4").tobytes()
+
+    def _learn_letters(self, words: list[str]) -> None:
+        """Words of letters alone go to the library many at a time: each ends with its only word-end token."""
+        groups = [words[k : k + 256] for k in range(0, len(words), 256)] if self.word_end.any() else []
+        for group, found in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(found.ids, "<u4")
+            ends = (np.flatnonzero(self.word_end[ids]) + 1).tolist()
+            if len(ends) == len(group):
+                raw = ids.tobytes()
+                self.words.update(zip(group, [raw[4 * low : 4 * high] for low, high in zip([0, *ends], ends)]))
 
     def encode(self, texts: list[str], end: int) -> list[np.ndarray]:
         """Ids of each text and the end id."""
@@ -51,12 +69,13 @@ class WordEncoder:
         if len(self.words) > MAX_WORDS:
             self.words = {"": b""}
         known = self.words
-        new = {word for words in split for word in words} - known.keys()
+        new = set().union(*split).difference(known)
         # A mark behind a letter is a token of its own, so such a word needs no call.
         marked = {word for word in new if word[-1] in ".," and word[-2:-1].lower().isalpha()}
-        call = list(((new - marked) | {word[:-1] for word in marked} | {".", ","}) - known.keys())
-        for word, found in zip(call, self.tokenizer.encode_batch_fast(call, add_special_tokens=False)):
-            known[word] = np.array(found.ids, "<u4").tobytes()
+        call = ((new - marked) | {word[:-1] for word in marked} | {".", ","}).difference(known)
+        letters = [word for word in call if word.isalpha() and (word.isascii() or word.lower().isalpha())]
+        self._learn_letters(letters)
+        self._learn([word for word in call if word not in known])
         for word in marked:
             known[word] = known[word[:-1]] + known[word[-1]]
         last = np.array([end], "<u4").tobytes()
@@ -105,6 +124,11 @@ def write_shards(
     )
 
 
+def _tasks(manifest: DataFrame) -> int:
+    """A task for each few files, so that adaptive execution doesn't join rows that stand for whole files."""
+    return max(1, min(manifest.count(), 100_000))
+
+
 def read_shards(manifest: DataFrame) -> DataFrame:
     """Per document, from the files: ``doc_id``, ``start`` (tokens of all documents before), ``n_tokens``, ``ids_crc32``."""
     starts, total = {}, 0
@@ -125,7 +149,7 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                     ["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    files = manifest.select("part", "before", "path").repartition("path")
+    files = manifest.select("part", "before", "path").repartition(_tasks(manifest), "path")
     return files.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
@@ -145,4 +169,4 @@ def find_token(manifest: DataFrame, token: int, limit_per_shard: int | None = No
                     row = {"path": path, "n": count, "positions": [shard.select(token, k) for k in range(listed)]}
                 yield pa.RecordBatch.from_pylist([row], pa.schema([("path", pa.string()), ("n", pa.int64()), ("positions", pa.list_(pa.int64()))]))
 
-    return manifest.select("path").repartition("path").mapInArrow(run, "path string, n long, positions array<long>")
+    return manifest.select("path").repartition(_tasks(manifest), "path").mapInArrow(run, "path string, n long, positions array<long>")
