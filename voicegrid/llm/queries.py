@@ -7,9 +7,11 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from voicegrid.llm.adaptive_quality import judge
 from voicegrid.llm.bpe_transducer import round_trip
 from voicegrid.llm.circulant_minhash import near_duplicates
 from voicegrid.llm.positional_index import decontaminate
+from voicegrid.llm.secret_ledger import BASE, Ledger, scan_history
 from voicegrid.llm.token_shards import read_shards, write_shards
 from voicegrid.llm.toxic_compression import fit, held_out, score
 from voicegrid.llm.warc import read_archives, write_archives
@@ -19,6 +21,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_history(table(spark, sf_dir, "documents"), Ledger(spark))
+    joined = lambda spans: F.array_join(F.transform(spans, _span), ",")
+    count = lambda kind: F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("found", lambda x: x["kind"].isin(*BASE))
+    return found.select(
+        "doc_id", *map(count, BASE), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("found")).alias("spans")
+    )
+
+
+def _span(x):
+    return F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))
+
+
 def op4_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     return read_shards(write_shards(table(spark, sf_dir, "documents"), path, end_id=1))
@@ -41,6 +57,11 @@ def op7_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = judge(table(spark, sf_dir, "documents"))
+    return judged.withColumn("failed", F.array_join("failed", ","))
+
+
 def op9_warc_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = read_archives(write_archives(table(spark, sf_dir, "pages"), min_bytes=0))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -53,10 +74,12 @@ def op10_positional_decontamination(spark: SparkSession, sf_dir: str) -> DataFra
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_blob_ledger": op1_blob_ledger,
     "op4_wavelet_shards": op4_wavelet_shards,
     "op5_circulant_minhash": op5_circulant_minhash,
     "op6_bpe_transducer": op6_bpe_transducer,
     "op7_compression_toxicity": op7_compression_toxicity,
+    "op8_adaptive_quality": op8_adaptive_quality,
     "op9_warc_ranges": op9_warc_ranges,
     "op10_positional_decontamination": op10_positional_decontamination,
 }

@@ -75,10 +75,10 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def split_words(column: pa.Array, word_bytes: np.ndarray) -> Words:
-    """Words of every text, lower-cased in A-Z; ``word_bytes`` says which bytes make words."""
+def split_words(column: pa.Array, word_bytes: np.ndarray, lower: bool = True) -> Words:
+    """Words of every text, by default lower-cased in A-Z; ``word_bytes`` says which bytes make words."""
     raw, offsets = utf8(column)
-    data = LOWER[raw]
+    data = LOWER[raw] if lower else raw
     inside = word_bytes[data]
     size = len(data)
     breaks = np.zeros(size + 1, bool)
