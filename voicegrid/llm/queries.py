@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from voicegrid.llm.adaptive_quality import judge
 from voicegrid.llm.bpe_transducer import round_trip
 from voicegrid.llm.circulant_minhash import near_duplicates
+from voicegrid.llm.html_region import extract, learn_weights
 from voicegrid.llm.positional_index import decontaminate
 from voicegrid.llm.secret_ledger import BASE, Ledger, scan_history
 from voicegrid.llm.token_shards import read_shards, write_shards
@@ -35,6 +36,11 @@ def _span(x):
     return F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))
 
 
+def op3_html_region(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return extract(pages, learn_weights(pages))
+
+
 def op4_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     return read_shards(write_shards(table(spark, sf_dir, "documents"), path, end_id=1))
@@ -75,6 +81,7 @@ def op10_positional_decontamination(spark: SparkSession, sf_dir: str) -> DataFra
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_blob_ledger": op1_blob_ledger,
+    "op3_html_region": op3_html_region,
     "op4_wavelet_shards": op4_wavelet_shards,
     "op5_circulant_minhash": op5_circulant_minhash,
     "op6_bpe_transducer": op6_bpe_transducer,

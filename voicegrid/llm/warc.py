@@ -250,4 +250,5 @@ def read_archives(files: DataFrame, *, payload: bool = False, split_bytes: int =
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("n_bytes") - 1, F.lit(0)), F.lit(split_bytes).cast("long")))
     splits = files.select("path", "n_bytes", starts.alias("start"))
     splits = splits.select("path", "start", F.least(F.col("start") + split_bytes, F.col("n_bytes")).alias("end"))
-    return splits.repartition("path", "start").mapInArrow(run, text_schema)
+    # A task for each few ranges, so that adaptive execution doesn't join rows that stand for whole ranges.
+    return splits.repartition(max(1, min(splits.count(), 100_000)), "path", "start").mapInArrow(run, text_schema)
