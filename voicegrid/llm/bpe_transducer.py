@@ -355,11 +355,13 @@ def decode(encoded: DataFrame, path: str, *, id_col: str = "doc_id", ids_col: st
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text string")
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def round_trip(
+    docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False
+) -> DataFrame:
     """Encodes every whole text, decodes the ids, and returns both digests.
 
     ``doc_id``, ``n_tokens``, ``ids_sha256`` of the decimal ids joined by one
-    space, and ``decoded_sha256`` of the decoded bytes.
+    space, ``decoded_sha256`` of the decoded bytes and, if asked for, ``ids``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -367,19 +369,21 @@ def round_trip(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_i
         token = own.transducer.tokens.__getitem__
         decimal = {rank: str(rank) for rank in own.transducer.tokens}.__getitem__
         for batch in in_chunks(batches, "text"):
-            counts, id_digests, digests = [], [], []
+            counts, id_digests, digests, packed = [], [], [], []
             for text in column_of(batch, "text").to_pylist():
-                ids = np.frombuffer(own.encode(text or ""), "<u4").tolist()
+                raw = own.encode(text or "")
+                ids = np.frombuffer(raw, "<u4").tolist()
+                packed += [raw] if with_ids else []
                 stream = Utf8Stream()
                 decoded = stream.feed(b"".join(map(token, ids))) + stream.close()
                 counts.append(len(ids))
                 id_digests.append(hashlib.sha256(" ".join(map(decimal, ids)).encode()).hexdigest())
                 digests.append(hashlib.sha256(decoded.encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [column_of(batch, "doc_id"), pa.array(counts, pa.int64()), pa.array(id_digests, pa.string()), pa.array(digests, pa.string())],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+            columns = [column_of(batch, "doc_id"), pa.array(counts, pa.int64()), pa.array(id_digests, pa.string()), pa.array(digests, pa.string())]
+            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+            yield pa.RecordBatch.from_arrays(columns + [binaries(packed)] * with_ids, names + ["ids"] * with_ids)
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return rows.mapInArrow(run, schema + ", ids binary" * with_ids)

@@ -11,6 +11,7 @@ from voicegrid.llm.adaptive_quality import judge
 from voicegrid.llm.bpe_transducer import round_trip
 from voicegrid.llm.circulant_minhash import near_duplicates
 from voicegrid.llm.html_region import extract, learn_weights
+from voicegrid.llm.license_votes import scan_licenses
 from voicegrid.llm.positional_index import decontaminate
 from voicegrid.llm.secret_ledger import BASE, Ledger, scan_history
 from voicegrid.llm.token_shards import read_shards, write_shards
@@ -36,6 +37,11 @@ def _span(x):
     return F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))
 
 
+def op2_diagonal_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_licenses(table(spark, sf_dir, "documents"))
+    return found.withColumns({name: F.array_join(name, ",") for name in ("base_labels", "labels")})
+
+
 def op3_html_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return extract(pages, learn_weights(pages))
@@ -81,6 +87,7 @@ def op10_positional_decontamination(spark: SparkSession, sf_dir: str) -> DataFra
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_blob_ledger": op1_blob_ledger,
+    "op2_diagonal_votes": op2_diagonal_votes,
     "op3_html_region": op3_html_region,
     "op4_wavelet_shards": op4_wavelet_shards,
     "op5_circulant_minhash": op5_circulant_minhash,

@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -151,18 +152,19 @@ def redact(
     The rows keep their columns; a null text stays null.
     """
     found = scan_history(docs, ledger, path_cols=(id_col,), text_col=text_col, rules=rules).where(F.size("found") > 0)
-    found = found.select(F.col(id_col).alias("_id"), F.col("blob").alias("_blob"), F.col("found").alias("_found")).distinct()
+    here = f"_found_{uuid.uuid4().hex}"
+    found = found.select(F.col(id_col).alias("path"), "blob", F.col("found").alias(here)).distinct()
     columns = docs.columns
-    rows = docs.join(found, docs[id_col].eqNullSafe(found["_id"]) & (_blob(text_col) == found["_blob"]), "left")
+    rows = docs.join(found, docs[id_col].eqNullSafe(found["path"]) & (_blob(docs[text_col]) == found["blob"]), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_chunks(batches, text_col):
             at = batch.schema.names.index(text_col)
-            both = zip(batch.column(at).to_pylist(), column_of(batch, "_found").to_pylist())
+            both = zip(batch.column(at).to_pylist(), column_of(batch, here).to_pylist())
             texts = pa.array([_masked(text, spans) if spans else text for text, spans in both], batch.schema.field(at).type)
             yield batch.set_column(at, batch.schema.field(at), texts).select(columns)
 
-    return rows.select(*columns, "_found").mapInArrow(run, docs.schema)
+    return rows.select(*[docs[c] for c in columns], here).mapInArrow(run, docs.schema)
 
 
 def _masked(text: str, spans: list[dict]) -> str:
