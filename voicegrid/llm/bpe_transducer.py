@@ -36,6 +36,7 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 
 from voicegrid.llm.text_arrays import binaries, column_of, in_chunks
+from voicegrid.llm.worker_state import kept
 
 MAX_STATES = 300_000
 MAX_PIECES = 400_000
@@ -312,14 +313,9 @@ class Utf8Stream:
         return rest.decode("utf-8", "replace")
 
 
-_ENCODERS: dict[tuple[str, str], Encoder] = {}
-
-
 def encoder_for(path: str, pattern: str) -> Encoder:
     """One encoder for each vocabulary and worker."""
-    if (path, pattern) not in _ENCODERS:
-        _ENCODERS[path, pattern] = Encoder(read_ranks(path), pattern)
-    return _ENCODERS[path, pattern]
+    return kept("byte pairs", (path, pattern), lambda: Encoder(read_ranks(path), pattern))
 
 
 def encode(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

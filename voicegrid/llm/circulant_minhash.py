@@ -41,6 +41,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from voicegrid.llm.components import connected_components
 from voicegrid.llm.text_arrays import NOT_SPACE, binaries, column_of, grams, in_chunks, mix, split_words
+from voicegrid.llm.worker_state import kept
 from voicegrid.session import scratch_table
 
 BANDS, ROWS = 32, 5
@@ -50,16 +51,17 @@ POSITIONS = 1 << 20
 BLOCK = 100_000
 #: Standard deviations below the threshold at which coordinate agreement still counts as promising.
 SLACK = 5.0
-_TABLE: list[np.ndarray] = []
 
 
 def shifted_permutation() -> np.ndarray:
     """Row i holds the second permutation at i, i + 1, ... i + WIDTH - 1, around the end."""
-    if not _TABLE:
-        order = np.argsort(mix(np.arange(POSITIONS, dtype=np.uint64) ^ np.uint64(0x5DEECE66D)))
-        around = np.concatenate([order, order[:WIDTH]]).astype(np.uint32)
-        _TABLE.append(np.lib.stride_tricks.sliding_window_view(around, WIDTH))
-    return _TABLE[0]
+    return kept("permutation", (POSITIONS, WIDTH), _make_permutation)
+
+
+def _make_permutation() -> np.ndarray:
+    order = np.argsort(mix(np.arange(POSITIONS, dtype=np.uint64) ^ np.uint64(0x5DEECE66D)))
+    around = np.concatenate([order, order[:WIDTH]]).astype(np.uint32)
+    return np.lib.stride_tricks.sliding_window_view(around, WIDTH)
 
 
 def shingle_sets(column: pa.Array, size: int) -> list[np.ndarray]:

@@ -27,10 +27,11 @@ from pyspark.sql import DataFrame, functions as F
 from voicegrid.llm.shared_files import new_folder, open_file, write_file
 from voicegrid.llm.text_arrays import column_of, in_chunks
 from voicegrid.llm.wavelet import WaveletFile, build
+from voicegrid.llm.worker_state import kept
 from voicegrid.session import scratch_table
 
 SHARD_TOKENS = 2_000_000
-MAX_WORDS = 600_000
+MAX_WORDS = 1_000_000
 
 
 class WordEncoder:
@@ -91,7 +92,8 @@ def write_shards(
     folder = new_folder(docs.sparkSession, "tokens")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, before, held = WordEncoder(tokenizer_path), TaskContext.get().partitionId(), 0, 0
+        encoder = kept("words", tokenizer_path, lambda: WordEncoder(tokenizer_path))
+        part, before, held = TaskContext.get().partitionId(), 0, 0
         ids: list = []
         arrays: list[np.ndarray] = []
 

@@ -31,20 +31,19 @@ def build(values: np.ndarray, bits: int, ids: list[int | None], lengths: np.ndar
     blocks = -(-count // BLOCK_BITS)
     pack = zstandard.ZstdCompressor(level=1).compress
     zeros, ones_before, places, body, at = [], [], [], [], 0
+    values = values.astype(np.uint16 if bits <= 16 else np.uint32)
     for bit in range(bits - 1, -1, -1):
-        plane = (values >> bit).astype(np.uint8) & 1
-        zeros.append(count - int(plane.sum(dtype=np.int64)))
-        packed = np.packbits(plane)
-        padded = np.zeros(blocks * BLOCK_BITS, np.uint8)
-        padded[:count] = plane
-        ones = padded.reshape(blocks, BLOCK_BITS).sum(axis=1, dtype=np.uint64)
+        plane = (values & values.dtype.type(1 << bit)).astype(bool)
+        packed = np.zeros(blocks * BLOCK_BYTES, np.uint8)
+        packed[: -(-count // 8)] = np.packbits(plane)
+        ones = np.bitwise_count(packed).reshape(blocks, BLOCK_BYTES).sum(axis=1, dtype=np.uint64)
+        zeros.append(count - int(ones.sum()))
         ones_before.append(np.concatenate([[0], np.cumsum(ones)[:-1]]).astype("<u8") if blocks else np.zeros(0, "<u8"))
         for k in range(blocks):
             body.append(pack(packed[k * BLOCK_BYTES : (k + 1) * BLOCK_BYTES].tobytes()))
             places.append((at, len(body[-1])))
             at += len(body[-1])
-        chosen = plane.astype(bool)
-        values = np.concatenate([values[~chosen], values[chosen]])
+        values = np.concatenate([values[~plane], values[plane]])
     return b"".join(
         [
             struct.pack(HEADER, MAGIC, 1, bits, count, len(ids)),
@@ -139,13 +138,13 @@ class WaveletFile:
 
     def tokens(self) -> np.ndarray:
         """The whole sequence, from the lowest plane back to the order of the first."""
-        values = np.zeros(self.count, np.uint32)
+        values = np.zeros(self.count, np.uint16 if self.bits <= 16 else np.uint32)
         for plane in range(self.bits - 1, -1, -1):
             ones = np.concatenate([self._block(plane, k) for k in range(self.blocks)] or [np.zeros(0, np.uint8)])
             ones = ones[: self.count].astype(bool)
             zeros = int(self.zeros[plane])
             out = np.empty_like(values)
             out[~ones] = values[:zeros]
-            out[ones] = values[zeros:] | np.uint32(1 << (self.bits - 1 - plane))
+            out[ones] = values[zeros:] | values.dtype.type(1 << (self.bits - 1 - plane))
             values = out
         return values
