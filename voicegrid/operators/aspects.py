@@ -319,11 +319,12 @@ def aspect_topics(mentions: DataFrame, aspect: str, limit: int = 5) -> DataFrame
     )
 
 
-def aspect_examples(mentions: DataFrame, aspect: str, limit: int = 100) -> DataFrame:
-    """Supporting rows of one aspect, ordered by review id."""
+def aspect_examples(mentions: DataFrame, aspect: str, limit: int | None = None) -> DataFrame:
+    """Supporting rows of one aspect, ordered by review id; ``limit`` is for a page of them."""
     shown = [
         name
         for name in ("review_id", "review_text", "aspect_sentiment_label", "sentiment_score", "topic_label", "product", "date", "rating")
         if name in mentions.columns
     ]
-    return mentions.where(F.col("aspect") == aspect).select(*shown).orderBy("review_id").limit(limit)
+    rows = mentions.where(F.col("aspect") == aspect).select(*shown).orderBy("review_id")
+    return rows if limit is None else rows.limit(limit)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from voicegrid import fixed_values as fixed
@@ -35,14 +33,14 @@ def alias_score(column: str, aliases: tuple[str, ...]) -> int:
 
 
 def score_text_columns(
-    df: DataFrame, columns: list[str] | None = None, *, sample_rows: int | None = 5_000
+    df: DataFrame, columns: list[str] | None = None, *, sample_rows: int | None = None
 ) -> DataFrame:
     """Evidence and score per viable text column, best first.
 
     The table is turned into (column, value) rows and counted per distinct
     value first: one shuffle on fixed-size keys serves all columns, and a value
     that fills a third of the rows is combined before it moves.
-    ``sample_rows=None`` scores the whole table.
+    The whole table is scored unless ``sample_rows`` asks for a quick look.
     """
     names = columns if columns is not None else df.columns
     source = df.select(*names)
@@ -93,7 +91,7 @@ def score_text_columns(
 
 def detect_text_column(df: DataFrame, config: IngestConfig = IngestConfig()) -> str | None:
     """Best text column when its score reaches the configured minimum."""
-    best = score_text_columns(df, sample_rows=config.text_sample_rows).head(1)
+    best = score_text_columns(df).head(1)
     if best and best[0]["score"] >= config.min_text_score:
         return best[0]["column"]
     return None
@@ -114,8 +112,8 @@ def detect_metadata_columns(
 ) -> dict[str, str]:
     """Source column per role; every source is used at most once.
 
-    Name scores need no data.  The content test of all candidates is one job
-    over at most ``metadata_sample_rows`` filled cells each.
+    Name scores need no data.  The content test of all candidates is one
+    aggregate over the whole table, on the filled cells of each.
     """
     candidates = [
         (role, column, score)
@@ -125,20 +123,18 @@ def detect_metadata_columns(
     ]
     if not candidates:
         return {}
-    samples = [
-        df.where(F.col(column).isNotNull())
-        .limit(config.metadata_sample_rows)
-        .select(F.lit(role).alias("role"), F.lit(column).alias("column"), _fit(df, role, column, config).alias("fits"))
-        for role, column, _ in candidates
-    ]
-    shares = (
-        reduce(DataFrame.unionAll, samples)
-        .groupBy("role", "column")
-        .agg(F.avg(F.col("fits").cast("double")).alias("share"))
-        .collect()
-    )
+    shares = df.agg(
+        *[
+            F.avg(F.when(F.col(column).isNotNull(), _fit(df, role, column, config).cast("double"))).alias(f"share_{k}")
+            for k, (role, column, _) in enumerate(candidates)
+        ]
+    ).first()
     needed = {"date": 0.60, "rating": 0.60}
-    fitting = {(r["role"], r["column"]) for r in shares if r["share"] >= needed.get(r["role"], 0.50)}
+    fitting = {
+        (role, column)
+        for k, (role, column, _) in enumerate(candidates)
+        if shares[k] is not None and shares[k] >= needed.get(role, 0.50)
+    }
     chosen: dict[str, str] = {}
     for role in fixed.METADATA_ALIASES:
         options = [

@@ -61,7 +61,7 @@ def npmi_pairs(presence: DataFrame, keywords: Keywords, documents: int, *, top_n
     """
     spark = presence.sparkSession
     # At most one row per keyword and pair; stored, as three joins read it.
-    presence = cut_lineage(presence.coalesce(1))
+    presence = cut_lineage(presence.repartition(1))
     rows = [(t, a, b) for t, words in keywords.items() for a, b in combinations(list(words[:top_n]), 2)]
     wanted = rows_frame(spark, rows, "topic_id int, left_term string, right_term string")
     single = presence.where(F.col("left_term") == F.col("right_term")).select(

@@ -95,7 +95,7 @@ def store_facts(facts: DataFrame) -> DataFrame:
     They hold one row per period, topic or aspect, and label, so the many
     small aggregates over them need neither shuffles nor a second scan.
     """
-    return cut_lineage(facts.coalesce(1))
+    return cut_lineage(facts.repartition(1))
 
 
 # ------------------------------------------------------------------ tables --

@@ -90,7 +90,7 @@ def validate_table(df: DataFrame, config: IngestConfig = IngestConfig()) -> Vali
         report.add("row_limit_exceeded", limit=config.max_rows)
     unfilled = [c for c in df.columns if measures[f"filled_{c}"] == 0]
     if unfilled:
-        report.add("empty_columns", count=len(unfilled), names=", ".join(unfilled[:5]))
+        report.add("empty_columns", count=len(unfilled), names=", ".join(unfilled))
     return report
 
 
@@ -106,7 +106,7 @@ def validate_text_column(
     if measures["usable_rows"] == 0:
         report.add("text_column_empty", column=text_column)
         return report
-    if not score_text_columns(df, [text_column], sample_rows=config.text_sample_rows).head(1):
+    if not score_text_columns(df, [text_column]).head(1):
         report.add("text_column_not_text_like", column=text_column)
         return report
     if measures["empty_rows"]:

@@ -16,7 +16,7 @@ from voicegrid.operators import sentiment, statistics, tfidf, topic_quality, top
 from voicegrid.plans import pipeline
 from voicegrid.schema import ColumnMapping, SentimentConfig, SplitConfig, TopicConfig
 from voicegrid.session import cut_lineage, rows_frame, scratch_dir
-from voicegrid.sources.driver_tables import CORPUS_ASPECTS, feedback, labelled_feedback, table
+from voicegrid.sources.driver_tables import CORPUS_ASPECTS, feedback, labelled_feedback, review_texts, table
 from voicegrid.sources.fingerprint import fingerprint
 from voicegrid.streaming import reviews as streams
 
@@ -177,7 +177,7 @@ def filled_cells(spark, sf_dir):
 # -------------------------------------------------------------------- text --
 def _text_query(name: str, expression: Callable[[str], Column]) -> None:
     def build(spark, sf_dir):
-        return feedback(spark, sf_dir).select("doc_id", _digest(expression("review_text")).alias("text_md5"))
+        return review_texts(spark, sf_dir).select("doc_id", _digest(expression("review_text")).alias("text_md5"))
 
     build.__name__ = name
     query(build)
@@ -194,7 +194,7 @@ _text_query("plain_tokens", lambda c: F.array_join(text_functions.plain_tokens(c
 
 @query
 def review_lengths(spark, sf_dir):
-    return statistics.with_lengths(feedback(spark, sf_dir)).select("doc_id", "review_word_count", "review_character_count")
+    return statistics.with_lengths(review_texts(spark, sf_dir)).select("doc_id", "review_word_count", "review_character_count")
 
 
 @query
@@ -276,7 +276,7 @@ def column_subset(spark, sf_dir):
 # -------------------------------------------------------------- statistics --
 @query
 def length_stats(spark, sf_dir):
-    return statistics.length_statistics(feedback(spark, sf_dir))
+    return statistics.length_statistics(review_texts(spark, sf_dir))
 
 
 @query
@@ -319,7 +319,7 @@ def time_frequency(spark, sf_dir):
 
 @query
 def common_words(spark, sf_dir):
-    return statistics.common_words(feedback(spark, sf_dir), top_n=50)
+    return statistics.common_words(review_texts(spark, sf_dir), top_n=50)
 
 
 @query
@@ -359,7 +359,7 @@ def category_distribution(spark, sf_dir):
 
 @query
 def length_histogram(spark, sf_dir):
-    return statistics.length_histogram(feedback(spark, sf_dir))
+    return statistics.length_histogram(review_texts(spark, sf_dir))
 
 
 @query
@@ -474,13 +474,13 @@ def mean_confidence(spark, sf_dir):
 # ------------------------------------------------------------------ topics --
 @query
 def topic_corpus(spark, sf_dir):
-    rows = topics.topic_corpus(feedback(spark, sf_dir), order_by="doc_id")
+    rows = topics.topic_corpus(review_texts(spark, sf_dir), order_by="doc_id")
     return rows.select("doc_id", _digest("topic_text").alias("topic_md5"))
 
 
 @query
 def corpus_stats(spark, sf_dir):
-    return topics.corpus_statistics(feedback(spark, sf_dir))
+    return topics.corpus_statistics(review_texts(spark, sf_dir))
 
 
 def _topic_tokens() -> Column:
@@ -488,7 +488,7 @@ def _topic_tokens() -> Column:
 
 
 def _stored_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    corpus = topics.topic_corpus(feedback(spark, sf_dir).select("doc_id", "clean_text"), order_by="doc_id")
+    corpus = topics.topic_corpus(review_texts(spark, sf_dir).select("doc_id", "clean_text"), order_by="doc_id")
     return cut_lineage(corpus.select("doc_id", "topic_text"))
 
 
@@ -514,7 +514,7 @@ def tfidf_weights(spark, sf_dir):
 
 @query
 def topic_keywords(spark, sf_dir):
-    rows = feedback(spark, sf_dir).select("product", F.explode_outer(text_functions.vector_tokens("clean_text")).alias("term"))
+    rows = review_texts(spark, sf_dir).select("product", F.explode_outer(text_functions.vector_tokens("clean_text")).alias("term"))
     weights = rows.where(F.col("term").isNotNull()).groupBy(F.col("product").alias("topic_id"), "term").agg(
         F.count(F.lit(1)).cast("double").alias("weight")
     )
@@ -575,7 +575,7 @@ def assignment_coverage(spark, sf_dir):
 
 @query
 def topic_npmi(spark, sf_dir):
-    texts = feedback(spark, sf_dir).select("clean_text")
+    texts = review_texts(spark, sf_dir).select("clean_text")
     tokens = text_functions.vector_tokens(F.lower("clean_text"))
     presence = topic_quality.keyword_presence(texts, tokens, KEYWORDS)
     return topic_quality.npmi_pairs(presence, KEYWORDS, texts.count())
@@ -583,14 +583,14 @@ def topic_npmi(spark, sf_dir):
 
 @query
 def topic_coherence(spark, sf_dir):
-    texts = feedback(spark, sf_dir).select("clean_text")
+    texts = review_texts(spark, sf_dir).select("clean_text")
     tokens = text_functions.vector_tokens(F.lower("clean_text"))
     return topic_quality.topic_coherence(texts, tokens, KEYWORDS, texts.count())
 
 
 @query
 def topic_diversity(spark, sf_dir):
-    rows = feedback(spark, sf_dir).select("product", F.explode_outer(text_functions.vector_tokens("clean_text")).alias("term"))
+    rows = review_texts(spark, sf_dir).select("product", F.explode_outer(text_functions.vector_tokens("clean_text")).alias("term"))
     weights = rows.where(F.col("term").isNotNull()).groupBy(F.col("product").alias("topic_id"), "term").agg(
         F.count(F.lit(1)).cast("double").alias("weight")
     )
@@ -599,7 +599,7 @@ def topic_diversity(spark, sf_dir):
 
 @query
 def topic_coverage(spark, sf_dir):
-    texts = feedback(spark, sf_dir).select("clean_text")
+    texts = review_texts(spark, sf_dir).select("clean_text")
     terms = [word for listed in KEYWORDS.values() for word in listed]
     return topic_quality.term_coverage(texts, text_functions.vector_tokens(F.lower("clean_text")), terms)
 
@@ -805,7 +805,8 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select("event_id", F.col("ts").alias("date"))
     gold = table(spark, sf_dir, "labels").where(F.coalesce("toxic", "quality").isNotNull())
     label = F.when(F.col("toxic") == 1, "Negative").when(F.col("quality") == 1, "Positive").otherwise("Neutral")
-    stream = streams.read_reviews(spark, sf_dir, schema, pattern="documents.parquet")
+    # The pattern matches the table as one file and as a folder of part files.
+    stream = streams.read_reviews(spark, f"{sf_dir}/documents.parquet*", schema)
     joined = stream.join(events, F.col("event_id") == F.col("doc_id") * 10).join(gold, "doc_id")
     return joined.select("doc_id", F.col("text").alias("review_text"), "date", label.alias("sentiment_label"))
 

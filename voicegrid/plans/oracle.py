@@ -603,7 +603,7 @@ SELECT (SELECT aspect FROM summary ORDER BY mention_count DESC, aspect LIMIT 1)
 add("aspect_topics", ENRICHED, """
 SELECT topic_label, count(*) AS mention_count FROM mentions WHERE aspect = 'Manner' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5""")
 add("aspect_examples", ENRICHED, """
-SELECT review_id, aspect_sentiment_label, topic_label FROM mentions WHERE aspect = 'Noise' ORDER BY review_id LIMIT 100""")
+SELECT review_id, aspect_sentiment_label, topic_label FROM mentions WHERE aspect = 'Noise' ORDER BY review_id""")
 add("aspect_filtered_summary", ENRICHED + f""",
 kept AS (SELECT * FROM per_review WHERE {DASHBOARD_WHERE}),
 chosen AS (SELECT m.* FROM mentions m SEMI JOIN kept USING (review_id) WHERE aspect IN ('Origin', 'Manner', 'Pronoun'))""",

@@ -91,8 +91,6 @@ class IngestConfig:
     """
 
     max_rows: int | None = None
-    text_sample_rows: int = 5_000
-    metadata_sample_rows: int = 500
     min_text_score: float = 0.35
     min_text_coverage: float = 0.05
     encodings: tuple[str, ...] = fixed.CSV_ENCODINGS

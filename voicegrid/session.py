@@ -12,15 +12,18 @@ def scratch_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
     Only a local session may run without the setting; it then gets a folder of
-    its own.  A cluster must name a folder that every executor can reach.
+    its own, which the session's context keeps.  A cluster must name a folder
+    that every executor can reach.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+    if folder:
+        return folder
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        if not context.master.startswith("local[") and context.master != "local":
             raise RuntimeError("Set spark.checkpoint.dir to a folder shared by the cluster.")
-        folder = tempfile.mkdtemp(prefix="voicegrid-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="voicegrid-"))
+    return context.getCheckpointDir()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -33,6 +33,18 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= slots else df.repartition(slots, key)
 
 
+def review_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reviews without dates, ratings and labels: queries on texts alone need no join."""
+    return spread(table(spark, sf_dir, "documents"), "doc_id").select(
+        F.format_string("review_%06d", "doc_id").alias("review_id"),
+        "doc_id",
+        F.col("text").alias("review_text"),
+        normalize_whitespace("text").alias("clean_text"),
+        F.col("lang").alias("product"),
+        F.col("source").alias("version"),
+    )
+
+
 def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One review row per document, with a date, rating and gold label where one exists."""
     documents = spread(table(spark, sf_dir, "documents"), "doc_id")
