@@ -1,3 +1,56 @@
 """DuckDB SQL of the queries that SQL can express."""
 
-ORACLES: dict[str, str] = {}
+from __future__ import annotations
+
+from voicegrid.llm.secret_ledger import BASE, RULES
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP10 = f"""
+WITH docs AS (SELECT doc_id, {WORDS} AS w FROM documents),
+items AS (SELECT item_id, {WORDS} AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT item_id, n, array_to_string(w[k:k + n - 1], ' ') AS phrase
+  FROM (SELECT item_id, w, least(10, len(w)) AS n, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS k FROM items WHERE len(w) > 0)),
+places AS (
+  SELECT doc_id, n, k, array_to_string(w[k:k + n - 1], ' ') AS phrase
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM docs, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n)),
+hits AS (SELECT doc_id, item_id, k, n FROM places JOIN windows USING (n, phrase)),
+words AS (
+  SELECT doc_id, count(DISTINCT word) AS n_hit
+  FROM (SELECT doc_id, unnest(range(k, k + n)) AS word FROM (SELECT DISTINCT doc_id, k, n FROM hits)) GROUP BY 1),
+found AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS names
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item_id FROM hits) GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN words USING (doc_id) LEFT JOIN found USING (doc_id)"""
+
+
+def _spans(order: int, rule) -> str:
+    """Spans of one rule: a match begins after the pieces and matches before it."""
+    pattern = rule.pattern.replace("'", "''")
+    return f"""
+  SELECT doc_id, '{rule.kind}' AS kind, {order} AS place, start, start + length(m[k]) AS stop
+  FROM (SELECT doc_id, m, g, k, list_sum(list_transform(p[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:k - 1], lambda x: length(x))), 0) AS start
+    FROM (SELECT doc_id, p, m, g, unnest(range(1, len(m) + 1)) AS k
+      FROM (SELECT doc_id, string_split_regex(text, '{pattern}') AS p, regexp_extract_all(text, '{pattern}', 0) AS m,
+        regexp_extract_all(text, '{pattern}', {rule.group}) AS g FROM documents WHERE regexp_matches(text, '{pattern}'))))
+  WHERE length(g[k]) >= {rule.least}"""
+
+
+_KINDS = ", ".join(f"'{kind}'" for kind in BASE)
+_LISTED = "string_agg(kind || ':' || start::BIGINT || ':' || stop::BIGINT, ',' ORDER BY start, place)"
+OP1 = (
+    "WITH spans AS ("
+    + " UNION ALL ".join(_spans(k, rule) for k, rule in enumerate(RULES))
+    + f"""),
+found AS (SELECT doc_id, {", ".join(f"count(*) FILTER (kind = '{kind}') AS n_{kind}" for kind in BASE)},
+  {_LISTED} FILTER (kind IN ({_KINDS})) AS base, {_LISTED} AS spans FROM spans GROUP BY 1)
+SELECT doc_id, {", ".join(f"coalesce(n_{kind}, 0)::BIGINT AS n_{kind}" for kind in BASE)},
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents LEFT JOIN found USING (doc_id)"""
+)
+
+ORACLES: dict[str, str] = {"op1_blob_ledger": OP1, "op10_positional_decontamination": OP10}

@@ -57,10 +57,10 @@ RULES = (
     Rule("assign", rf"({NAMES})[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 6),
     Rule("access", r"AKIA[A-Z0-9]+", 0, 20),
     Rule("hex", r"[0-9a-f]+", 0, 24),
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]*-----END [A-Z ]*PRIVATE KEY-----"),
+    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\r\n\x20]*-----END [A-Z ]*PRIVATE KEY-----"),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]+", 0, 40),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{1,4096}\.eyJ[A-Za-z0-9_-]{1,4096}\.[A-Za-z0-9_-]+"),
-    Rule("url_password", r"://[^\s:/@]{1,64}:([^\s:/@]{1,64})@", 1, 3),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{1,500}\.eyJ[A-Za-z0-9_-]{1,500}\.[A-Za-z0-9_-]+"),
+    Rule("url_password", r"://[^\x00-\x20:/@]{1,64}:([^\x00-\x20:/@]{1,64})@", 1, 3),
 )
 BASE = ("assign", "access", "hex")
 
