@@ -11,7 +11,7 @@ import json
 import os
 import time
 
-from pyspark.sql import SparkSession
+from pyspark.sql import SparkSession, functions as F
 
 from voicegrid.operators.sentiment import predict_sentiment
 from voicegrid.plans.catalog import QUERIES, _fitted
@@ -51,8 +51,8 @@ def main() -> None:
     started = time.perf_counter()
     model = _fitted(spark, folder)
     seconds["sentiment_training"] = round(time.perf_counter() - started, 3)
-    reviews = feedback(spark, folder).cache()
-    rows = reviews.count()
+    reviews = feedback(spark, folder)
+    rows, size = reviews.agg(F.count("*"), F.sum(F.octet_length("review_text"))).first()
     run(lambda: predict_sentiment(reviews, model))
     seconds["sentiment_scoring"] = round(run(lambda: predict_sentiment(reviews, model)), 3)
     print(
@@ -64,6 +64,7 @@ def main() -> None:
                 "queries": seconds,
                 "sf": folder.rstrip("/").rsplit("sf", 1)[-1],
                 "scored_rows_per_second": round(rows / seconds["sentiment_scoring"], 1),
+                "scored_mb_per_second": round(size / 1e6 / seconds["sentiment_scoring"], 2),
             }
         )
     )

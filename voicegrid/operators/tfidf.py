@@ -90,16 +90,14 @@ def inverse_document_frequency(document_count: Column, documents: int) -> Column
 
 
 def select_terms(
-    statistics: DataFrame, documents: int, *, max_features: int, min_df: int = 1, max_df: float = 1.0
+    statistics: DataFrame, documents: int, *, max_features: int | None, min_df: int = 1, max_df: float = 1.0
 ) -> DataFrame:
-    """Terms within the document-frequency limits, the most frequent ``max_features`` of them."""
+    """Terms within the document-frequency limits: the most frequent ``max_features`` of them, or all."""
     limit = max_df * documents
-    return (
-        statistics.where((F.col("document_count") >= min_df) & (F.col("document_count") <= limit))
-        .orderBy(F.desc("corpus_count"), "term")
-        .limit(max_features)
-        .withColumn("idf", inverse_document_frequency(F.col("document_count"), documents))
-    )
+    chosen = statistics.where((F.col("document_count") >= min_df) & (F.col("document_count") <= limit))
+    if max_features is not None:
+        chosen = chosen.orderBy(F.desc("corpus_count"), "term").limit(max_features)
+    return chosen.withColumn("idf", inverse_document_frequency(F.col("document_count"), documents))
 
 
 def fit_vocabulary(

@@ -497,7 +497,7 @@ def term_statistics(spark, sf_dir):
     corpus = _stored_corpus(spark, sf_dir)
     counts = tfidf.term_statistics(corpus, _topic_tokens(), 2)
     documents = corpus.count()
-    chosen = tfidf.select_terms(counts, documents, max_features=VOCABULARY_SIZE, min_df=2, max_df=0.95)
+    chosen = tfidf.select_terms(counts, documents, max_features=None, min_df=2, max_df=0.95)
     return chosen.select("term", "corpus_count", "document_count", "idf")
 
 
@@ -880,7 +880,7 @@ class _KeywordScorer:
 
 def _fitted(spark: SparkSession, sf_dir: str) -> sentiment.SentimentModel:
     pairs = labelled.prepare_labelled(labelled_feedback(spark, sf_dir))
-    return sentiment.fit_sentiment(pairs, SentimentConfig(max_features=5_000))
+    return sentiment.fit_sentiment(pairs, SentimentConfig())
 
 
 @query
@@ -897,7 +897,7 @@ def sentiment_supplied(spark, sf_dir):
 
 @query
 def sentiment_training(spark, sf_dir):
-    _, report, _ = sentiment.train_sentiment(labelled_feedback(spark, sf_dir), SentimentConfig(max_features=5_000))
+    _, report, _ = sentiment.train_sentiment(labelled_feedback(spark, sf_dir), SentimentConfig())
     shown = ("accuracy", "precision_macro", "recall_macro", "macro_f1", "weighted_f1", "mean_confidence")
     return rows_frame(spark, [(name, float(report[name])) for name in shown], "metric string, value double")
 

@@ -464,7 +464,7 @@ texts AS (SELECT doc_id, {TOPIC_TEXT} AS topic_text FROM feedback),
 corpus AS (
   SELECT * FROM texts WHERE topic_text <> '' QUALIFY row_number() OVER (PARTITION BY topic_text ORDER BY doc_id) = 1)
 """
-TERMS = CORPUS + rf""",
+ALL_TERMS = CORPUS + rf""",
 tokens AS (
   SELECT doc_id, list_filter(regexp_extract_all(topic_text, '[{W}]{{2,}}'),
          lambda w: w NOT IN ('the', 'of', 'and', 'de', 'la', 'der', 'die', 'en', 'es', 'le')) AS t FROM corpus),
@@ -477,14 +477,15 @@ vocabulary AS (
   SELECT term, sum(tf)::BIGINT AS corpus_count, count(*) AS document_count,
          ln((1.0 + any_value(n)) / (1.0 + count(*))) + 1.0 AS idf
   FROM counts, size GROUP BY term HAVING count(*) >= 2 AND count(*) <= 0.95 * any_value(n)
-  ORDER BY 2 DESC, 1 LIMIT 200)
+  /*chosen*/)
 """
+TERMS = ALL_TERMS.replace("/*chosen*/", "ORDER BY 2 DESC, 1 LIMIT 200")
 add("topic_corpus", CORPUS, "SELECT doc_id, md5(topic_text) AS topic_md5 FROM corpus")
 add("corpus_stats", CORPUS, """
 SELECT (SELECT count(*) FROM texts) AS source_rows, (SELECT count(*) FROM corpus) AS modeled_rows,
        (SELECT count(*) FROM texts WHERE topic_text = '') AS empty_rows_removed,
        (SELECT count(*) FROM texts WHERE topic_text <> '') - (SELECT count(*) FROM corpus) AS duplicate_rows_removed""")
-add("term_statistics", TERMS, "SELECT term, corpus_count, document_count, round(idf, 6) AS idf FROM vocabulary")
+add("term_statistics", ALL_TERMS, "SELECT term, corpus_count, document_count, round(idf, 6) AS idf FROM vocabulary")
 add("tfidf_weights", TERMS + """,
 weighed AS (SELECT doc_id, term, (1 + ln(tf)) * idf AS w FROM counts JOIN vocabulary USING (term))""", """
 SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM weighed""")
