@@ -11,7 +11,7 @@ TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
 WITHOUT_SQL = {
-    "sentiment_scored", "sentiment_supplied", "sentiment_training", "topic_assignments", "topic_quality_report",
+    "sentiment_scored", "sentiment_training", "topic_assignments", "topic_quality_report",
     "full_analysis", "dataset_fingerprint",
 }
 pytestmark = pytest.mark.skipif(not TESTDATA.exists(), reason="driver tables are absent")

@@ -158,6 +158,15 @@ def optional_casts(spark, sf_dir):
     return canonical.canonicalize(raw_reviews(spark, sf_dir), RAW_MAPPING, order_by="doc_id").casts
 
 
+@query
+def detected_columns(spark, sf_dir):
+    """Text column and metadata columns of the untidy source, from all of its rows."""
+    rows = raw_reviews(spark, sf_dir).drop("doc_id")
+    text = profiling.detect_text_column(rows)
+    found = {"text": text, **profiling.detect_metadata_columns(rows, text)}
+    return rows_frame(spark, sorted(found.items()), "role string, column_name string")
+
+
 @query
 def text_column_scores(spark, sf_dir):
     columns = ["review_text", "clean_text", "product", "category", "version"]

@@ -212,6 +212,24 @@ PUNCTUATION = clean("review_text")
 PUNCTUATION = f"lower({PUNCTUATION})"
 for mark in ("!", r"\?", r"\.", ","):
     PUNCTUATION = f"regexp_replace({PUNCTUATION}, '{mark}{{3,}}', '{mark[-1]}', 'g')"
+add("detected_columns", RAW, """
+SELECT role, column_name FROM (
+  SELECT 'text' AS role, 'message' AS column_name, avg((trim(message, ' ' || chr(9)) <> '')::INT) > 0.5 AS fits FROM raw WHERE message IS NOT NULL
+  UNION ALL SELECT 'date', 'created_at', avg((TRY_CAST(created_at AS TIMESTAMP) IS NOT NULL)::INT) >= 0.6 FROM raw WHERE created_at IS NOT NULL
+  UNION ALL SELECT 'rating', 'stars', avg((TRY_CAST(stars AS DOUBLE) IS NOT NULL)::INT) >= 0.6 FROM raw WHERE stars IS NOT NULL
+  UNION ALL SELECT 'product', 'product_name', avg((trim(product_name) <> '')::INT) >= 0.5 FROM raw WHERE product_name IS NOT NULL)
+WHERE fits""")
+
+
+def times(word: str) -> str:
+    return f"(length(t) - length(replace(t, '{word}', ''))) / {len(word)}"
+
+
+add("sentiment_supplied", "", f"""
+SELECT review_id, CASE WHEN a >= b AND a >= c THEN 'Negative' WHEN b >= c THEN 'Neutral' ELSE 'Positive' END AS sentiment_label,
+       round(greatest(a, b, c) / (a + b + c), 6) AS sentiment_score
+FROM (SELECT review_id, {times("elle")} AS a, 1.0 + {times("from")} AS b, {times("with")} AS c
+      FROM (SELECT printf('review_%06d', doc_id) AS review_id, {clean("text")} AS t FROM documents))""")
 for name, expression in {
     "clean_classical": PUNCTUATION,
     "clean_transformer": clean("review_text"),
