@@ -31,7 +31,7 @@ from voicegrid.llm.worker_state import kept
 from voicegrid.session import scratch_table
 
 SHARD_TOKENS = 2_000_000
-MAX_WORDS = 1_000_000
+MAX_WORDS = 700_000
 
 
 class WordEncoder:
