@@ -47,6 +47,8 @@ NAMES_LEFT_OUT = frozenset(
     "share sharing social related recommended comment comments commentlist disqus reply replies respond pagination pager widget "
     "widgets toolbar copyright skip form search".split()
 )
+NAME_STARTS = ("advert", "cookie", "comment", "sidebar", "newsletter", "sponsor")
+NAME_ENDS = ("menu", "nav", "navbar", "sidebar", "footer", "banner", "advert", "comments")
 ROLES_LEFT_OUT = frozenset(
     "navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split()
 )
@@ -166,6 +168,8 @@ class Page:
                 parts = {part.lower() for part in NAME_PART.findall(value)}
                 if parts & NAMES_LEFT_OUT or ("header" in parts and not top.inside):
                     return True
+                if any(part.startswith(NAME_STARTS) or part.endswith(NAME_ENDS) for part in parts):
+                    return True
         return False
 
     def _close(self, name: str) -> None:
