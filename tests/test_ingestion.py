@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from voicegrid.functions.casts import date_formats_of, to_time
 from voicegrid.operators import canonical, naming, profiling, validation
 from voicegrid.schema import (
     ColumnMapping, CsvLoadError, CsvParseError, DatasetInvalidError, EmptyCsvError, FeedbackError, IngestConfig,
@@ -162,3 +163,22 @@ def test_invalid_dataset_is_refused(raw):
         canonical.prepare_dataset(raw, ColumnMapping("nothing"))
     with pytest.raises(FeedbackError):
         canonical.canonicalize(raw, ColumnMapping("nothing"))
+
+
+@pytest.mark.parametrize(
+    ("cells", "format"),
+    [
+        (["2024-01-15", "2024-02-03 10:00:00", "soon"], ()),
+        (["01/15/2024", "2/3/2024", None, "bad"], ("M/d/yyyy[ H:mm[:ss]]",)),
+        (["15/01/2024", "03/02/2024 09:30"], ("d/M/yyyy[ H:mm[:ss]]",)),
+        (["15.01.2024", "3.2.2024"], ("d.M.yyyy[ H:mm[:ss]]",)),
+        (["15 Jan 2024", "3 Feb 2024", ""], ("d MMM yyyy[ H:mm[:ss]]",)),
+        (["January 15, 2024", "February 3, 2024"], ("MMMM d, yyyy[ H:mm[:ss]]",)),
+    ],
+)
+def test_dates_in_common_formats(spark, cells, format):
+    df = spark.createDataFrame([(f"review number {k} is long enough", c) for k, c in enumerate(cells)], "message string, created_at string")
+    assert date_formats_of(df, "created_at") == format
+    read = df.select(to_time(df, "created_at", format).cast("date").alias("day")).collect()
+    assert [str(r["day"]) for r in read[:2]] == ["2024-01-15", "2024-02-03"] and all(r["day"] is None for r in read[2:])
+    assert profiling.detect_metadata_columns(df, "message")["date"] == "created_at"

@@ -26,6 +26,24 @@ def to_number(df: DataFrame, column: str) -> Column:
     return F.when(text.rlike(_NUMBER), text.try_cast("double"))
 
 
+#: Ways to write dates besides ISO text, in the order in which ties are decided.
+DATE_FORMATS = (
+    "M/d/yyyy[ H:mm[:ss]]", "d/M/yyyy[ H:mm[:ss]]", "d.M.yyyy[ H:mm[:ss]]", "d-M-yyyy[ H:mm[:ss]]", "yyyy/M/d[ H:mm[:ss]]",
+    "d MMM yyyy[ H:mm[:ss]]", "d MMMM yyyy[ H:mm[:ss]]", "MMM d, yyyy[ H:mm[:ss]]", "MMMM d, yyyy[ H:mm[:ss]]", "d-MMM-yyyy[ H:mm[:ss]]",
+)
+
+
+def date_formats_of(df: DataFrame, column: str, formats: Sequence[str] = DATE_FORMATS) -> tuple[str, ...]:
+    """The format that reads most cells of the whole text column; none when ISO text reads as many."""
+    if not isinstance(df.schema[column].dataType, T.StringType):
+        return ()
+    text = strip(F.col(column))
+    reads = [text.try_cast("timestamp"), *(F.try_to_timestamp(text, F.lit(pattern)) for pattern in formats)]
+    counts = df.agg(*[F.count(read).alias(f"n_{k}") for k, read in enumerate(reads)]).first()
+    best = max(range(len(reads)), key=lambda k: (counts[k], -k))
+    return (formats[best - 1],) if best else ()
+
+
 def to_time(df: DataFrame, column: str, formats: Sequence[str] = ()) -> Column:
     """Timestamp of a column of any type: ISO text first, then each given format.
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from voicegrid import fixed_values as fixed
-from voicegrid.functions.casts import to_number, to_time
+from voicegrid.functions.casts import date_formats_of, to_number, to_time
 from voicegrid.functions.text import fold_key, normalize_whitespace, strip
 from voicegrid.operators.validation import ValidationReport, require_valid, text_measures, validate_dataset
 from voicegrid.schema import ColumnMapping, FeedbackError, IngestConfig
@@ -104,7 +104,7 @@ def optional_columns(df: DataFrame, mapping: ColumnMapping, config: IngestConfig
     converted: dict[str, Column] = {}
     for role, source in mapping.optional().items():
         if role == "date":
-            converted[role] = to_time(df, source, config.date_formats)
+            converted[role] = to_time(df, source, config.date_formats or date_formats_of(df, source))
         elif role == "rating":
             converted[role] = to_number(df, source)
         else:

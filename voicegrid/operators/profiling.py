@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from voicegrid import fixed_values as fixed
-from voicegrid.functions.casts import to_number, to_time
+from voicegrid.functions.casts import date_formats_of, to_number, to_time
 from voicegrid.functions.text import is_blank, strip
 from voicegrid.operators.naming import match_name
 from voicegrid.schema import IngestConfig
@@ -99,7 +99,7 @@ def detect_text_column(df: DataFrame, config: IngestConfig = IngestConfig()) ->
 
 def _fit(df: DataFrame, role: str, column: str, config: IngestConfig) -> Column:
     if role == "date":
-        return to_time(df, column, config.date_formats).isNotNull()
+        return to_time(df, column, config.date_formats or date_formats_of(df, column)).isNotNull()
     if role == "rating":
         if isinstance(df.schema[column].dataType, T.NumericType):
             return F.lit(True)
