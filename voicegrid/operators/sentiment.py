@@ -253,7 +253,7 @@ class SuppliedModel:
     def scored(self, text: str | Column) -> Column:
         """Struct of predicted label and its probability."""
         if self.batch_size <= 0:
-            raise ValueError("batch_size must be greater than zero.")
+            raise ValueError(f"batch_size must be at least 1, not {self.batch_size}.")
         factory, step = self.factory, self.batch_size
 
         @arrow_udf(SCORE_TYPE)

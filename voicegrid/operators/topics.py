@@ -234,7 +234,7 @@ def fit_topics(
     texts = cut_lineage(cleaned.select("topic_text").where(F.col("topic_text") != "").distinct())
     documents = texts.count()
     if documents == 0:
-        raise TopicError("No usable unique review text remains for topic modeling.")
+        raise TopicError("After cleaning, no text is left to find topics in.")
     if documents < config.n_topics:
         raise TopicError(f"Need at least {config.n_topics} usable unique reviews; received {documents}.")
     tokens = topic_tokens("topic_text", config)

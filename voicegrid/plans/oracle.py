@@ -601,7 +601,7 @@ SELECT count(*) AS total_reviews, count(*) FILTER (len(detected) > 0) AS reviews
        count(*) FILTER (len(detected) > 1) AS multi_aspect_reviews,
        round(count(*) FILTER (len(detected) > 1) / count(*), 6) AS multi_aspect_review_share,
        true AS sentiment_association_complete, true AS manual_review_required,
-       'Correct aspect detection, label relevance, and business usefulness require manual inspection because the MVP has no gold aspect-label dataset.'
+       'No gold labels for aspects exist here: a person has to judge whether aspects are found rightly and are of use.'
          AS manual_review_note FROM per_review""")
 add("aspect_sentiment_counts", ENRICHED, """
 SELECT aspect, aspect_sentiment_label, count(*) AS mention_count FROM mentions GROUP BY 1, 2""")
