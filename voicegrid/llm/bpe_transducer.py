@@ -39,7 +39,7 @@ from voicegrid.llm.text_arrays import binaries, column_of, in_chunks
 from voicegrid.llm.worker_state import kept
 
 MAX_STATES = 300_000
-MAX_PIECES = 400_000
+MAX_PIECES = 250_000
 #: Bytes between two looks for fixed tokens within one piece.
 LOOKAHEAD = 64
 
@@ -57,6 +57,7 @@ class Transducer:
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.prefixes = {token[:n] for token in ranks for n in range(1, len(token) + 1)}
+        self.lengths = {rank: (rank, len(token)) for token, rank in ranks.items()}
         self.max_states = max_states
         self._forget()
 
@@ -64,22 +65,22 @@ class Transducer:
         self.pairs: dict[tuple[int, int], bool] = {}
         self.halves: dict[int, tuple[int, int]] = {}
         self.ends: dict[bytes, tuple] = {}
-        # A state: the longest end of the input that begins a token, and by its length, for each shorter
-        # end that begins a token too, the last token before that end (-1: the input's start).
+        # A state: the longest end of the input that begins a token, and for this and each shorter end that
+        # begins a token too (``sizes``, the empty one last) the last token before it (-1: the input's start).
         # States are numbered in steps of 256, so that a state plus a byte names a move.
         self.numbers: dict[tuple, int] = {}
-        self.states: list[tuple[bytes, dict[int, int]]] = []
+        self.states: list[tuple[bytes, tuple[int, ...]]] = []
         self.last: list[tuple[int, int]] = []
+        self.sizes: dict[bytes, tuple[int, ...]] = {b"": (0,)}
         self.moves: dict[int, int] = {}
-        self._number(b"", {0: -1})
+        self._number((b"", (-1,)))
 
-    def _number(self, end: bytes, before: dict[int, int]) -> int:
-        key = (end, tuple(before.values()))
-        number = self.numbers.get(key)
+    def _number(self, state: tuple[bytes, tuple[int, ...]]) -> int:
+        number = self.numbers.get(state)
         if number is None:
-            number = self.numbers[key] = len(self.states) << 8
-            self.states.append((end, before))
-            self.last.append((before[0], len(self.tokens.get(before[0], b""))))
+            number = self.numbers[state] = len(self.states) << 8
+            self.states.append(state)
+            self.last.append(self.lengths.get(state[1][-1]))
         return number
 
     def merge(self, piece: bytes, parts_left: int = 1) -> list[int]:
@@ -128,12 +129,15 @@ class Transducer:
             tails = [(size, end[-size:]) for size in range(len(end), 0, -1)]
             tokens = [(self.ranks[tail], size - 1) for size, tail in tails if tail in self.ranks]
             sizes = [size for size, tail in tails if tail in self.prefixes]
-            found = self.ends[end] = (tokens, end[-sizes[0] :], sizes)
+            kept_end = end[-sizes[0] :]
+            self.sizes[kept_end] = (*sizes, 0)
+            found = self.ends[end] = (tokens, kept_end, sizes)
         return found
 
     def _move(self, state: int, byte: int) -> int:
         """Makes the transition of a state on a byte and returns the next state."""
-        end, before = self.states[state >> 8]
+        end, values = self.states[state >> 8]
+        before = dict(zip(self.sizes[end], values))
         tokens, kept, sizes = self._end(end + bytes((byte,)))
         for token, start in tokens:
             left = before[start]
@@ -144,12 +148,12 @@ class Transducer:
                 break
         else:
             raise ValueError("a byte has no token")
-        grown = {size: before[size - 1] for size in sizes}
-        grown[0] = token
+        grown = (kept, (*[before[size - 1] for size in sizes], token))
         if len(self.states) > self.max_states:
             self._forget()
-            return self._number(kept, grown)
-        number = self.moves[state + byte] = self._number(kept, grown)
+            self.sizes[kept] = (*sizes, 0)
+            return self._number(grown)
+        number = self.moves[state + byte] = self._number(grown)
         return number
 
     def stream(self, piece: bytes) -> Iterator[int]:

@@ -37,6 +37,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
 from voicegrid.llm.text_arrays import column_of, in_chunks
+from voicegrid.llm.worker_state import kept
 
 WINDOW, STEP = 32, 16
 PART = 6
@@ -216,7 +217,7 @@ def score(docs: DataFrame, model: CompressionModel, *, id_col: str = "doc_id", t
     """``doc_id`` and ``score`` (0 to 1) of every whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = model.portable()
+        own = kept("toxicity", repr(model.portable()), model.portable)
         for batch in in_chunks(batches, "text"):
             scores = [own.score(text) for text in column_of(batch, "text").to_pylist()]
             yield pa.RecordBatch.from_arrays([column_of(batch, "doc_id"), pa.array(scores, pa.float64())], ["doc_id", "score"])
@@ -229,7 +230,7 @@ def keep_below(docs: DataFrame, model: CompressionModel, limit: float, *, text_c
     """The rows of ``docs``, with all their columns, whose score is below ``limit``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = model.portable()
+        own = kept("toxicity", repr(model.portable()), model.portable)
         for batch in in_chunks(batches, text_col):
             keep = [own.score(text) < limit for text in column_of(batch, text_col).to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))

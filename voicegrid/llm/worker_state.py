@@ -16,8 +16,12 @@ HOLDER = "_voicegrid_worker_state"
 
 
 def kept(name: str, key: Any, make: Callable[[], Any]) -> Any:
-    """The worker's object ``name`` for ``key``; one object a name is kept."""
+    """The worker's object ``name`` for ``key``.
+
+    One object is kept: the next operator's tasks let the former operator's go.
+    """
     held = sys.modules.setdefault(HOLDER, types.ModuleType(HOLDER)).__dict__
-    if held.get(name, (None,))[0] != key:
-        held[name] = (key, make())
-    return held[name][1]
+    if held.get("key") != (name, key):
+        held.pop("made", None)
+        held["made"], held["key"] = make(), (name, key)
+    return held["made"]
