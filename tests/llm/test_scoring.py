@@ -160,6 +160,22 @@ def test_awkward_decontamination(spark, awkward, no_docs):
     assert P.decontaminate(no_docs, items).count() == 0
 
 
+def test_equal_segments_keep_their_rows_in_several_passes(spark):
+    base, long = prose(7, 40), prose(8, 3_000)
+    texts = [base] * 24 + [None, ""] * 12 + [long] * 4
+    rows = list(enumerate(texts))
+    items = [(k, " ".join(base.split()[k : k + 12])) for k in range(0, 28, 4)] + [(90, " ".join(long.split()[700:720]))]
+    questions = spark.createDataFrame(items, "item_id long, text string")
+    assert sum(len(text) for _, text in items) > 2 * 20
+    # Partitions of one text or of copies alone make segments of equal content.
+    docs = [spark.createDataFrame(rows[a:b], "doc_id long, text string").repartition(n) for a, b, n in ((0, 24, 6), (24, 48, 6), (48, 52, 4))]
+    index = P.build_index(docs[0].unionAll(docs[1]).unionAll(docs[2]))
+    assert index.count() > index.select("terms", "positions", "firsts").distinct().count()
+    found = P.search(index, questions, block_words=20).collect()
+    expected = expected_hits(rows, items)
+    assert Counter((r["id"], r["n_words"], tuple(sorted(set(r["items"])))) for r in found) == Counter(x[:2] + x[3:4] for x in expected.elements())
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "red a b blue c green"), (2, "green blue red"), (3, "red " + "x " * 50 + "blue green"), (4, None)], "doc_id long, text string")
     items = spark.createDataFrame([("q", "Red blue GREEN")], "item_id string, text string")

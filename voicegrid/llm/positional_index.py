@@ -21,6 +21,7 @@ Other columns of the inputs are ignored.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -82,11 +83,14 @@ def item_blocks(items: DataFrame, id_col: str, text_col: str, block_words: int)
         yield [tuple(row) for row in part.collect()]
 
 
-SEGMENT_SCHEMA = "terms binary, offsets binary, positions binary, firsts binary, n_words binary"
+SEGMENT_SCHEMA = "segment string, terms binary, offsets binary, positions binary, firsts binary, n_words binary"
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Writes the segments of all documents to shared scratch space and returns them."""
+    """Writes the segments of all documents to shared scratch space and returns them.
+
+    Each segment is stored under a name of its own, since two of them may hold equal texts.
+    """
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_chunks(batches, "text", SEGMENT_BYTES):
@@ -99,12 +103,12 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             offsets = np.append(starts, len(order)).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
-                    binaries([terms.tobytes()]), binaries([offsets.tobytes()]),
+                    pa.array([uuid.uuid4().hex]), binaries([terms.tobytes()]), binaries([offsets.tobytes()]),
                     binaries([positions[order].astype(np.int32).tobytes()]),
                     binaries([firsts.astype(np.int64).tobytes()]), binaries([counts.astype(np.int64).tobytes()]),
                     pa.array([column_of(batch, "id").to_pylist()], pa.list_(batch.schema.field("id").type)),
                 ],
-                ["terms", "offsets", "positions", "firsts", "n_words", "ids"],
+                ["segment", "terms", "offsets", "positions", "firsts", "n_words", "ids"],
             )
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -212,7 +216,6 @@ def search(
     A test set of one block takes one pass; of more, one pass a block, and the
     documents' hits are then brought together by segment and place.
     """
-    index = index.withColumn("segment", F.sha2(F.concat("firsts", "positions"), 256))
     passes = []
     for rows in item_blocks(items, item_id, item_text, block_words):
         phrases = phrases_of(rows, window)
