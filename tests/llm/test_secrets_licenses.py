@@ -2,8 +2,10 @@
 
 import hashlib
 import re
+import time
 from collections import Counter
 
+from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from voicegrid.llm import secret_ledger as S
@@ -63,6 +65,38 @@ def test_long_runs_stay_fast():
     assert [x["kind"] for x in S.find_spans(text, S.compile_rules())] == ["hex"]
 
 
+def kinds_of(text):
+    return [(x["kind"], text[x["start"] : x["end"]]) for x in S.find_spans(text, S.compile_rules()) if x["kind"] in ("jwt", "url_password")]
+
+
+def test_long_parts_are_found(spark):
+    for size in (500, 501, 2_000, 50_000):
+        token = f"eyJ{'h' * size}.eyJ{'p' * size}.{'s' * 43}"
+        assert kinds_of(f"x eyJ.{token}, y") == [("jwt", token)]
+    for size in (64, 65, 200, 5_000):
+        for user, word in (("u", "p" * size), ("u" * size, "pass"), ("u" * size, "p" * size)):
+            assert kinds_of(f"see https://{user}:{word}@host/ now") == [("url_password", f"://{user}:{word}@")]
+    docs = spark.createDataFrame([(1, f"a eyJ{'g' * 300}.eyJ{'z' * 2_000}.sig b https://me:{'w' * 200}@host c")], "doc_id long, text string")
+    assert S.redact(docs, S.Ledger(spark)).first()["text"] == "a [jwt] b https[url_password]host c"
+
+
+@settings(max_examples=2_000, deadline=None)
+@given(st.one_of(
+    st.lists(st.sampled_from(["eyJ", "eyJ", ".", ".", "a", "eyJb", "-", " ", "ey"]), max_size=16).map("".join),
+    st.lists(st.sampled_from(["://", "://", ":", "@", "/", "a", "bcd", "é", " "]), max_size=16).map("".join),
+))
+def test_linear_search_equals_the_patterns(text):
+    plain = [(rule, re.compile(rule.pattern)) for rule in S.RULES]
+    assert S.find_spans(text, S.compile_rules()) == S.find_spans(text, plain)
+
+
+def test_unbounded_parts_stay_linear():
+    hard = ("eyJ" * 100_000, "eyJa.b." * 60_000, "eyJa.eyJb " * 40_000, "://a:" * 60_000, "://" + "a" * 300_000, ("://" + "a" * 20 + ":") * 12_000)
+    began = time.process_time()
+    assert all(not kinds_of(text) for text in hard)
+    assert time.process_time() - began < 5
+
+
 def words_of(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]+", lambda m: m[0].lower(), text or ""))
 

@@ -11,7 +11,8 @@ A blob's text travels at most once from each task to its scanner: copies are
 folded before the shuffle, so a blob that fills a third of the table is a few rows.
 
 Rules: ``assign``, ``access`` and ``hex`` as given; further ones are
-``private_key`` blocks, ``github`` tokens, ``jwt`` and ``url_password``.
+``private_key`` blocks, ``github`` tokens, ``jwt`` and ``url_password``; no part of
+theirs has a greatest length.
 
 Defined results: a null text is the empty blob; empty texts have no finding;
 repeated rows, and equal texts under other ids, get the same findings; null
@@ -38,12 +39,16 @@ FINDINGS = "array<struct<kind:string,start:bigint,end:bigint>>"
 
 @dataclass(frozen=True)
 class Rule:
-    """A pattern, the group whose length counts, and its least length."""
+    """A pattern, the group whose length counts, and its least length.
+
+    ``search`` stands for the pattern in time linear in the text: where it leaves the group empty there is no match.
+    """
 
     kind: str
     pattern: str
     group: int = 0
     least: int = 1
+    search: str = ""
 
 
 def _letters(word: str) -> str:
@@ -52,6 +57,7 @@ def _letters(word: str) -> str:
 
 
 NAMES = "|".join(map(_letters, ("password", "passwd", "secret", "token"))) + "|" + _letters("api") + "_?" + _letters("key")
+_JWT, _USER = "[A-Za-z0-9_-]", r"[^\x00-\x20:/@]"
 #: In the order in which spans with one start are listed.
 RULES = (
     Rule("assign", rf"({NAMES})[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 6),
@@ -59,8 +65,9 @@ RULES = (
     Rule("hex", r"[0-9a-f]+", 0, 24),
     Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\r\n\x20]*-----END [A-Z ]*PRIVATE KEY-----"),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]+", 0, 40),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{1,500}\.eyJ[A-Za-z0-9_-]{1,500}\.[A-Za-z0-9_-]+"),
-    Rule("url_password", r"://[^\x00-\x20:/@]{1,64}:([^\x00-\x20:/@]{1,64})@", 1, 3),
+    # Each run of a part's characters is taken whole: its end is no character of it, and no part can begin anew inside it.
+    Rule("jwt", rf"eyJ{_JWT}+\.eyJ{_JWT}+(\.{_JWT}+)", 1, 1, rf"eyJ{_JWT}++(?:\.eyJ{_JWT}++(\.{_JWT}++)|)"),
+    Rule("url_password", rf"://{_USER}+:({_USER}+)@", 1, 3, rf"://{_USER}++(?::({_USER}++)@|)"),
 )
 BASE = ("assign", "access", "hex")
 
@@ -81,7 +88,7 @@ def find_spans(text: str, compiled: list[tuple[Rule, re.Pattern]]) -> list[dict]
 
 def compile_rules(rules: tuple[Rule, ...] = RULES) -> list[tuple[Rule, re.Pattern]]:
     # Runs shorter than the least length can't pass, so a hex rule may skip them at once.
-    return [(rule, re.compile(rule.pattern.replace("[0-9a-f]+", "[0-9a-f]{%d,}" % rule.least))) for rule in rules]
+    return [(rule, re.compile((rule.search or rule.pattern).replace("[0-9a-f]+", "[0-9a-f]{%d,}" % rule.least))) for rule in rules]
 
 
 class Ledger:
