@@ -4,6 +4,7 @@ import hashlib
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -43,6 +44,39 @@ def test_held_out_labels_are_never_learned(labelled):
     assert (one.toxic, one.ordinary, one.threshold, one.weights) == (two.toxic, two.ordinary, two.threshold, two.weights)
 
 
+def test_passages_far_behind_are_learned_and_found(spark):
+    def text(seed, words, passage):
+        found = prose(seed, words).split()
+        if passage:
+            found[-60::4] = [("zagruffle", "mordwimpy", "bluxternid")[k % 3] for k in range(15)]
+        return " ".join(found)
+
+    rows = [(k, text(5_000 + k, 4_500, k % 3 == 0), int(k % 3 == 0)) for k in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(4)
+    assert min(len(x) for _, x, _ in rows) > 22_000
+    model = X.fit(docs.drop("toxic"), docs.select("doc_id", "toxic"))
+    for words in (200, 4_500, 25_000, 60_000):
+        clean, toxic = (text(9_000 + words, words, passage) for passage in (False, True))
+        assert words < 25_000 or len(clean) > 100_000
+        assert model.score(clean) < 0.3 <= model.score(toxic)
+    # Whole texts or none: of the rows that together are too long, some are left.
+    few = X.fit(docs.drop("toxic"), docs.select("doc_id", "toxic"), max_toxic=30, max_ordinary=60, mean_chars=20_000)
+    assert model.toxic and few.toxic
+
+
+def test_clean_features_do_not_grow_with_length():
+    model = X.CompressionModel(b"x", b"y", 3, [], [1.0, 0.003, 0.0015, 0.0004, 0.0001, 5e-5, 2e-5, 2e-5, 2e-5])
+    model.rate = X._rate(model.tail)
+    rng, means = np.random.default_rng(1), []
+    for windows in (10, 200, 4_000, 80_000):
+        drawn = []
+        for _ in range(200):
+            model.evidence = lambda text, n=windows: (rng.random(n)[:, None] < np.array(model.tail[1:])).sum(1)
+            drawn.append(model.features("x"))
+        means.append(np.mean(drawn, axis=0))
+    assert (np.abs(np.array(means)) < (0.7, 0.3, 0.02, 0.7)).all()
+
+
 def test_query_on_given_tables(spark):
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").select("doc_id", "toxic")
     rows = op7_compression_toxicity(spark, "/root/testdata/sf0.01")

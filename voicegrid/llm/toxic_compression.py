@@ -3,19 +3,24 @@
 A window of words is compressed twice: with the ordinary dictionary, and with
 the toxic one placed before it.  What only toxic text has makes the window
 shorter the second time; the bytes saved are the window's evidence.  A window
-counts when its evidence passes a threshold calibrated on ordinary text, and a
-logistic model over a text's strongest window, counting windows and mean
-evidence, fitted on labelled texts that its dictionaries have not seen, gives the
-score.
+counts when its evidence passes a threshold calibrated on ordinary text.  A
+logistic model, fitted on labelled texts that the dictionaries have not seen,
+gives the score from four features: how unlikely the strongest window is among
+as many ordinary windows, the counting windows by those expected of ordinary
+text, the mean evidence, and the strongest passage of neighbouring windows, less
+what as many ordinary windows reach.  None of them grows with the length of clean
+text.
 
 Toxic text is ordinary for the most part, so its training texts are reduced to
 the parts of words that stand at many places (with different words before them,
 so copies count once) in toxic texts and almost nowhere in ordinary ones.
 
 Fitting reads at most ``max_toxic`` and ``max_ordinary`` labelled documents,
-chosen by a hash of the id, and at most ``max_chars`` characters of each; a third
-of them calibrates dictionaries trained on the others, and the final ones are
-trained on all.  Scoring reads whole texts.
+chosen by a hash of the id, each of them whole.  So that they fit the driver, a
+document is passed over where its class would have more than ``mean_chars``
+characters for each of its rows allowed.  A third of them calibrates
+dictionaries trained on the others, and the final ones are trained on all.
+Scoring reads whole texts.
 
 Defined results: null and empty texts have no window and score as the model
 scores no evidence; repeated rows score alike; labels without a document or
@@ -38,14 +43,17 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from voicegrid.llm.text_arrays import column_of, in_chunks
 from voicegrid.llm.worker_state import kept
+from voicegrid.session import scratch_table
 
 WINDOW, STEP = 32, 16
 PART = 6
 #: A toxic word part stands at this many different places and is this many times as frequent as in ordinary text.
 LEAST_PLACES, LEAST_RATIO = 6, 20
-MAX_TOXIC, MAX_ORDINARY, MAX_CHARS = 2_000, 6_000, 20_000
+MAX_TOXIC, MAX_ORDINARY, MEAN_CHARS = 2_000, 6_000, 20_000
 TOXIC_BYTES, ORDINARY_BYTES = 4_096, 65_536
 FALSE_WINDOWS = 0.001
+#: More evidence than this in a window says no more.
+MOST, MOST_PASSAGE = 8, 20
 HELD_OUT_FOLD = 2
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -98,12 +106,15 @@ def reduced(text: str, parts: dict[str, int]) -> list[bytes]:
 
 @dataclass
 class CompressionModel:
-    """Two dictionaries, the window threshold and the logistic weights (intercept last)."""
+    """Two dictionaries, the window threshold, the logistic weights (intercept last) and, for each
+    evidence from 0 to ``MOST``, the share of ordinary windows with as much or more."""
 
     toxic: bytes
     ordinary: bytes
     threshold: int = 1
     weights: list[float] = field(default_factory=list)
+    tail: list[float] = field(default_factory=lambda: [1.0] * (MOST + 1))
+    rate: float = 0.0
     _made: tuple | None = None
 
     def _compressors(self) -> tuple:
@@ -132,9 +143,17 @@ class CompressionModel:
     def features(self, text: str | None) -> list[float]:
         found = self.evidence(text)
         if not len(found):
-            return [0.0, 0.0, 0.0]
-        above = int((found >= self.threshold).sum())
-        return [float(np.clip(found.max(), 0, 8)), float(np.log1p(above)), float(np.clip(found, 0, 8).mean())]
+            return [0.0] * 4
+        bounded = np.clip(found, 0, MOST)
+        chance = -np.expm1(len(found) * np.log1p(-min(self.tail[bounded.max()], 1 - 1e-9)))
+        above, expected = (found >= self.threshold).sum(), len(found) * self.tail[min(self.threshold, MOST)]
+        # The highest sum of neighbours over ordinary windows grows with the logarithm of their number.
+        sums = np.concatenate([[0], np.cumsum(bounded - 1)])
+        passage = self.rate * (sums - np.minimum.accumulate(sums)).max() - np.log(len(found))
+        return [
+            float(-np.log10(max(chance, 1e-9))), float(np.log((above + 1) / (expected + 1))), float(bounded.mean()),
+            float(np.clip(passage, 0, MOST_PASSAGE)),
+        ]
 
     def score(self, text: str | None) -> float:
         if not self.weights:
@@ -143,7 +162,7 @@ class CompressionModel:
         return float(1 / (1 + np.exp(-np.clip(margin, -30, 30))))
 
     def portable(self) -> CompressionModel:
-        return CompressionModel(self.toxic, self.ordinary, self.threshold, self.weights)
+        return CompressionModel(self.toxic, self.ordinary, self.threshold, self.weights, self.tail, self.rate)
 
 
 def _logistic(rows: np.ndarray, labels: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -161,9 +180,21 @@ def _logistic(rows: np.ndarray, labels: np.ndarray, ridge: float = 1.0) -> np.nd
     return weights
 
 
+def _rate(tail: list[float]) -> float:
+    """The exponent at which sums of ordinary evidence above 1 fall off: exp(rate * (evidence - 1)) has mean 1."""
+    share, gain = np.append(-np.diff(tail), tail[-1]), np.arange(len(tail)) - 1
+    low, high = 0.0, 20.0
+    if share @ gain >= 0:
+        return low
+    for _ in range(60):
+        middle = (low + high) / 2
+        low, high = (middle, high) if share @ np.exp(middle * gain) < 1 else (low, middle)
+    return low
+
+
 def fit(
     docs: DataFrame, labels: DataFrame, *, max_toxic: int = MAX_TOXIC, max_ordinary: int = MAX_ORDINARY,
-    max_chars: int = MAX_CHARS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
+    mean_chars: int = MEAN_CHARS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
 ) -> CompressionModel:
     """Learns from labelled rows outside the held-out fold."""
     usable = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col)).select(
@@ -172,24 +203,41 @@ def fit(
     totals = {row["label"]: row["count"] for row in usable.groupBy("label").count().collect()}
     if len(totals) < 2:
         return CompressionModel(b"", b"")
-    chosen = [usable.where(F.col("label") == k).orderBy("order", "id").limit(n) for k, n in ((0, max_ordinary), (1, max_toxic))]
+    most = {0: max_ordinary, 1: max_toxic}
+    chosen = [usable.where(F.col("label") == k).orderBy("order", "id").limit(n) for k, n in most.items()]
     sample = F.broadcast(chosen[0].unionAll(chosen[1]))  # at most max_ordinary + max_toxic rows
-    texts = docs.select(F.col(id_col).alias("id"), F.substring(F.coalesce(text_col, F.lit("")), 1, max_chars).alias("text"))
-    rows = sorted(texts.join(sample, "id").select("order", "label", "text").collect())
-    part = [[(r["text"], r["label"]) for r in rows if (r["order"] % 3 == 0) == rest] for rest in (False, True)]
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    stored = scratch_table(texts.join(sample, "id").select("order", "label", "text"), "labelled")
+    sizes = stored.groupBy("order", "label").agg(F.sum(F.length("text")).alias("chars")).collect()
+    left, taken = {k: n * mean_chars for k, n in most.items()}, []
+    for row in sorted(sizes):
+        if row["chars"] <= left[row["label"]]:
+            left[row["label"]] -= row["chars"]
+            taken.append((row["order"], row["label"]))
+    if not taken:
+        return CompressionModel(b"", b"")
+    kept_rows = F.broadcast(docs.sparkSession.createDataFrame(taken, "order long, label int"))
+    return learn(sorted(map(tuple, stored.join(kept_rows, ["order", "label"]).select("order", "label", "text").collect())), totals)
+
+
+def learn(rows: list[tuple[int, int, str]], totals: dict[int, int]) -> CompressionModel:
+    """A model of (order, label, whole text) rows; ``totals`` has the number of labels of each class."""
+    part = [[(text, label) for order, label, text in rows if (order % 3 == 0) == rest] for rest in (False, True)]
     trial = _dictionaries(part[0])
     if not trial.toxic or len({label for _, label in part[1]}) < 2:
         return CompressionModel(b"", b"")
     # The threshold and the weights come from texts that the trial dictionaries have not seen.
     ordinary = np.concatenate([np.zeros(1, np.int64), *(trial.evidence(text) for text, label in part[1] if not label)])
     trial.threshold = max(1, int(np.quantile(ordinary, 1 - FALSE_WINDOWS)) + 1)
+    trial.tail = [float(((ordinary >= k).sum() + 0.5) / (len(ordinary) + 0.5)) for k in range(MOST + 1)]
+    trial.tail[0], trial.rate = 1.0, _rate(trial.tail)
     features = np.array([trial.features(text) for text, _ in part[1]])
     classes = np.array([label for _, label in part[1]])
     weights = _logistic(features, classes)
     # The sample has other class shares than the labels have.
     weights[-1] += np.log(totals[1] / totals[0]) - np.log(classes.sum() / (len(classes) - classes.sum()))
     model = _dictionaries(part[0] + part[1])
-    model.threshold, model.weights = trial.threshold, weights.tolist()
+    model.threshold, model.weights, model.tail, model.rate = trial.threshold, weights.tolist(), trial.tail, trial.rate
     return model
 
 
