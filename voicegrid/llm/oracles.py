@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from voicegrid.llm.private_data import AFTER, BASE as PRIVATE_BASE, BEFORE, KINDS, LEAST_ADDED, LOWERED, RAISED, word_pattern
 from voicegrid.llm.secret_ledger import BASE, RULES
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -53,4 +54,48 @@ SELECT doc_id, {", ".join(f"coalesce(n_{kind}, 0)::BIGINT AS n_{kind}" for kind
 FROM documents LEFT JOIN found USING (doc_id)"""
 )
 
-ORACLES: dict[str, str] = {"op1_blob_ledger": OP1, "op10_positional_decontamination": OP10}
+_CONFIRM = {
+    "email": "true",
+    "ip": "list_bool_and(list_transform(string_split(value, '.'), lambda x: length(ltrim(x, '0')) <= 3 AND coalesce(try_cast(ltrim(x, '0') AS INTEGER), 0) <= 255))",
+    "card": """length(digits) BETWEEN 14 AND 19 AND list_sum(list_transform(range(1, length(digits) + 1), lambda i:
+      CASE WHEN i % 2 = 1 THEN digits[-i]::INTEGER ELSE digits[-i]::INTEGER * 2 - CASE WHEN digits[-i]::INTEGER > 4 THEN 9 ELSE 0 END END)) % 10 = 0""",
+    "phone": "length(digits) BETWEEN 10 AND 15",
+    "iban": """length(replace(value, ' ', '')) BETWEEN 15 AND 34 AND list_reduce(list_prepend(0, list_transform(string_split(array_to_string(
+      list_transform(string_split(replace(value, ' ', '')[5:] || value[:4], ''), lambda c: CASE WHEN c >= 'A' THEN (ascii(c) - 55)::VARCHAR ELSE c END), ''), ''),
+      lambda d: d::INTEGER)), lambda a, b: (a * 10 + b) % 97) = 1""",
+    "social": "NOT regexp_matches(value, '^(?:000|666|9)|-00-|0000$')",
+    "national": r"NOT regexp_matches(before, '\+[0-9][ ().0-9-]*$')",
+}
+
+
+def _private(place: int, kind) -> str:
+    """Confirmed spans of one kind with their scores in hundredths."""
+    score = f"{kind.prior} + CASE WHEN regexp_matches(around, '{word_pattern(kind.raised_by)}') THEN {RAISED} ELSE 0 END"
+    score += f" - CASE WHEN regexp_matches(around, '{word_pattern(kind.lowered_by)}') THEN {LOWERED} ELSE 0 END"
+    least = 0 if kind.name in PRIVATE_BASE else LEAST_ADDED
+    return f"""
+  SELECT doc_id, '{kind.name}' AS kind, {place} AS place, start, start + length(value) AS stop, least(100, {score}) AS score
+  FROM (SELECT *, regexp_replace(value, '[^0-9]', '', 'g') AS digits, translate(before || ' ' || after, '{UPPER}', '{LOWER}') AS around
+    FROM (SELECT doc_id, list_sum(list_transform(p[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:k - 1], lambda x: length(x))), 0) AS start,
+        m[k] AS value, right(p[k], {BEFORE}) AS before, left(p[k + 1], {AFTER}) AS after
+      FROM (SELECT doc_id, p, m, unnest(range(1, len(m) + 1)) AS k
+        FROM (SELECT doc_id, string_split_regex(text, '{kind.plain}') AS p, regexp_extract_all(text, '{kind.plain}', 0) AS m
+          FROM documents WHERE regexp_matches(text, '{kind.plain}')))))
+  WHERE {_CONFIRM[kind.name]} AND {score} >= {least}"""
+
+
+_PRIVATE = ", ".join(f"'{kind}'" for kind in PRIVATE_BASE)
+OP12 = (
+    "WITH spans AS ("
+    + " UNION ALL ".join(_private(k, kind) for k, kind in enumerate(KINDS))
+    + f"""),
+found AS (SELECT doc_id, {", ".join(f"count(*) FILTER (kind = '{kind}') AS n_{kind}" for kind in PRIVATE_BASE)},
+  {_LISTED} FILTER (kind IN ({_PRIVATE})) AS base, {_LISTED} AS spans,
+  count(*) FILTER (kind NOT IN ({_PRIVATE})) AS n_added, count(*) FILTER (score >= 80) AS n_confident FROM spans GROUP BY 1)
+SELECT doc_id, {", ".join(f"coalesce(n_{kind}, 0)::BIGINT AS n_{kind}" for kind in PRIVATE_BASE)},
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+  coalesce(n_added, 0)::BIGINT AS n_added, coalesce(n_confident, 0)::BIGINT AS n_confident
+FROM documents LEFT JOIN found USING (doc_id)"""
+)
+
+ORACLES: dict[str, str] = {"op1_blob_ledger": OP1, "op10_positional_decontamination": OP10, "op12_private_spans": OP12}

@@ -13,6 +13,7 @@ from voicegrid.llm.circulant_minhash import near_duplicates
 from voicegrid.llm.html_region import extract, learn_weights
 from voicegrid.llm.license_votes import scan_licenses
 from voicegrid.llm.positional_index import decontaminate
+from voicegrid.llm.private_data import BASE as PRIVATE_BASE, find_private
 from voicegrid.llm.secret_ledger import BASE, Ledger, scan_history
 from voicegrid.llm.token_shards import read_shards, write_shards
 from voicegrid.llm.toxic_compression import fit, held_out, score
@@ -85,6 +86,19 @@ def op10_positional_decontamination(spark: SparkSession, sf_dir: str) -> DataFra
     return found.select("doc_id", "n_words", "n_hit", "n_items", digest, "contaminated")
 
 
+def op12_private_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_private(table(spark, sf_dir, "documents"))
+    joined = lambda spans: F.array_join(F.transform(spans, _span), ",")
+    count = lambda held, name: F.size(F.filter("found", held)).cast("long").alias(name)
+    of = lambda kind: lambda x: x["kind"] == kind
+    base = lambda x: x["kind"].isin(*PRIVATE_BASE)
+    return found.select(
+        "doc_id", *(count(of(kind), f"n_{kind}") for kind in PRIVATE_BASE),
+        F.sha2(joined(F.filter("found", base)), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"),
+        count(lambda x: ~base(x), "n_added"), count(lambda x: x["score"] >= 0.8, "n_confident"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_blob_ledger": op1_blob_ledger,
     "op2_diagonal_votes": op2_diagonal_votes,
@@ -96,4 +110,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_adaptive_quality": op8_adaptive_quality,
     "op9_warc_ranges": op9_warc_ranges,
     "op10_positional_decontamination": op10_positional_decontamination,
+    "op12_private_spans": op12_private_spans,
 }
