@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from voicegrid.llm.adaptive_quality import judge
 from voicegrid.llm.bpe_transducer import round_trip
 from voicegrid.llm.circulant_minhash import near_duplicates
+from voicegrid.llm.hard_negatives import mine
 from voicegrid.llm.html_region import extract, learn_weights
 from voicegrid.llm.license_votes import scan_licenses
 from voicegrid.llm.positional_index import decontaminate
@@ -99,6 +100,12 @@ def op12_private_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_cover_tree_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    found = mine(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, label=moved)
+    return found.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_blob_ledger": op1_blob_ledger,
     "op2_diagonal_votes": op2_diagonal_votes,
@@ -111,4 +118,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_warc_ranges": op9_warc_ranges,
     "op10_positional_decontamination": op10_positional_decontamination,
     "op12_private_spans": op12_private_spans,
+    "op13_cover_tree_negatives": op13_cover_tree_negatives,
 }
