@@ -98,6 +98,34 @@ SELECT doc_id, {", ".join(f"coalesce(n_{kind}, 0)::BIGINT AS n_{kind}" for kind
 FROM documents LEFT JOIN found USING (doc_id)"""
 )
 
+OP11 = f"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+  FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY 1),
+counted AS (
+  SELECT lang, phrase, count(*) AS f
+  FROM (SELECT lang, w[k:k + size - 1] AS phrase
+    FROM (SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS k FROM words, range(1, 5) AS sizes(size) WHERE len(w) >= size))
+  GROUP BY 1, 2 HAVING count(*) >= 30),
+candidates AS (SELECT * FROM counted WHERE len(phrase) > 1),
+cuts AS (
+  SELECT c.lang, c.phrase, c.f, x.f AS l, y.f AS r, k, (2000000::HUGEINT * c.f // (x.f::HUGEINT + y.f)) AS score
+  FROM (SELECT *, unnest(range(1, len(phrase))) AS k FROM candidates) c
+  JOIN counted x ON x.lang = c.lang AND x.phrase = c.phrase[:k]
+  JOIN counted y ON y.lang = c.lang AND y.phrase = c.phrase[k + 1:]
+  QUALIFY row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY score, k) = 1),
+held AS (
+  SELECT lang, phrase[j:j + size - 1] AS phrase, max(f) AS longer
+  FROM (SELECT lang, phrase, f, size, unnest(range(1, len(phrase) - size + 2)) AS j FROM candidates, range(2, 4) AS sizes(size) WHERE len(phrase) > size)
+  GROUP BY 1, 2)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, f DESC, array_to_string(phrase, ' '))::BIGINT AS rank,
+    array_to_string(phrase, ' ') AS phrase, f AS a, l, r, score::BIGINT AS score
+  FROM cuts LEFT JOIN held USING (lang, phrase) WHERE longer IS NULL OR 100::HUGEINT * longer < 80::HUGEINT * f)
+JOIN totals USING (lang) WHERE rank <= 2000"""
+
 OP13 = """
 WITH usable AS (
   SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
@@ -117,5 +145,6 @@ WINDOW best AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_i
 QUALIFY row_number() OVER best <= 10"""
 
 ORACLES: dict[str, str] = {
-    "op1_blob_ledger": OP1, "op10_positional_decontamination": OP10, "op12_private_spans": OP12, "op13_cover_tree_negatives": OP13,
+    "op1_blob_ledger": OP1, "op10_positional_decontamination": OP10, "op11_tiled_collocations": OP11,
+    "op12_private_spans": OP12, "op13_cover_tree_negatives": OP13,
 }

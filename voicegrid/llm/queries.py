@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from voicegrid.llm.adaptive_quality import judge
 from voicegrid.llm.bpe_transducer import round_trip
 from voicegrid.llm.circulant_minhash import near_duplicates
+from voicegrid.llm.collocations import collocations
 from voicegrid.llm.hard_negatives import mine
 from voicegrid.llm.html_region import extract, learn_weights
 from voicegrid.llm.license_votes import scan_licenses
@@ -87,6 +88,10 @@ def op10_positional_decontamination(spark: SparkSession, sf_dir: str) -> DataFra
     return found.select("doc_id", "n_words", "n_hit", "n_items", digest, "contaminated")
 
 
+def op11_tiled_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"), least=30, longest=4, top=2000)
+
+
 def op12_private_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_private(table(spark, sf_dir, "documents"))
     joined = lambda spans: F.array_join(F.transform(spans, _span), ",")
@@ -117,6 +122,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_adaptive_quality": op8_adaptive_quality,
     "op9_warc_ranges": op9_warc_ranges,
     "op10_positional_decontamination": op10_positional_decontamination,
+    "op11_tiled_collocations": op11_tiled_collocations,
     "op12_private_spans": op12_private_spans,
     "op13_cover_tree_negatives": op13_cover_tree_negatives,
 }
