@@ -33,15 +33,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from voicegrid.llm.text_arrays import binaries, column_of, in_chunks, mix, split_words
+from voicegrid.llm.worker_state import trim
 from voicegrid.operators.canonical import number_rows
 from voicegrid.session import scratch_table
 
-SEGMENT_TOKENS = 1_000_000
+SEGMENT_TOKENS = 500_000
 TILE_BITS = 10
 #: Pairs of one tile in one pile from which the tile is counted by direct address.
 DENSE = 1 << 16
-PILE = 4_000_000
-BUCKET_WINDOWS = 1_000_000
+PILE = 1_000_000
+BUCKET_WINDOWS = 500_000
 SPREAD = 4
 _ALL = np.arange(256)
 #: Bytes that end a piece of text; pieces fall into words at spaces and tabs.
@@ -149,6 +150,7 @@ def write_segments(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
                 yield segment.close()
         if segment.size:
             yield segment.close()
+        trim()
 
     rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     kept = rows.mapInArrow(run, "tokens binary, starts binary, words array<string>, langs array<string>, counts array<long>")
@@ -199,10 +201,10 @@ def windows_of(segments: DataFrame, words: DataFrame, vocabulary: DataFrame) ->
                 tokens = np.frombuffer(column_of(batch, "tokens")[k].as_buffer(), np.int32)
                 starts = np.unpackbits(np.frombuffer(column_of(batch, "starts")[k].as_buffer(), np.uint8), count=len(tokens)).astype(bool)
                 known = column_of(batch, "numbers")[k].values
-                ids = np.full(int(tokens.max()) + 1, -1)
+                ids = np.full(int(tokens.max()) + 1, -1, np.int32)
                 ids[known.field("local").to_numpy(zero_copy_only=False)] = known.field("id").to_numpy(zero_copy_only=False)
                 w = ids[tokens]
-                after = [np.r_[w[j:], np.full(min(j, len(w)), -1)] for j in (1, 2, 3)]
+                after = [np.r_[w[j:], np.full(min(j, len(w)), -1, np.int32)] for j in (1, 2, 3)]
                 held = [~np.r_[starts[j:], np.ones(min(j, len(w)), bool)] & (x >= 0) for j, x in zip((1, 2, 3), after)]
                 b = np.where((w >= 0) & held[0], after[0], -1)
                 c = np.where((b >= 0) & held[1], after[1], -1)
@@ -210,6 +212,7 @@ def windows_of(segments: DataFrame, words: DataFrame, vocabulary: DataFrame) ->
                 at = np.flatnonzero(b >= 0)
                 ab = (w[at].astype(np.uint64) << np.uint64(32)) | b[at].astype(np.uint64)
                 yield _window_batch(_rows(ab, c[at], d[at], np.ones(len(at), np.int64)))
+        trim()
 
     return scratch_table(coded.mapInArrow(run, WINDOWS), "windows")
 
@@ -243,15 +246,16 @@ def frequent_pairs(windows: DataFrame, least: int) -> DataFrame:
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, counts, held = [], [], 0
         for batch in batches:
-            for ab, n in zip(column_of(batch, "ab").to_pylist(), column_of(batch, "n").to_pylist()):
-                codes.append(unpack(ab))
-                counts.append(np.frombuffer(n, np.int64))
+            for ab, n in zip(column_of(batch, "ab"), column_of(batch, "n")):
+                codes.append(unpack(ab.as_buffer()))
+                counts.append(np.frombuffer(n.as_buffer(), np.int64).copy())
                 held += len(codes[-1])
                 if held >= PILE:
                     yield deal(codes, counts)
                     codes, counts, held = [], [], 0
         if codes:
             yield deal(codes, counts)
+        trim()
 
     def add(group: pa.Table) -> pa.Table:
         codes = [unpack(x) for x in group["ab"].to_pylist()]
@@ -274,9 +278,8 @@ def advance(windows: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = {k: column_of(batch, k).to_pylist() for k in ("ab", "c", "d", "n")}
             for at in range(batch.num_rows):
-                ab, c, d, n = _read(columns, at)
+                ab, c, d, n = _read({k: [column_of(batch, k)[at].as_buffer()] for k in ("ab", "c", "d", "n")}, 0)
                 on = np.flatnonzero(c >= 0)
                 parts = _dealt(_spread(ab[on], c[on] % SPREAD, total), ab[on], c[on], d[on], n[on])
                 rows = [(k, pack(x), *(y.tobytes() for y in rest), len(x)) for k, x, *rest in parts]
@@ -285,6 +288,7 @@ def advance(windows: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
                     [pa.array(list(columns_out[0]), pa.int64()), *(binaries(list(x)) for x in columns_out[1:5]), pa.array(list(columns_out[5]), pa.int64())],
                     ["bucket", "ab", "c", "d", "n", "size"],
                 )
+        trim()
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
