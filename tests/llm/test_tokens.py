@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings, strategies as st
@@ -129,6 +130,17 @@ def test_awkward_shards(awkward, no_docs):
 
 def test_words_of_any_kind_equal_the_library():
     rng, own, library = random.Random(3), S.WordEncoder(WORDS), Tokenizer.from_file(WORDS)
-    for _ in range(3_000):
-        text = "".join(rng.choice(" \n\t  abcİΣσßÀé́.,!?'s\x1c\x85123漢") for _ in range(rng.randint(0, 20)))
-        assert own.encode([text], 1)[0].tolist() == library.encode(text, add_special_tokens=False).ids + [1]
+    signs = [*" \n\t  abcİΣσßÀé́.,!?'s\x1c\x85123漢", "<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|endof text|>"]
+    for _ in range(600):
+        texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 20))) for _ in range(rng.randint(1, 9))] + [None]
+        ids, sizes = own.encode(pa.array(texts), 1)
+        wanted = [library.encode(text or "", add_special_tokens=False).ids + [1] for text in texts]
+        assert sizes.tolist() == list(map(len, wanted)) and ids.tolist() == sum(wanted, [])
+
+
+def test_special_tokens_and_few_kept_words(monkeypatch, spark):
+    monkeypatch.setattr(S, "MAX_WORDS", 5)
+    rows = [(k, f"word{k} the<|endoftext|>end <|startoftext|> {'x' * k}, New. " * (k + 1)) for k in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(tuple(r) for r in S.read_shards(S.write_shards(docs, WORDS, end_id=1, shard_tokens=100)).collect())
+    assert got == expected_shards(rows)

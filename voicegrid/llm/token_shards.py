@@ -4,7 +4,8 @@ Documents are dealt out by id range and sorted within each task; a task encodes
 them with a public tokenizer and closes a file at ``SHARD_TOKENS`` tokens (a
 single longer document makes a longer file).  Texts are cut at spaces and line
 feeds, which no token of a tokenizer that drops white space crosses; a bounded
-table keeps the ids of words seen before and the library encodes the others.
+table keeps the ids of words seen before, by the words' 64-bit hashes, and the
+library encodes the others.  Special tokens that stand in a text get their ids.
 The manifest holds one row a file.  Only the tokens of each task, one number a
 task, pass through the driver.
 
@@ -20,67 +21,98 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from voicegrid.llm.shared_files import new_folder, open_file, write_file
-from voicegrid.llm.text_arrays import column_of, in_chunks
+from voicegrid.llm.text_arrays import column_of, in_chunks, split_words
 from voicegrid.llm.wavelet import WaveletFile, build
 from voicegrid.llm.worker_state import kept
 from voicegrid.session import scratch_table
 
 SHARD_TOKENS = 2_000_000
 MAX_WORDS = 700_000
+#: Bytes of words: all but space and line feed.
+BETWEEN_SPACES = ~np.isin(np.arange(256), [10, 32])
 
 
 class WordEncoder:
-    """Ids of whole texts, word by word, for tokenizers that drop white space."""
+    """Ids of whole texts, word by word, for tokenizers that drop white space.
+
+    Words are found and hashed on the bytes of many texts at once; a word's ids
+    stand in one pool, at a place that a sorted table of hashes names.  Special
+    tokens in a text become their ids, as the library has it.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.bits = max(1, (self.tokenizer.get_vocab_size() - 1).bit_length())
-        self.words: dict[str, bytes] = {"": b""}
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         self.word_end = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, number in self.tokenizer.get_vocab().items():
             self.word_end[number] = bool(suffix) and token.endswith(suffix)
-
-    def _learn(self, words: list[str]) -> None:
-        for word, found in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
-            self.words[word] = np.array(found.ids, "<u4").tobytes()
-
-    def _learn_letters(self, words: list[str]) -> None:
-        """Words of letters alone go to the library many at a time: each ends with its only word-end token."""
-        groups = [words[k : k + 256] for k in range(0, len(words), 256)] if self.word_end.any() else []
-        for group, found in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
-            ids = np.array(found.ids, "<u4")
-            ends = (np.flatnonzero(self.word_end[ids]) + 1).tolist()
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys = np.zeros(0, np.uint64)
+        self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool = np.zeros(0, np.uint32)
+
+    def _ids(self, words: list[str]) -> list[list[int]]:
+        """The library's ids of words; words of letters alone go to it many at a time, for each ends with its only word-end token."""
+        out: list[list[int] | None] = [None] * len(words)
+        letters = [k for k, word in enumerate(words) if word.isalpha() and (word.isascii() or word.lower().isalpha())]
+        groups = [letters[k : k + 256] for k in range(0, len(letters), 256)] if self.word_end.any() else []
+        joined = [" ".join(words[k] for k in group) for group in groups]
+        for group, found in zip(groups, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
+            ends = (np.flatnonzero(self.word_end[np.array(found.ids, np.int64)]) + 1).tolist()
             if len(ends) == len(group):
-                raw = ids.tobytes()
-                self.words.update(zip(group, [raw[4 * low : 4 * high] for low, high in zip([0, *ends], ends)]))
-
-    def encode(self, texts: list[str], end: int) -> list[np.ndarray]:
-        """Ids of each text and the end id."""
-        split = [text.replace("\n", " ").split(" ") for text in texts]
-        if len(self.words) > MAX_WORDS:
-            self.words = {"": b""}
-        known = self.words
-        new = set().union(*split).difference(known)
-        # A mark behind a letter is a token of its own, so such a word needs no call.
-        marked = {word for word in new if word[-1] in ".," and word[-2:-1].lower().isalpha()}
-        call = ((new - marked) | {word[:-1] for word in marked} | {".", ","}).difference(known)
-        letters = [word for word in call if word.isalpha() and (word.isascii() or word.lower().isalpha())]
-        self._learn_letters(letters)
-        self._learn([word for word in call if word not in known])
-        for word in marked:
-            known[word] = known[word[:-1]] + known[word[-1]]
-        last = np.array([end], "<u4").tobytes()
-        return [np.frombuffer(b"".join([*map(known.__getitem__, words), last]), "<u4") for words in split]
+                for k, low, high in zip(group, [0, *ends], ends):
+                    out[k] = found.ids[low:high]
+        rest = [k for k, ids in enumerate(out) if ids is None]
+        for k, found in zip(rest, self.tokenizer.encode_batch_fast([words[k] for k in rest], add_special_tokens=False)):
+            out[k] = found.ids
+        return out
+
+    def _learn(self, keys: np.ndarray, words: list[str]) -> None:
+        """Puts new words into the table."""
+        # A mark behind a letter is a token of its own, so such a word needs no call of its own.
+        marked = [word[-1] in ".," and word[-2:-1].lower().isalpha() for word in words]
+        call = list({word[:-1] if mark else word for word, mark in zip(words, marked)} | {".", ","})
+        ids = dict(zip(call, self._ids(call)))
+        found = [ids[word[:-1]] + ids[word[-1]] if mark else ids[word] for word, mark in zip(words, marked)]
+        sizes = np.array([len(x) for x in found], np.int64)
+        starts = len(self.pool) + np.cumsum(sizes) - sizes
+        self.pool = np.concatenate([self.pool, np.array([i for x in found for i in x], np.uint32)])
+        at = np.argsort(np.concatenate([self.keys, keys]), kind="stable")
+        self.keys, self.starts, self.sizes = (np.concatenate(x)[at] for x in ((self.keys, keys), (self.starts, starts), (self.sizes, sizes)))
+
+    def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in one array, each text's with the end id behind them; and the number of ids of each text."""
+        words = split_words(texts, BETWEEN_SPACES, lower=False)
+        place, keys = pd.factorize(words.hashes)
+        if len(self.keys) > MAX_WORDS:
+            self._forget()
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        new = np.flatnonzero(self.keys[at] != keys) if len(self.keys) else np.arange(len(keys))
+        if len(new):
+            first = np.empty(len(keys), np.int64)
+            first[place[::-1]] = np.arange(len(place))[::-1]
+            raw = words.data.tobytes()
+            self._learn(keys[new], [raw[words.starts[k] : words.ends[k]].decode() for k in first[new]])
+            at = np.searchsorted(self.keys, keys)
+        sizes, starts = self.sizes[at][place], self.starts[at][place]
+        before = np.concatenate([[0], np.cumsum(sizes)])
+        own = np.diff(before[words.first])
+        from_pool = np.repeat(starts - before[:-1], sizes) + np.arange(before[-1])
+        out = np.full(before[-1] + len(own), end, np.uint32)
+        out[np.arange(before[-1]) + np.repeat(np.arange(len(own)), own)] = self.pool[from_pool]
+        return out, own + 1
 
 
 def write_shards(
@@ -108,8 +140,8 @@ def write_shards(
             return pa.RecordBatch.from_pylist([row])
 
         for batch in in_chunks(batches, "text"):
-            found = encoder.encode([text or "" for text in column_of(batch, "text").to_pylist()], end_id)
-            for doc, tokens in zip(column_of(batch, "doc_id").to_pylist(), found):
+            tokens, sizes = encoder.encode(column_of(batch, "text"), end_id)
+            for doc, tokens in zip(column_of(batch, "doc_id").to_pylist(), np.split(tokens, np.cumsum(sizes)[:-1])):
                 if arrays and held + len(tokens) > shard_tokens:
                     yield close()
                     held = 0
