@@ -19,6 +19,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -27,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from voicegrid.llm.shared_files import new_folder, open_file, write_file
-from voicegrid.llm.text_arrays import column_of, in_chunks, split_words
+from voicegrid.llm.text_arrays import Words, column_of, in_chunks, split_words, utf8
 from voicegrid.llm.wavelet import WaveletFile, build
 from voicegrid.llm.worker_state import kept
 from voicegrid.session import scratch_table
@@ -36,6 +37,8 @@ SHARD_TOKENS = 2_000_000
 MAX_WORDS = 700_000
 #: Bytes of words: all but space and line feed.
 BETWEEN_SPACES = ~np.isin(np.arange(256), [10, 32])
+_LETTER = np.isin(np.arange(256), [*range(65, 91), *range(97, 123)])
+MARKS = ".,"
 
 
 class WordEncoder:
@@ -56,6 +59,12 @@ class WordEncoder:
         self.word_end = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, number in self.tokenizer.get_vocab().items():
             self.word_end[number] = bool(suffix) and token.endswith(suffix)
+        # Marks that are one token are taken off words.
+        self.mark_ids = np.full(256, -1)
+        for sign, found in zip(MARKS, self.tokenizer.encode_batch_fast(list(MARKS), add_special_tokens=False)):
+            if len(found.ids) == 1 and self.word_end[found.ids[0]]:
+                self.mark_ids[ord(sign)] = found.ids[0]
+        self.is_mark = self.mark_ids >= 0
         self._forget()
 
     def _forget(self) -> None:
@@ -70,10 +79,11 @@ class WordEncoder:
         groups = [letters[k : k + 256] for k in range(0, len(letters), 256)] if self.word_end.any() else []
         joined = [" ".join(words[k] for k in group) for group in groups]
         for group, found in zip(groups, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
-            ends = (np.flatnonzero(self.word_end[np.array(found.ids, np.int64)]) + 1).tolist()
+            ids = found.ids  # the library makes a new list at each look
+            ends = (np.flatnonzero(self.word_end[np.array(ids, np.int64)]) + 1).tolist()
             if len(ends) == len(group):
                 for k, low, high in zip(group, [0, *ends], ends):
-                    out[k] = found.ids[low:high]
+                    out[k] = ids[low:high]
         rest = [k for k, ids in enumerate(out) if ids is None]
         for k, found in zip(rest, self.tokenizer.encode_batch_fast([words[k] for k in rest], add_special_tokens=False)):
             out[k] = found.ids
@@ -81,20 +91,40 @@ class WordEncoder:
 
     def _learn(self, keys: np.ndarray, words: list[str]) -> None:
         """Puts new words into the table."""
-        # A mark behind a letter is a token of its own, so such a word needs no call of its own.
-        marked = [word[-1] in ".," and word[-2:-1].lower().isalpha() for word in words]
-        call = list({word[:-1] if mark else word for word, mark in zip(words, marked)} | {".", ","})
-        ids = dict(zip(call, self._ids(call)))
-        found = [ids[word[:-1]] + ids[word[-1]] if mark else ids[word] for word, mark in zip(words, marked)]
-        sizes = np.array([len(x) for x in found], np.int64)
+        found = self._ids(words)
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
         starts = len(self.pool) + np.cumsum(sizes) - sizes
-        self.pool = np.concatenate([self.pool, np.array([i for x in found for i in x], np.uint32)])
+        self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))])
         at = np.argsort(np.concatenate([self.keys, keys]), kind="stable")
         self.keys, self.starts, self.sizes = (np.concatenate(x)[at] for x in ((self.keys, keys), (self.starts, starts), (self.sizes, sizes)))
 
+    def _split(self, texts: pa.Array) -> tuple[Words, np.ndarray]:
+        """Words, and for each the id of a single mark behind it, or -1.
+
+        A full stop or comma between a letter and a space is a token of its
+        own, so it is taken off and most words are met in one form only.  For
+        the same reason letters are made small, unless a special token may
+        stand there, which large letters would not be.
+        """
+        raw, offsets = utf8(texts)
+        raw = raw.copy()
+        last = np.zeros(len(raw) + 1, bool)
+        last[offsets] = True
+        mark = np.flatnonzero(self.is_mark[raw])
+        mark = mark[~last[mark]]  # not a text's first sign
+        after = np.where(last[mark + 1], 32, raw[np.minimum(mark + 1, len(raw) - 1)])
+        mark = mark[_LETTER[raw[mark - 1]] & ~BETWEEN_SPACES[after]]
+        ids = self.mark_ids[raw[mark]]
+        raw[mark] = 32
+        column = pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(offsets), pa.py_buffer(raw)) if len(texts) else texts
+        words = split_words(column, BETWEEN_SPACES, lower=b"<|" not in raw.tobytes())
+        behind = np.full(len(words.ends), -1)
+        behind[np.searchsorted(words.ends, mark)] = ids
+        return words, behind
+
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, each text's with the end id behind them; and the number of ids of each text."""
-        words = split_words(texts, BETWEEN_SPACES, lower=False)
+        words, behind = self._split(texts)
         place, keys = pd.factorize(words.hashes)
         if len(self.keys) > MAX_WORDS:
             self._forget()
@@ -107,11 +137,16 @@ class WordEncoder:
             self._learn(keys[new], [raw[words.starts[k] : words.ends[k]].decode() for k in first[new]])
             at = np.searchsorted(self.keys, keys)
         sizes, starts = self.sizes[at][place], self.starts[at][place]
-        before = np.concatenate([[0], np.cumsum(sizes)])
+        before = np.concatenate([[0], np.cumsum(sizes + (behind >= 0))])
         own = np.diff(before[words.first])
-        from_pool = np.repeat(starts - before[:-1], sizes) + np.arange(before[-1])
+        # Each word's ids, its mark, and behind a text's last word the end id.
+        text_of = np.repeat(np.arange(len(own)), np.diff(words.first))
+        target = before[:-1] + text_of
         out = np.full(before[-1] + len(own), end, np.uint32)
-        out[np.arange(before[-1]) + np.repeat(np.arange(len(own)), own)] = self.pool[from_pool]
+        inside = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        out[np.repeat(target, sizes) + inside] = self.pool[np.repeat(starts, sizes) + inside]
+        marked = np.flatnonzero(behind >= 0)
+        out[target[marked] + sizes[marked]] = behind[marked]
         return out, own + 1
 
 
