@@ -12,7 +12,7 @@ TABLES = (
 ).split()
 WITHOUT_SQL = {
     "sentiment_scored", "sentiment_training", "topic_assignments", "topic_quality_report",
-    "full_analysis", "dataset_fingerprint",
+    "full_analysis",
 }
 pytestmark = pytest.mark.skipif(not TESTDATA.exists(), reason="driver tables are absent")
 

@@ -52,6 +52,24 @@ def test_csv_limits(spark, tmp_path):
         load_csv(spark, str(tmp_path / "absent.csv"))
 
 
+def test_files_with_other_headers(spark, tmp_path):
+    folder = tmp_path / "many.csv"
+    folder.mkdir()
+    put(folder, "1.csv", b"message,stars\none,5\n\"two, too\",4\n")
+    put(folder, "2.csv", "\ufeffstars,message\r\n3,three\r\n".encode())
+    put(folder, "3.csv", b"message,stars\nfour,NA\n")
+    put(folder, "4.csv", b"product,message\nphone,five\n")
+    put(folder, "5.csv", b"")
+    found = load_csv(spark, str(folder)).dataframe
+    assert found.columns == ["message", "stars", "product"]
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(
+        [("one", "5", None), ("two, too", "4", None), ("three", "3", None), ("four", None, None), ("five", None, "phone")], key=str
+    )
+    put(folder, "6.csv", b"stars,message\n1,2,3\n")
+    with pytest.raises(CsvParseError):
+        load_csv(spark, str(folder))
+
+
 def test_header_names(spark):
     assert naming.normalize_name("  Café Réview! ") == "cafe_review"
     assert naming.normalize_name("***") == "column"

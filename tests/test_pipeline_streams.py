@@ -3,10 +3,12 @@
 import pytest
 from pyspark.sql import functions as F
 
-from voicegrid.operators import aspects, insights, sentiment
+from voicegrid.functions.text import fold_key, normalize_whitespace
+from voicegrid.operators import aspects, canonical, insights, sentiment, trends
+from voicegrid.operators.fact_store import FactStore
 from voicegrid.plans import pipeline
 from voicegrid.schema import FeedbackError, TopicConfig
-from voicegrid.session import join_small
+from voicegrid.session import cut_lineage, join_small
 from voicegrid.sources import sinks
 from voicegrid.sources.fingerprint import fingerprint, source_signature
 from voicegrid.streaming import reviews as streams
@@ -135,3 +137,59 @@ def test_windows_close_behind_the_watermark(spark, arrivals, tmp_path):
     closed = {(str(r.period)[:10], r.sentiment_label): r.review_count for r in spark.read.parquet(out).collect()}
     # Monday week of 5 January is complete; the latest week stays open.
     assert closed[("2026-01-05", "Neutral")] == 2 and {day for day, _ in closed} == {"2026-01-05"}
+
+
+REPEATS = [
+    ("a", "Good  phone", "2026-01-05 10:00:00"), ("b", "good phone", "2026-01-05 09:00:00"), ("c", "Bad", "2026-01-06 08:00:00"),
+    ("d", "GOOD PHONE", "2026-01-05 09:00:00"), ("e", "bad", "2026-01-06 07:00:00.250"), ("f", "late", "2026-01-07 00:00:00"),
+]
+
+
+@pytest.mark.parametrize("order", ["abcdef", "fedcba", "cafdbe"])
+def test_earliest_repeat_wins_in_any_order(spark, tmp_path, order):
+    streams.needs_column_families(spark)
+    schema = "review_id string, review_text string, date timestamp"
+    folder = str(tmp_path / "in")
+    end = [("z", "end", "2026-03-01 00:00:00")]
+    for row in [*sorted(REPEATS, key=lambda row: order.index(row[0])), *end]:
+        one = spark.createDataFrame([row], "review_id string, review_text string, date string").withColumn("date", F.col("date").cast("timestamp"))
+        one.coalesce(1).write.mode("append").parquet(folder)
+    stream = streams.read_reviews(spark, folder, spark.createDataFrame([], schema).schema, files_per_trigger=1)
+    kept = streams.earliest_of_repeats(stream, ["review_id"], text_column="review_text", late_by="10 days")
+    out = str(tmp_path / "out")
+    streams.write_batches(kept, out, str(tmp_path / "cp")).awaitTermination()
+    rows = spark.read.parquet(folder).where("review_id <> 'z'")
+    first = canonical.keep_first(rows.withColumn("_pos", F.struct("date", "review_id")), fold_key(normalize_whitespace("review_text")), ["review_id"])
+    found = [row["review_id"] for row in streams.read_batches(spark, out, kept.schema).collect()]
+    assert sorted(found) == sorted(row["review_id"] for row in first.collect()) == ["b", "e", "f"]
+
+
+def test_late_rows_and_repeated_batches(spark, tmp_path):
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "date timestamp, sentiment_label string"
+    for day in ("2026-01-05", "2026-01-20", "2026-01-25", "2026-01-06", "2026-02-20"):
+        spark.sql(f"select timestamp'{day} 12:00' as date, 'Positive' as sentiment_label").write.mode("append").parquet(folder)
+    stream = streams.read_reviews(spark, folder, spark.createDataFrame([], schema).schema, files_per_trigger=1)
+    windows = streams.sentiment_windows(stream, frequency="W")
+    streams.write_batches(windows, out, str(tmp_path / "cp")).awaitTermination()
+    found = lambda: sorted((str(r.period)[:10], r.review_count) for r in streams.read_batches(spark, out, windows.schema).collect())
+    # The row of 6 January came when its week had been closed, so it is late.
+    assert found() == [("2026-01-05", 1), ("2026-01-19", 2)]
+    again = spark.read.parquet(out).groupBy("batch").count().collect()
+    for row in again:
+        streams.put_batch(cut_lineage(spark.read.parquet(f"{out}/batch={row['batch']}")), out, row["batch"])
+    assert found() == [("2026-01-05", 1), ("2026-01-19", 2)]
+
+
+def test_facts_by_source(spark, insight_reviews, tmp_path):
+    enriched = aspects.associate_aspect_sentiment(insight_reviews, {"Power": ["battery"], "Money": ["invoice", "payment"]})
+    store = FactStore(spark, str(tmp_path / "facts"))
+    assert store.review_facts("W").count() == 0
+    early = F.col("date") < "2026-01-20"
+    for source, part in (("x", early), ("y", ~early), ("x", early)):
+        store.put(source, enriched.where(part))
+    rows = lambda df: sorted(map(str, df.select(sorted(df.columns)).collect()))
+    for frequency in ("D", "W", "M", None):
+        assert rows(store.review_facts(frequency)) == rows(trends.review_facts(enriched, frequency))
+        assert rows(store.mention_facts(frequency)) == rows(trends.mention_facts(aspects.explode_mentions(enriched), frequency))
+    assert {row["source"]: row["review_count"] for row in store.sources().collect()} == {"x": 6, "y": 6}

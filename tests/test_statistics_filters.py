@@ -96,8 +96,7 @@ def test_ratings(spark):
 
 
 @pytest.mark.parametrize("size", [1, 2, 7, 100, 1001])
-def test_median_of_many_values(spark, monkeypatch, size):
-    monkeypatch.setattr(stats, "DIRECT_VALUES", 0)
+def test_median_of_many_values(spark, size):
     frame = spark.range(size).select((F.pmod(F.col("id") * 7919, F.lit(size)) * F.lit(0.5)).alias("rating"))
     heavy = frame.unionAll(frame.where("rating < 1").crossJoin(spark.range(size // 2)).select("rating"))
     values = [r.rating for r in heavy.collect()]

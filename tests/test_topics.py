@@ -26,6 +26,8 @@ def test_settings():
             TopicConfig(**bad)
     assert topics.document_limits(TopicConfig(), 10) == (1, 0.95)
     assert topics.document_limits(TopicConfig(min_df=50), 30) == (50, 1.0)
+    assert topics.document_limits(TopicConfig(small_corpus=0), 10) == (2, 0.95)
+    assert topics.document_limits(TopicConfig(min_df=50, small_corpus=0), 30) == (50, 0.95)
 
 
 def test_corpus(spark):

@@ -1,8 +1,9 @@
 """Rule-based aspects: phrase matching, review-sentiment reuse, aggregation.
 
-Matching is a set of literal ``contains`` tests on one normalized text column,
-so a review is matched where it is read and nothing is shuffled.  Aggregates
-group by aspect, a handful of keys, and therefore combine on the map side.
+Matching looks the token n-grams of a review up in one phrase table, so its
+cost follows the review's length and not the number of phrases; a review is
+matched where it is read and nothing is shuffled.  Aggregates group by aspect,
+a handful of keys, and therefore combine on the map side.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from voicegrid import fixed_values as fixed
 from voicegrid.functions.labels import dominant_label, label_score, match_label, normalize_label
+from voicegrid.functions.lookup import constant, count_terms, let
 from voicegrid.functions.text import aspect_match_text
 from voicegrid.schema import AspectError, pick_text_column, require_columns
 from voicegrid.session import compute_once
@@ -47,11 +49,20 @@ def validate_vocabulary(vocabulary: Vocabulary) -> dict[str, tuple[str, ...]]:
 
 
 def _phrase(term: str) -> str:
-    return f" {' '.join(term.replace(chr(39), f' {chr(39)} ').split())} "
+    return " ".join(term.replace("'", " ' ").split())
 
 
-def _term_test(prepared: Column, term: str) -> Column:
-    return prepared.contains(_phrase(term))
+def _ngrams(tokens: Column, sizes: Sequence[int]) -> Column:
+    """Runs of tokens of the given sizes, joined by one blank."""
+
+    def of_size(size: int) -> Column:
+        if size == 1:
+            return tokens
+        last = F.size(tokens) - size + 1
+        runs = F.transform(F.sequence(F.lit(1), last), lambda at: F.array_join(F.slice(tokens, at, F.lit(size)), " "))
+        return F.when(last > 0, runs).otherwise(F.array().cast("array<string>"))
+
+    return F.concat(*map(of_size, sizes))
 
 
 def detect_aspects(
@@ -64,30 +75,33 @@ def detect_aspects(
     """Add ``detected_aspects`` in vocabulary order, and ``matched_terms`` on request."""
     terms = validate_vocabulary(fixed.DEFAULT_ASPECTS if vocabulary is None else vocabulary)
     source = text_column or pick_text_column(df, AspectError)
-    prepared = df.withColumn("_phrases", aspect_match_text(source))
-    text = F.col("_phrases")
-
-    def any_term(words: Sequence[str]) -> Column:
-        test = F.lit(False)
-        for word in words:
-            test = test | _term_test(text, word)
-        return test
-
-    def listed(tests: dict[str, Column]) -> Column:
-        # array_remove stays in generated code, array_compact would not.
-        items = [F.when(test, F.lit(item)).otherwise(F.lit("")) for item, test in tests.items()]
-        return F.array_remove(F.array(*items), "")
-
-    names = {aspect: any_term(words) for aspect, words in terms.items()}
-    found = compute_once(prepared, "detected_aspects", listed(names))
+    # Pairs of aspect and term, numbered in the order of the result: aspects as listed, longer terms first.
+    pairs = [(k, term) for k, words in enumerate(terms.values()) for term in sorted(words, key=len, reverse=True)]
+    by_phrase: dict[str, list[int]] = {}
+    for number, (_, term) in enumerate(pairs):
+        by_phrase.setdefault(_phrase(term), []).append(number)
+    phrases = sorted(by_phrase)
+    sizes = sorted({len(phrase.split(" ")) for phrase in phrases})
+    pairs_of = constant([by_phrase[phrase] for phrase in phrases], "array<array<int>>")
+    aspect_of = constant([k for k, _ in pairs], "array<int>")
+    term_of = constant([term for _, term in pairs], "array<string>")
+    name_of = constant(list(terms), "array<string>")
+
+    def matches(indices: Column, _counts: Column) -> Column:
+        return F.array_sort(F.flatten(F.transform(indices, lambda i: F.get(pairs_of, i))))
+
+    tokens = let(F.split(F.trim(aspect_match_text(source)), " "), lambda words: _ngrams(words, sizes))
+    found = count_terms(df, tokens, phrases, matches, "_matches")
+    aspects = F.array_distinct(F.transform("_matches", lambda pair: F.get(aspect_of, pair)))
+    found = compute_once(found, "_aspects", aspects)
+    found = found.withColumn("detected_aspects", F.transform("_aspects", lambda k: F.get(name_of, k)))
     if with_terms:
-        lists = []
-        for words in terms.values():
-            longest_first = sorted(words, key=len, reverse=True)
-            lists.append(listed({word: _term_test(text, word) for word in longest_first}))
-        pairs = F.map_from_arrays(F.array(*map(F.lit, terms)), F.array(*lists))
-        found = found.withColumn("matched_terms", F.map_filter(pairs, lambda _, words: F.size(words) > 0))
-    return found.drop("_phrases")
+
+        def terms_in(k: Column) -> Column:
+            return F.transform(F.filter("_matches", lambda pair: F.get(aspect_of, pair) == k), lambda pair: F.get(term_of, pair))
+
+        found = found.withColumn("matched_terms", F.map_from_arrays("detected_aspects", F.transform("_aspects", terms_in)))
+    return found.drop("_matches", "_aspects")
 
 
 def associate_aspect_sentiment(

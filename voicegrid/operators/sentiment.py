@@ -1,8 +1,7 @@
 """Sentiment: TF-IDF with multinomial logistic regression, or a supplied scorer.
 
 Training runs Spark ML on a feature table in shared storage.  Scoring is
-row-local: only the token list of a review visits Python, in Arrow batches,
-and nothing is shuffled.
+row-local and stays in the JVM; only a supplied scorer runs in Python workers.
 """
 
 from __future__ import annotations
@@ -22,6 +21,7 @@ from pyspark.sql.functions import arrow_udf
 
 from voicegrid import fixed_values as fixed
 from voicegrid.functions.labels import label_order
+from voicegrid.functions.lookup import constant, count_terms, let
 from voicegrid.functions.text import clean_for_classical_model, clean_for_transformer, strip_accents
 from voicegrid.operators.labelled import class_distribution, prepare_labelled, split_labelled
 from voicegrid.operators.metrics import evaluate_predictions
@@ -32,8 +32,8 @@ from voicegrid.operators.tfidf import (
     load_vocabulary,
     save_vocabulary,
     sparse_vectors,
+    terms_of,
     tokens_of,
-    weigh,
 )
 from voicegrid.schema import FeedbackError, SentimentConfig, SplitConfig, require_columns
 from voicegrid.session import cut_lineage, scratch_table
@@ -58,23 +58,46 @@ class SentimentModel:
     kind = "logistic_regression"
     text_column = "clean_text"
 
-    def scored(self, text: str | Column) -> Column:
-        """Struct of predicted label and its probability."""
-        vocabulary, intercepts = self.vocabulary, self.intercepts
-        by_term = np.ascontiguousarray(self.coefficients.T)
+    def with_scores(self, df: DataFrame, text: str, name: str = "_scored") -> DataFrame:
+        """Add a struct of the predicted label and its probability, computed in the JVM.
 
-        @arrow_udf(SCORE_TYPE)
-        def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            terms = pa.array(vocabulary.terms, type=pa.string())
-            for batch in batches:
-                parts = [_probabilities(part, by_term, intercepts) for part in weigh(batch, vocabulary, terms)]
-                yield _best(np.concatenate(parts) if parts else np.zeros((0, len(intercepts))))
+        Known terms come with their counts; sublinear weights, the text's norm
+        and the margins are summed in one pass over them.
+        """
+        idf = constant(self.vocabulary.idf, "array<double>")
+        weights = [constant(row, "array<double>") for row in self.coefficients]
+        size = range(len(weights))
+        tokens = let(classical_tokens(text), lambda words: terms_of(words, self.vocabulary.ngram_max))
+
+        def scored(indices: Column, counts: Column) -> Column:
+            cells = F.zip_with(
+                indices, counts, lambda i, n: F.struct(i.alias("i"), ((1.0 + F.log(n)) * F.get(idf, i)).alias("w"))
+            )
+            zero = F.struct(F.lit(0.0).alias("norm"), *(F.lit(0.0).alias(f"m{k}") for k in size))
+
+            def add(total: Column, cell: Column) -> Column:
+                w = cell["w"]
+                sums = [(total[f"m{k}"] + w * F.get(weights[k], cell["i"])).alias(f"m{k}") for k in size]
+                return F.struct((total["norm"] + w * w).alias("norm"), *sums)
+
+            def choose(total: Column) -> Column:
+                norm = F.when(total["norm"] > 0, F.sqrt(total["norm"])).otherwise(1.0)
+                return F.array(*(total[f"m{k}"] / norm + F.lit(float(self.intercepts[k])) for k in size))
 
-        return score.asNondeterministic()(classical_tokens(text))
+            def best(margins: Column) -> Column:
+                top = F.array_max(margins)
+                odds = F.aggregate(margins, F.lit(0.0), lambda total, m: total + F.exp(m - top))
+                place = F.array_position(margins, top).cast("int")
+                labels = F.array(*map(F.lit, fixed.SENTIMENT_LABELS))
+                return F.struct(F.element_at(labels, place).alias("label"), (1.0 / odds).alias("score"))
+
+            return let(let(F.aggregate(cells, zero, add), choose), best)
+
+        return count_terms(df, tokens, self.vocabulary.terms, scored, name)
 
     def predict(self, df: DataFrame, text_column: str = "clean_text") -> DataFrame:
         """Add ``sentiment_label`` and ``sentiment_score``."""
-        return _spread(df, self.scored(text_column))
+        return _spread(self.with_scores(df, text_column))
 
     def save(self, spark: SparkSession, path: str) -> None:
         """Vocabulary, coefficients and metadata below ``path``."""
@@ -100,17 +123,6 @@ class SentimentModel:
         return cls(vocabulary, weights, np.array(meta["intercepts"], dtype=float), config)
 
 
-def _probabilities(part, by_term: np.ndarray, intercepts: np.ndarray) -> np.ndarray:
-    margins = np.column_stack(
-        [
-            np.bincount(part.row, part.weight * by_term[part.term, c], minlength=part.count) + intercepts[c]
-            for c in range(len(intercepts))
-        ]
-    )
-    shifted = np.exp(margins - margins.max(axis=1, keepdims=True))
-    return shifted / shifted.sum(axis=1, keepdims=True)
-
-
 def _best(probabilities: np.ndarray, labels: Sequence[str] = fixed.SENTIMENT_LABELS) -> pa.StructArray:
     choice = probabilities.argmax(axis=1) if len(probabilities) else np.zeros(0, int)
     names = pa.array(labels, type=pa.string()).take(pa.array(choice, type=pa.int64()))
@@ -118,10 +130,9 @@ def _best(probabilities: np.ndarray, labels: Sequence[str] = fixed.SENTIMENT_LAB
     return pa.StructArray.from_arrays([names, pa.array(scores, type=pa.float64())], names=["label", "score"])
 
 
-def _spread(df: DataFrame, scored: Column) -> DataFrame:
-    kept = [name for name in df.columns if name not in ("sentiment_label", "sentiment_score")]
-    with_score = df.withColumn("_scored", scored)
-    return with_score.select(
+def _spread(df: DataFrame) -> DataFrame:
+    kept = [name for name in df.columns if name not in ("sentiment_label", "sentiment_score", "_scored")]
+    return df.select(
         *kept, F.col("_scored.label").alias("sentiment_label"), F.col("_scored.score").alias("sentiment_score")
     )
 
@@ -197,7 +208,7 @@ def train_sentiment(
 
     def predictions(part: str) -> DataFrame:
         held_out = parts.where(F.col("split") == part)
-        scored = held_out.withColumn("_scored", model.scored(text_column))
+        scored = model.with_scores(held_out, text_column)
         return scored.select(
             text_column,
             F.col(label_column).alias("actual"),
@@ -274,7 +285,7 @@ class SuppliedModel:
 
     def predict(self, df: DataFrame, text_column: str = "review_text") -> DataFrame:
         """Add ``sentiment_label`` and ``sentiment_score``."""
-        return _spread(df, self.scored(text_column))
+        return _spread(df.withColumn("_scored", self.scored(text_column)))
 
 
 def predict_sentiment(df: DataFrame, model: SentimentModel | SuppliedModel) -> DataFrame:

@@ -7,10 +7,9 @@ on a small table and one frequent value never forms a large group.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from voicegrid import fixed_values as fixed
 from voicegrid.functions.casts import to_number, to_time
@@ -24,11 +23,10 @@ from voicegrid.functions.text import (
     trim_apostrophes,
     word_count,
 )
+from voicegrid.operators.order_statistics import percentiles
 from voicegrid.schema import FeedbackError
 from voicegrid.session import compute_once, cut_lineage, rows_frame
 
-# Distinct values up to which a percentile is taken in one aggregate.
-DIRECT_VALUES = 100_000
 
 TRUNC_UNITS = {"D": "day", "W": "week", "M": "month"}
 
@@ -46,18 +44,19 @@ def with_lengths(df: DataFrame, text_column: str = "review_text") -> DataFrame:
 
 def length_statistics(df: DataFrame, text_column: str = "review_text") -> DataFrame:
     """Mean, median, extremes and 90th percentile of word counts; mean characters."""
-    per_length = (
+    per_length = cut_lineage(
         with_lengths(df, text_column)
         .groupBy("review_word_count")
         .agg(F.count(F.lit(1)).alias("n"), F.sum("review_character_count").alias("characters"))
     )
     words, n = F.col("review_word_count"), F.col("n")
+    ranks = percentiles(per_length, "review_word_count", [0.5, 0.9])
     return per_length.agg(
         F.coalesce(F.sum(words * n) / F.sum(n), F.lit(0.0)).alias("average_words"),
-        F.coalesce(F.percentile(words, 0.5, n), F.lit(0.0)).alias("median_words"),
+        F.lit(ranks[0.5] or 0.0).alias("median_words"),
         F.coalesce(F.min(words), F.lit(0)).alias("minimum_words"),
         F.coalesce(F.max(words), F.lit(0)).alias("maximum_words"),
-        F.coalesce(F.percentile(words, 0.9, n), F.lit(0.0)).alias("percentile_90_words"),
+        F.lit(ranks[0.9] or 0.0).alias("percentile_90_words"),
         F.coalesce(F.sum("characters") / F.sum(n), F.lit(0.0)).alias("average_characters"),
     )
 
@@ -73,46 +72,15 @@ def _per_rating(df: DataFrame, rating_column: str) -> DataFrame:
     )
 
 
-def value_at_share(counts: DataFrame, value: str, share: float) -> float | None:
-    """Exact linear percentile of a (value, n) table of any size.
-
-    Values are range-partitioned and stored; the sums per partition tell which
-    partition holds a rank, and only that one is looked into.
-    """
-    placed = cut_lineage(
-        counts.repartitionByRange(value).sortWithinPartitions(value).withColumn("_part", F.spark_partition_id())
-    )
-    sizes = sorted((r["_part"], r["n"]) for r in placed.groupBy("_part").agg(F.sum("n").alias("n")).collect())
-    total = sum(size for _, size in sizes)
-    if not total:
-        return None
-
-    def at(rank: int) -> float:
-        before = 0
-        for part, size in sizes:
-            if rank < before + size:
-                break
-            before += size
-        upto = F.sum("n").over(Window.partitionBy("_part").orderBy(value))
-        rows = placed.where(F.col("_part") == part).withColumn("_upto", upto)
-        return rows.where(F.col("_upto") > rank - before).agg(F.min(value)).first()[0]
-
-    place = share * (total - 1)
-    low, high = at(math.floor(place)), at(math.ceil(place))
-    return low + (high - low) * (place - math.floor(place))
-
-
 def rating_statistics(df: DataFrame, rating_column: str = "rating") -> DataFrame:
     """Count, mean, median and extremes; no row when nothing is numeric.
 
-    Star ratings have a few distinct values; for a column with very many the
-    median comes from one slice of the value range.
+    The median comes from counts per value by narrowing value ranges, however
+    many values there are.
     """
     rating, n = F.col("rating"), F.col("n")
     counts = cut_lineage(_per_rating(df, rating_column))
-    median = F.percentile(rating, 0.5, n)
-    if counts.count() > DIRECT_VALUES:
-        median = F.lit(value_at_share(counts, "rating", 0.5)).cast("double")
+    median = F.lit(percentiles(counts, "rating", [0.5])[0.5]).cast("double")
     return (
         counts.agg(
             F.sum(n).alias("count"),

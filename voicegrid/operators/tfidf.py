@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
 
 from voicegrid.functions.text import vector_tokens
+from voicegrid.operators.canonical import number_rows
 
 # Tokens weighed in one step inside a task; bounds memory for long texts.
 TOKENS_PER_STEP = 400_000
@@ -100,6 +101,35 @@ def select_terms(
     return chosen.withColumn("idf", inverse_document_frequency(F.col("document_count"), documents))
 
 
+def term_weights(df: DataFrame, key: str, tokens: Column, chosen: DataFrame, ngram_max: int = 2) -> DataFrame:
+    """(key, term, weight) of any number of terms: no vocabulary leaves the executors.
+
+    Counts per text are joined with the table of ``chosen`` terms and their
+    ``idf``, then divided by the text's norm.  ``key`` must be unique.
+    """
+    lists = df.select(key, tokens.alias("_tokens")).select(key, terms_of(F.col("_tokens"), ngram_max).alias("_terms"))
+    rows = lists.select(key, F.explode_outer("_terms").alias("term")).where(F.col("term").isNotNull())
+    counts = rows.groupBy(key, "term").agg(F.count(F.lit(1)).alias("n"))
+    weighed = counts.join(chosen.select("term", "idf"), "term").select(key, "term", ((1.0 + F.log("n")) * F.col("idf")).alias("weight"))
+    norms = weighed.groupBy(key).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("_norm"))
+    return weighed.join(norms, key).select(key, "term", (F.col("weight") / F.col("_norm")).alias("weight"))
+
+
+def number_terms(chosen: DataFrame) -> DataFrame:
+    """``term``, ``number`` (0-based, alphabetical) and ``idf``; ranks come from range partitions."""
+    numbered = number_rows(chosen.select(F.struct("term", "idf").alias("_pos")))
+    return numbered.select("_pos.term", (F.col("_number") - 1).alias("number"), "_pos.idf")
+
+
+def table_vectors(weights: DataFrame, numbered: DataFrame, key: str) -> DataFrame:
+    """``vector`` (ascending numbers and their weights) of each text from a weight table of any vocabulary size."""
+    cells = weights.join(numbered.select("term", "number"), "term").select(key, F.struct("number", "weight").alias("cell"))
+    listed = cells.groupBy(key).agg(F.array_sort(F.collect_list("cell")).alias("_cells"))
+    return listed.select(
+        key, F.struct(F.col("_cells.number").alias("indices"), F.col("_cells.weight").alias("weights")).alias("vector")
+    )
+
+
 def fit_vocabulary(
     df: DataFrame,
     tokens: Column,

@@ -28,7 +28,6 @@ from voicegrid.operators.tfidf import (
 from voicegrid.schema import TopicConfig, TopicError, pick_text_column, require_columns
 from voicegrid.session import compute_once, cut_lineage, rows_frame, scratch_table
 
-SMALL_CORPUS = 20
 
 
 # ------------------------------------------------------------------ corpus --
@@ -204,10 +203,14 @@ def topic_tokens(text: str | Column, config: TopicConfig) -> Column:
 
 
 def document_limits(config: TopicConfig, documents: int) -> tuple[int, float]:
-    """Effective ``min_df`` and ``max_df``; small corpora keep rare terms."""
-    low = config.min_df if documents >= SMALL_CORPUS else 1
-    high = 1.0 if int(config.max_df * documents) < low else config.max_df
-    return low, high
+    """Effective ``min_df`` and ``max_df``.
+
+    Below ``config.small_corpus`` texts rare terms stay, and a ``max_df`` that
+    ``min_df`` contradicts is lifted; with 0 the limits hold as they stand.
+    """
+    low = config.min_df if documents >= config.small_corpus else 1
+    lifted = config.small_corpus > 0 and int(config.max_df * documents) < low
+    return low, 1.0 if lifted else config.max_df
 
 
 @dataclass(frozen=True)
@@ -234,7 +237,7 @@ def fit_topics(
     texts = cut_lineage(cleaned.select("topic_text").where(F.col("topic_text") != "").distinct())
     documents = texts.count()
     if documents == 0:
-        raise TopicError("After cleaning, no text is left to find topics in.")
+        raise TopicError("No usable text is left after cleaning.")
     if documents < config.n_topics:
         raise TopicError(f"Need at least {config.n_topics} usable unique reviews; received {documents}.")
     tokens = topic_tokens("topic_text", config)

@@ -13,11 +13,20 @@ from voicegrid.functions import text as text_functions
 from voicegrid.functions.labels import label_score, normalize_label
 from voicegrid.operators import aspects, canonical, filters, insights, labelled, metrics, profiling
 from voicegrid.operators import sentiment, statistics, tfidf, topic_quality, topics, trends, validation
+from voicegrid.operators.fact_store import FactStore
 from voicegrid.plans import pipeline
 from voicegrid.schema import ColumnMapping, SentimentConfig, SplitConfig, TopicConfig
 from voicegrid.session import cut_lineage, rows_frame, scratch_dir
-from voicegrid.sources.driver_tables import CORPUS_ASPECTS, feedback, labelled_feedback, review_texts, table
-from voicegrid.sources.fingerprint import fingerprint
+from voicegrid.sources.driver_tables import (
+    CORPUS_ASPECTS,
+    feedback,
+    gold_feedback,
+    labelled_feedback,
+    review_texts,
+    star_label,
+    table,
+)
+from voicegrid.sources.fingerprint import add_parts, fingerprint_of, fingerprint_parts
 from voicegrid.streaming import reviews as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,7 +41,6 @@ KEYWORDS = {
     3: ("el", "los", "que", "las", "del"),
 }
 WEEK = "W"
-VOCABULARY_SIZE = 200
 
 
 def query(build: Query) -> Query:
@@ -111,10 +119,10 @@ def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gold label against a star-rating rule."""
+    """Gold label against a star-rating rule; rows without a rating count as bad."""
     rating = F.col("rating")
     rule = F.when(rating >= 4, "Positive").when(rating == 3, "Neutral").otherwise("Negative")
-    return labelled_feedback(spark, sf_dir).select(
+    return gold_feedback(spark, sf_dir).select(
         "review_text", "rating", F.col("sentiment_label").alias("actual"), rule.alias("predicted")
     )
 
@@ -384,7 +392,7 @@ def confidence_histogram(spark, sf_dir):
 # --------------------------------------------------------------- sentiment --
 @query
 def labeled_clean(spark, sf_dir):
-    rows = labelled.prepare_labelled(labelled_feedback(spark, sf_dir))
+    rows = labelled.prepare_labelled(gold_feedback(spark, sf_dir))
     return rows.select(_digest("review_text").alias("text_md5"), "sentiment_label")
 
 
@@ -398,12 +406,12 @@ def label_conflicts(spark, sf_dir):
 
 @query
 def class_distribution(spark, sf_dir):
-    return labelled.class_distribution(labelled_feedback(spark, sf_dir))
+    return labelled.class_distribution(gold_feedback(spark, sf_dir))
 
 
 @query
 def stratified_split(spark, sf_dir):
-    rows = labelled.prepare_labelled(labelled_feedback(spark, sf_dir))
+    rows = labelled.prepare_labelled(gold_feedback(spark, sf_dir))
     return labelled.split_labelled(rows, SplitConfig()).select(
         _digest("review_text").alias("text_md5"), "sentiment_label", "split"
     )
@@ -512,13 +520,20 @@ def term_statistics(spark, sf_dir):
 
 @query
 def tfidf_weights(spark, sf_dir):
+    """Weights of all terms within the document limits."""
     corpus = _stored_corpus(spark, sf_dir)
-    documents = corpus.count()
-    vocabulary = tfidf.fit_vocabulary(
-        corpus, _topic_tokens(), documents, max_features=VOCABULARY_SIZE, min_df=2, max_df=0.95
-    )
-    vectors = tfidf.sparse_vectors(corpus, _topic_tokens(), vocabulary)
-    return tfidf.long_weights(vectors, vocabulary, "doc_id")
+    counts = tfidf.term_statistics(corpus, _topic_tokens(), 2)
+    chosen = cut_lineage(tfidf.select_terms(counts, corpus.count(), max_features=None, min_df=2, max_df=0.95))
+    return tfidf.term_weights(corpus, "doc_id", _topic_tokens(), chosen)
+
+
+@query
+def term_numbers(spark, sf_dir):
+    """Each term's place in the alphabet of all terms."""
+    corpus = _stored_corpus(spark, sf_dir)
+    counts = tfidf.term_statistics(corpus, _topic_tokens(), 2)
+    chosen = tfidf.select_terms(counts, corpus.count(), max_features=None, min_df=2, max_df=0.95)
+    return tfidf.number_terms(chosen).select("term", "number")
 
 
 @query
@@ -573,7 +588,11 @@ def topic_profile(spark, sf_dir):
 
 @query
 def topic_examples(spark, sf_dir):
-    return topics.topic_examples(labelled_feedback(spark, sf_dir), "de").select("review_id", "topic_label", "sentiment_label")
+    """Examples by the stored representatives of the topics."""
+    rows = with_topics(spark, sf_dir)
+    strongest = topics.topic_representatives(rows.withColumn("topic_strength", F.col("sentiment_score")))
+    stored = {row["topic_id"]: row["representative_review_ids"] for row in strongest.collect()}
+    return topics.topic_examples(rows, "de", stored).select("review_id", "topic_label", "sentiment_label")
 
 
 @query
@@ -722,6 +741,38 @@ def sentiment_change(spark, sf_dir):
     return trends.sentiment_change(trends.sentiment_trend(review_facts(spark, sf_dir)))
 
 
+def _fact_store(spark: SparkSession, sf_dir: str) -> FactStore:
+    """Facts of all reviews, stored as three sources one after the other, the first of them twice."""
+    store = FactStore(spark, f"{scratch_dir(spark)}/voicegrid/facts-{uuid.uuid4().hex}")
+    rows = cut_lineage(enriched(spark, sf_dir).drop("review_text", "clean_text"))
+    first = F.coalesce(F.col("version") == "src0", F.lit(False))
+    german = F.coalesce(F.col("product") == "de", F.lit(False))
+    for name, part in (("a", first), ("b", ~first & german), ("a", first), ("c", ~first & ~german)):
+        store.put(name, rows.where(part))
+    return store
+
+
+@query
+def incremental_volume(spark, sf_dir):
+    return trends.review_volume(_fact_store(spark, sf_dir).review_facts(WEEK))
+
+
+@query
+def incremental_topic_trend(spark, sf_dir):
+    return trends.topic_trend(_fact_store(spark, sf_dir).review_facts(WEEK))
+
+
+@query
+def incremental_aspect_trend(spark, sf_dir):
+    return trends.aspect_trend(_fact_store(spark, sf_dir).mention_facts(WEEK))
+
+
+@query
+def incremental_summary(spark, sf_dir):
+    store = _fact_store(spark, sf_dir)
+    return insights.summary_of_facts(store.mention_facts(None), trends.total_of(store.review_facts(None)))
+
+
 @query
 def evidence_floor(spark, sf_dir):
     total = labelled_feedback(spark, sf_dir).agg(F.count(F.lit(1)).alias("total_reviews"))
@@ -809,15 +860,16 @@ def filtered_insights(spark, sf_dir):
 
 # ----------------------------------------------------------------- streams --
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as a file stream, dated and labelled by static joins."""
+    """Documents as a file stream, dated and labelled by static left joins."""
     schema = table(spark, sf_dir, "documents").schema
-    events = table(spark, sf_dir, "events").select("event_id", F.col("ts").alias("date"))
-    gold = table(spark, sf_dir, "labels").where(F.coalesce("toxic", "quality").isNotNull())
-    label = F.when(F.col("toxic") == 1, "Negative").when(F.col("quality") == 1, "Positive").otherwise("Neutral")
+    events = table(spark, sf_dir, "events").select("event_id", F.col("ts").alias("date"), "value")
+    gold = table(spark, sf_dir, "labels")
+    own = F.when(F.col("toxic") == 1, "Negative").when(F.col("quality") == 1, "Positive").when(F.col("quality") == 0, "Neutral")
     # The pattern matches the table as one file and as a folder of part files.
     stream = streams.read_reviews(spark, f"{sf_dir}/documents.parquet*", schema)
-    joined = stream.join(events, F.col("event_id") == F.col("doc_id") * 10).join(gold, "doc_id")
-    return joined.select("doc_id", F.col("text").alias("review_text"), "date", label.alias("sentiment_label"))
+    joined = stream.join(events, F.col("event_id") == F.col("doc_id") * 10, "left").join(gold, "doc_id", "left")
+    rated = joined.withColumn("rating", F.least(F.lit(5), F.lit(1) + F.floor(F.col("value") / 25)).cast("double"))
+    return rated.select("doc_id", F.col("text").alias("review_text"), "date", F.coalesce(own, star_label()).alias("sentiment_label"))
 
 
 def _latest_state(stream: DataFrame, name: str) -> DataFrame:
@@ -874,6 +926,35 @@ def stream_distinct(spark, sf_dir):
     return _written(kept, "distinct").agg(F.count(F.lit(1)).alias("distinct_reviews"))
 
 
+@query
+def stream_closed_windows(spark, sf_dir):
+    """Weeks that the watermark has closed, appended once, in batches by number."""
+    stream = streams.sentiment_windows(_stream(spark, sf_dir), frequency=WEEK, late_by="2 days")
+    folder = _fresh(spark, "closed")
+    streams.write_batches(stream, f"{folder}/data", f"{folder}/checkpoint").awaitTermination()
+    return streams.read_batches(spark, f"{folder}/data", stream.schema)
+
+
+@query
+def stream_earliest(spark, sf_dir):
+    """The earliest review of each text by event time, of those the watermark has passed."""
+    streams.needs_column_families(spark)
+    stream = _stream(spark, sf_dir).withColumn("review_id", F.format_string("review_%06d", "doc_id"))
+    kept = streams.earliest_of_repeats(stream, ["review_id"], text_column="review_text", late_by="2 days")
+    folder = _fresh(spark, "earliest")
+    streams.write_batches(kept, f"{folder}/data", f"{folder}/checkpoint").awaitTermination()
+    return streams.read_batches(spark, f"{folder}/data", kept.schema).select("review_id", "date")
+
+
+@query
+def dataset_fingerprint(spark, sf_dir):
+    """Fingerprint of all reviews, added up from the parts of two halves."""
+    rows, names = labelled_feedback(spark, sf_dir), ["review_text", "sentiment_label"]
+    first = F.coalesce(F.col("version") == "src0", F.lit(False))
+    parts = add_parts(fingerprint_parts(rows.where(first), names), fingerprint_parts(rows.where(~first), names))
+    return fingerprint_of(parts, names)
+
+
 # --------------------------------------------------- models, without an SQL --
 class _KeywordScorer:
     """Stand-in for an external model: counts a few corpus words."""
@@ -888,7 +969,7 @@ class _KeywordScorer:
 
 
 def _fitted(spark: SparkSession, sf_dir: str) -> sentiment.SentimentModel:
-    pairs = labelled.prepare_labelled(labelled_feedback(spark, sf_dir))
+    pairs = labelled.prepare_labelled(gold_feedback(spark, sf_dir))
     return sentiment.fit_sentiment(pairs, SentimentConfig())
 
 
@@ -906,12 +987,12 @@ def sentiment_supplied(spark, sf_dir):
 
 @query
 def sentiment_training(spark, sf_dir):
-    _, report, _ = sentiment.train_sentiment(labelled_feedback(spark, sf_dir), SentimentConfig())
+    _, report, _ = sentiment.train_sentiment(gold_feedback(spark, sf_dir), SentimentConfig())
     shown = ("accuracy", "precision_macro", "recall_macro", "macro_f1", "weighted_f1", "mean_confidence")
     return rows_frame(spark, [(name, float(report[name])) for name in shown], "metric string, value double")
 
 
-TOPICS = TopicConfig(n_topics=4, max_features=2_000)
+TOPICS = TopicConfig()
 
 
 @query
@@ -923,7 +1004,7 @@ def topic_assignments(spark, sf_dir):
 @query
 def topic_quality_report(spark, sf_dir):
     fit = topics.fit_topics(feedback(spark, sf_dir), TOPICS)
-    found = topic_quality.evaluate_topics(fit, stability_runs=2)
+    found = topic_quality.evaluate_topics(fit)
     return rows_frame(spark, [(name, float(value)) for name, value in found.items()], "metric string, value double")
 
 
@@ -936,13 +1017,8 @@ def full_analysis(spark, sf_dir):
     ).dataframe
     model = _fitted(spark, sf_dir)
     done = pipeline.run_pipeline(
-        rows, model, topic_config=TOPICS, vocabulary=CORPUS_ASPECTS, strict=False, stability_runs=1
+        rows, model, topic_config=TOPICS, vocabulary=CORPUS_ASPECTS, strict=False
     )
     return done.dataframe.select(
         "review_id", "sentiment_label", "sentiment_score", "topic_id", "topic_label", "detected_aspects"
     )
-
-
-@query
-def dataset_fingerprint(spark, sf_dir):
-    return fingerprint(labelled_feedback(spark, sf_dir), ["review_text", "sentiment_label"])

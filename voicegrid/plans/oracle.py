@@ -42,8 +42,10 @@ feedback AS (
 """
 LABELLED = FEEDBACK + """,
 labelled AS (
-  SELECT *, product AS topic_label, list_position(['de', 'en', 'es', 'fr'], product) - 1 AS topic_id
-  FROM feedback WHERE sentiment_label IS NOT NULL)
+  SELECT * REPLACE (coalesce(sentiment_label, CASE WHEN rating >= 4 THEN 'Positive' WHEN rating < 3 THEN 'Negative' ELSE 'Neutral' END)
+    AS sentiment_label), product AS topic_label, list_position(['de', 'en', 'es', 'fr'], product) - 1 AS topic_id
+  FROM feedback),
+gold AS (SELECT * FROM feedback WHERE sentiment_label IS NOT NULL)
 """
 RAW = FEEDBACK + """,
 raw AS (
@@ -386,13 +388,13 @@ add("rating_histogram", FEEDBACK, histogram("feedback", "rating", "least(20, gre
 add("confidence_histogram", LABELLED, histogram("labelled", "sentiment_score", "20"))
 
 # --------------------------------------------------------------- sentiment --
-add("labeled_clean", LABELLED, "SELECT DISTINCT md5(clean_text) AS text_md5, sentiment_label FROM labelled WHERE clean_text <> ''")
+add("labeled_clean", LABELLED, "SELECT DISTINCT md5(clean_text) AS text_md5, sentiment_label FROM gold WHERE clean_text <> ''")
 add("label_conflicts", FEEDBACK, """
 SELECT md5(clean_text) AS text_md5, count(DISTINCT doc_id % 3) AS label_count FROM feedback WHERE clean_text <> ''
 GROUP BY clean_text HAVING count(DISTINCT doc_id % 3) > 1""")
-add("class_distribution", LABELLED, "SELECT sentiment_label, count(*) AS row_count FROM labelled GROUP BY 1")
+add("class_distribution", LABELLED, "SELECT sentiment_label, count(*) AS row_count FROM gold GROUP BY 1")
 add("stratified_split", LABELLED + """,
-pairs AS (SELECT DISTINCT clean_text, sentiment_label FROM labelled WHERE clean_text <> ''),
+pairs AS (SELECT DISTINCT clean_text, sentiment_label FROM gold WHERE clean_text <> ''),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY sentiment_label ORDER BY md5('42:' || clean_text)) AS place,
                   count(*) OVER (PARTITION BY sentiment_label) AS total FROM pairs)""", """
 SELECT md5(clean_text) AS text_md5, sentiment_label,
@@ -401,7 +403,7 @@ SELECT md5(clean_text) AS text_md5, sentiment_label,
 PREDICTIONS = LABELLED + """,
 predictions AS (
   SELECT 'documents' AS dataset, review_text, rating, sentiment_label AS actual,
-         CASE WHEN rating >= 4 THEN 'Positive' WHEN rating = 3 THEN 'Neutral' ELSE 'Negative' END AS predicted FROM labelled),
+         CASE WHEN rating >= 4 THEN 'Positive' WHEN rating = 3 THEN 'Neutral' ELSE 'Negative' END AS predicted FROM gold),
 names(label) AS (VALUES ('Negative'), ('Neutral'), ('Positive'))
 """
 
@@ -495,18 +497,18 @@ vocabulary AS (
   SELECT term, sum(tf)::BIGINT AS corpus_count, count(*) AS document_count,
          ln((1.0 + any_value(n)) / (1.0 + count(*))) + 1.0 AS idf
   FROM counts, size GROUP BY term HAVING count(*) >= 2 AND count(*) <= 0.95 * any_value(n)
-  /*chosen*/)
+  )
 """
-TERMS = ALL_TERMS.replace("/*chosen*/", "ORDER BY 2 DESC, 1 LIMIT 200")
 add("topic_corpus", CORPUS, "SELECT doc_id, md5(topic_text) AS topic_md5 FROM corpus")
 add("corpus_stats", CORPUS, """
 SELECT (SELECT count(*) FROM texts) AS source_rows, (SELECT count(*) FROM corpus) AS modeled_rows,
        (SELECT count(*) FROM texts WHERE topic_text = '') AS empty_rows_removed,
        (SELECT count(*) FROM texts WHERE topic_text <> '') - (SELECT count(*) FROM corpus) AS duplicate_rows_removed""")
 add("term_statistics", ALL_TERMS, "SELECT term, corpus_count, document_count, round(idf, 6) AS idf FROM vocabulary")
-add("tfidf_weights", TERMS + """,
+add("tfidf_weights", ALL_TERMS + """,
 weighed AS (SELECT doc_id, term, (1 + ln(tf)) * idf AS w FROM counts JOIN vocabulary USING (term))""", """
 SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM weighed""")
+add("term_numbers", ALL_TERMS, "SELECT term, row_number() OVER (ORDER BY term) - 1 AS number FROM vocabulary")
 KEYWORD_TABLE = FEEDBACK + rf""",
 kw AS (
   SELECT topic_id, row_number() OVER (PARTITION BY topic_id ORDER BY weight DESC, term) AS rank, term, weight
@@ -554,7 +556,8 @@ SELECT topic_id::BIGINT AS topic_id, string_agg(review_id, '|' ORDER BY rank) AS
 FROM (SELECT topic_id, review_id, row_number() OVER (PARTITION BY topic_id ORDER BY sentiment_score DESC, review_id) AS rank
       FROM labelled) WHERE rank <= 5 GROUP BY 1""")
 add("topic_examples", LABELLED, """
-SELECT review_id, topic_label, sentiment_label FROM labelled WHERE topic_label = 'de' ORDER BY review_id LIMIT 5""")
+SELECT review_id, topic_label, sentiment_label FROM labelled WHERE topic_label = 'de' AND review_id IN (
+  SELECT review_id FROM labelled QUALIFY row_number() OVER (PARTITION BY topic_id ORDER BY sentiment_score DESC, review_id) <= 5)""")
 add("assignment_coverage", FEEDBACK, """
 SELECT round(avg((coalesce(rating, 0) > 1)::INT), 6) AS assignment_coverage FROM feedback""")
 PRESENCE = FEEDBACK + rf""",
@@ -761,10 +764,26 @@ SELECT concat_ws(' ',
 
 # ----------------------------------------------------------------- streams --
 DATED = "(SELECT * FROM {source} WHERE date IS NOT NULL)"
-add("stream_enriched", ENRICHED, f"""
-SELECT aspect, aspect_sentiment_label, count(*) AS mention_count FROM {DATED.format(source='mentions')} GROUP BY 1, 2""")
+add("stream_enriched", ENRICHED, """
+SELECT aspect, aspect_sentiment_label, count(*) AS mention_count FROM mentions GROUP BY 1, 2""")
 add("stream_sentiment_windows", FACTS, """
 SELECT period, sentiment_label, count(*) AS review_count FROM weekly WHERE period IS NOT NULL GROUP BY 1, 2""")
 add("stream_aspect_windows", FACTS, "SELECT period, aspect, mention_count, negative_count FROM aspect_trend")
 add("stream_distinct", LABELLED, f"""
 SELECT count(DISTINCT {fold('clean_text')}) AS distinct_reviews FROM {DATED.format(source='labelled')}""")
+add("stream_closed_windows", FACTS, """
+SELECT period, sentiment_label, count(*) AS review_count FROM weekly
+WHERE period + INTERVAL 7 DAY <= (SELECT max(date) FROM weekly) - INTERVAL 2 DAY GROUP BY 1, 2""")
+add("stream_earliest", LABELLED, f"""
+SELECT review_id, date FROM (
+  SELECT review_id, date FROM labelled WHERE date IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY {fold('clean_text')} ORDER BY date, review_id) = 1)
+WHERE date <= (SELECT max(date) FROM labelled) - INTERVAL 2 DAY""")
+for _name, _same in (("volume", "review_volume"), ("topic_trend", "topic_trend"), ("aspect_trend", "aspect_trend"), ("summary", "aspect_summary")):
+    ORACLES[f"incremental_{_name}"] = ORACLES[_same]
+_CELL = "CASE WHEN {0} IS NULL THEN '-' ELSE length({0}) || ':' || {0} END"
+_LANE = "list_reduce(list_transform(string_split(substr(h, {0}, 8), ''), lambda c: strpos('0123456789abcdef', c) - 1), lambda a, b: a * 16 + b)"
+add("dataset_fingerprint", LABELLED + f""",
+hashed AS (SELECT sha256({_CELL.format('review_text')} || {_CELL.format('sentiment_label')}) AS h FROM labelled)""", f"""
+SELECT sha256(concat_ws('|', 'review_text,sentiment_label', count(*), {", ".join(f"sum({_LANE.format(8 * k + 1)}::HUGEINT)" for k in range(8))})) AS fingerprint,
+  count(*) AS row_count FROM hashed""")

@@ -145,6 +145,8 @@ class TopicConfig:
     max_iter: int = 400
     tol: float = 1e-4
     stop_words: tuple[str, ...] | None = None
+    #: Below this many texts ``min_df`` counts as 1 and a contradicted ``max_df`` as 1.0; 0 keeps both as they stand.
+    small_corpus: int = 20
 
     def __post_init__(self) -> None:
         checks = (

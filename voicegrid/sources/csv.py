@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import codecs
 from dataclasses import dataclass
+from functools import reduce
 from pathlib import PurePosixPath
 
 from pyspark.errors import AnalysisException
@@ -67,23 +68,52 @@ def _reader(spark: SparkSession, encoding: str, config: IngestConfig):
     return spark.read.options(header="true", encoding=jvm_name, multiLine=config.multi_line_csv, mode="PERMISSIVE", escape='"')
 
 
+def header_census(spark: SparkSession, path: str, encoding: str) -> list[tuple[str, list[str]]]:
+    """First lines of the files of a path or glob, each with its files, in the order of their first file.
+
+    One row a file reaches the driver.  Only the first split of a file is
+    looked into for its first line, whose place is its offset.
+    """
+    lines = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start")
+    heads = lines.where(F.col("file_block_start") == 0).withColumn("place", F.monotonically_increasing_id())
+    first = heads.groupBy("file_path").agg(F.min_by("value", "place").alias("head"))
+    found: dict[str, list[str]] = {}
+    for row in sorted(first.collect(), key=lambda row: row["file_path"]):
+        found.setdefault(row["head"].removeprefix("\ufeff").rstrip("\r"), []).append(row["file_path"])
+    return list(found.items())
+
+
+def _read_alike(spark: SparkSession, paths: str | list[str], encoding: str, config: IngestConfig) -> DataFrame:
+    """Files of one header as text columns, with a last column for surplus fields."""
+    header = _reader(spark, encoding, config).csv(paths if isinstance(paths, str) else paths[0])
+    if not header.columns:
+        raise EmptyCsvError("The CSV does not contain readable columns or rows.")
+    names = [name.lstrip(codecs.BOM_UTF8.decode("utf-8")) for name in header.columns]
+    schema = T.StructType([T.StructField(name, T.StringType()) for name in [*_unique(names), _EXTRA]])
+    return _reader(spark, encoding, config).option("enforceSchema", "true").schema(schema).csv(paths)
+
+
 def load_csv(spark: SparkSession, path: str, config: IngestConfig = IngestConfig()) -> LoadedCsv:
     """Read a CSV path or glob as text columns.
 
-    Short records are padded with nulls; a record with more fields than the
-    header is an error.  The usual markers for missing cells become null.
+    Files with different headers are read by name, each by its own header:
+    columns keep the order in which files bring them, and a file without a
+    column has nulls there.  Short records are padded with nulls; a record with
+    more fields than its header is an error.  The usual markers for missing
+    cells become null.
     """
     check_name(path)
     try:
         encoding = pick_encoding(spark, path, config.encodings)
-        header = _reader(spark, encoding, config).csv(path)
+        census = header_census(spark, path, encoding)
+        if len(census) > 1:
+            parts = [_read_alike(spark, paths, encoding, config) for head, paths in census if head.strip()]
+            rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+        else:
+            rows = _read_alike(spark, path, encoding, config)
     except AnalysisException as problem:
         raise CsvLoadError(f"The CSV file could not be read: {problem}") from problem
-    if not header.columns:
-        raise EmptyCsvError("The CSV does not contain readable columns or rows.")
-    names = [name.lstrip(codecs.BOM_UTF8.decode("utf-8")) for name in header.columns]
-    schema = T.StructType([T.StructField(name, T.StringType()) for name in [*_unique(names), _EXTRA]])
-    rows = _reader(spark, encoding, config).option("enforceSchema", "true").schema(schema).csv(path)
+    names = [name for name in rows.columns if name != _EXTRA]
     counts = rows.select(F.col(_EXTRA).isNotNull().alias("long"))
     if config.max_rows is not None:
         counts = counts.limit(config.max_rows + 1)
@@ -95,9 +125,7 @@ def load_csv(spark: SparkSession, path: str, config: IngestConfig = IngestConfig
     if not checked["rows"]:
         raise EmptyCsvError("The CSV contains headers but no data rows.")
     missing = list(fixed.CSV_MISSING_MARKERS)
-    cells = [
-        F.when(~F.col(f"`{name}`").isin(missing), F.col(f"`{name}`")).alias(name) for name in _unique(names)
-    ]
+    cells = [F.when(~F.col(f"`{name}`").isin(missing), F.col(f"`{name}`")).alias(name) for name in names]
     return LoadedCsv(rows.select(*cells), path, encoding)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from voicegrid.functions.text import normalize_whitespace
 
@@ -23,14 +23,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Use all task slots on an input too small to fill them.
+#: Names a number of partitions to deal the documents into after reading; unset, they stay as read.
+#: It serves tables written as one row group, which a single task reads.
+INPUT_PARTITIONS = "spark.voicegrid.inputPartitions"
+
 
-    The driver writes each table as one row group, which a single task reads.
-    Inputs with at least one split per slot are left as they are.
-    """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= slots else df.repartition(slots, key)
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Deals rows out anew where the session asks for it."""
+    wanted = df.sparkSession.conf.get(INPUT_PARTITIONS, None)
+    return df.repartition(int(wanted), key) if wanted else df
 
 
 def review_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +77,18 @@ def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def star_label(rating: str = "rating") -> Column:
+    """The label that a star rating stands for; Neutral without one."""
+    stars = F.col(rating)
+    return F.when(stars >= 4, "Positive").when(stars < 3, "Negative").otherwise("Neutral")
+
+
+def gold_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feedback rows with a gold label, for training and evaluation."""
+    return feedback(spark, sf_dir).where(F.col("sentiment_label").isNotNull())
+
+
 def labelled_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Feedback rows with a gold label; the product stands in for the topic."""
-    rows = feedback(spark, sf_dir).where(F.col("sentiment_label").isNotNull())
-    return rows.withColumn("topic_label", F.col("product"))
+    """All feedback rows, labelled by gold or else by stars; the product stands in for the topic."""
+    label = F.coalesce("sentiment_label", star_label())
+    return feedback(spark, sf_dir).withColumns({"sentiment_label": label, "topic_label": F.col("product")})
