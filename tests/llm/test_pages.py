@@ -5,6 +5,7 @@ import hashlib
 import html
 import io
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -57,6 +58,46 @@ def test_boilerplate_is_left_out(holder, inside):
     assert H.main_text(source, H.DEFAULT_WEIGHTS) == EXPECTED
 
 
+WRAPPED = "<article><h1>Head</h1>" + "<p>Some words of an article that goes on for a while, and then ends.</p>" * 6 + "</article>"
+WRAPPED_TEXT = "\n".join(["Head"] + ["Some words of an article that goes on for a while, and then ends."] * 6)
+
+
+@pytest.mark.parametrize("source", [
+    "<div class='layout has-sidebar'>{}</div>", "<form id='aspnetForm'><div>{}</div></form>", "<section class='social-science'>{}</section>",
+    "<div id='content-with-sidebar'><div class=banner-wrap>{}</div><div class=sidebar><p>Other things here</p></div></div>", "<!-->{}", "<!--->{}",
+    "<!-- a -- b -->{}<!-- open", "<div role=form>{}</div><div class=comments><article class=comment><p>I liked it a lot, thank you</p></article></div>",
+])
+def test_wrappers_keep_their_article(source):
+    assert H.main_text("<body>" + source.format(WRAPPED) + "</body>", H.DEFAULT_WEIGHTS) == WRAPPED_TEXT
+    plain = WRAPPED.replace("<article>", "<div>").replace("</article>", "</div>")
+    assert H.main_text("<body>" + source.format(plain) + "</body>", H.DEFAULT_WEIGHTS) == WRAPPED_TEXT
+
+
+def test_link_paragraphs_stay_and_menus_go():
+    body = "<div><p>Plain words to begin with, and some more of them.</p><p><a href=x>A paragraph that is a link</a></p><p>And words to end with, after the link.</p><ul><li><a href=a>One</a></li><li><a href=b>Two</a></li></ul></div>"
+    text = H.main_text(f"<body>{body}</body>", H.DEFAULT_WEIGHTS)
+    assert text.split("\n") == ["Plain words to begin with, and some more of them.", "A paragraph that is a link", "And words to end with, after the link."]
+
+
+def test_long_comments_stay_out():
+    comments = "<div class=comments>" + "<p>A reader goes on and on about nothing in particular here.</p>" * 60 + "</div>"
+    assert H.main_text(f"<body>{WRAPPED}{comments}</body>", H.DEFAULT_WEIGHTS) == WRAPPED_TEXT
+    plain = WRAPPED.replace("article>", "div>")
+    assert H.main_text(f"<body>{plain}{comments}</body>", H.DEFAULT_WEIGHTS) == WRAPPED_TEXT
+
+
+@pytest.mark.parametrize("source", [
+    "<div>" * 100_000 + WRAPPED, "<div>" * 50_000 + WRAPPED + "</span>" * 50_000, "<b>" * 50_000 + "<p>x y z" * 50_000, "<div class=nav>" * 50_000 + WRAPPED,
+    "<table><tr><td>" * 30_000 + WRAPPED + "</p>" * 30_000, "<li><b>w" * 60_000, ("<div><p>one two three</p>" * 30_000),
+])
+def test_deep_pages_take_linear_time(source):
+    began = time.process_time()
+    weights = H.DEFAULT_WEIGHTS
+    H.feature_counts(H.Page(source))
+    H.main_text(source, weights)
+    assert time.process_time() - began < 20
+
+
 def test_region_is_the_best_sum():
     page = H.Page("<p>a b c</p><li>x</li><li>y</li><li>z</li><p>d e f g</p>")
     weights = {"word": 1.0, "tag": -1.0}

@@ -47,6 +47,9 @@ NAMES_LEFT_OUT = frozenset(
     "share sharing social related recommended comment comments commentlist disqus reply replies respond pagination pager widget "
     "widgets toolbar copyright skip form search".split()
 )
+#: What readers wrote is left out even if it is most of the page.
+READER_NAMES = frozenset("comment comments commentlist disqus reply replies respond".split())
+SENTENCES = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre dd figcaption".split())
 NAME_STARTS = ("advert", "cookie", "comment", "sidebar", "newsletter", "sponsor")
 NAME_ENDS = ("menu", "nav", "navbar", "sidebar", "footer", "banner", "advert", "comments")
 ROLES_LEFT_OUT = frozenset(
@@ -60,9 +63,13 @@ DEFAULT_WEIGHTS = {"word": 1.0, "word link": 0.1, "word out": 0.0, "tag": -2.0,
 KEPT_SHARE = 0.9
 
 
+#: Why an element is left out: never mind where it stands, by what readers wrote, or by a name that may mislead.
+HARD, READERS, NAMED = 3, 2, 1
+
+
 @dataclass
 class Element:
-    """An open or closed element of a page."""
+    """An open or closed element of a page; ``reason`` is its own, ``out`` includes those around it."""
 
     tag: str
     parent: int
@@ -70,6 +77,8 @@ class Element:
     link: bool
     inside: bool
     labelled: bool = False
+    reason: int = 0
+    words: int = 0
 
 
 @dataclass
@@ -86,16 +95,61 @@ class Block:
 
 
 class Page:
-    """Elements, blocks and the scored row of one page."""
+    """Elements, blocks and the scored row of one page.
+
+    Elements are numbered as they open, so what is below one has the numbers up
+    to its ``ends``.  Depths of open elements are kept by name, so that no tag
+    walks the stack.  A name or a form that holds the article, or most of the
+    page's words outside links where little else is left, leaves nothing out:
+    such a page is read again with those elements spared.
+    """
 
     def __init__(self, source: str) -> None:
+        self._begin(frozenset())
+        self._read(source)
+        spared = self._misleading()
+        if spared:
+            self._begin(spared)
+            self._read(source)
+        self.ends = list(range(len(self.elements)))
+        for number in range(len(self.elements) - 1, 0, -1):
+            parent = self.elements[number].parent
+            self.ends[parent] = max(self.ends[parent], self.ends[number])
+
+    def _begin(self, spared: frozenset[int]) -> None:
+        self.spared = spared
         self.elements = [Element("#page", -1, False, False, False)]
         self.blocks: list[Block] = []
         #: (feature, number of words or 1 for a tag, innermost element)
         self.row: list[tuple[str, int, int]] = []
         self.stack = [0]
+        self.depths: dict[str, list[int]] = {}
+        self.block_depths: list[int] = []
         self.block: Block | None = None
-        self._read(source)
+
+    def below(self, number: int, parent: int) -> bool:
+        """Whether an element is another one or stands below it."""
+        return parent <= number <= self.ends[parent]
+
+    def _misleading(self) -> frozenset[int]:
+        """Elements whose name or form must not leave out what they hold."""
+        if not any(e.reason in (NAMED, READERS) for e in self.elements):
+            return frozenset()
+        hard, whole = [False] * len(self.elements), [e.words for e in self.elements]
+        for number, element in enumerate(self.elements):
+            hard[number] = element.reason == HARD or (number > 0 and hard[element.parent])
+        for number in range(len(self.elements) - 1, 0, -1):
+            whole[self.elements[number].parent] += 0 if hard[number] else whole[number]
+        accepted = sum(e.words for e in self.elements if not e.out)
+        spared: set[int] = set()
+        articles = [k for k, e in enumerate(self.elements) if e.labelled and not hard[k] and whole[k]]
+        if not any(not self.elements[k].out for k in articles):
+            best = max(articles, key=whole.__getitem__, default=0)
+            if best and whole[best] > accepted:
+                spared |= {k for k in self.above(best) if self.elements[k].reason}
+        if 5 * accepted < whole[0]:
+            spared |= {k for k, e in enumerate(self.elements) if e.reason == NAMED and not hard[k] and 2 * whole[k] > whole[0]}
+        return frozenset(spared)
 
     def _read(self, source: str) -> None:
         at, end = 0, len(source)
@@ -108,7 +162,7 @@ class Page:
             if mark == end:
                 break
             if source.startswith("<!--", mark):
-                at = self._after(source, "-->", mark + 4)
+                at = self._after(source, "-->", mark + 2)  # so that <!--> and <!---> are empty
             elif source[mark + 1 : mark + 2] in ("!", "?"):
                 at = self._after(source, ">", mark)
             elif (tag := TAG.match(source, mark)) is not None:
@@ -136,61 +190,76 @@ class Page:
         if name in BLOCKS:
             self._end_paragraph(name)
         top = self.elements[self.stack[-1]]
-        out = top.out or self._is_out(name, attributes, top)
+        number = len(self.elements)
+        reason = 0 if number in self.spared else self._reason(name, attributes, top)
+        out = top.out or reason > 0
         self._mark(name, out)
         if name == "br" and self.block is not None:
             self.block.pieces.append(" ")
         if name in VOID:
             return at
         inside = top.inside or name in ("article", "main")
-        self.elements.append(Element(name, self.stack[-1], out, top.link or name == "a", inside, name in ("article", "main")))
-        self.stack.append(len(self.elements) - 1)
+        labelled = name in ("article", "main")
+        self.elements.append(Element(name, self.stack[-1], out, top.link or name == "a", inside, labelled, reason))
+        self.depths.setdefault(name, []).append(len(self.stack))
+        if name in BLOCKS:
+            self.block_depths.append(len(self.stack))
+        self.stack.append(number)
         if name in RAW and not attributes.rstrip().endswith("/"):
             ending = re.compile(f"</{name}", re.IGNORECASE).search(source, at)
             at = len(source) if ending is None else ending.start()
         return at
 
-    def _is_out(self, name: str, attributes: str, top: Element) -> bool:
-        if name in LEFT_OUT or (name == "header" and not top.inside):
-            return True
+    def _reason(self, name: str, attributes: str, top: Element) -> int:
+        if (name in LEFT_OUT and name != "form") or (name == "header" and not top.inside):
+            return HARD
         if not attributes or name in ("html", "body", "article", "main"):
-            return "comment" in attributes.lower() if name == "article" else False
+            return HARD if name == "article" and "comment" in attributes.lower() else NAMED if name == "form" else 0
         lower = attributes.lower()
         if "hidden" in lower and re.search(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true", lower):
-            return True
+            return HARD
         if "display" in lower and re.search(r"display\s*:\s*none", lower):
-            return True
+            return HARD
+        found = NAMED if name == "form" else 0
         for attribute in ATTRIBUTE.finditer(attributes):
             key, value = attribute[1].lower(), attribute[2] or attribute[3] or attribute[4] or ""
             if key == "role" and value.strip().lower() in ROLES_LEFT_OUT:
-                return True
+                found = max(found, NAMED)
             if key in ("class", "id"):
                 parts = {part.lower() for part in NAME_PART.findall(value)}
+                if parts & READER_NAMES or any(part.startswith("comment") for part in parts):
+                    return READERS
                 if parts & NAMES_LEFT_OUT or ("header" in parts and not top.inside):
-                    return True
-                if any(part.startswith(NAME_STARTS) or part.endswith(NAME_ENDS) for part in parts):
-                    return True
-        return False
+                    found = max(found, NAMED)
+                elif any(part.startswith(NAME_STARTS) or part.endswith(NAME_ENDS) for part in parts):
+                    found = max(found, NAMED)
+        return found
+
+    def _cut(self, depth: int) -> None:
+        """Closes the open elements from a depth on."""
+        for number in self.stack[depth:]:
+            self.depths[self.elements[number].tag].pop()
+        del self.stack[depth:]
+        while self.block_depths and self.block_depths[-1] >= depth:
+            self.block_depths.pop()
+
+    def _innermost(self, name: str) -> int:
+        depths = self.depths.get(name)
+        return depths[-1] if depths else 0
 
     def _close(self, name: str) -> None:
-        for depth in range(len(self.stack) - 1, 0, -1):
-            element = self.elements[self.stack[depth]]
-            if element.tag == name:
-                self._mark(name, element.out)
-                del self.stack[depth:]
-                return
-            if element.tag in ("table", "body") and name not in ("table", "body", "html"):
-                return
+        depth = self._innermost(name)
+        border = 0 if name in ("table", "body", "html") else max(self._innermost("table"), self._innermost("body"))
+        if depth > 0 and depth >= border:
+            self._mark(name, self.elements[self.stack[depth]].out)
+            self._cut(depth)
 
     def _end_paragraph(self, name: str) -> None:
         """A block ends an open paragraph, a list item the one before it."""
-        for depth in range(len(self.stack) - 1, 0, -1):
-            tag = self.elements[self.stack[depth]].tag
+        if self.block_depths:
+            tag = self.elements[self.stack[self.block_depths[-1]]].tag
             if tag == "p" or (tag == name and name in ("li", "dt", "dd", "td", "tr", "option")):
-                del self.stack[depth:]
-                return
-            if tag in BLOCKS:
-                return
+                self._cut(self.block_depths[-1])
 
     def _mark(self, name: str, out: bool) -> None:
         feature = "tag out" if out else f"tag {name}" if name in BLOCKS or name in ("a", "br", "b", "i", "span", "img") else "tag"
@@ -198,20 +267,18 @@ class Page:
 
     def _text(self, raw: str) -> None:
         top = self.elements[self.stack[-1]]
-        if self.block is None:
-            if raw.isspace():
-                return
-            self.block = Block(self.stack[-1], top.out, first=len(self.row))
-            self.blocks.append(self.block)
-        elif self.block.out != top.out:
+        if self.block is None and raw.isspace():
+            return
+        text = html_entities.unescape(raw) if "&" in raw else raw
+        words = len(text.split())
+        top.words += 0 if top.link else words
+        if self.block is None or self.block.out != top.out:
             # Boilerplate inside a block (a hidden span, a share link) is left out of its text.
-            if top.out:
+            if self.block is not None and top.out:
                 return
             self.block = Block(self.stack[-1], top.out, first=len(self.row))
             self.blocks.append(self.block)
-        text = html_entities.unescape(raw) if "&" in raw else raw
         self.block.pieces.append(text)
-        words = len(text.split())
         if words:
             self.block.words += words
             self.block.links += words if top.link else 0
@@ -220,10 +287,7 @@ class Page:
 
     def _around(self) -> str:
         """The innermost enclosing block's tag."""
-        for number in reversed(self.stack):
-            if self.elements[number].tag in BLOCKS:
-                return self.elements[number].tag
-        return ""
+        return self.elements[self.stack[self.block_depths[-1]]].tag if self.block_depths else ""
 
     def above(self, number: int) -> list[int]:
         """An element and all around it, innermost first."""
@@ -241,11 +305,8 @@ def feature_counts(page: Page) -> dict[str, list[int]]:
     if len(inner) != 1:
         return {}
     counts: dict[str, list[int]] = {}
-    inside: dict[int, bool] = {}
     for feature, n, number in page.row:
-        if number not in inside:
-            inside[number] = inner[0] in page.above(number)
-        counts.setdefault(feature, [0, 0])[0 if inside[number] else 1] += n
+        counts.setdefault(feature, [0, 0])[0 if page.below(number, inner[0]) else 1] += n
     return counts
 
 
@@ -299,22 +360,35 @@ def main_text(source: str | None, weights: dict[str, float]) -> str:
     region = {id(b) for b in core}
     out = []
     for block in page.blocks:
-        if block.out or not block.words or holder not in page.above(block.parent):
+        if block.out or not block.words or not page.below(block.parent, holder):
             continue
-        if id(block) in region or 2 * block.links <= block.words or page.elements[holder].tag == "article":
+        if id(block) in region or not _is_menu(page, block) or page.elements[holder].tag == "article":
             out.append(" ".join("".join(block.pieces).split()))
     return "\n".join(out)
 
 
+def _is_menu(page: Page, block: Block) -> bool:
+    """Mostly links, and not a sentence of its own: a paragraph may be one link."""
+    number = block.parent
+    while number > 0 and page.elements[number].tag not in BLOCKS:
+        number = page.elements[number].parent
+    return 2 * block.links > block.words and page.elements[number].tag not in SENTENCES
+
+
 def _holder(page: Page, core: list[Block]) -> int:
     """The element that the region belongs to: the article around it, or the smallest container with nearly all of its words."""
-    words: Counter = Counter()
+    words, blocks, others = ([0] * len(page.elements) for _ in range(3))
     for block in core:
-        for number in page.above(block.parent):
-            words[number] += block.words
+        words[block.parent] += block.words
+    for block in page.blocks:
+        if block.words and not block.out:
+            blocks[block.parent] += 1
+            others[block.parent] += page.elements[block.parent].tag not in ("h1", "h2", "p") or 2 * block.links > block.words
+    for number in range(len(page.elements) - 1, 0, -1):
+        for sums in (words, blocks, others):
+            sums[page.elements[number].parent] += sums[number]
     total = sum(b.words for b in core)
-    holding = [k for k, n in words.items() if n >= KEPT_SHARE * total]
-    around = page.above(max(holding))
+    around = page.above(max(k for k, n in enumerate(words) if n >= KEPT_SHARE * total))
     for tag in ("article", "main"):
         found = [k for k in around if page.elements[k].tag == tag]
         if found:
@@ -323,8 +397,7 @@ def _holder(page: Page, core: list[Block]) -> int:
     # A heading next to the container belongs to it.
     while holder > 0:
         parent = page.elements[holder].parent
-        beside = [b for b in page.blocks if b.words and not b.out and parent in page.above(b.parent) and holder not in page.above(b.parent)]
-        if not beside or any(page.elements[b.parent].tag not in ("h1", "h2", "p") for b in beside) or any(2 * b.links > b.words for b in beside):
+        if blocks[parent] == blocks[holder] or others[parent] > others[holder]:
             break
         holder = parent
     return holder
