@@ -36,7 +36,7 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 
 from voicegrid.llm.text_arrays import binaries, column_of, in_chunks
-from voicegrid.llm.worker_state import kept
+from voicegrid.llm.worker_state import kept, let_go
 
 MAX_STATES = 300_000
 MAX_PIECES = 250_000
@@ -231,16 +231,17 @@ class _Pieces(dict):
             first, *rest = piece.split("\n")
             plain = self.encoder.plain
             return self.encoder.line_feed.join([self[first], *(plain[x] for x in rest)])
-        if len(self) >= MAX_PIECES:
+        if len(self) >= self.encoder.max_pieces:
             self.clear()
         ids = self[piece] = self.encoder.of_piece(self.lead + piece)
         return ids
 
 
 class Encoder:
-    """Whole texts to ids (little-endian unsigned 32-bit), piece by piece."""
+    """Whole texts to ids (little-endian unsigned 32-bit), piece by piece; tables hold ``max_pieces`` at most."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
+    def __init__(self, ranks: dict[bytes, int], pattern: str, max_pieces: int = MAX_PIECES) -> None:
+        self.max_pieces = max_pieces
         self.transducer = Transducer(ranks)
         self.pattern = regex.compile(pattern)
         self.matches: dict[str, bytes] = {}
@@ -252,7 +253,7 @@ class Encoder:
         return b"".join([self.matches.get(match) or self._of_match(match) for match in matches])
 
     def _of_match(self, match: str) -> bytes:
-        if len(self.matches) >= MAX_PIECES:
+        if len(self.matches) >= self.max_pieces:
             self.matches.clear()
         ids = self.transducer.encode(match.encode())
         packed = self.matches[match] = struct.pack(f"<{len(ids)}I", *ids)
@@ -317,9 +318,16 @@ class Utf8Stream:
         return rest.decode("utf-8", "replace")
 
 
-def encoder_for(path: str, pattern: str) -> Encoder:
+def encoder_for(path: str, pattern: str, small: bool = False) -> Encoder:
     """One encoder for each vocabulary and worker."""
-    return kept("byte pairs", (path, pattern), lambda: Encoder(read_ranks(path), pattern))
+
+    def make() -> Encoder:
+        encoder = Encoder(read_ranks(path), pattern, MAX_PIECES // 3 if small else MAX_PIECES)
+        if small:
+            encoder.transducer.max_states = MAX_STATES // 3
+        return encoder
+
+    return kept("byte pairs", (path, pattern, small), make)
 
 
 def encode(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -356,16 +364,19 @@ def decode(encoded: DataFrame, path: str, *, id_col: str = "doc_id", ids_col: st
 
 
 def round_trip(
-    docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False
+    docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False,
+    small: bool = False,
 ) -> DataFrame:
     """Encodes every whole text, decodes the ids, and returns both digests.
 
     ``doc_id``, ``n_tokens``, ``ids_sha256`` of the decimal ids joined by one
     space, ``decoded_sha256`` of the decoded bytes and, if asked for, ``ids``.
-    """
+    ``small`` takes a third of the memory and lets go of it after each task, for
+    workers that other operators use too; results are the same.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder_for(path, pattern)
+        own = encoder_for(path, pattern, small)
         token = own.transducer.tokens.__getitem__
         decimal = {rank: str(rank) for rank in own.transducer.tokens}.__getitem__
         for batch in in_chunks(batches, "text"):
@@ -382,6 +393,8 @@ def round_trip(
             columns = [column_of(batch, "doc_id"), pa.array(counts, pa.int64()), pa.array(id_digests, pa.string()), pa.array(digests, pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             yield pa.RecordBatch.from_arrays(columns + [binaries(packed)] * with_ids, names + ["ids"] * with_ids)
+        if small:
+            let_go()
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from voicegrid.llm.components import connected_components
 from voicegrid.llm.text_arrays import NOT_SPACE, binaries, column_of, grams, in_chunks, mix, split_words
-from voicegrid.llm.worker_state import kept
+from voicegrid.llm.worker_state import kept, trim
 from voicegrid.session import scratch_table
 
 BANDS, ROWS = 32, 5
@@ -124,6 +124,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFram
                 ],
                 ["doc_id", "n_shingles", "set_id", "bands", "bytes"],
             )
+        trim()
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
