@@ -65,7 +65,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return round_trip(docs, path, public_tokenizers.PATTERN, with_ids=True)
+    return round_trip(docs, path, public_tokenizers.PATTERN, with_ids=True, small=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
