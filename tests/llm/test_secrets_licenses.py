@@ -60,6 +60,13 @@ def test_redaction_changes_findings_only(spark, awkward, no_docs):
     assert S.redact(no_docs, S.Ledger(spark)).count() == 0
 
 
+def test_key_blocks_with_headers():
+    block = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0011AABB\n\nMIIB+/=\n-----END RSA PRIVATE KEY-----"
+    spans = S.find_spans(f"a {block} b -----BEGIN PRIVATE KEY----- c -----BEGIN PRIVATE KEY-----\nAA\n-----END PRIVATE KEY-----", S.compile_rules())
+    keys = [(x["start"], x["end"]) for x in spans if x["kind"] == "private_key"]
+    assert keys[0] == (2, 2 + len(block)) and len(keys) == 2
+
+
 def test_long_runs_stay_fast():
     text = "eyJ" * 20_000 + "a" * 50_000 + "-----BEGIN PRIVATE KEY-----" * 500
     assert [x["kind"] for x in S.find_spans(text, S.compile_rules())] == ["hex"]

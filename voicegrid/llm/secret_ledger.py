@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from voicegrid.llm.shared_files import new_folder
 from voicegrid.llm.text_arrays import column_of, in_chunks
+from voicegrid.session import scratch_table
 
 FINDINGS = "array<struct<kind:string,start:bigint,end:bigint>>"
 
@@ -63,7 +64,7 @@ RULES = (
     Rule("assign", rf"({NAMES})[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 6),
     Rule("access", r"AKIA[A-Z0-9]+", 0, 20),
     Rule("hex", r"[0-9a-f]+", 0, 24),
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\r\n\x20]*-----END [A-Z ]*PRIVATE KEY-----"),
+    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:-?[A-Za-z0-9+/=\r\n\x20:,])*-----END [A-Z ]*PRIVATE KEY-----"),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]+", 0, 40),
     # Each run of a part's characters is taken whole: its end is no character of it, and no part can begin anew inside it.
     Rule("jwt", rf"eyJ{_JWT}+\.eyJ{_JWT}+(\.{_JWT}+)", 1, 1, rf"eyJ{_JWT}++(?:\.eyJ{_JWT}++(\.{_JWT}++)|)"),
@@ -143,26 +144,36 @@ def scan_history(
     """The path columns of every version with its ``blob`` and ``found`` spans, after scanning what is new."""
     scan_unseen(versions, ledger, rules, text_col)
     version = rules_version(rules)
-    # Two runs at one time may both scan a blob; their findings are equal.
-    scans = ledger.findings().where((F.col("rules") == version) & (F.size("found") > 0)).dropDuplicates(["blob"])
+    scans = _known_findings(ledger, version)
     paths = versions.select(*path_cols, _blob(text_col).alias("blob"))
-    return paths.join(scans.select("blob", "found"), "blob", "left").select(
+    return paths.join(scans, "blob", "left").select(
         *path_cols, "blob", F.coalesce("found", F.array().cast(FINDINGS)).alias("found")
     )
 
 
+def _known_findings(ledger: Ledger, version: str) -> DataFrame:
+    """One stored row for each blob with findings.
+
+    Two runs at one time may both scan a blob; their findings are equal.  The
+    rows are stored, so that adaptive execution may split a blob that fills the
+    table when it is joined.
+    """
+    scans = ledger.findings().where((F.col("rules") == version) & (F.size("found") > 0)).dropDuplicates(["blob"])
+    return scratch_table(scans.select("blob", "found"), "findings")
+
+
 def redact(
-    docs: DataFrame, ledger: Ledger, *, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES
+    docs: DataFrame, ledger: Ledger, *, text_col: str = "text", rules: tuple[Rule, ...] = RULES
 ) -> DataFrame:
     """``docs`` with each finding replaced by ``[kind]``; of overlapping findings the first leaves its mark.
 
     The rows keep their columns; a null text stays null.
     """
-    found = scan_history(docs, ledger, path_cols=(id_col,), text_col=text_col, rules=rules).where(F.size("found") > 0)
+    scan_unseen(docs, ledger, rules, text_col)
     here = f"_found_{uuid.uuid4().hex}"
-    found = found.select(F.col(id_col).alias("path"), "blob", F.col("found").alias(here)).distinct()
+    found = _known_findings(ledger, rules_version(rules)).withColumnRenamed("found", here)
     columns = docs.columns
-    rows = docs.join(found, docs[id_col].eqNullSafe(found["path"]) & (_blob(docs[text_col]) == found["blob"]), "left")
+    rows = docs.join(found, _blob(docs[text_col]) == found["blob"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_chunks(batches, text_col):
