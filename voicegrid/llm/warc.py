@@ -86,7 +86,10 @@ def with_roles(pages: DataFrame, id_col: str, html_col: str, min_bytes: int) ->
 
     rows = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(html_col).alias("html"))
     rows = scratch_table(rows.mapInArrow(digests, "page_id long, digest binary, size long"), "digests")
-    first = rows.where(F.col("size") >= min_bytes).groupBy("digest", "size").agg(F.min("page_id").alias("first"))
+    # Stored, so that adaptive execution may split a payload that fills the table when it is joined.
+    first = scratch_table(
+        rows.where(F.col("size") >= min_bytes).groupBy("digest", "size").agg(F.min("page_id").alias("first")), "first"
+    )
     roles = rows.join(first, ["digest", "size"], "left")
     revisit = F.coalesce(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.lit(False))
     return scratch_table(
