@@ -262,7 +262,10 @@ def near_duplicates(
         "nodes",
     )
     buckets = nodes.select("set_id", F.explode("bands").alias("key"))
-    pivots = buckets.groupBy("key").agg(F.min("set_id").alias("pivot"), F.count("*").alias("n")).where("n > 1")
+    # Stored, so that adaptive execution may split a crowded bucket when it is joined.
+    pivots = scratch_table(
+        buckets.groupBy("key").agg(F.min("set_id").alias("pivot"), F.count("*").alias("n")).where("n > 1"), "pivots"
+    )
     shared = scratch_table(buckets.join(pivots, "key"), "buckets")
     pairs = scratch_table(
         shared.where("set_id <> pivot").select(F.col("set_id").alias("u"), F.col("pivot").alias("v")).distinct(), "pairs"
