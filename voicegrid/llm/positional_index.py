@@ -50,7 +50,7 @@ class Phrases:
     def ordered(self, counts: np.ndarray) -> np.ndarray:
         """Offsets of each phrase's words, rarest term first."""
         weight = np.where(self.terms >= 0, counts[self.terms], np.iinfo(np.int64).max)
-        return np.argsort(weight, axis=1, kind="stable")
+        return np.argsort(weight, axis=1, kind="stable").astype(np.int16)
 
 
 def phrases_of(items: list[tuple], window: int) -> Phrases:
@@ -70,7 +70,8 @@ def phrases_of(items: list[tuple], window: int) -> Phrases:
         owners.append(np.full(len(seen), k))
     table = np.concatenate(rows) if rows else np.zeros((0, window), np.int64)
     owner = np.concatenate(owners) if owners else np.zeros(0, np.int64)
-    return Phrases(vocabulary, table, (table >= 0).sum(1), owner, [None if i is None else str(i) for i, _ in items])
+    # Small numbers, for the phrases travel with every task.
+    return Phrases(vocabulary, table.astype(np.int32), (table >= 0).sum(1).astype(np.int32), owner.astype(np.int32), [None if i is None else str(i) for i, _ in items])
 
 
 def item_blocks(items: DataFrame, id_col: str, text_col: str, block_words: int) -> Iterator[list[tuple]]:
