@@ -231,3 +231,19 @@ def test_insight_guards(enriched):
 def test_comparison(insight_reviews):
     row = insights.product_comparison(insight_reviews).first()
     assert (row["product"], row.review_count, row.positive_share, row.average_rating) == ("App", 12, 0.5, pytest.approx(38 / 12))
+
+
+def test_ten_thousand_phrases(spark):
+    words = {f"A{k}": [f"word{k}", f"word{k} tail", f"don't {k}"] for k in range(10_000)}
+    rows = spark.createDataFrame([("x word77 tail, DON'T 9999 word5x",), ("",), (None,), (" ".join(f"word{k}" for k in range(400)),)], "clean_text string")
+    found = aspects.detect_aspects(rows, words, with_terms=True).collect()
+    assert found[0].detected_aspects == ["A77", "A9999"]
+    assert found[0].matched_terms == {"A77": ["word77 tail", "word77"], "A9999": ["don't 9999"]}
+    assert found[1].detected_aspects == found[2].detected_aspects == [] and found[1].matched_terms == {}
+    assert found[3].detected_aspects == [f"A{k}" for k in range(400)]
+
+
+def test_phrases_shared_by_aspects(spark):
+    rows = spark.createDataFrame([("good value for money",)], "clean_text string")
+    found = aspects.detect_aspects(rows, {"B": ["value", "good value"], "A": ["Value", "money"]}, with_terms=True).first()
+    assert found.detected_aspects == ["B", "A"] and found.matched_terms == {"B": ["good value", "value"], "A": ["value", "money"]}

@@ -10,7 +10,7 @@ from voicegrid.plans import pipeline
 from voicegrid.schema import FeedbackError, TopicConfig
 from voicegrid.session import cut_lineage, join_small
 from voicegrid.sources import sinks
-from voicegrid.sources.fingerprint import fingerprint, source_signature
+from voicegrid.sources.fingerprint import add_parts, fingerprint, fingerprint_of, fingerprint_parts, source_signature
 from voicegrid.streaming import reviews as streams
 from tests.test_sentiment import Scorer
 
@@ -193,3 +193,14 @@ def test_facts_by_source(spark, insight_reviews, tmp_path):
         assert rows(store.review_facts(frequency)) == rows(trends.review_facts(enriched, frequency))
         assert rows(store.mention_facts(frequency)) == rows(trends.mention_facts(aspects.explode_mentions(enriched), frequency))
     assert {row["source"]: row["review_count"] for row in store.sources().collect()} == {"x": 6, "y": 6}
+
+
+def test_fingerprints_add_up(spark):
+    frame = spark.createDataFrame([(k % 7, "x" * (k % 5) if k % 3 else None) for k in range(200)], "a int, b string")
+    parts = [fingerprint_parts(frame.where(f"a % 3 = {k}")) for k in range(3)]
+    assert fingerprint_of(add_parts(*parts), ["a", "b"]).first() == fingerprint(frame.repartition(5)).first()
+    swapped = spark.createDataFrame([("1", "23"), ("12", "3")], "a string, b string")
+    first, second = (fingerprint(swapped.where(f"a = '{a}'")).first().fingerprint for a in ("1", "12"))
+    assert first != second
+    empty = fingerprint(frame.limit(0)).first()
+    assert empty.row_count == 0 and empty != fingerprint(frame.limit(1)).first()

@@ -6,6 +6,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from voicegrid.operators.order_statistics import percentiles
 from voicegrid.operators import filters, statistics as stats
 
 
@@ -147,3 +148,14 @@ def test_histograms(spark):
     assert rows == [(0, 2), (1, 1), (4, 3)]
     same = spark.createDataFrame([(2.0,), (2.0,)], "rating double")
     assert [(r.bin, r.review_count) for r in stats.rating_histogram(same).collect()] == [(0, 2)]
+
+
+@pytest.mark.parametrize("values", [[3.0], [1.0, 2.0], [-1e308, 0.0, 1e308], [1e-300, 2e-300, 5.0, 1e12], list(range(1000)), [7.0] * 50 + [8.0]])
+def test_percentiles_by_narrowing(spark, values):
+    frame = spark.createDataFrame([(float(v),) for v in values], "v double").groupBy("v").agg(F.count("*").alias("n")).cache()
+    found = percentiles(frame, "v", [0.0, 0.25, 0.5, 0.9, 1.0])
+    for share, value in found.items():
+        place = share * (len(values) - 1)
+        low, high = sorted(values)[int(place)], sorted(values)[min(int(place) + 1, len(values) - 1)]
+        assert value == pytest.approx(low + (high - low) * (place - int(place)), rel=1e-12)
+    assert percentiles(frame.limit(0), "v", [0.5]) == {0.5: None}

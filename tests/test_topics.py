@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -183,6 +184,30 @@ def test_save_and_load(spark, modelled, themed_reviews, tmp_path):
     assert model.assign(themed_reviews).exceptAll(again.assign(themed_reviews)).isEmpty()
 
 
+def test_seeds_share_passes(spark):
+    rng = np.random.default_rng(5)
+    vectors = stored(spark, np.maximum(rng.random((60, 12)) - 0.4, 0), 4)
+    settings = dict(documents=60, terms=12, topics=3, max_iter=40, tol=1e-5)
+    together, passes = nmf.factorize_many(vectors, seeds=[1, 2, 3], **settings)
+    alone = [nmf.factorize_many(vectors, seeds=[seed], **settings) for seed in (1, 2, 3)]
+    for one, ((other,), _) in zip(together, alone):
+        assert np.allclose(one.h, other.h) and one.passes == other.passes and one.error == pytest.approx(other.error)
+    assert passes == max(n for _, n in alone) < sum(n for _, n in alone)
+
+
+def test_weights_in_the_jvm_solve_the_rows(spark, themed_reviews):
+    fit = topics.fit_topics(themed_reviews, CONFIG)
+    model = fit.model
+    rows = model.with_weights(fit.texts, "topic_text").collect()
+    terms = pa.array(model.vocabulary.terms, type=pa.string())
+    words = {r["topic_text"]: r["words"] for r in fit.texts.select("topic_text", model.tokens("topic_text").alias("words")).collect()}
+    for row in rows:
+        (part,) = tfidf.weigh(pa.array([words[row["topic_text"]]], pa.list_(pa.string())), model.vocabulary, terms)
+        assert np.allclose(row["_weights"], nmf.solve_rows(part.row, part.term, part.weight, 1, model.h)[0], atol=1e-7)
+    unknown = spark.createDataFrame([("zzz qqq",), ("",)], "topic_text string")
+    assert [r["_weights"] for r in model.with_weights(unknown, "topic_text").collect()] == [None, None]
+
+
 def test_fit_guards(spark):
     few = spark.createDataFrame([("one",), ("two",)], "clean_text string")
     with pytest.raises(TopicError, match="at least 3"):
@@ -193,3 +218,16 @@ def test_fit_guards(spark):
         topics.fit_topics(spark.createDataFrame([("one a",), ("one b",), ("one c",)], "clean_text string"), CONFIG)
     with pytest.raises(TopicError, match="clean_text"):
         topics.fit_topics(spark.range(3), CONFIG)
+
+
+def test_term_tables_equal_vectors(spark, themed_reviews):
+    """Weights of a term table of any size are those of a fitted vocabulary."""
+    fit = topics.fit_topics(themed_reviews, TopicConfig(n_topics=3, max_features=100_000))
+    vocabulary, tokens = fit.model.vocabulary, fit.model.tokens("topic_text")
+    chosen = tfidf.select_terms(tfidf.term_statistics(fit.texts, tokens, 2), fit.documents, max_features=None, min_df=2, max_df=0.95)
+    numbered = tfidf.number_terms(chosen).cache()
+    assert [r.term for r in numbered.orderBy("number").collect()] == list(vocabulary.terms)
+    weights = tfidf.term_weights(fit.texts, "topic_text", tokens, chosen)
+    found = {r.topic_text: r.vector for r in tfidf.table_vectors(weights, numbered, "topic_text").collect()}
+    for row in tfidf.sparse_vectors(fit.texts, tokens, vocabulary).collect():
+        assert found[row.topic_text].indices == row.vector.indices and np.allclose(found[row.topic_text].weights, row.vector.weights)

@@ -10,7 +10,7 @@ task order, which makes a run repeatable.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Generator, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -103,7 +103,11 @@ def _transposed(left: np.ndarray, row, term, weight, terms: int) -> np.ndarray:
     return np.stack([np.bincount(term, weight * left[row, c], minlength=terms) for c in range(left.shape[1])])
 
 
-def starting_factors(vectors: DataFrame, partitions: int, documents: int, terms: int, topics: int, seed: int) -> np.ndarray:
+#: What a run asks of the next pass: the number of sums and the function that makes them.
+Request = tuple[int, BatchSums]
+
+
+def starting_factors(documents: int, terms: int, topics: int, seed: int) -> Generator[Request, np.ndarray, np.ndarray]:
     """Start of H from the positive or negative side of leading singular vectors.
 
     Zeros are replaced by the mean of V.  Singular vectors come from seeded
@@ -119,7 +123,7 @@ def starting_factors(vectors: DataFrame, partitions: int, documents: int, terms:
         def gram_product(row, term, weight, count, current=current):
             return _transposed(_times(current, row, term, weight, count), row, term, weight, terms).ravel()
 
-        product = _distributed_sum(vectors, partitions, width * terms, gram_product).reshape(width, terms).T
+        product = (yield width * terms, gram_product).reshape(width, terms).T
         last = basis
         basis, _ = np.linalg.qr(product)
     values, rotation = np.linalg.eigh((last.T @ product + product.T @ last) / 2)
@@ -132,7 +136,7 @@ def starting_factors(vectors: DataFrame, partitions: int, documents: int, terms:
         positive, negative = np.maximum(left, 0), np.maximum(-left, 0)
         return np.concatenate([(positive**2).sum(axis=0), (negative**2).sum(axis=0), [weight.sum()]])
 
-    sides = _distributed_sum(vectors, partitions, 2 * topics + 1, side_norms)
+    sides = yield 2 * topics + 1, side_norms
     left_positive, left_negative = np.sqrt(sides[:topics]), np.sqrt(sides[topics : 2 * topics])
     h = np.zeros((topics, terms))
     h[0] = np.sqrt(singular[0]) * np.abs(right[:, 0])
@@ -149,17 +153,9 @@ def starting_factors(vectors: DataFrame, partitions: int, documents: int, terms:
     return h
 
 
-def factorize(
-    vectors: DataFrame, *, documents: int, terms: int, topics: int, seed: int, max_iter: int, tol: float
-) -> Factors:
-    """Alternate exact row solves and factor sweeps until the error settles.
-
-    ``vectors`` has columns ``indices`` and ``weights`` and should be a stored
-    table: it is read once per pass.
-    """
-    table = vectors.select("indices", "weights")
-    partitions = table.rdd.getNumPartitions()
-    h = starting_factors(table, partitions, documents, terms, topics, seed)
+def _run(documents: int, terms: int, topics: int, seed: int, max_iter: int, tol: float) -> Generator[Request, np.ndarray, Factors]:
+    """One factorization: asks for the sums of a pass, gets them, and ends with its factors."""
+    h = yield from starting_factors(documents, terms, topics, seed)
     first_error = last_error = None
     for done in range(1, max_iter + 1):
         current = h
@@ -169,7 +165,7 @@ def factorize(
             parts = [(w.T @ w).ravel(), _transposed(w, row, term, weight, terms).ravel(), [weight @ weight]]
             return np.concatenate(parts)
 
-        total = _distributed_sum(table, partitions, topics * topics + topics * terms + 1, row_sums)
+        total = yield topics * topics + topics * terms + 1, row_sums
         inner = total[: topics * topics].reshape(topics, topics)
         cross = total[topics * topics : -1].reshape(topics, terms)
         h = h.copy()
@@ -182,3 +178,49 @@ def factorize(
             break
         last_error = error
     return Factors(h, math.sqrt(error), done)
+
+
+def factorize_many(
+    vectors: DataFrame, *, documents: int, terms: int, topics: int, seeds: Sequence[int], max_iter: int, tol: float
+) -> tuple[list[Factors], int]:
+    """Factorizations under several seeds side by side, and the number of passes over the vectors.
+
+    Every pass makes the sums that all unfinished runs ask for, so the vectors
+    are read as often as for the longest run, not once for each.
+    """
+    table = vectors.select("indices", "weights")
+    partitions = table.rdd.getNumPartitions()
+    runs = [_run(documents, terms, topics, seed, max_iter, tol) for seed in seeds]
+    asked: dict[int, Request] = {k: next(run) for k, run in enumerate(runs)}
+    found: dict[int, Factors] = {}
+    passes = 0
+    while asked:
+        requests = list(asked.values())
+
+        def sums(row, term, weight, count, requests=requests):
+            return np.concatenate([make(row, term, weight, count) for _, make in requests])
+
+        total = _distributed_sum(table, partitions, sum(size for size, _ in requests), sums)
+        passes += 1
+        parts = np.split(total, np.cumsum([size for size, _ in requests])[:-1])
+        for k, part in zip(list(asked), parts):
+            try:
+                asked[k] = runs[k].send(part)
+            except StopIteration as end:
+                found[k] = end.value
+                del asked[k]
+    return [found[k] for k in range(len(runs))], passes
+
+
+def factorize(
+    vectors: DataFrame, *, documents: int, terms: int, topics: int, seed: int, max_iter: int, tol: float
+) -> Factors:
+    """Alternate exact row solves and factor sweeps until the error settles.
+
+    ``vectors`` has columns ``indices`` and ``weights`` and should be a stored
+    table: it is read once per pass.
+    """
+    found, _ = factorize_many(
+        vectors, documents=documents, terms=terms, topics=topics, seeds=[seed], max_iter=max_iter, tol=tol
+    )
+    return found[0]

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import replace
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -133,10 +132,9 @@ def topic_stability(fit: TopicFit, runs: int = 3) -> float | None:
     if runs <= 1:
         return None
     config = fit.model.config
-    scores = []
-    for step in range(1, runs):
-        other = refit(fit.vectors, fit.documents, fit.model.vocabulary, replace(config, seed=config.seed + step))
-        scores.append(keyword_similarity(fit.model.keywords, other.keywords, top_n=config.top_n_words))
+    seeds = [config.seed + step for step in range(1, runs)]
+    others = refit(fit.vectors, fit.documents, fit.model.vocabulary, config, seeds)
+    scores = [keyword_similarity(fit.model.keywords, other.keywords, top_n=config.top_n_words) for other in others]
     return sum(scores) / len(scores)
 
 

@@ -3,18 +3,17 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator, Mapping, Sequence
-from dataclasses import asdict, dataclass, field
+from collections.abc import Mapping, Sequence
+from dataclasses import asdict, dataclass, field, replace
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
-from pyspark.sql.functions import arrow_udf
 
 from voicegrid.functions.labels import canonical_label, dominant_label, label_score, match_label
+from voicegrid.functions.lookup import constant, count_terms, let
 from voicegrid.functions.text import clean_topic_text
 from voicegrid.operators.canonical import keep_first, with_position
-from voicegrid.operators.nmf import factorize, solve_rows
+from voicegrid.operators.nmf import ROW_SWEEPS, factorize_many
 from voicegrid.operators.tfidf import (
     Vocabulary,
     english_stop_words,
@@ -22,14 +21,13 @@ from voicegrid.operators.tfidf import (
     load_vocabulary,
     save_vocabulary,
     sparse_vectors,
+    terms_of,
     tokens_of,
-    weigh,
 )
 from voicegrid.schema import TopicConfig, TopicError, pick_text_column, require_columns
 from voicegrid.session import compute_once, cut_lineage, rows_frame, scratch_table
 
 
-
 # ------------------------------------------------------------------ corpus --
 def topic_corpus(
     df: DataFrame, *, text_column: str | None = None, order_by: str | Sequence[str] | None = "review_id"
@@ -111,22 +109,47 @@ class TopicModel:
         """Vectorizer tokens of a cleaned text."""
         return topic_tokens(text, self.config)
 
-    def weights(self, cleaned_text: str | Column) -> Column:
-        """Topic weights of a cleaned text; null when it has no known term."""
-        vocabulary, h = self.vocabulary, self.h
+    def with_weights(self, df: DataFrame, cleaned_text: str | Column, name: str = "_weights") -> DataFrame:
+        """Add the topic weights of a cleaned text, solved in the JVM; null when it has no known term.
+
+        Known terms give the row's products with the factors; coordinate
+        descent against the factors' products with each other does the rest.
+        """
+        topics = range(len(self.h))
+        gram = self.h @ self.h.T
+        idf = constant(self.vocabulary.idf, "array<double>")
+        factors = [constant(row, "array<double>") for row in self.h]
+        products = constant(gram, "array<array<double>>")
+        steps = constant([c for _ in range(ROW_SWEEPS) for c in topics if gram[c, c] > 0], "array<int>")
+        tokens = let(self.tokens(cleaned_text), lambda words: terms_of(words, self.vocabulary.ngram_max))
+
+        def solved(indices: Column, counts: Column) -> Column:
+            cells = F.zip_with(indices, counts, lambda i, n: F.struct(i.alias("i"), ((1.0 + F.log(n)) * F.get(idf, i)).alias("w")))
+            zero = F.struct(F.lit(0.0).alias("norm"), *(F.lit(0.0).alias(f"t{c}") for c in topics))
+
+            def add(total: Column, cell: Column) -> Column:
+                w = cell["w"]
+                sums = [(total[f"t{c}"] + w * F.get(factors[c], cell["i"])).alias(f"t{c}") for c in topics]
+                return F.struct((total["norm"] + w * w).alias("norm"), *sums)
+
+            def descend(total: Column) -> Column:
+                def run(target: Column) -> Column:
+                    def step(values: Column, c: Column) -> Column:
+                        own = F.get(products, c)
+                        meets = F.aggregate(F.zip_with(values, own, lambda v, g: v * g), F.lit(0.0), lambda sums, x: sums + x)
 
-        @arrow_udf("array<double>")
-        def solve(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            terms = pa.array(vocabulary.terms, type=pa.string())
-            for batch in batches:
-                rows = []
-                for part in weigh(batch, vocabulary, terms):
-                    w = solve_rows(part.row, part.term, part.weight, part.count, h)
-                    known = np.bincount(part.row, minlength=part.count) > 0
-                    rows.extend(values if ok else None for values, ok in zip(w.tolist(), known))
-                yield pa.array(rows, type=pa.list_(pa.float64()))
+                        def moved(v: Column) -> Column:
+                            return F.greatest(F.lit(0.0), v + (F.get(target, c) - meets) / F.get(own, c))
 
-        return solve.asNondeterministic()(self.tokens(cleaned_text))
+                        return F.transform(values, lambda v, j: F.when(j == c, moved(v)).otherwise(v))
+
+                    return F.aggregate(steps, F.array_repeat(F.lit(0.0), len(topics)), step)
+
+                return let(F.array(*(total[f"t{c}"] / F.sqrt(total["norm"]) for c in topics)), run)
+
+            return F.when(F.size(indices) > 0, let(F.aggregate(cells, zero, add), descend))
+
+        return count_terms(df, tokens, self.vocabulary.terms, solved, name)
 
     def assign(self, df: DataFrame, *, text_column: str | None = None, strict: bool = True) -> DataFrame:
         """Add topic id, label, strength and confidence (share of the row's weight).
@@ -141,7 +164,7 @@ class TopicModel:
         if strict:
             message = "A review contains no term known to the fitted topic model."
             weights = F.coalesce(weights, F.raise_error(message).cast("array<double>"))
-        scored = df.withColumn("_weights", self.weights(source)).withColumn("_weights", weights)
+        scored = self.with_weights(df, source).withColumn("_weights", weights)
         strength = F.array_max("_weights")
         topic = F.coalesce(F.array_position("_weights", strength) - 1, F.lit(-1)).cast("int")
         total = F.aggregate("_weights", F.lit(0.0), lambda total, value: total + value)
@@ -250,27 +273,33 @@ def fit_topics(
     vectors = scratch_table(
         sparse_vectors(texts, tokens, vocabulary).select("vector.indices", "vector.weights"), "topic-vectors"
     )
-    return TopicFit(refit(vectors, documents, vocabulary, config), texts, vectors, documents)
+    return TopicFit(refit(vectors, documents, vocabulary, config)[0], texts, vectors, documents)
 
 
-def refit(vectors: DataFrame, documents: int, vocabulary: Vocabulary, config: TopicConfig) -> TopicModel:
-    """Factorize stored vectors under a configuration."""
-    found = factorize(
+def refit(
+    vectors: DataFrame, documents: int, vocabulary: Vocabulary, config: TopicConfig, seeds: Sequence[int] | None = None
+) -> list[TopicModel]:
+    """Factorize stored vectors under a configuration and several seeds, by default its own, in shared passes."""
+    seeds = [config.seed] if seeds is None else list(seeds)
+    found, _ = factorize_many(
         vectors,
         documents=documents,
         terms=len(vocabulary),
         topics=config.n_topics,
-        seed=config.seed,
+        seeds=seeds,
         max_iter=config.max_iter,
         tol=config.tol,
     )
-    meta = {
-        "document_count": documents,
-        "feature_count": len(vocabulary),
-        "reconstruction_error": found.error,
-        "passes": found.passes,
-    }
-    return TopicModel(vocabulary, found.h, config, meta)
+    models = []
+    for seed, factors in zip(seeds, found):
+        meta = {
+            "document_count": documents,
+            "feature_count": len(vocabulary),
+            "reconstruction_error": factors.error,
+            "passes": factors.passes,
+        }
+        models.append(TopicModel(vocabulary, factors.h, replace(config, seed=seed), meta))
+    return models
 
 
 def model_topics(

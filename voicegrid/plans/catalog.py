@@ -868,7 +868,8 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     # The pattern matches the table as one file and as a folder of part files.
     stream = streams.read_reviews(spark, f"{sf_dir}/documents.parquet*", schema)
     joined = stream.join(events, F.col("event_id") == F.col("doc_id") * 10, "left").join(gold, "doc_id", "left")
-    rated = joined.withColumn("rating", F.least(F.lit(5), F.lit(1) + F.floor(F.col("value") / 25)).cast("double"))
+    stars = F.least(F.lit(5), F.lit(1) + F.floor(F.col("value") / 25)).cast("double")
+    rated = joined.withColumn("rating", F.when(F.col("value").isNotNull(), stars))
     return rated.select("doc_id", F.col("text").alias("review_text"), "date", F.coalesce(own, star_label()).alias("sentiment_label"))
 
 
@@ -1022,3 +1023,7 @@ def full_analysis(spark, sf_dir):
     return done.dataframe.select(
         "review_id", "sentiment_label", "sentiment_score", "topic_id", "topic_label", "detected_aspects"
     )
+
+
+# Queries on files and reports register themselves in the same table.
+from voicegrid.plans import surface  # noqa: E402, F401

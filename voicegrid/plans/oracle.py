@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from voicegrid import fixed_values as fixed
+from voicegrid.plans.surface import FIXED_IDF, FIXED_INTERCEPTS, FIXED_TERMS, FIXED_WEIGHTS
+
 ORACLES: dict[str, str] = {}
 
 # Character classes as RE2 reads them.
@@ -731,7 +734,7 @@ SELECT 'Trend', '"' || topic_label || '" gained share in the latest period',
 """
 add("findings", EXTREMES + "," + FINDINGS, "SELECT * FROM findings")
 add("filtered_insights",
-    EXTREMES.replace("FROM feedback WHERE sentiment_label IS NOT NULL", "FROM feedback WHERE sentiment_label IS NOT NULL AND product IN ('fr', 'de', 'es')")
+    EXTREMES.replace("  FROM feedback),\ngold", "  FROM feedback WHERE product IN ('fr', 'de', 'es')),\ngold")
     + "," + FINDINGS,
     "SELECT category, evidence, metric_value, supporting_count, affected_item, representative_review_ids FROM findings")
 add("recommendations", EXTREMES + f""",
@@ -787,3 +790,90 @@ add("dataset_fingerprint", LABELLED + f""",
 hashed AS (SELECT sha256({_CELL.format('review_text')} || {_CELL.format('sentiment_label')}) AS h FROM labelled)""", f"""
 SELECT sha256(concat_ws('|', 'review_text,sentiment_label', count(*), {", ".join(f"sum({_LANE.format(8 * k + 1)}::HUGEINT)" for k in range(8))})) AS fingerprint,
   count(*) AS row_count FROM hashed""")
+
+# ------------------------------------------------------- files and reports --
+add("csv_round_trip", FEEDBACK, "SELECT doc_id, md5(review_text) AS text_md5, product, rating FROM feedback")
+add("csv_failures", "", """
+SELECT * FROM (VALUES ('too_many_rows', 'RowLimitError'), ('header_only', 'EmptyCsvError'), ('surplus_fields', 'CsvParseError'),
+  ('other_suffix', 'UnsupportedFileError'), ('absent', 'CsvLoadError')) AS t(fault, error)""")
+add("recommendations_csv", "", f"""
+SELECT priority, title, supporting_count::BIGINT AS supporting_count, replace(representative_review_ids, '|', ', ') AS review_ids
+FROM ({ORACLES['recommendations']})""")
+add("markdown_report", "", f"""
+SELECT n AS findings, (SELECT count(*) FROM ({ORACLES['recommendations']})) AS recommendations, n AS evidence_lines
+FROM (SELECT count(*) AS n FROM ({ORACLES['findings']}))""")
+ORACLES["metrics_round_trip"] = ORACLES["overall_metrics"]
+ORACLES["prediction_round_trip"] = ORACLES["confusion_matrix"]
+add("saved_sentiment", "", "SELECT count(*) AS reviews, 0::BIGINT AS changed, 0::BIGINT AS out_of_range FROM documents")
+add("saved_topics", CORPUS, "SELECT count(*) AS texts, 0::BIGINT AS changed, 0::BIGINT AS out_of_range FROM corpus")
+add("unaccented_text", "", """
+SELECT doc_id, md5(translate(lower(text), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy')) AS text_md5 FROM documents""")
+_FIXED = ", ".join(
+    f"('{term}', {idf}::DOUBLE, {', '.join(f'{row[k]}::DOUBLE' for row in FIXED_WEIGHTS)})"
+    for k, (term, idf) in enumerate(zip(FIXED_TERMS, FIXED_IDF))
+)
+add("fixed_sentiment", FEEDBACK + rf""",
+model(term, idf, m0, m1, m2) AS (VALUES {_FIXED}),
+tokens AS (
+  SELECT review_id, regexp_extract_all(translate(lower(clean_text), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'),
+    '[{W}]{{2,}}') AS t FROM feedback),
+terms AS (
+  SELECT review_id, unnest(list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]))) AS term FROM tokens),
+cells AS (
+  SELECT review_id, (1 + ln(count(*))) * any_value(idf) AS w, any_value(m0) AS m0, any_value(m1) AS m1, any_value(m2) AS m2
+  FROM terms JOIN model USING (term) GROUP BY review_id, term),
+sums AS (
+  SELECT review_id, sum(w * m0) / sqrt(sum(w * w)) AS m0, sum(w * m1) / sqrt(sum(w * w)) AS m1, sum(w * m2) / sqrt(sum(w * w)) AS m2
+  FROM cells GROUP BY 1),
+odds AS (
+  SELECT review_id, exp(coalesce(m0, 0) + {FIXED_INTERCEPTS[0]}) AS a, exp(coalesce(m1, 0) + {FIXED_INTERCEPTS[1]}) AS b,
+    exp(coalesce(m2, 0) + {FIXED_INTERCEPTS[2]}) AS c FROM feedback LEFT JOIN sums USING (review_id))""", """
+SELECT review_id, CASE WHEN a >= b AND a >= c THEN 'Negative' WHEN b >= c THEN 'Neutral' ELSE 'Positive' END AS sentiment_label,
+  round(greatest(a, b, c) / (a + b + c), 6) AS sentiment_score FROM odds""")
+add("validation_report", RAW + f""",
+counted AS (SELECT count(*) FILTER ({clean('message')} = '') AS blank, count(*) AS n,
+  count(DISTINCT {fold(clean('message'))}) FILTER ({clean('message')} <> '') AS texts FROM raw)""", """
+SELECT 'empty_reviews_removed' AS code, 'warning' AS severity, false AS passed FROM counted WHERE blank > 0
+UNION ALL SELECT 'duplicate_reviews_removed', 'warning', false FROM counted WHERE n - blank > texts
+UNION ALL SELECT 'duplicate_column_mapping', 'error', false
+UNION ALL SELECT 'mapped_column_missing', 'error', false""")
+add("header_names", "", """
+SELECT ' Kundén-Review ' || source || '!' AS header, 'kunden_review_' || lower(source) AS name, 0.9::DOUBLE AS score
+FROM (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL)
+UNION ALL SELECT source || ' Amount', lower(source) || '_amount', 0.0::DOUBLE FROM (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL)""")
+add("loose_filters", FEEDBACK, """
+SELECT review_id, product FROM feedback
+WHERE date >= '2024-01-04' AND date < '2024-01-26' AND lower(product) IN ('en', 'fr') AND contains(lower(review_text), 'the')""")
+add("topic_names", KEYWORD_TABLE + """,
+firsts AS (SELECT topic_id, term FROM kw WHERE rank = 1),
+seconds AS (
+  SELECT k.topic_id, k.term FROM kw k JOIN firsts f USING (topic_id) WHERE lower(k.term) <> lower(f.term)
+  QUALIFY row_number() OVER (PARTITION BY topic_id ORDER BY k.rank) = 1)""", """
+SELECT topic_id AS language, upper(f.term[1]) || lower(f.term[2:]) || coalesce(' / ' || upper(s.term[1]) || lower(s.term[2:]), '') AS label
+FROM firsts f LEFT JOIN seconds s USING (topic_id)""")
+add("keyword_overlap", FEEDBACK + rf""",
+kw AS (
+  SELECT product, term FROM (
+    SELECT product, term, count(*) AS n FROM (SELECT product, unnest(regexp_extract_all(lower(clean_text), '[{W}]{{2,}}')) AS term FROM feedback) GROUP BY 1, 2)
+  QUALIFY row_number() OVER (PARTITION BY product ORDER BY n DESC, term) <= 20),
+sets AS (SELECT product, list(term) AS terms FROM kw GROUP BY 1)""", """
+SELECT x.product AS a, y.product AS b,
+  round(len(list_intersect(x.terms, y.terms)) / len(list_distinct(list_concat(x.terms, y.terms))), 6) AS overlap
+FROM sets x JOIN sets y ON x.product < y.product""")
+add("trend_gate", LABELLED, """
+SELECT * FROM (VALUES ('no_column', false, 'no_column'), ('no_dates', false, 'no_dates'), ('one_date', false, 'one_date')) AS t(dates, available, reason)
+UNION ALL SELECT 'all', date_trunc('week', min(date)) <> date_trunc('week', max(date)),
+  CASE WHEN date_trunc('week', min(date)) = date_trunc('week', max(date)) THEN 'one_period' ELSE '' END FROM labelled
+UNION ALL SELECT 'one_week', date_trunc('week', min(date)) <> date_trunc('week', max(date)),
+  CASE WHEN min(date) = max(date) THEN 'one_date' WHEN date_trunc('week', min(date)) = date_trunc('week', max(date)) THEN 'one_period' ELSE '' END
+FROM labelled WHERE date < (SELECT min(date) FROM labelled) + INTERVAL 20 HOUR""")
+_PHRASES = [(aspect, term) for aspect, terms in fixed.DEFAULT_ASPECTS.items() for term in terms]
+_QUOTED = [tuple("'" + name.replace("'", "''") + "'" for name in pair) for pair in _PHRASES]
+add("default_aspects", LABELLED + f""",
+vocabulary(aspect, term) AS (VALUES {", ".join(f"({aspect}, {term})" for aspect, term in _QUOTED)}),
+prepared AS (
+  SELECT review_id, sentiment_label, ' ' || trim(regexp_replace(replace(lower(clean_text || '. The ' ||
+    upper([{", ".join(term for _, term in _QUOTED)}][doc_id % {len(_PHRASES)} + 1]) || '!'), '''', ' '' '), '[^a-z0-9'']+', ' ', 'g')) || ' ' AS phrases
+  FROM labelled),
+hits AS (SELECT DISTINCT review_id, sentiment_label, aspect FROM prepared JOIN vocabulary ON contains(phrases, ' ' || term || ' '))""", """
+SELECT aspect, sentiment_label AS aspect_sentiment_label, count(*) AS mention_count FROM hits GROUP BY 1, 2""")

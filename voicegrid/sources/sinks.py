@@ -27,9 +27,11 @@ def write_reviews(df: DataFrame, path: str, *, partition_by: str | None = None)
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
 
 
-def write_reviews_csv(df: DataFrame, path: str) -> None:
-    """Enriched reviews as UTF-8 CSV with header."""
-    flatten_nested(df).write.mode("error").csv(path, header=True, quote='"', escape='"')
+def write_reviews_csv(df: DataFrame, path: str, *, mode: str = "error") -> None:
+    """Enriched reviews as UTF-8 CSV with header; white space at a cell's ends stays."""
+    flatten_nested(df).write.mode(mode).csv(
+        path, header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    )
 
 
 def write_recommendations_csv(recommendations: DataFrame, path: str) -> None:
