@@ -218,11 +218,15 @@ _SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 
 class _Pieces(dict):
-    """Ids, as bytes, of pieces seen before."""
+    """Ids, as bytes, of pieces seen before.
+
+    A full table is set aside and met once more before it goes, so pieces in use stay.
+    """
 
     def __init__(self, encoder: Encoder, lead: str) -> None:
         super().__init__()
         self.encoder, self.lead = encoder, lead
+        self.before: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
         if not piece or piece[0].isspace() or piece[-1].isspace():
@@ -232,8 +236,10 @@ class _Pieces(dict):
             plain = self.encoder.plain
             return self.encoder.line_feed.join([self[first], *(plain[x] for x in rest)])
         if len(self) >= self.encoder.max_pieces:
+            self.before = dict(self)
             self.clear()
-        ids = self[piece] = self.encoder.of_piece(self.lead + piece)
+        ids = self.before.get(piece)
+        ids = self[piece] = self.encoder.of_piece(self.lead + piece) if ids is None else ids
         return ids
 
 
@@ -245,6 +251,7 @@ class Encoder:
         self.transducer = Transducer(ranks)
         self.pattern = regex.compile(pattern)
         self.matches: dict[str, bytes] = {}
+        self.matches_before: dict[str, bytes] = {}
         self.spaced, self.plain = _Pieces(self, " "), _Pieces(self, "")
         self.line_feed = self.of_piece("\n")
 
@@ -254,9 +261,12 @@ class Encoder:
 
     def _of_match(self, match: str) -> bytes:
         if len(self.matches) >= self.max_pieces:
-            self.matches.clear()
-        ids = self.transducer.encode(match.encode())
-        packed = self.matches[match] = struct.pack(f"<{len(ids)}I", *ids)
+            self.matches, self.matches_before = {}, self.matches
+        packed = self.matches_before.get(match)
+        if packed is None:
+            ids = self.transducer.encode(match.encode())
+            packed = struct.pack(f"<{len(ids)}I", *ids)
+        self.matches[match] = packed
         return packed
 
     def encode(self, text: str) -> bytes:
@@ -322,9 +332,9 @@ def encoder_for(path: str, pattern: str, small: bool = False) -> Encoder:
     """One encoder for each vocabulary and worker."""
 
     def make() -> Encoder:
-        encoder = Encoder(read_ranks(path), pattern, MAX_PIECES // 3 if small else MAX_PIECES)
+        encoder = Encoder(read_ranks(path), pattern, MAX_PIECES // 5 if small else MAX_PIECES)
         if small:
-            encoder.transducer.max_states = MAX_STATES // 3
+            encoder.transducer.max_states = 2 * MAX_STATES // 3
         return encoder
 
     return kept("byte pairs", (path, pattern, small), make)
@@ -371,7 +381,7 @@ def round_trip(
 
     ``doc_id``, ``n_tokens``, ``ids_sha256`` of the decimal ids joined by one
     space, ``decoded_sha256`` of the decoded bytes and, if asked for, ``ids``.
-    ``small`` takes a third of the memory and lets go of it after each task, for
+    ``small`` takes smaller tables and lets go of them after each task, for
     workers that other operators use too; results are the same.
     """
 
