@@ -468,7 +468,7 @@ judged AS (
 SELECT slice, count(*) AS row_count, sum(ok)::BIGINT AS correct_count, round(avg(ok), 6) AS accuracy
 FROM (SELECT length_slice AS slice, ok FROM judged UNION ALL SELECT rating_slice, ok FROM judged) GROUP BY 1""")
 add("sentiment_distribution", PREDICTIONS, """
-SELECT label AS sentiment_label, count(actual) AS review_count FROM names LEFT JOIN predictions ON actual = label GROUP BY 1""")
+SELECT label AS sentiment_label, count(sentiment_label) AS review_count FROM names LEFT JOIN labelled ON sentiment_label = label GROUP BY 1""")
 add("sentiment_by_month", LABELLED, """
 SELECT date_trunc('month', date)::TIMESTAMP AS period, sentiment_label, count(*) AS review_count FROM labelled
 WHERE date IS NOT NULL GROUP BY 1, 2""")
