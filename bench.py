@@ -41,6 +41,8 @@ def main() -> None:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
+        # The tables are one row group each, which a single task would read.
+        .config("spark.voicegrid.inputPartitions", cpus)
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from voicegrid import fixed_values as fixed
-from voicegrid.plans.surface import FIXED_IDF, FIXED_INTERCEPTS, FIXED_TERMS, FIXED_WEIGHTS
+from voicegrid.plans.surface import FIXED_IDF, FIXED_INTERCEPTS, FIXED_TERMS, FIXED_WEIGHTS, SEARCHED
 
 ORACLES: dict[str, str] = {}
 
@@ -844,6 +844,9 @@ UNION ALL SELECT source || ' Amount', lower(source) || '_amount', 0.0::DOUBLE FR
 add("loose_filters", FEEDBACK, """
 SELECT review_id, product FROM feedback
 WHERE date >= '2024-01-04' AND date < '2024-01-26' AND lower(product) IN ('en', 'fr') AND contains(lower(review_text), 'the')""")
+add("indexed_search", FEEDBACK + f""",
+words(keyword) AS (VALUES {", ".join(f"('{word}')" for word in SEARCHED)})""", """
+SELECT keyword, review_id FROM words JOIN feedback ON contains(lower(review_text), lower(keyword))""")
 add("topic_names", KEYWORD_TABLE + """,
 firsts AS (SELECT topic_id, term FROM kw WHERE rank = 1),
 seconds AS (

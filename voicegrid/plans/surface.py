@@ -7,6 +7,7 @@ reads it back and shows the rows.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from voicegrid import fixed_values as fixed
 from voicegrid.functions.text import strip_accents, vector_tokens
-from voicegrid.operators import aspects, filters, metrics, naming, profiling, sentiment, topics, trends, validation
+from voicegrid.operators import aspects, filters, metrics, naming, profiling, sentiment, text_index, topics, trends, validation
 from voicegrid.operators.tfidf import Vocabulary
 from voicegrid.operators.topic_quality import keyword_similarity
 from voicegrid.plans.catalog import EXPLORATION, WEEK, _fitted, _insights, predictions, query, raw_reviews
@@ -33,6 +34,7 @@ FIXED_WEIGHTS = (
     (0.25, 1.0, -0.5, 0.5, 1.25, -0.25, 0.75, -0.125, 0.5, 1.0),
 )
 FIXED_INTERCEPTS = (0.125, -0.25, 0.0625)
+SEARCHED = ("License", "heit", "ción de", "a", "@mail", "no such words")
 #: A mapping with an absent column and one that is named twice.
 LOOSE_MAPPING = ColumnMapping("message", date="created_at", rating="created_at", product="absent")
 
@@ -205,6 +207,15 @@ def keyword_overlap(spark, sf_dir):
     return rows_frame(spark, pairs, "a string, b string, overlap double")
 
 
+@query
+def indexed_search(spark, sf_dir):
+    """Reviews that hold each of some keywords, by way of the stored index."""
+    path = folder(spark, "index")
+    text_index.write_index(feedback(spark, sf_dir).select("review_id", "review_text", "product"), path, cluster_by=["product"], block_rows=200)
+    parts = [text_index.search(spark, path, word).select(F.lit(word).alias("keyword"), "review_id") for word in SEARCHED]
+    return reduce(DataFrame.unionAll, parts)
+
+
 @query
 def trend_gate(spark, sf_dir):
     """Whether trends are available, and in which unit, for the reviews as they are and with fewer dates."""
