@@ -708,28 +708,28 @@ FINDINGS = f"""
 findings AS (
 SELECT 'Overall sentiment' AS category, 'Overall feedback is ' || lower(label) AS title,
        format('{{:,}}', n) || ' of ' || format('{{:,}}', total) || ' reviews (' || printf('%.1f%%', n / total * 100) || ') are ' || lower(label) || '.' AS evidence,
-       'Use the overall distribution as context; investigate topics and aspects before deciding what to change.' AS business_interpretation,
+       'These shares describe all feedback; topics and aspects show where it comes from.' AS business_interpretation,
        label || ' review share' AS metric_name, round(n / total, 6) AS metric_value, n AS supporting_count,
        NULL AS affected_item, '' AS representative_review_ids FROM dominant
 UNION ALL
 SELECT 'Topic', 'Most discussion centers on "' || topic_label || '"',
        format('{{:,}}', n) || ' reviews (' || printf('%.1f%%', share * 100) || ') belong to this topic.',
-       'This topic represents the largest share of observed conversation and is a useful starting point for review.',
+       'More reviews speak of this topic than of any other, so reading may begin here.',
        'Topic review share', round(share, 6), n, topic_label, {first_ids('labelled', 'topic_label = (SELECT topic_label FROM top_topic)')} FROM top_topic
 UNION ALL
 SELECT 'Pain point', 'Negative feedback is concentrated around "' || aspect || '"',
        printf('%.1f%%', negative_count / mention_count * 100) || ' of ' || format('{{:,}}', mention_count) || ' observed aspect mentions are negative.',
-       'Prioritize manual review of the supporting evidence and investigate possible contributing factors.',
+       'Read these reviews first: they show what goes wrong and how often.',
        'Negative aspect share', negative_share, mention_count, aspect, {first_ids('mentions', 'aspect = (SELECT aspect FROM pain)')} FROM pain
 UNION ALL
 SELECT 'Strength', 'Positive feedback is strongest around "' || aspect || '"',
        printf('%.1f%%', positive_count / mention_count * 100) || ' of ' || format('{{:,}}', mention_count) || ' observed aspect mentions are positive.',
-       'Treat this as a product/service strength worth preserving while validating representative reviews.',
+       'Customers like this; keep it in mind when other things change.',
        'Positive aspect share', positive_share, mention_count, aspect, {first_ids('mentions', 'aspect = (SELECT aspect FROM strength)')} FROM strength
 UNION ALL
 SELECT 'Trend', '"' || topic_label || '" gained share in the latest period',
        'Topic share changed by ' || printf('%.1f', share_change * 100) || ' percentage points, with ' || format('{{:,}}', supporting_count) || ' reviews in the latest period.',
-       'Monitor whether this increase persists; observed volume change alone does not establish a cause.',
+       'Watch the next periods: a larger share says what people write about, not why.',
        'Topic share change', round(share_change, 6), supporting_count, topic_label, {first_ids('labelled', 'topic_label = (SELECT topic_label FROM fastest)')} FROM fastest)
 """
 add("findings", EXTREMES + "," + FINDINGS, "SELECT * FROM findings")
@@ -743,18 +743,18 @@ first_two AS (
               WHEN negative_count / mention_count >= 0.4 THEN 'Medium' ELSE 'Low' END AS priority,
          'Investigate ' || aspect || ' feedback' AS title, 'Aspect' AS affected_type, aspect AS affected_item,
          'Negative mention share' AS supporting_metric, negative_share AS supporting_value, mention_count AS supporting_count,
-         printf('%.1f%%', negative_count / mention_count * 100) || ' of ' || format('{{:,}}', mention_count) || ' observed mentions for "' || aspect || '" are negative. Review the supporting feedback and investigate potential product or operational causes before deciding on a change.' AS explanation,
+         printf('%.1f%%', negative_count / mention_count * 100) || ' of ' || format('{{:,}}', mention_count) || ' observed mentions for "' || aspect || '" are negative. Find out from the reviews listed what they have in common, and mend that first.' AS explanation,
          {first_ids('mentions', 'aspect = (SELECT aspect FROM pain)')} AS representative_review_ids FROM pain
   UNION ALL
   SELECT 'Low', 'Protect the ' || aspect || ' strength', 'Aspect', aspect, 'Positive mention share', positive_share, mention_count,
-         printf('%.1f%%', positive_count / mention_count * 100) || ' of ' || format('{{:,}}', mention_count) || ' observed mentions for "' || aspect || '" are positive. Preserve the behaviors or product qualities associated with this strength while validating them with representative reviews.',
+         printf('%.1f%%', positive_count / mention_count * 100) || ' of ' || format('{{:,}}', mention_count) || ' observed mentions for "' || aspect || '" are positive. Leave as it is what these reviews praise.',
          {first_ids('mentions', 'aspect = (SELECT aspect FROM strength)')} FROM strength)""", """
 SELECT * FROM first_two
 UNION ALL
 SELECT CASE WHEN negative_share_change >= 0.2 AND supporting_count >= 3 THEN 'High' ELSE 'Medium' END,
        'Monitor worsening ' || aspect || ' feedback', 'Aspect', aspect, 'Recent negative-share change',
        round(negative_share_change, 6), supporting_count,
-       'Negative share for "' || aspect || '" rose by ' || printf('%.1f', negative_share_change * 100) || ' percentage points between the two latest analysis periods. Investigate recent changes and continue monitoring; the observed association does not establish a cause.',
+       'Negative share for "' || aspect || '" rose by ' || printf('%.1f', negative_share_change * 100) || ' percentage points between the two latest periods. Look at what changed in between, and at the next period.',
        '' FROM worst WHERE aspect NOT IN (SELECT affected_item FROM first_two WHERE priority = 'High')""")
 add("executive_summary", EXTREMES, """
 SELECT concat_ws(' ',
@@ -762,7 +762,7 @@ SELECT concat_ws(' ',
   (SELECT 'The most discussed topic is "' || topic_label || '" (' || format('{:,}', n) || ' reviews; ' || printf('%.1f%%', share * 100) || ' of the dataset).' FROM top_topic),
   (SELECT 'The largest current pain point is "' || aspect || '": ' || printf('%.1f%%', negative_count / mention_count * 100) || ' of its ' || format('{:,}', mention_count) || ' mentions are negative.' FROM pain),
   (SELECT 'A notable strength is "' || aspect || '": ' || printf('%.1f%%', positive_count / mention_count * 100) || ' of its ' || format('{:,}', mention_count) || ' mentions are positive.' FROM strength),
-  (SELECT 'Recently, negative share for "' || aspect || '" increased by ' || printf('%.1f', negative_share_change * 100) || ' percentage points between the two latest analysis periods; this is an observed feedback pattern, not evidence of causation.' FROM worst)
+  (SELECT 'Recently, negative share for "' || aspect || '" increased by ' || printf('%.1f', negative_share_change * 100) || ' percentage points from one period to the next.' FROM worst)
 ) AS executive_summary""")
 
 # ----------------------------------------------------------------- streams --
