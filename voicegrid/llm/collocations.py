@@ -41,8 +41,8 @@ SEGMENT_TOKENS = 500_000
 TILE_BITS = 10
 #: Pairs of one tile in one pile from which the tile is counted by direct address.
 DENSE = 1 << 16
-PILE = 1_000_000
-BUCKET_WINDOWS = 500_000
+PILE = 500_000
+BUCKET_WINDOWS = 250_000
 SPREAD = 4
 _ALL = np.arange(256)
 #: Bytes that end a piece of text; pieces fall into words at spaces and tabs.
