@@ -198,9 +198,12 @@ def train_sentiment(
     text_column: str = "review_text",
     label_column: str = "sentiment_label",
     mapping: Mapping[str, str] | None = None,
+    keep_conflicts: bool = False,
 ) -> tuple[SentimentModel, dict[str, object], DataFrame]:
     """Prepare, split, fit and evaluate; returns model, report and test predictions."""
-    prepared = prepare_labelled(df, text_column=text_column, label_column=label_column, mapping=mapping)
+    prepared = prepare_labelled(
+        df, text_column=text_column, label_column=label_column, mapping=mapping, keep_conflicts=keep_conflicts
+    )
     parts = cut_lineage(split_labelled(prepared, split, text_column=text_column, label_column=label_column))
     started = time.perf_counter()
     model = fit_sentiment(parts.where("split = 'train'"), config, text_column=text_column, label_column=label_column)
