@@ -66,3 +66,13 @@ def test_models_learn_from_texts_with_two_labels(spark, tables):
     assert QUERIES["sentiment_scored"](spark, tables).count() >= 60
     saved = QUERIES["saved_sentiment"](spark, tables).first()
     assert saved["changed"] == saved["out_of_range"] == 0
+
+
+def test_long_texts_are_indexed_in_one_go(spark, tmp_path):
+    text = "".join(chr(0x4E00 + k * k % 5000) + "aé\n𝛼"[k % 4] for k in range(300_000))
+    grams = spark.createDataFrame([(text,), ("",), (None,), ("xy",), ("xyz",), ("𝛼𝛼𝛼𝛼",)], "text string").select(text_index._grams(F.col("text")).alias("g"))
+    started = time.perf_counter()
+    found = [row["g"] for row in grams.collect()]
+    assert time.perf_counter() - started < 30
+    assert len(found[0]) == len(set(found[0])) and set(found[0]) == {text[k : k + 3] for k in range(len(text) - 2)}
+    assert [set(g or ()) for g in found[1:]] == [set(), set(), set(), {"xyz"}, {"𝛼𝛼𝛼"}]

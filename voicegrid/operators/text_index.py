@@ -24,9 +24,13 @@ POSTINGS_BYTES = 1 << 20
 
 
 def _grams(text: Column) -> Column:
-    """Distinct runs of ``SIZE`` characters; none for shorter text."""
-    starts = F.when(F.length(text) >= SIZE, F.sequence(F.lit(1), F.length(text) - SIZE + 1)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(starts, lambda at: F.substring(text, at, F.lit(SIZE))))
+    """Distinct runs of ``SIZE`` characters; none for shorter text.
+
+    The text is cut into ``SIZE`` characters after ``SIZE`` characters, once from each of its first places:
+    a substring at every place would count characters from the start each time.
+    """
+    cuts = [F.regexp_extract_all(F.substring(text, at + 1, 1 << 30), F.lit(f"(?s).{{{SIZE}}}"), F.lit(0)) for at in range(SIZE)]
+    return F.array_distinct(F.concat(*cuts))
 
 
 def write_index(
