@@ -76,3 +76,18 @@ def test_long_texts_are_indexed_in_one_go(spark, tmp_path):
     assert time.perf_counter() - started < 30
     assert len(found[0]) == len(set(found[0])) and set(found[0]) == {text[k : k + 3] for k in range(len(text) - 2)}
     assert [set(g or ()) for g in found[1:]] == [set(), set(), set(), {"xyz"}, {"𝛼𝛼𝛼"}]
+
+
+def test_feedback_shuffles_texts_once(spark, tables, shuffled):
+    rows = feedback(spark, tables)
+    assert plan_of(rows).count("Exchange hashpartitioning") == 3
+    dated = {row["doc_id"]: row for row in rows.where("doc_id in (1, 3, 59)").select("doc_id", "date", "category").collect() if row["category"] == "view"}
+    assert {k: row["date"].day for k, row in dated.items()} == {1: 3, 3: 7, 59: 7}
+    assert rows.count() == 61 and rows.where("doc_id = 3").count() == 2
+
+
+def test_canonical_counts_need_no_text(spark, tables):
+    rows = feedback(spark, tables).where("category is distinct from 'buy'").select("doc_id", "review_text", F.date_format("date", "yyyy-MM-dd").alias("date"), "rating")
+    done = canonical.canonicalize(rows, ColumnMapping("review_text", date="date", rating="rating"), order_by="doc_id")
+    assert "sha2" not in plan_of(done.casts) and done.casts.first()["invalid_dates"] == 0
+    assert done.dataframe.count() == 58 and date_formats_of(rows, "date") == ()

@@ -148,7 +148,9 @@ def canonicalize(
 
     With a usable source id the rows are shuffled once, on the text key.
     Without one, narrow (key, position) pairs decide which rows stay and what
-    number they get, and the wide rows are shuffled once by that join.
+    number they get, and the wide rows are shuffled once by that join.  Text
+    keys, positions and optional cells are stored once: all that needs no text
+    reads them there.
     """
     if mapping.text not in df.columns:
         raise FeedbackError(f"Text column '{mapping.text}' does not exist.")
@@ -156,12 +158,16 @@ def canonicalize(
     filled = compute_once(placed, "_clean", normalize_whitespace(mapping.text)).where(F.col("_clean") != "")
     key = fold_key("_clean")
     aliases = [name for name in fixed.REVIEW_ID_ALIASES if name in df.columns]
-    alias = _usable_alias(keep_first(filled, key, aliases), aliases) if aliases else None
+    sources = list(dict.fromkeys(mapping.optional().values()))
+    narrow = list(dict.fromkeys([*aliases, *sources]))
+    keyed = cut_lineage(filled.select(key.alias("_text_key"), "_pos", *narrow))
+    text_key = F.col("_text_key")
+    alias = _usable_alias(keep_first(keyed, text_key, aliases), aliases) if aliases else None
     if alias is not None:
         kept = keep_first(filled, key, [*df.columns, "_clean"])
         review_id = strip(alias)
     else:
-        winners = filled.groupBy(key.alias("_key")).agg(F.min("_pos").alias("_pos"))
+        winners = keyed.groupBy("_text_key").agg(F.min("_pos").alias("_pos"))
         kept = filled.join(number_rows(winners), "_pos")
         review_id = F.format_string("review_%06d", "_number")
     optional = optional_columns(df, mapping, config)
@@ -171,8 +177,7 @@ def canonicalize(
         F.col("_clean").alias("clean_text"),
         *(optional[name].alias(name) for name in fixed.OPTIONAL_COLUMNS if name in optional),
     )
-    sources = list(dict.fromkeys(mapping.optional().values()))
-    first_rows = keep_first(filled, key, sources) if sources else filled
+    first_rows = keep_first(keyed, text_key, sources) if sources else keyed
     return CanonicalResult(rows, ingestion_statistics(df, mapping.text), cast_measures(first_rows, mapping, config), mapping)
 
 
