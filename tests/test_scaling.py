@@ -78,6 +78,18 @@ def test_long_texts_are_indexed_in_one_go(spark, tmp_path):
     assert [set(g or ()) for g in found[1:]] == [set(), set(), set(), {"xyz"}, {"𝛼𝛼𝛼"}]
 
 
+def test_faulty_file_comes_from_many_tasks(spark, tables, shuffled):
+    before = set(glob.glob(f"{spark.conf.get('spark.checkpoint.dir')}/voicegrid/faulty-*"))
+    found = {row["fault"]: row["error"] for row in QUERIES["csv_failures"](spark, tables).collect()}
+    assert found["surplus_fields"] == "CsvParseError" and found["too_many_rows"] == "RowLimitError"
+    (base,) = set(glob.glob(f"{spark.conf.get('spark.checkpoint.dir')}/voicegrid/faulty-*")) - before
+    files = glob.glob(f"{base}/long.csv/part-*")
+    assert len(files) > 1
+    lines = [open(file).read().splitlines() for file in files]
+    assert all(part[0] == "doc_id,product" for part in lines)
+    assert sorted(line for part in lines for line in part[1:]) == sorted([*(f"{k},en,{k}" for k in range(60)), "3,en,3"])
+
+
 def test_feedback_shuffles_texts_once(spark, tables, shuffled):
     rows = feedback(spark, tables)
     assert plan_of(rows).count("Exchange hashpartitioning") == 3
@@ -91,3 +103,11 @@ def test_canonical_counts_need_no_text(spark, tables):
     done = canonical.canonicalize(rows, ColumnMapping("review_text", date="date", rating="rating"), order_by="doc_id")
     assert "sha2" not in plan_of(done.casts) and done.casts.first()["invalid_dates"] == 0
     assert done.dataframe.count() == 58 and date_formats_of(rows, "date") == ()
+
+
+def test_rules_read_a_stored_source(spark, tables, monkeypatch):
+    seen = []
+    whole = validation.validate_dataset
+    monkeypatch.setattr(validation, "validate_dataset", lambda df, mapping: seen.append(df) or whole(df, mapping))
+    QUERIES["validation_report"](spark, tables).collect()
+    assert "Join" not in plan_of(seen[0]) and seen[0].count() == 61
