@@ -111,3 +111,24 @@ def test_rules_read_a_stored_source(spark, tables, monkeypatch):
     monkeypatch.setattr(validation, "validate_dataset", lambda df, mapping: seen.append(df) or whole(df, mapping))
     QUERIES["validation_report"](spark, tables).collect()
     assert "Join" not in plan_of(seen[0]) and seen[0].count() == 61
+
+
+def test_weights_move_in_blocks(spark, monkeypatch, shuffled):
+    texts = ["red big dog", "red red dog big dog", "", None, "cat big dog", "cat", "é"]
+    df = cut_lineage(spark.createDataFrame([(f"k{i}", t) for i, t in enumerate(texts)], "k string, t string").repartition(2))
+    tokens = F.split("t", " ")
+    lists = {f"k{i}": t.split(" ") for i, t in enumerate(texts) if t is not None}
+    terms = {k: words + [f"{a} {b}" for a, b in zip(words, words[1:])] for k, words in lists.items()}
+    for step in (1, 4, 10**6):
+        monkeypatch.setattr(tfidf, "COUNTED_PER_STEP", step)
+        counted = cut_lineage(tfidf.term_statistics(df, tokens))
+        expected = {t: (sum(x.count(t) for x in terms.values()), sum(t in x for x in terms.values())) for x in terms.values() for t in x}
+        assert {r["term"]: (r["corpus_count"], r["document_count"]) for r in counted.collect()} == expected
+        chosen = cut_lineage(tfidf.select_terms(counted, 7, max_features=None, min_df=2))
+        weights = tfidf.term_weights(df, "k", tokens, chosen)
+        assert plan_of(weights).count("Exchange hashpartitioning") == 2
+        idf = {t: math.log(8 / (1 + n)) + 1 for t, (_, n) in expected.items() if n >= 2}
+        raw = {(k, t): (1 + math.log(x.count(t))) * idf[t] for k, x in terms.items() for t in set(x) if t in idf}
+        norm = {k: math.sqrt(sum(w * w for (o, _), w in raw.items() if o == k)) for k, _ in raw}
+        found = {(r["k"], r["term"]): r["weight"] for r in weights.collect()}
+        assert found == pytest.approx({cell: w / norm[cell[0]] for cell, w in raw.items()})

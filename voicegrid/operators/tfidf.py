@@ -14,6 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
@@ -23,6 +24,8 @@ from voicegrid.operators.canonical import number_rows
 
 # Tokens weighed in one step inside a task; bounds memory for long texts.
 TOKENS_PER_STEP = 400_000
+# Tokens counted in one step: repeats within it are combined before anything leaves the task.
+COUNTED_PER_STEP = 2_000_000
 
 
 def english_stop_words() -> tuple[str, ...]:
@@ -68,21 +71,25 @@ def terms_of(tokens: Column, ngram_max: int) -> Column:
 def term_statistics(df: DataFrame, tokens: Column, ngram_max: int = 2) -> DataFrame:
     """Corpus count and document count per term.
 
-    Every text contributes its terms twice, once as they stand and once
-    without repeats, so both counts come from one aggregate keyed by the term
-    alone, which map tasks combine.
+    Tasks count the terms of many texts at a time; one row for each of these
+    terms goes on to an aggregate keyed by the term alone.
     """
-    lists = df.select(tokens.alias("_tokens")).select(terms_of(F.col("_tokens"), ngram_max).alias("_terms"))
-    kinds = F.array(
-        F.struct(F.lit(False).alias("once"), F.col("_terms").alias("_all")),
-        F.struct(F.lit(True).alias("once"), F.array_distinct("_terms").alias("_all")),
-    )
-    rows = lists.select(F.inline(kinds)).select("once", F.explode_outer("_all").alias("term"))
-    return (
-        rows.where(F.col("term").isNotNull())
-        .groupBy("term")
-        .agg(F.count_if(~F.col("once")).alias("corpus_count"), F.count_if(F.col("once")).alias("document_count"))
-    )
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, terms, row, code in term_steps(batch.column(0), ngram_max):
+                cells = _sorted_distinct(row * max(len(terms), 1) + code)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        terms,
+                        pa.array(np.bincount(code, minlength=len(terms)), pa.int64()),
+                        pa.array(np.bincount(cells % max(len(terms), 1), minlength=len(terms)), pa.int64()),
+                    ],
+                    names=["term", "corpus_count", "document_count"],
+                )
+
+    rows = df.select(tokens.alias("_tokens")).mapInArrow(count, "term string, corpus_count bigint, document_count bigint")
+    return rows.groupBy("term").agg(F.sum("corpus_count").alias("corpus_count"), F.sum("document_count").alias("document_count"))
 
 
 def inverse_document_frequency(document_count: Column, documents: int) -> Column:
@@ -104,15 +111,49 @@ def select_terms(
 def term_weights(df: DataFrame, key: str, tokens: Column, chosen: DataFrame, ngram_max: int = 2) -> DataFrame:
     """(key, term, weight) of any number of terms: no vocabulary leaves the executors.
 
-    Counts per text are joined with the table of ``chosen`` terms and their
-    ``idf``, then divided by the text's norm.  ``key`` must be unique.
+    Tasks count the terms of a block of texts and pack them: a row holds one
+    term with the places and counts of the block's texts that have it.  These
+    rows meet the table of ``chosen`` terms and their ``idf`` and return to
+    their block, where each text's norm is known.  ``key`` must be unique and
+    ``df`` stored, so that a repeated task forms the same blocks.
     """
-    lists = df.select(key, tokens.alias("_tokens")).select(key, terms_of(F.col("_tokens"), ngram_max).alias("_terms"))
-    rows = lists.select(key, F.explode_outer("_terms").alias("term")).where(F.col("term").isNotNull())
-    counts = rows.groupBy(key, "term").agg(F.count(F.lit(1)).alias("n"))
-    weighed = counts.join(chosen.select("term", "idf"), "term").select(key, "term", ((1.0 + F.log("n")) * F.col("idf")).alias("weight"))
-    norms = weighed.groupBy(key).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("_norm"))
-    return weighed.join(norms, key).select(key, "term", (F.col("weight") / F.col("_norm")).alias("weight"))
+    kind = df.schema[key].dataType.simpleString()
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for start, terms, row, code in term_steps(batch.column(1), ngram_max):
+                rows = int(row.max()) + 1 if len(row) else 0
+                cells, counts = np.unique(code * max(rows, 1) + row, return_counts=True)
+                sizes = np.bincount(cells // max(rows, 1), minlength=len(terms))
+                ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+                places = pa.array(cells % max(rows, 1) + start, pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.full(len(terms), block), pa.int64()),
+                        terms,
+                        pa.ListArray.from_arrays(ends, batch.column(0).take(places)),
+                        pa.ListArray.from_arrays(ends, pa.array(counts, pa.int32())),
+                    ],
+                    names=["block", "term", "keys", "counts"],
+                )
+                block += 1
+
+    def weigh_block(block: pa.Table) -> pa.Table:
+        rows = block.combine_chunks()
+        lists, keys = rows["counts"].chunk(0), rows["keys"].chunk(0).flatten()
+        owner = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy())
+        weight = (1.0 + np.log(lists.flatten().to_numpy())) * rows["idf"].to_numpy()[owner]
+        text = keys.dictionary_encode().indices.to_numpy()
+        length = np.sqrt(np.bincount(text, weight * weight))
+        terms = rows["term"].chunk(0).take(pa.array(owner))
+        return pa.Table.from_arrays([keys, terms, pa.array(weight / length[text])], names=[key, "term", "weight"])
+
+    packed = df.select(key, tokens.alias("_tokens")).mapInArrow(
+        pack, f"block bigint, term string, keys array<{kind}>, counts array<int>"
+    )
+    found = packed.join(chosen.select("term", "idf"), "term").select("block", "term", "idf", "keys", "counts")
+    return found.groupBy("block").applyInArrow(weigh_block, f"`{key}` {kind}, term string, weight double")
 
 
 def number_terms(chosen: DataFrame) -> DataFrame:
@@ -161,31 +202,50 @@ class SparseRows:
     weight: np.ndarray
 
 
-def _row_steps(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
+def _row_steps(offsets: np.ndarray, tokens: int) -> Iterator[tuple[int, int]]:
     start, rows = 0, len(offsets) - 1
     while start < rows:
-        stop = int(np.searchsorted(offsets, offsets[start] + TOKENS_PER_STEP, side="right")) - 1
+        stop = int(np.searchsorted(offsets, offsets[start] + tokens, side="right")) - 1
         stop = min(max(stop, start + 1), rows)
         yield start, stop
         start = stop
 
 
-def weigh(tokens: pa.Array, vocabulary: Vocabulary, terms: pa.Array) -> Iterator[SparseRows]:
-    """L2-normalized TF-IDF rows of a batch of token lists."""
+def _listed_terms(tokens: pa.Array, ngram_max: int, step: int) -> Iterator[tuple[int, int, list[pa.Array], list[np.ndarray]]]:
+    """Steps over token lists: first and last row, the words and pairs there, and each one's row within the step."""
     lists = pc.fill_null(tokens, pa.scalar([], type=tokens.type)) if tokens.null_count else tokens
     offsets = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
     flat = lists.flatten()
-    size = max(len(vocabulary), 1)
-    for start, stop in _row_steps(offsets):
+    for start, stop in _row_steps(offsets, step):
         words = flat.slice(offsets[start], offsets[stop] - offsets[start])
         rows = np.repeat(np.arange(stop - start), np.diff(offsets[start : stop + 1]))
-        found = [pc.index_in(words, value_set=terms)]
-        owners = [rows]
-        if vocabulary.ngram_max == 2 and len(words) > 1:
+        parts, owners = [words], [rows]
+        if ngram_max == 2 and len(words) > 1:
             same = rows[1:] == rows[:-1]
             pairs = pc.binary_join_element_wise(words.slice(0, len(words) - 1), words.slice(1), " ")
-            found.append(pc.index_in(pairs.filter(pa.array(same)), value_set=terms))
+            parts.append(pairs.filter(pa.array(same)))
             owners.append(rows[1:][same])
+        yield start, stop, parts, owners
+
+
+def term_steps(tokens: pa.Array, ngram_max: int) -> Iterator[tuple[int, pa.Array, np.ndarray, np.ndarray]]:
+    """Steps over token lists: first row, distinct terms, and row (within the step) and term number of every occurrence."""
+    for start, _, parts, owners in _listed_terms(tokens, ngram_max, COUNTED_PER_STEP):
+        coded = pa.concat_arrays(parts).dictionary_encode()
+        yield start, coded.dictionary, np.concatenate(owners), coded.indices.to_numpy().astype(np.int64)
+
+
+def _sorted_distinct(numbers: np.ndarray) -> np.ndarray:
+    """Distinct numbers by sorting; ``np.unique`` hashes, which is many times slower on large arrays."""
+    numbers = np.sort(numbers)
+    return numbers[np.concatenate([np.ones(min(len(numbers), 1), bool), numbers[1:] != numbers[:-1]])]
+
+
+def weigh(tokens: pa.Array, vocabulary: Vocabulary, terms: pa.Array) -> Iterator[SparseRows]:
+    """L2-normalized TF-IDF rows of a batch of token lists."""
+    size = max(len(vocabulary), 1)
+    for start, stop, parts, owners in _listed_terms(tokens, vocabulary.ngram_max, TOKENS_PER_STEP):
+        found = [pc.index_in(part, value_set=terms) for part in parts]
         ids = np.concatenate([part.fill_null(-1).to_numpy(zero_copy_only=False) for part in found]).astype(np.int64)
         owner = np.concatenate(owners)
         known = ids >= 0
