@@ -9,10 +9,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from voicegrid.functions.casts import date_formats_of
-from voicegrid.operators import canonical, labelled, text_index, tfidf, validation
+from voicegrid.operators import canonical, labelled, text_index, tfidf, topic_quality, topics, validation
 from voicegrid.plans import surface
 from voicegrid.plans.catalog import QUERIES
-from voicegrid.schema import ColumnMapping, LabelledDataError
+from voicegrid.schema import ColumnMapping, LabelledDataError, TopicConfig
 from voicegrid.session import cut_lineage
 from voicegrid.sources.driver_tables import feedback
 
@@ -132,3 +132,13 @@ def test_weights_move_in_blocks(spark, monkeypatch, shuffled):
         norm = {k: math.sqrt(sum(w * w for (o, _), w in raw.items() if o == k)) for k, _ in raw}
         found = {(r["k"], r["term"]): r["weight"] for r in weights.collect()}
         assert found == pytest.approx({cell: w / norm[cell[0]] for cell, w in raw.items()})
+
+
+def test_coherence_reads_vectors(spark, themed_reviews, monkeypatch):
+    fit = topics.fit_topics(themed_reviews, TopicConfig(n_topics=3, max_features=60))
+    tokens, words = topics.topic_tokens("topic_text", fit.model.config), fit.model.keywords
+    by_text = topic_quality.keyword_presence(fit.texts, tokens, words).collect()
+    assert len(by_text) > 9 and sorted(by_text) == sorted(topic_quality.vector_presence(fit.vectors, fit.model.vocabulary, words).collect())
+    expected = topic_quality.topic_coherence(fit.texts, tokens, words, fit.documents).first()[0]
+    monkeypatch.setattr(topic_quality, "_present_terms", None)  # no text is taken apart again
+    assert topic_quality.evaluate_topics(fit, stability_runs=1)["topic_coherence_npmi"] == pytest.approx(expected)

@@ -96,11 +96,14 @@ def solve_rows(
 
 
 def _times(dense: np.ndarray, row, term, weight, count: int) -> np.ndarray:
-    return np.column_stack([np.bincount(row, weight * dense[term, c], minlength=count) for c in range(dense.shape[1])])
+    # Columns are laid out one after another: entries picked from one stay in the cache.
+    columns = np.ascontiguousarray(dense.T)
+    return np.column_stack([np.bincount(row, weight * column[term], minlength=count) for column in columns])
 
 
 def _transposed(left: np.ndarray, row, term, weight, terms: int) -> np.ndarray:
-    return np.stack([np.bincount(term, weight * left[row, c], minlength=terms) for c in range(left.shape[1])])
+    columns = np.ascontiguousarray(left.T)
+    return np.stack([np.bincount(term, weight * column[row], minlength=terms) for column in columns])
 
 
 #: What a run asks of the next pass: the number of sums and the function that makes them.

@@ -7,7 +7,8 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from voicegrid.operators.topics import TopicFit, refit, topic_tokens
+from voicegrid.operators.tfidf import Vocabulary
+from voicegrid.operators.topics import TopicFit, refit
 from voicegrid.session import compute_once, cut_lineage, rows_frame
 
 Keywords = Mapping[int, Sequence[str]]
@@ -31,20 +32,40 @@ def keyword_presence(texts: DataFrame, tokens: Column, keywords: Keywords, *, to
     The pairs wanted are known beforehand (ten per topic for five keywords),
     so every document emits only those it contains and nothing is joined.
     """
+    wanted = _wanted(keywords, top_n)
+    terms = sorted({word for _, left, right in wanted for word in (left, right)})
+    return _count_pairs(_present_terms(texts, tokens, terms), wanted, {term: term for term in terms})
+
+
+def vector_presence(vectors: DataFrame, vocabulary: Vocabulary, keywords: Keywords, *, top_n: int = 5) -> DataFrame:
+    """The same counts from stored vectors: a text holds a vocabulary term when its vector has the term's number."""
+    wanted = _wanted(keywords, top_n)
+    numbers = {term: number for number, term in enumerate(vocabulary.terms)}
+    listed = sorted({numbers[word] for _, left, right in wanted for word in (left, right)})
+    held = F.array_intersect("indices", F.array(*map(F.lit, listed)).cast("array<int>"))
+    return _count_pairs(compute_once(vectors.select("indices"), "present", held).select("present"), wanted, numbers)
+
+
+def _wanted(keywords: Keywords, top_n: int) -> list[tuple[int, str, str]]:
+    """Leading keywords of each topic, as pairs with themselves and with each other."""
     wanted = []
     for topic, words in keywords.items():
         top = list(words[:top_n])
         wanted += [(topic, word, word) for word in top] + [(topic, a, b) for a, b in combinations(top, 2)]
-    terms = sorted({word for _, left, right in wanted for word in (left, right)})
+    return wanted
+
+
+def _count_pairs(held: DataFrame, wanted: list[tuple[int, str, str]], values: Mapping[str, str | int]) -> DataFrame:
+    """Rows of ``held`` whose ``present`` has both values of a wanted pair."""
     present = F.col("present")
     hits = [
         F.when(
-            F.array_contains(present, a) & F.array_contains(present, b),
+            F.array_contains(present, values[a]) & F.array_contains(present, values[b]),
             F.struct(F.lit(t).alias("topic_id"), F.lit(a).alias("left_term"), F.lit(b).alias("right_term")),
         )
         for t, a, b in wanted
     ]
-    rows = _present_terms(texts, tokens, terms).select(F.explode_outer(F.array_compact(F.array(*hits))).alias("pair"))
+    rows = held.select(F.explode_outer(F.array_compact(F.array(*hits))).alias("pair"))
     return (
         rows.where(F.col("pair").isNotNull())
         .groupBy("pair.topic_id", "pair.left_term", "pair.right_term")
@@ -87,7 +108,13 @@ def topic_coherence(texts: DataFrame, tokens: Column, keywords: Keywords, docume
     """Mean pair coherence, one row; 0 for fewer than two documents or no usable pair."""
     if documents < 2:
         return rows_frame(texts.sparkSession, [(0.0,)], "topic_coherence_npmi double")
-    presence = keyword_presence(texts, tokens, keywords, top_n=top_n)
+    return mean_npmi(keyword_presence(texts, tokens, keywords, top_n=top_n), keywords, documents, top_n=top_n)
+
+
+def mean_npmi(presence: DataFrame, keywords: Keywords, documents: int, *, top_n: int = 5) -> DataFrame:
+    """Mean pair coherence of counted keywords, one row; 0 for fewer than two documents or no usable pair."""
+    if documents < 2:
+        return rows_frame(presence.sparkSession, [(0.0,)], "topic_coherence_npmi double")
     pairs = npmi_pairs(presence, keywords, documents, top_n=top_n)
     return pairs.agg(F.coalesce(F.avg("npmi"), F.lit(0.0)).alias("topic_coherence_npmi"))
 
@@ -144,8 +171,7 @@ def evaluate_topics(fit: TopicFit, *, stability_runs: int = 3) -> dict[str, obje
     spark = fit.texts.sparkSession
     words = [(t, i + 1, word) for t, listed in model.keywords.items() for i, word in enumerate(listed)]
     keywords = rows_frame(spark, words, "topic_id int, rank int, term string")
-    tokens = topic_tokens("topic_text", model.config)
-    coherence = topic_coherence(fit.texts, tokens, model.keywords, fit.documents)
+    coherence = mean_npmi(vector_presence(fit.vectors, model.vocabulary, model.keywords), model.keywords, fit.documents)
     coverage = topic_coverage(fit.vectors).first()[0]
     return {
         "number_of_topics": model.config.n_topics,
