@@ -134,6 +134,17 @@ def test_weights_move_in_blocks(spark, monkeypatch, shuffled):
         assert found == pytest.approx({cell: w / norm[cell[0]] for cell, w in raw.items()})
 
 
+def test_texts_that_share_a_key_are_weighed_as_one(spark):
+    rows = [("a", "red red dog"), ("a", "dog red"), ("b", "dog"), (None, "red dog"), ("c", "dog red")]
+    df = cut_lineage(spark.createDataFrame(rows, "k string, t string").repartition(3))
+    chosen = spark.createDataFrame([("red", 2.0), ("dog", 1.0), ("dog red", 3.0)], "term string, idf double")
+    found = {(r["k"], r["term"]): r["weight"] for r in tfidf.term_weights(df, "k", F.split("t", " "), chosen).collect()}
+    a = {"red": (1 + math.log(3)) * 2, "dog": 1 + math.log(2), "dog red": 3.0}
+    c = {"red": 2.0, "dog": 1.0, "dog red": 3.0}
+    weighed = {(k, t): w / math.sqrt(sum(x * x for x in own.values())) for k, own in (("a", a), ("c", c)) for t, w in own.items()}
+    assert found == pytest.approx(weighed | {("b", "dog"): 1.0})
+
+
 def test_coherence_reads_vectors(spark, themed_reviews, monkeypatch):
     fit = topics.fit_topics(themed_reviews, TopicConfig(n_topics=3, max_features=60))
     tokens, words = topics.topic_tokens("topic_text", fit.model.config), fit.model.keywords

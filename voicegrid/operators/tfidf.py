@@ -21,6 +21,7 @@ from pyspark.sql.functions import arrow_udf
 
 from voicegrid.functions.text import vector_tokens
 from voicegrid.operators.canonical import number_rows
+from voicegrid.session import cut_lineage, join_small
 
 # Tokens weighed in one step inside a task; bounds memory for long texts.
 TOKENS_PER_STEP = 400_000
@@ -111,11 +112,36 @@ def select_terms(
 def term_weights(df: DataFrame, key: str, tokens: Column, chosen: DataFrame, ngram_max: int = 2) -> DataFrame:
     """(key, term, weight) of any number of terms: no vocabulary leaves the executors.
 
+    Texts that share a key count as one; texts without a key have no rows.
+    ``df`` should be stored, as it is read several times.
+    """
+    keyed = df.where(F.col(key).isNotNull())
+    shared = cut_lineage(keyed.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(key))
+    rows = shared.count()
+    if not rows:
+        return _packed_weights(keyed, key, tokens, chosen, ngram_max)
+    alone = _packed_weights(join_small(keyed, shared, key, "left_anti", rows=rows), key, tokens, chosen, ngram_max)
+    return alone.unionAll(_joined_weights(join_small(keyed, shared, key, "left_semi", rows=rows), key, tokens, chosen, ngram_max))
+
+
+def _joined_weights(df: DataFrame, key: str, tokens: Column, chosen: DataFrame, ngram_max: int) -> DataFrame:
+    """Weights of texts that may share keys: counts meet by key and term."""
+    lists = df.select(key, tokens.alias("_tokens")).select(key, terms_of(F.col("_tokens"), ngram_max).alias("_terms"))
+    rows = lists.select(key, F.explode_outer("_terms").alias("term")).where(F.col("term").isNotNull())
+    counts = rows.groupBy(key, "term").agg(F.count(F.lit(1)).alias("n"))
+    weighed = counts.join(chosen.select("term", "idf"), "term").select(key, "term", ((1.0 + F.log("n")) * F.col("idf")).alias("weight"))
+    norms = weighed.groupBy(key).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("_norm"))
+    return weighed.join(norms, key).select(key, "term", (F.col("weight") / F.col("_norm")).alias("weight"))
+
+
+def _packed_weights(df: DataFrame, key: str, tokens: Column, chosen: DataFrame, ngram_max: int) -> DataFrame:
+    """Weights of texts with keys of their own.
+
     Tasks count the terms of a block of texts and pack them: a row holds one
     term with the places and counts of the block's texts that have it.  These
     rows meet the table of ``chosen`` terms and their ``idf`` and return to
-    their block, where each text's norm is known.  ``key`` must be unique and
-    ``df`` stored, so that a repeated task forms the same blocks.
+    their block, where each text's norm is known.  As ``df`` is stored, a
+    repeated task forms the same blocks.
     """
     kind = df.schema[key].dataType.simpleString()
 
