@@ -134,6 +134,35 @@ def test_weights_move_in_blocks(spark, monkeypatch, shuffled):
         assert found == pytest.approx({cell: w / norm[cell[0]] for cell, w in raw.items()})
 
 
+def test_terms_are_counted_in_packed_buckets(spark, monkeypatch):
+    """One row moves for a bucket of terms; a word with a blank and a pair that read alike are one term."""
+    lists = [["red", "dog"], ["red dog"], ["", "é", "red", "dog", "red"], [], None, ["red dog", "cat"], ["red", "dog cat"], ["red", "dog", "red dog"]]
+    df = cut_lineage(spark.createDataFrame([(words,) for words in lists], "t array<string>").repartition(3))
+    terms = [words + [f"{a} {b}" for a, b in zip(words, words[1:])] for words in lists if words]
+    expected = {t: (sum(x.count(t) for x in terms), sum(t in x for x in terms)) for x in terms for t in x}
+    for step in (1, 10**6):
+        monkeypatch.setattr(tfidf, "COUNTED_PER_STEP", step)
+        counted = tfidf.term_statistics(df, F.col("t"))
+        assert "FlatMapGroupsInArrow [bucket" in plan_of(counted)
+        assert {r["term"]: (r["corpus_count"], r["document_count"]) for r in counted.collect()} == expected
+        assert sum(1 for _ in counted.collect()) == len(expected)
+    kept = plan_of(tfidf.select_terms(tfidf.term_statistics(df, F.col("t")), 8, max_features=None, min_df=2))
+    assert kept.index("Exchange hashpartitioning(term") < kept.index("Filter")
+
+
+def test_terms_are_made_once_before_they_are_numbered(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(idf):
+        made.add(1)
+        return idf
+
+    rows = spark.createDataFrame([(f"t{k:02d}", 1.0) for k in range(40)], "term string, idf double")
+    numbered = tfidf.number_terms(rows.withColumn("idf", F.udf(seen, "double")("idf")))
+    assert [(r["term"], r["number"]) for r in numbered.orderBy("number").collect()] == [(f"t{k:02d}", k) for k in range(40)]
+    assert made.value == 40
+
+
 def test_texts_that_share_a_key_are_weighed_as_one(spark):
     rows = [("a", "red red dog"), ("a", "dog red"), ("b", "dog"), (None, "red dog"), ("c", "dog red")]
     df = cut_lineage(spark.createDataFrame(rows, "k string, t string").repartition(3))

@@ -27,6 +27,10 @@ from voicegrid.session import cut_lineage, join_small
 TOKENS_PER_STEP = 400_000
 # Tokens counted in one step: repeats within it are combined before anything leaves the task.
 COUNTED_PER_STEP = 2_000_000
+# Buckets of counted terms for each shuffle partition: one of them is in memory at a time.
+BUCKETS_PER_PARTITION = 16
+# Base of the polynomial hash of a term's bytes, modulo 2^64.
+HASH_BASE = 0x9E3779B97F4A7C15
 
 
 def english_stop_words() -> tuple[str, ...]:
@@ -72,25 +76,39 @@ def terms_of(tokens: Column, ngram_max: int) -> Column:
 def term_statistics(df: DataFrame, tokens: Column, ngram_max: int = 2) -> DataFrame:
     """Corpus count and document count per term.
 
-    Tasks count the terms of many texts at a time; one row for each of these
-    terms goes on to an aggregate keyed by the term alone.
+    Tasks count the terms of many texts at a time and pack them by a hash of
+    the term: a row holds one bucket's terms and their counts.  The rows of a
+    bucket then meet in one small group.  Buckets go with the session's shuffle
+    partitions, and a frequent term is one entry in each packed row.  Terms are
+    dealt out by name for later joins; limits on counts apply before that.
     """
+    buckets = BUCKETS_PER_PARTITION * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, terms, row, code in term_steps(batch.column(0), ngram_max):
-                cells = _sorted_distinct(row * max(len(terms), 1) + code)
+            for terms, hashes, corpus, documents in _counted_terms(batch.column(0), ngram_max):
+                bucket = (hashes % np.uint64(buckets)).astype(np.int32)
+                order = np.argsort(bucket, kind="stable")
+                sizes = np.bincount(bucket, minlength=buckets)
+                filled = np.flatnonzero(sizes)
+                ends = pa.array(np.concatenate([[0], np.cumsum(sizes[filled])]), pa.int32())
+                lists = (terms.take(pa.array(order)), pa.array(corpus[order]), pa.array(documents[order]))
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        terms,
-                        pa.array(np.bincount(code, minlength=len(terms)), pa.int64()),
-                        pa.array(np.bincount(cells % max(len(terms), 1), minlength=len(terms)), pa.int64()),
-                    ],
-                    names=["term", "corpus_count", "document_count"],
+                    [pa.array(filled, pa.int32()), *(pa.ListArray.from_arrays(ends, values) for values in lists)],
+                    names=["bucket", "terms", "corpus", "documents"],
                 )
 
-    rows = df.select(tokens.alias("_tokens")).mapInArrow(count, "term string, corpus_count bigint, document_count bigint")
-    return rows.groupBy("term").agg(F.sum("corpus_count").alias("corpus_count"), F.sum("document_count").alias("document_count"))
+    def merge(group: pa.Table) -> pa.Table:
+        names = ["term", "corpus_count", "document_count"]
+        rows = pa.Table.from_arrays([pc.list_flatten(group[name]) for name in ("terms", "corpus", "documents")], names=names)
+        sums = rows.group_by("term", use_threads=False).aggregate([(name, "sum") for name in names[1:]])
+        return pa.Table.from_arrays([sums["term"], *(sums[f"{name}_sum"] for name in names[1:])], names=names)
+
+    packed = df.select(tokens.alias("_tokens")).mapInArrow(
+        count, "bucket int, terms array<string>, corpus array<bigint>, documents array<bigint>"
+    )
+    merged = packed.groupBy("bucket").applyInArrow(merge, "term string, corpus_count bigint, document_count bigint")
+    return merged.repartition("term")
 
 
 def inverse_document_frequency(document_count: Column, documents: int) -> Column:
@@ -183,8 +201,11 @@ def _packed_weights(df: DataFrame, key: str, tokens: Column, chosen: DataFrame,
 
 
 def number_terms(chosen: DataFrame) -> DataFrame:
-    """``term``, ``number`` (0-based, alphabetical) and ``idf``; ranks come from range partitions."""
-    numbered = number_rows(chosen.select(F.struct("term", "idf").alias("_pos")))
+    """``term``, ``number`` (0-based, alphabetical) and ``idf``; ranks come from range partitions.
+
+    The terms are stored first, as finding the ranges reads them once more.
+    """
+    numbered = number_rows(cut_lineage(chosen.select(F.struct("term", "idf").alias("_pos"))))
     return numbered.select("_pos.term", (F.col("_number") - 1).alias("number"), "_pos.idf")
 
 
@@ -237,28 +258,32 @@ def _row_steps(offsets: np.ndarray, tokens: int) -> Iterator[tuple[int, int]]:
         start = stop
 
 
-def _listed_terms(tokens: pa.Array, ngram_max: int, step: int) -> Iterator[tuple[int, int, list[pa.Array], list[np.ndarray]]]:
-    """Steps over token lists: first and last row, the words and pairs there, and each one's row within the step."""
+def _token_steps(tokens: pa.Array, step: int) -> Iterator[tuple[tuple[int, int], pa.Array, np.ndarray]]:
+    """Steps over token lists: first and last row, the words there, and each one's row within the step."""
     lists = pc.fill_null(tokens, pa.scalar([], type=tokens.type)) if tokens.null_count else tokens
     offsets = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
     flat = lists.flatten()
     for start, stop in _row_steps(offsets, step):
         words = flat.slice(offsets[start], offsets[stop] - offsets[start])
-        rows = np.repeat(np.arange(stop - start), np.diff(offsets[start : stop + 1]))
-        parts, owners = [words], [rows]
-        if ngram_max == 2 and len(words) > 1:
-            same = rows[1:] == rows[:-1]
-            pairs = pc.binary_join_element_wise(words.slice(0, len(words) - 1), words.slice(1), " ")
-            parts.append(pairs.filter(pa.array(same)))
-            owners.append(rows[1:][same])
-        yield start, stop, parts, owners
+        yield (start, stop), words, np.repeat(np.arange(stop - start), np.diff(offsets[start : stop + 1]))
+
+
+def _spelled_terms(words: pa.Array, rows: np.ndarray, ngram_max: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct terms of a step, and row and term number of every occurrence."""
+    parts, owners = [words], [rows]
+    if ngram_max == 2 and len(words) > 1:
+        same = rows[1:] == rows[:-1]
+        pairs = pc.binary_join_element_wise(words.slice(0, len(words) - 1), words.slice(1), " ")
+        parts.append(pairs.filter(pa.array(same)))
+        owners.append(rows[1:][same])
+    coded = pa.concat_arrays(parts).dictionary_encode()
+    return coded.dictionary, np.concatenate(owners), coded.indices.to_numpy().astype(np.int64)
 
 
 def term_steps(tokens: pa.Array, ngram_max: int) -> Iterator[tuple[int, pa.Array, np.ndarray, np.ndarray]]:
     """Steps over token lists: first row, distinct terms, and row (within the step) and term number of every occurrence."""
-    for start, _, parts, owners in _listed_terms(tokens, ngram_max, COUNTED_PER_STEP):
-        coded = pa.concat_arrays(parts).dictionary_encode()
-        yield start, coded.dictionary, np.concatenate(owners), coded.indices.to_numpy().astype(np.int64)
+    for (start, _), words, rows in _token_steps(tokens, COUNTED_PER_STEP):
+        yield start, *_spelled_terms(words, rows, ngram_max)
 
 
 def _sorted_distinct(numbers: np.ndarray) -> np.ndarray:
@@ -267,6 +292,78 @@ def _sorted_distinct(numbers: np.ndarray) -> np.ndarray:
     return numbers[np.concatenate([np.ones(min(len(numbers), 1), bool), numbers[1:] != numbers[:-1]])]
 
 
+def _powers(count: int) -> np.ndarray:
+    """The first powers of the hash base."""
+    found = np.full(count, HASH_BASE, np.uint64)
+    found[:1] = 1
+    return np.multiply.accumulate(found)
+
+
+def _word_hashes(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and length in bytes of each word: its bytes as the digits of a number modulo 2^64."""
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), "")
+    data = np.frombuffer(joined[0].as_buffer(), np.uint8) if len(words) else np.zeros(0, np.uint8)
+    lengths = pc.binary_length(words).to_numpy().astype(np.int64)
+    ends = np.cumsum(lengths)
+    place = np.repeat(ends, lengths) - np.arange(len(data)) - 1
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(data * _powers(int(lengths.max(initial=0)))[place])])
+    return sums[ends] - sums[ends - lengths], lengths
+
+
+def _counted_terms(tokens: pa.Array, ngram_max: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
+    """Steps over token lists: terms, hashes, and corpus and document counts.
+
+    Pairs are counted as pairs of word numbers, and only distinct ones are
+    spelled out; where a word has a blank, all are, as it may read like a pair.
+    Either way a term's hash is that of its bytes.
+    """
+
+    def counts(code: np.ndarray, row: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        cells = _sorted_distinct(row * max(size, 1) + code)
+        return np.bincount(code, minlength=size), np.bincount(cells % max(size, 1), minlength=size)
+
+    for _, words, rows in _token_steps(tokens, COUNTED_PER_STEP):
+        coded = words.dictionary_encode()
+        word, code = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+        if ngram_max == 2 and pc.any(pc.match_substring(word, " ")).as_py():
+            term, owner, code = _spelled_terms(words, rows, ngram_max)
+            yield term, _mixed(_word_hashes(term)[0]), *counts(code, owner, len(term))
+            continue
+        hashes, lengths = _word_hashes(word)
+        yield word, _mixed(hashes), *counts(code, rows, len(word))
+        if ngram_max == 2 and len(code) > 1:
+            same = rows[1:] == rows[:-1]
+            pairs = pa.array((code[:-1] * len(word) + code[1:])[same]).dictionary_encode()
+            first, second = np.divmod(pairs.dictionary.to_numpy(), len(word))
+            power = _powers(int(lengths.max(initial=0)) + 2)
+            both = hashes[first] * power[lengths[second] + 1] + np.uint64(ord(" ")) * power[lengths[second]] + hashes[second]
+            spelled = pc.binary_join_element_wise(word.take(pa.array(first)), word.take(pa.array(second)), " ")
+            yield spelled, _mixed(both), *counts(pairs.indices.to_numpy().astype(np.int64), rows[1:][same], len(first))
+
+
+def _mixed(hashes: np.ndarray) -> np.ndarray:
+    """Hashes whose every bit depends on the high bits too."""
+    hashes = (hashes ^ (hashes >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return hashes ^ (hashes >> np.uint64(32))
+
+
+def _listed_terms(tokens: pa.Array, ngram_max: int, step: int) -> Iterator[tuple[int, int, list[pa.Array], list[np.ndarray]]]:
+    """Steps over token lists: first and last row, the words and pairs there, and each one's row within the step."""
+    lists = pc.fill_null(tokens, pa.scalar([], type=tokens.type)) if tokens.null_count else tokens
+    offsets = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
+    flat = lists.flatten()
+    for start, stop in _row_steps(offsets, step):
+        words = flat.slice(offsets[start], offsets[stop] - offsets[start])
+        rows = np.repeat(np.arange(stop - start), np.diff(offsets[start : stop + 1]))
+        parts, owners = [words], [rows]
+        if ngram_max == 2 and len(words) > 1:
+            same = rows[1:] == rows[:-1]
+            pairs = pc.binary_join_element_wise(words.slice(0, len(words) - 1), words.slice(1), " ")
+            parts.append(pairs.filter(pa.array(same)))
+            owners.append(rows[1:][same])
+        yield start, stop, parts, owners
+
+
 def weigh(tokens: pa.Array, vocabulary: Vocabulary, terms: pa.Array) -> Iterator[SparseRows]:
     """L2-normalized TF-IDF rows of a batch of token lists."""
     size = max(len(vocabulary), 1)
