@@ -5,6 +5,8 @@ import math
 import time
 from datetime import datetime
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -163,6 +165,31 @@ def test_terms_are_made_once_before_they_are_numbered(spark):
     assert made.value == 40
 
 
+def test_topic_weights_are_solved_for_many_texts_at_once(spark, themed_reviews):
+    """Weights come from one pass in tasks, and a row's do not hang on the rows beside it."""
+    fit = topics.fit_topics(themed_reviews, TopicConfig(n_topics=3, max_features=60))
+    scored = fit.model.with_weights(fit.texts, "topic_text")
+    assert plan_of(scored).count("ArrowEvalPython") == 1 and "Generate" not in plan_of(scored) and "Exchange" not in plan_of(scored)
+    found = {row["topic_text"]: row["_weights"] for row in scored.collect()}
+    single = {row["topic_text"]: row["_weights"] for text in list(found)[:3] for row in fit.model.with_weights(fit.texts.where(F.col("topic_text") == text), "topic_text").collect()}
+    assert single == {text: pytest.approx(found[text], abs=1e-13) for text in single}
+
+
+def test_weighing_finds_words_and_pairs_by_number():
+    """Terms of words with blanks of their own are found at each blank."""
+    vocabulary = tfidf.Vocabulary(("a", "a b", "a b c", "c", "é a"), np.array([1.0, 2.0, 3.0, 4.0, 5.0]), 9)
+    lists = [["a", "b", "c"], ["a b", "c"], ["a", "b c"], [], None, ["x", "é", "a", "a"], ["a"], ["b", "a b c"]]
+    parts = list(tfidf.weigh(pa.array(lists, pa.list_(pa.string())), vocabulary, pa.array(vocabulary.terms)))
+    (part,) = parts
+    found = {(r, vocabulary.terms[t]): w for r, t, w in zip(part.row.tolist(), part.term.tolist(), part.weight.tolist())}
+    raw = {}
+    for r, words in enumerate(lists):
+        terms = (words or []) + [f"{x} {y}" for x, y in zip(words or [], (words or [])[1:])]
+        raw |= {(r, t): (1 + math.log(terms.count(t))) * vocabulary.idf[vocabulary.terms.index(t)] for t in set(terms) & set(vocabulary.terms)}
+    norm = {r: math.sqrt(sum(w * w for (o, _), w in raw.items() if o == r)) for r, _ in raw}
+    assert part.count == 8 and found == pytest.approx({cell: w / norm[cell[0]] for cell, w in raw.items()})
+
+
 def test_texts_that_share_a_key_are_weighed_as_one(spark):
     rows = [("a", "red red dog"), ("a", "dog red"), ("b", "dog"), (None, "red dog"), ("c", "dog red")]
     df = cut_lineage(spark.createDataFrame(rows, "k string, t string").repartition(3))

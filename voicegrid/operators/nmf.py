@@ -80,9 +80,13 @@ def _distributed_sum(vectors: DataFrame, partitions: int, size: int, sums: Batch
 
 
 def solve_rows(
-    row: np.ndarray, term: np.ndarray, weight: np.ndarray, count: int, h: np.ndarray
+    row: np.ndarray, term: np.ndarray, weight: np.ndarray, count: int, h: np.ndarray, *, settled: float = 1e-9
 ) -> np.ndarray:
-    """Non-negative least-squares rows of W for a fixed H, by coordinate descent."""
+    """Non-negative least-squares rows of W for a fixed H, by coordinate descent.
+
+    Sweeps end early once no row moves by ``settled``; with 0 a row's result
+    does not depend on the rows beside it.
+    """
     gram = h @ h.T
     target = np.column_stack([np.bincount(row, weight * h[c, term], minlength=count) for c in range(len(h))])
     w = np.zeros((count, len(h)))
@@ -90,7 +94,7 @@ def solve_rows(
         before = w.copy()
         for c in np.flatnonzero(np.diag(gram) > 0):
             w[:, c] = np.maximum(0.0, w[:, c] + (target[:, c] - w @ gram[:, c]) / gram[c, c])
-        if np.abs(w - before).max(initial=0.0) < 1e-9:
+        if np.abs(w - before).max(initial=0.0) < settled:
             break
     return w
 

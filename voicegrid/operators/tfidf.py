@@ -347,36 +347,49 @@ def _mixed(hashes: np.ndarray) -> np.ndarray:
     return hashes ^ (hashes >> np.uint64(32))
 
 
-def _listed_terms(tokens: pa.Array, ngram_max: int, step: int) -> Iterator[tuple[int, int, list[pa.Array], list[np.ndarray]]]:
-    """Steps over token lists: first and last row, the words and pairs there, and each one's row within the step."""
-    lists = pc.fill_null(tokens, pa.scalar([], type=tokens.type)) if tokens.null_count else tokens
-    offsets = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
-    flat = lists.flatten()
-    for start, stop in _row_steps(offsets, step):
-        words = flat.slice(offsets[start], offsets[stop] - offsets[start])
-        rows = np.repeat(np.arange(stop - start), np.diff(offsets[start : stop + 1]))
-        parts, owners = [words], [rows]
-        if ngram_max == 2 and len(words) > 1:
-            same = rows[1:] == rows[:-1]
-            pairs = pc.binary_join_element_wise(words.slice(0, len(words) - 1), words.slice(1), " ")
-            parts.append(pairs.filter(pa.array(same)))
-            owners.append(rows[1:][same])
-        yield start, stop, parts, owners
+def _pair_table(terms: Sequence[str]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Words that stand in pairs, pairs of their numbers in ascending order, and each pair's term.
+
+    A term is a pair at each of its blanks, as words may have blanks of their own.
+    """
+    cuts = [(i, term[:k], term[k + 1 :]) for i, term in enumerate(terms) for k, letter in enumerate(term) if letter == " "]
+    words = sorted({part for _, *parts in cuts for part in parts})
+    number = {word: i for i, word in enumerate(words)}
+    codes = np.array([number[left] * len(words) + number[right] for _, left, right in cuts], dtype=np.int64)
+    order = np.argsort(codes)
+    return pa.array(words, pa.string()), codes[order], np.array([i for i, *_ in cuts], dtype=np.int64)[order]
 
 
 def weigh(tokens: pa.Array, vocabulary: Vocabulary, terms: pa.Array) -> Iterator[SparseRows]:
-    """L2-normalized TF-IDF rows of a batch of token lists."""
+    """L2-normalized TF-IDF rows of a batch of token lists.
+
+    Each distinct word is looked up once; pairs are found by the numbers of their words.
+    """
     size = max(len(vocabulary), 1)
-    for start, stop, parts, owners in _listed_terms(tokens, vocabulary.ngram_max, TOKENS_PER_STEP):
-        found = [pc.index_in(part, value_set=terms) for part in parts]
-        ids = np.concatenate([part.fill_null(-1).to_numpy(zero_copy_only=False) for part in found]).astype(np.int64)
-        owner = np.concatenate(owners)
-        known = ids >= 0
-        cells, counts = np.unique(owner[known] * size + ids[known], return_counts=True)
-        row, term = cells // size, cells % size
-        weight = (1.0 + np.log(counts)) * vocabulary.idf[term] if len(cells) else np.zeros(0)
+    words, codes, targets = _pair_table(vocabulary.terms if vocabulary.ngram_max == 2 else ())
+
+    def numbers(of: pa.Array, among: pa.Array, code: np.ndarray) -> np.ndarray:
+        return pc.index_in(of, value_set=among).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)[code]
+
+    for (start, stop), listed, rows in _token_steps(tokens, TOKENS_PER_STEP):
+        coded = listed.dictionary_encode()
+        code = coded.indices.to_numpy()
+        ids = numbers(coded.dictionary, terms, code)
+        cells = [rows[ids >= 0] * size + ids[ids >= 0]]
+        if len(codes) and len(code) > 1:
+            word = numbers(coded.dictionary, words, code)
+            both = np.flatnonzero((rows[1:] == rows[:-1]) & (word[1:] >= 0) & (word[:-1] >= 0))
+            pair = word[both] * len(words) + word[both + 1]
+            place = np.minimum(np.searchsorted(codes, pair), len(codes) - 1)
+            known = codes[place] == pair
+            cells.append(rows[both[known]] * size + targets[place[known]])
+        every = np.sort(np.concatenate(cells))
+        firsts = np.flatnonzero(np.concatenate([np.ones(min(len(every), 1), bool), every[1:] != every[:-1]]))
+        counts = np.diff(np.append(firsts, len(every)))
+        row, term = np.divmod(every[firsts], size)
+        weight = (1.0 + np.log(counts)) * vocabulary.idf[term] if len(row) else np.zeros(0)
         length = np.sqrt(np.bincount(row, weight * weight, minlength=stop - start))
-        yield SparseRows(stop - start, row, term, weight / length[row] if len(cells) else weight)
+        yield SparseRows(stop - start, row, term, weight / length[row] if len(row) else weight)
 
 
 def sparse_vectors(df: DataFrame, tokens: Column, vocabulary: Vocabulary) -> DataFrame:

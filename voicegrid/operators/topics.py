@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import asdict, dataclass, field, replace
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.functions import arrow_udf
 
 from voicegrid.functions.labels import canonical_label, dominant_label, label_score, match_label
-from voicegrid.functions.lookup import constant, count_terms, let
 from voicegrid.functions.text import clean_topic_text
 from voicegrid.operators.canonical import keep_first, with_position
-from voicegrid.operators.nmf import ROW_SWEEPS, factorize_many
+from voicegrid.operators.nmf import factorize_many, solve_rows
 from voicegrid.operators.tfidf import (
     Vocabulary,
     english_stop_words,
@@ -21,8 +22,8 @@ from voicegrid.operators.tfidf import (
     load_vocabulary,
     save_vocabulary,
     sparse_vectors,
-    terms_of,
     tokens_of,
+    weigh,
 )
 from voicegrid.schema import TopicConfig, TopicError, pick_text_column, require_columns
 from voicegrid.session import compute_once, cut_lineage, rows_frame, scratch_table
@@ -110,46 +111,25 @@ class TopicModel:
         return topic_tokens(text, self.config)
 
     def with_weights(self, df: DataFrame, cleaned_text: str | Column, name: str = "_weights") -> DataFrame:
-        """Add the topic weights of a cleaned text, solved in the JVM; null when it has no known term.
+        """Add the topic weights of a cleaned text; null when it has no known term.
 
-        Known terms give the row's products with the factors; coordinate
-        descent against the factors' products with each other does the rest.
+        The JVM cuts the text; tasks weigh the known terms of many texts at a
+        time and solve all rows of W together, without a shuffle.
         """
-        topics = range(len(self.h))
-        gram = self.h @ self.h.T
-        idf = constant(self.vocabulary.idf, "array<double>")
-        factors = [constant(row, "array<double>") for row in self.h]
-        products = constant(gram, "array<array<double>>")
-        steps = constant([c for _ in range(ROW_SWEEPS) for c in topics if gram[c, c] > 0], "array<int>")
-        tokens = let(self.tokens(cleaned_text), lambda words: terms_of(words, self.vocabulary.ngram_max))
-
-        def solved(indices: Column, counts: Column) -> Column:
-            cells = F.zip_with(indices, counts, lambda i, n: F.struct(i.alias("i"), ((1.0 + F.log(n)) * F.get(idf, i)).alias("w")))
-            zero = F.struct(F.lit(0.0).alias("norm"), *(F.lit(0.0).alias(f"t{c}") for c in topics))
-
-            def add(total: Column, cell: Column) -> Column:
-                w = cell["w"]
-                sums = [(total[f"t{c}"] + w * F.get(factors[c], cell["i"])).alias(f"t{c}") for c in topics]
-                return F.struct((total["norm"] + w * w).alias("norm"), *sums)
-
-            def descend(total: Column) -> Column:
-                def run(target: Column) -> Column:
-                    def step(values: Column, c: Column) -> Column:
-                        own = F.get(products, c)
-                        meets = F.aggregate(F.zip_with(values, own, lambda v, g: v * g), F.lit(0.0), lambda sums, x: sums + x)
-
-                        def moved(v: Column) -> Column:
-                            return F.greatest(F.lit(0.0), v + (F.get(target, c) - meets) / F.get(own, c))
-
-                        return F.transform(values, lambda v, j: F.when(j == c, moved(v)).otherwise(v))
-
-                    return F.aggregate(steps, F.array_repeat(F.lit(0.0), len(topics)), step)
-
-                return let(F.array(*(total[f"t{c}"] / F.sqrt(total["norm"]) for c in topics)), run)
-
-            return F.when(F.size(indices) > 0, let(F.aggregate(cells, zero, add), descend))
-
-        return count_terms(df, tokens, self.vocabulary.terms, solved, name)
+        vocabulary, h = self.vocabulary, self.h
+
+        @arrow_udf("array<double>")
+        def solve(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            terms = pa.array(vocabulary.terms, type=pa.string())
+            for batch in batches:
+                parts = list(weigh(batch, vocabulary, terms))
+                solved = [solve_rows(p.row, p.term, p.weight, p.count, h, settled=0.0) for p in parts]
+                known = np.concatenate([np.bincount(p.row, minlength=p.count) > 0 for p in parts] or [np.zeros(0, bool)])
+                values = np.concatenate([w.ravel() for w in solved] or [np.zeros(0)])
+                ends = np.arange(len(known) + 1, dtype=np.int32) * len(h)
+                yield pa.ListArray.from_arrays(pa.array(ends), pa.array(values), mask=pa.array(~known))
+
+        return df.withColumn(name, solve.asNondeterministic()(self.tokens(cleaned_text)))
 
     def assign(self, df: DataFrame, *, text_column: str | None = None, strict: bool = True) -> DataFrame:
         """Add topic id, label, strength and confidence (share of the row's weight).
