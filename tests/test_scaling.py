@@ -175,6 +175,19 @@ def test_topic_weights_are_solved_for_many_texts_at_once(spark, themed_reviews):
     assert single == {text: pytest.approx(found[text], abs=1e-13) for text in single}
 
 
+def test_topics_clean_a_text_once(spark, themed_reviews):
+    """The fitted texts are those of the stored corpus."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def read(text):
+        seen.add(1)
+        return text
+
+    rows = themed_reviews.withColumn("clean_text", F.udf(read, "string").asNondeterministic()("clean_text"))
+    fit, found = topics.model_topics(rows, TopicConfig(n_topics=3, max_features=60))
+    assert found.count() == fit.documents == 30 and seen.value == 30
+
+
 def test_weighing_finds_words_and_pairs_by_number():
     """Terms of words with blanks of their own are found at each blank."""
     vocabulary = tfidf.Vocabulary(("a", "a b", "a b c", "c", "é a"), np.array([1.0, 2.0, 3.0, 4.0, 5.0]), 9)
