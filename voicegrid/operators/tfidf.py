@@ -27,8 +27,10 @@ from voicegrid.session import cut_lineage, join_small
 TOKENS_PER_STEP = 400_000
 # Tokens counted in one step: repeats within it are combined before anything leaves the task.
 COUNTED_PER_STEP = 2_000_000
+# Chosen terms dealt out in one step.
+KNOWN_PER_STEP = 1_000_000
 # Buckets of counted terms for each shuffle partition: one of them is in memory at a time.
-BUCKETS_PER_PARTITION = 16
+BUCKETS_PER_PARTITION = 2
 # Base of the polynomial hash of a term's bytes, modulo 2^64.
 HASH_BASE = 0x9E3779B97F4A7C15
 
@@ -77,38 +79,41 @@ def term_statistics(df: DataFrame, tokens: Column, ngram_max: int = 2) -> DataFr
     """Corpus count and document count per term.
 
     Tasks count the terms of many texts at a time and pack them by a hash of
-    the term: a row holds one bucket's terms and their counts.  The rows of a
-    bucket then meet in one small group.  Buckets go with the session's shuffle
-    partitions, and a frequent term is one entry in each packed row.  Terms are
-    dealt out by name for later joins; limits on counts apply before that.
+    the term: a row holds one bucket's terms and their counts, compressed.  The
+    rows of a bucket then meet in one small group.  Buckets go with the
+    session's shuffle partitions, and a frequent term is one entry in each row.
+    Terms are dealt out by name for later joins; limits on counts apply before that.
     """
-    buckets = BUCKETS_PER_PARTITION * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return _bucket_counts(df, tokens, ngram_max).repartition("term")
+
+
+def _bucket_counts(df: DataFrame, tokens: Column, ngram_max: int) -> DataFrame:
+    """The counts as they lie in their buckets."""
+    buckets = _buckets(df)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for terms, hashes, corpus, documents in _counted_terms(batch.column(0), ngram_max):
-                bucket = (hashes % np.uint64(buckets)).astype(np.int32)
-                order = np.argsort(bucket, kind="stable")
-                sizes = np.bincount(bucket, minlength=buckets)
-                filled = np.flatnonzero(sizes)
-                ends = pa.array(np.concatenate([[0], np.cumsum(sizes[filled])]), pa.int32())
-                lists = (terms.take(pa.array(order)), pa.array(corpus[order]), pa.array(documents[order]))
+                filled, parts = _dealt(terms, hashes, buckets)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(filled, pa.int32()), *(pa.ListArray.from_arrays(ends, values) for values in lists)],
+                    [
+                        pa.array(filled, pa.int32()),
+                        pa.array([_packed_strings(terms.take(pa.array(part))) for part in parts], pa.binary()),
+                        pa.array([_packed_numbers(corpus[part]) for part in parts], pa.binary()),
+                        pa.array([_packed_numbers(documents[part]) for part in parts], pa.binary()),
+                    ],
                     names=["bucket", "terms", "corpus", "documents"],
                 )
 
     def merge(group: pa.Table) -> pa.Table:
         names = ["term", "corpus_count", "document_count"]
-        rows = pa.Table.from_arrays([pc.list_flatten(group[name]) for name in ("terms", "corpus", "documents")], names=names)
+        counts = [np.concatenate([_numbers(cell.as_py()) for cell in group[name]]).astype(np.int64) for name in ("corpus", "documents")]
+        rows = pa.Table.from_arrays([_all_strings(group["terms"]), *map(pa.array, counts)], names=names)
         sums = rows.group_by("term", use_threads=False).aggregate([(name, "sum") for name in names[1:]])
         return pa.Table.from_arrays([sums["term"], *(sums[f"{name}_sum"] for name in names[1:])], names=names)
 
-    packed = df.select(tokens.alias("_tokens")).mapInArrow(
-        count, "bucket int, terms array<string>, corpus array<bigint>, documents array<bigint>"
-    )
-    merged = packed.groupBy("bucket").applyInArrow(merge, "term string, corpus_count bigint, document_count bigint")
-    return merged.repartition("term")
+    packed = df.select(tokens.alias("_tokens")).mapInArrow(count, "bucket int, terms binary, corpus binary, documents binary")
+    return packed.groupBy("bucket").applyInArrow(merge, "term string, corpus_count bigint, document_count bigint")
 
 
 def inverse_document_frequency(document_count: Column, documents: int) -> Column:
@@ -155,49 +160,97 @@ def _joined_weights(df: DataFrame, key: str, tokens: Column, chosen: DataFrame,
 def _packed_weights(df: DataFrame, key: str, tokens: Column, chosen: DataFrame, ngram_max: int) -> DataFrame:
     """Weights of texts with keys of their own.
 
-    Tasks count the terms of a block of texts and pack them: a row holds one
-    term with the places and counts of the block's texts that have it.  These
-    rows meet the table of ``chosen`` terms and their ``idf`` and return to
-    their block, where each text's norm is known.  As ``df`` is stored, a
-    repeated task forms the same blocks.
+    Tasks pack the terms of a block of texts by bucket.  In its bucket a block
+    is answered with the ``idf`` of each of its terms, in the order asked.  The
+    answers meet the block's texts, which were sent there as numbered words:
+    no row goes out for a single term or cell.  As ``df`` is stored, both
+    passes over it form the same blocks.
     """
-    kind = df.schema[key].dataType.simpleString()
+    kind, buckets = df.schema[key].dataType.simpleString(), _buckets(df)
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Array, pa.Array, np.ndarray, np.ndarray]]:
         block = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for start, terms, row, code in term_steps(batch.column(1), ngram_max):
-                rows = int(row.max()) + 1 if len(row) else 0
-                cells, counts = np.unique(code * max(rows, 1) + row, return_counts=True)
-                sizes = np.bincount(cells // max(rows, 1), minlength=len(terms))
-                ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
-                places = pa.array(cells % max(rows, 1) + start, pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(len(terms), block), pa.int64()),
-                        terms,
-                        pa.ListArray.from_arrays(ends, batch.column(0).take(places)),
-                        pa.ListArray.from_arrays(ends, pa.array(counts, pa.int32())),
-                    ],
-                    names=["block", "term", "keys", "counts"],
-                )
+            for (start, stop), words, rows in _token_steps(batch.column(1), COUNTED_PER_STEP):
+                if len(words):
+                    yield block, batch.column(0).slice(start, stop - start), *_numbered_words(words), rows
                 block += 1
 
-    def weigh_block(block: pa.Table) -> pa.Table:
-        rows = block.combine_chunks()
-        lists, keys = rows["counts"].chunk(0), rows["keys"].chunk(0).flatten()
-        owner = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy())
-        weight = (1.0 + np.log(lists.flatten().to_numpy())) * rows["idf"].to_numpy()[owner]
-        text = keys.dictionary_encode().indices.to_numpy()
-        length = np.sqrt(np.bincount(text, weight * weight))
-        terms = rows["term"].chunk(0).take(pa.array(owner))
-        return pa.Table.from_arrays([keys, terms, pa.array(weight / length[text])], names=[key, "term", "weight"])
-
-    packed = df.select(key, tokens.alias("_tokens")).mapInArrow(
-        pack, f"block bigint, term string, keys array<{kind}>, counts array<int>"
-    )
-    found = packed.join(chosen.select("term", "idf"), "term").select("block", "term", "idf", "keys", "counts")
-    return found.groupBy("block").applyInArrow(weigh_block, f"`{key}` {kind}, term string, weight double")
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, _, words, code, rows in blocks(batches):
+            terms, hashes, _, _ = _numbered_terms(words, code, rows, ngram_max)
+            filled, parts = _dealt(terms, hashes, buckets)
+            lists = pa.array([_packed_strings(terms.take(pa.array(part))) for part in parts], pa.binary())
+            asked = [pa.array(filled, pa.int32()), pa.array(np.full(len(filled), block), pa.int64()), lists]
+            yield pa.RecordBatch.from_arrays([*asked, pa.nulls(len(filled), pa.binary())], names=["bucket", "block", "terms", "idf"])
+
+    def know(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _gathered(batches, KNOWN_PER_STEP):
+            terms, idf = table.column(0).combine_chunks(), table.column(1).to_numpy()
+            filled, parts = _dealt(terms, _mixed(_word_hashes(terms)[0]), buckets)
+            lists = pa.array([_packed_strings(terms.take(pa.array(part))) for part in parts], pa.binary())
+            values = pa.array([_packed_values(idf[part], np.ones(len(part), bool)) for part in parts], pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(filled, pa.int32()), pa.nulls(len(filled), pa.int64()), lists, values],
+                names=["bucket", "block", "terms", "idf"],
+            )
+
+    def answer(group: pa.Table) -> pa.Table:
+        asked, known = group.filter(pc.is_valid(group["block"])), group.filter(pc.is_null(group["block"]))
+        idf = np.concatenate([np.zeros(0), *(_values(cell.as_py())[0] for cell in known["idf"])])
+        lists = [_strings(cell.as_py()) for cell in asked["terms"]]
+        terms = pa.concat_arrays([pa.array([], pa.string()), *lists])
+        place = pc.index_in(terms, value_set=_all_strings(known["terms"])).fill_null(-1).to_numpy(zero_copy_only=False)
+        found = place >= 0
+        values = np.zeros(len(place))
+        values[found] = idf[place[found]]
+        cuts = np.cumsum([len(listed) for listed in lists])[:-1]
+        answers = [_packed_values(*part) for part in zip(np.split(values, cuts), np.split(found, cuts))] if lists else []
+        return pa.Table.from_arrays(
+            [asked["block"], asked["bucket"], pa.array(answers, pa.binary())], names=["block", "bucket", "data"]
+        )
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, keys, words, code, rows in blocks(batches):
+            lists = [_packed_strings(words), _packed_numbers(code), _packed_numbers(np.bincount(rows, minlength=len(keys)))]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([block], pa.int64()),
+                    *(pa.array([item], pa.binary()) for item in lists),
+                    pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys),
+                ],
+                names=["block", "data", "code", "sizes", "keys"],
+            )
+
+    def weigh_block(group: pa.Table) -> pa.Table:
+        text = group.filter(pc.is_null(group["bucket"])).to_batches()[0]
+        words, code = _strings(text["data"][0].as_py()), _numbers(text["code"][0].as_py()).astype(np.int64)
+        sizes = _numbers(text["sizes"][0].as_py()).astype(np.int64)
+        terms, hashes, row, term = _numbered_terms(words, code, np.repeat(np.arange(len(sizes)), sizes), ngram_max)
+        idf, known = np.zeros(len(terms)), np.zeros(len(terms), bool)
+        parts = dict(zip(*_dealt(terms, hashes, buckets)))
+        answers = group.filter(pc.is_valid(group["bucket"]))
+        for bucket, cell in zip(answers["bucket"].to_pylist(), answers["data"]):
+            part = parts.pop(bucket)
+            idf[part], known[part] = _values(cell.as_py())
+        if parts:
+            raise RuntimeError("A block of texts was not read twice alike; weigh a stored table.")
+        held = known[term]
+        cells, counts = _counted(row[held] * len(terms) + term[held])
+        row, term = np.divmod(cells, len(terms))
+        weight = (1.0 + np.log(counts)) * idf[term]
+        length = np.sqrt(np.bincount(row, weight * weight, minlength=len(sizes)))
+        keys = text["keys"].flatten().take(pa.array(row))
+        return pa.Table.from_arrays([keys, terms.take(pa.array(term)), pa.array(weight / length[row])], names=[key, "term", "weight"])
+
+    texts = df.select(key, tokens.alias("_tokens"))
+    asked = "bucket int, block bigint, terms binary, idf binary"
+    listed = chosen.select("term", F.col("idf").cast("double").alias("idf")).where(F.col("term").isNotNull())
+    met = texts.mapInArrow(ask, asked).unionAll(listed.mapInArrow(know, asked)).groupBy("bucket")
+    answers = met.applyInArrow(answer, "block bigint, bucket int, data binary")
+    sent = texts.mapInArrow(send, f"block bigint, data binary, code binary, sizes binary, keys array<{kind}>")
+    block = sent.unionByName(answers, allowMissingColumns=True).groupBy("block")
+    return block.applyInArrow(weigh_block, f"`{key}` {kind}, term string, weight double")
 
 
 def number_terms(chosen: DataFrame) -> DataFrame:
@@ -230,7 +283,7 @@ def fit_vocabulary(
 ) -> Vocabulary:
     """Collect the selected terms, at most ``max_features`` of them."""
     chosen = select_terms(
-        term_statistics(df, tokens, ngram_max), documents, max_features=max_features, min_df=min_df, max_df=max_df
+        _bucket_counts(df, tokens, ngram_max), documents, max_features=max_features, min_df=min_df, max_df=max_df
     )
     rows = sorted((row["term"], row["idf"]) for row in chosen.select("term", "idf").collect())
     return Vocabulary(
@@ -268,28 +321,127 @@ def _token_steps(tokens: pa.Array, step: int) -> Iterator[tuple[tuple[int, int],
         yield (start, stop), words, np.repeat(np.arange(stop - start), np.diff(offsets[start : stop + 1]))
 
 
-def _spelled_terms(words: pa.Array, rows: np.ndarray, ngram_max: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """Distinct terms of a step, and row and term number of every occurrence."""
-    parts, owners = [words], [rows]
-    if ngram_max == 2 and len(words) > 1:
-        same = rows[1:] == rows[:-1]
-        pairs = pc.binary_join_element_wise(words.slice(0, len(words) - 1), words.slice(1), " ")
-        parts.append(pairs.filter(pa.array(same)))
-        owners.append(rows[1:][same])
-    coded = pa.concat_arrays(parts).dictionary_encode()
-    return coded.dictionary, np.concatenate(owners), coded.indices.to_numpy().astype(np.int64)
+def _numbered_words(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Distinct words, the most frequent first, and the number of each occurrence."""
+    coded = words.dictionary_encode()
+    code = coded.indices.to_numpy()
+    order = np.argsort(-np.bincount(code, minlength=len(coded.dictionary)), kind="stable")
+    number = np.empty(len(order), np.int64)
+    number[order] = np.arange(len(order))
+    return coded.dictionary.take(pa.array(order)), number[code]
+
+
+def _numbered_terms(
+    words: pa.Array, code: np.ndarray, rows: np.ndarray, ngram_max: int
+) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct terms of numbered words with their hashes, and row and term number of every occurrence.
+
+    Pairs are found as pairs of word numbers, and only distinct ones are
+    spelled out; where a word has a blank, equal spellings are then made one,
+    as it may read like a pair.  A term's hash is that of its bytes.
+    """
+    hashes, lengths = _word_hashes(words)
+    if ngram_max != 2 or len(code) < 2:
+        return words, _mixed(hashes), rows, code
+    same = rows[1:] == rows[:-1]
+    pairs = pa.array((code[:-1] * len(words) + code[1:])[same]).dictionary_encode()
+    first, second = np.divmod(pairs.dictionary.to_numpy(), len(words))
+    power = _powers(int(lengths.max(initial=0)) + 2)
+    both = hashes[first] * power[lengths[second] + 1] + np.uint64(ord(" ")) * power[lengths[second]] + hashes[second]
+    spelled = pc.binary_join_element_wise(words.take(pa.array(first)), words.take(pa.array(second)), " ")
+    terms, mixed = pa.concat_arrays([words, spelled]), _mixed(np.concatenate([hashes, both]))
+    owner = np.concatenate([rows, rows[1:][same]])
+    number = np.concatenate([code, pairs.indices.to_numpy().astype(np.int64) + len(words)])
+    if pc.any(pc.match_substring(words, " ")).as_py():
+        merged = terms.dictionary_encode()
+        terms, number = merged.dictionary, merged.indices.to_numpy().astype(np.int64)[number]
+        mixed = _mixed(_word_hashes(terms)[0])
+    return terms, mixed, owner, number
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """Batches put together to tables of about ``rows`` rows; an empty input has none."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(part.num_rows for part in held) >= rows:
+            yield pa.Table.from_batches(held)
+            held = []
+    if sum(part.num_rows for part in held):
+        yield pa.Table.from_batches(held)
+
 
+def _buckets(df: DataFrame) -> int:
+    return BUCKETS_PER_PARTITION * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-def term_steps(tokens: pa.Array, ngram_max: int) -> Iterator[tuple[int, pa.Array, np.ndarray, np.ndarray]]:
-    """Steps over token lists: first row, distinct terms, and row (within the step) and term number of every occurrence."""
-    for (start, _), words, rows in _token_steps(tokens, COUNTED_PER_STEP):
-        yield start, *_spelled_terms(words, rows, ngram_max)
 
+def _dealt(terms: pa.Array, hashes: np.ndarray, buckets: int) -> tuple[list[int], list[np.ndarray]]:
+    """Buckets of terms and, for each of them, the places of its terms in alphabetical order."""
+    order = pc.sort_indices(terms).to_numpy()
+    bucket = (hashes % np.uint64(buckets)).astype(np.int64)[order]
+    order = order[np.argsort(bucket, kind="stable")]
+    sizes = np.bincount(bucket, minlength=buckets)
+    return np.flatnonzero(sizes).tolist(), np.split(order, np.cumsum(sizes[sizes > 0])[:-1]) if len(order) else []
 
-def _sorted_distinct(numbers: np.ndarray) -> np.ndarray:
-    """Distinct numbers by sorting; ``np.unique`` hashes, which is many times slower on large arrays."""
+
+def _packed_bytes(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.Codec("zstd").compress(data, asbytes=True)
+
+
+def _bytes(packed: bytes) -> bytes:
+    return pa.Codec("zstd").decompress(packed[8:], int.from_bytes(packed[:8], "little"), asbytes=True)
+
+
+def _packed_numbers(values: np.ndarray) -> bytes:
+    """Whole numbers from 0 up in as few bytes as the largest takes; first bytes, second bytes and so on lie together."""
+    width = max((int(values.max(initial=0)).bit_length() + 7) // 8, 1)
+    planes = np.ascontiguousarray(values, np.dtype("<u8")).view(np.uint8).reshape(-1, 8)[:, :width]
+    return bytes([width]) + _packed_bytes(planes.T.tobytes())
+
+
+def _numbers(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(_bytes(packed[1:]), np.uint8).reshape(packed[0], -1)
+    found = np.zeros((planes.shape[1], 8), np.uint8)
+    found[:, : packed[0]] = planes.T
+    return found.view(np.dtype("<u8")).ravel()
+
+
+def _packed_strings(values: pa.Array) -> bytes:
+    """Strings as their lengths and their bytes."""
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values), "")
+    lengths = _packed_numbers(pc.binary_length(values).to_numpy())
+    return len(lengths).to_bytes(8, "little") + lengths + _packed_bytes(joined[0].as_buffer().to_pybytes())
+
+
+def _strings(packed: bytes) -> pa.Array:
+    cut = 8 + int.from_bytes(packed[:8], "little")
+    ends = np.concatenate([[0], np.cumsum(_numbers(packed[8:cut]))]).astype(np.int32)
+    return pa.Array.from_buffers(pa.string(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(_bytes(packed[cut:]))])
+
+
+def _all_strings(column: pa.ChunkedArray) -> pa.Array:
+    return pa.concat_arrays([pa.array([], pa.string()), *(_strings(cell.as_py()) for cell in column)])
+
+
+def _packed_values(values: np.ndarray, known: np.ndarray) -> bytes:
+    """Values of which some are not known, as the distinct ones and the place of each among them; 0 stands for unknown."""
+    distinct, place = np.unique(values[known], return_inverse=True)
+    code = np.zeros(len(values), np.int64)
+    code[known] = place + 1
+    return len(distinct).to_bytes(8, "little") + distinct.astype("<f8").tobytes() + _packed_numbers(code)
+
+
+def _values(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    cut = 8 + 8 * int.from_bytes(packed[:8], "little")
+    code = _numbers(packed[cut:]).astype(np.int64)
+    return np.concatenate([[0.0], np.frombuffer(packed[8:cut], "<f8")])[code], code > 0
+
+
+def _counted(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct numbers, ascending, and how often each occurs."""
     numbers = np.sort(numbers)
-    return numbers[np.concatenate([np.ones(min(len(numbers), 1), bool), numbers[1:] != numbers[:-1]])]
+    firsts = np.flatnonzero(np.concatenate([np.ones(min(len(numbers), 1), bool), numbers[1:] != numbers[:-1]]))
+    return numbers[firsts], np.diff(np.append(firsts, len(numbers)))
 
 
 def _powers(count: int) -> np.ndarray:
@@ -311,34 +463,12 @@ def _word_hashes(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _counted_terms(tokens: pa.Array, ngram_max: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
-    """Steps over token lists: terms, hashes, and corpus and document counts.
-
-    Pairs are counted as pairs of word numbers, and only distinct ones are
-    spelled out; where a word has a blank, all are, as it may read like a pair.
-    Either way a term's hash is that of its bytes.
-    """
-
-    def counts(code: np.ndarray, row: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-        cells = _sorted_distinct(row * max(size, 1) + code)
-        return np.bincount(code, minlength=size), np.bincount(cells % max(size, 1), minlength=size)
-
-    for _, words, rows in _token_steps(tokens, COUNTED_PER_STEP):
-        coded = words.dictionary_encode()
-        word, code = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
-        if ngram_max == 2 and pc.any(pc.match_substring(word, " ")).as_py():
-            term, owner, code = _spelled_terms(words, rows, ngram_max)
-            yield term, _mixed(_word_hashes(term)[0]), *counts(code, owner, len(term))
-            continue
-        hashes, lengths = _word_hashes(word)
-        yield word, _mixed(hashes), *counts(code, rows, len(word))
-        if ngram_max == 2 and len(code) > 1:
-            same = rows[1:] == rows[:-1]
-            pairs = pa.array((code[:-1] * len(word) + code[1:])[same]).dictionary_encode()
-            first, second = np.divmod(pairs.dictionary.to_numpy(), len(word))
-            power = _powers(int(lengths.max(initial=0)) + 2)
-            both = hashes[first] * power[lengths[second] + 1] + np.uint64(ord(" ")) * power[lengths[second]] + hashes[second]
-            spelled = pc.binary_join_element_wise(word.take(pa.array(first)), word.take(pa.array(second)), " ")
-            yield spelled, _mixed(both), *counts(pairs.indices.to_numpy().astype(np.int64), rows[1:][same], len(first))
+    """Steps over token lists: terms, hashes, and corpus and document counts."""
+    for _, listed, rows in _token_steps(tokens, COUNTED_PER_STEP):
+        words, code = _numbered_words(listed)
+        terms, hashes, owner, number = _numbered_terms(words, code, rows, ngram_max)
+        cells, _ = _counted(owner * max(len(terms), 1) + number)
+        yield terms, hashes, np.bincount(number, minlength=len(terms)), np.bincount(cells % max(len(terms), 1), minlength=len(terms))
 
 
 def _mixed(hashes: np.ndarray) -> np.ndarray:

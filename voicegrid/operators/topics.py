@@ -26,7 +26,7 @@ from voicegrid.operators.tfidf import (
     weigh,
 )
 from voicegrid.schema import TopicConfig, TopicError, pick_text_column, require_columns
-from voicegrid.session import compute_once, cut_lineage, rows_frame, scratch_table
+from voicegrid.session import compact_table, compute_once, cut_lineage, join_small, rows_frame
 
 
 # ------------------------------------------------------------------ corpus --
@@ -41,6 +41,36 @@ def topic_corpus(
     return keep_first(filled, F.unhex(F.sha2("topic_text", 256)), [*df.columns, "topic_text"])
 
 
+def stored_corpus(
+    df: DataFrame, columns: Sequence[str], *, text_column: str | None = None, order_by: str | Sequence[str] | None = "review_id"
+) -> DataFrame:
+    """The same corpus with ``columns`` and ``topic_text``, stored without a shuffle of texts.
+
+    All rows are written as they come.  Digests then tell each text's first
+    row, and one bit for each stored row says whether it stays.
+    """
+    source = text_column or pick_text_column(df, TopicError)
+    require_columns(df, [source], TopicError, "Topic modelling")
+    columns = list(dict.fromkeys(columns))
+    placed = df.withColumn("_pos", F.monotonically_increasing_id()) if order_by is None else with_position(df, order_by)
+    cleaned = compute_once(placed.select(*dict.fromkeys([*columns, "_pos", source])), "topic_text", clean_topic_text(source))
+    texts = [name for name in ("review_text", "clean_text", source) if name in columns]
+    stored = compact_table(
+        cleaned.where(F.col("topic_text") != "").select(*dict.fromkeys([*columns, "topic_text", "_pos"])),
+        "corpus", beside=[*texts, "topic_text"], place=("_file", "_row"),
+    )
+    order = F.struct(F.col("_pos").isNull(), "_pos", "_file", "_row")
+    first = stored.groupBy(F.unhex(F.sha2("topic_text", 256))).agg(F.min_by(F.struct("_file", "_row"), order).alias("first"))
+    number, group = F.col("_row") + 1, F.bitmap_bucket_number(F.col("_row") + 1).alias("_group")
+    bits = cut_lineage(
+        first.select("first.*").groupBy("_file", group).agg(F.bitmap_construct_agg(F.bitmap_bit_position(number)).alias("_bits"))
+    )
+    bit = F.bitmap_bit_position(number)
+    byte = F.conv(F.hex(F.substring("_bits", (F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    met = join_small(stored.withColumn("_group", F.bitmap_bucket_number(number)), bits, ["_file", "_group"], "inner", rows=bits.count(), limit=20_000)
+    return met.where(F.getbit(byte, (bit % 8).cast("int")) == 1).select(*dict.fromkeys([*columns, "topic_text"]))
+
+
 def corpus_statistics(df: DataFrame, *, text_column: str | None = None) -> DataFrame:
     """Source, modelled, blank and duplicate row counts, one row."""
     source = text_column or pick_text_column(df, TopicError)
@@ -234,10 +264,8 @@ def fit_topics(
     The distinct texts and then their vectors are stored in shared space, as
     later passes read them many times; wide review rows take no part.
     """
-    source = text_column or pick_text_column(df, TopicError)
-    require_columns(df, [source], TopicError, "Topic modelling")
-    cleaned = compute_once(df.select(source), "topic_text", clean_topic_text(source))
-    return _fit_texts(cut_lineage(cleaned.select("topic_text").where(F.col("topic_text") != "").distinct()), config)
+    texts = stored_corpus(df, [], text_column=text_column, order_by=None)
+    return _fit_texts(compact_table(texts, "topic-texts"), config)
 
 
 def _fit_texts(texts: DataFrame, config: TopicConfig) -> TopicFit:
@@ -254,7 +282,7 @@ def _fit_texts(texts: DataFrame, config: TopicConfig) -> TopicFit:
     )
     if len(vocabulary) < config.n_topics:
         raise TopicError(f"Only {len(vocabulary)} usable terms remain for {config.n_topics} topics.")
-    vectors = scratch_table(
+    vectors = compact_table(
         sparse_vectors(texts, tokens, vocabulary).select("vector.indices", "vector.weights"), "topic-vectors"
     )
     return TopicFit(refit(vectors, documents, vocabulary, config)[0], texts, vectors, documents)
@@ -299,7 +327,7 @@ def model_topics(
     The corpus is stored: its texts are the distinct ones that the model is
     fitted on, so they are cleaned and compared once.
     """
-    corpus = cut_lineage(topic_corpus(df, text_column=text_column, order_by=order_by))
+    corpus = stored_corpus(df, df.columns, text_column=text_column, order_by=order_by)
     fit = _fit_texts(corpus.select("topic_text"), config)
     return fit, fit.model.assign(corpus, strict=strict)
 
