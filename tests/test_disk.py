@@ -1,14 +1,19 @@
 """What is moved and stored: packed terms, texts that stay in place, tables given up when they are done with."""
 
+import random
 import re
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from voicegrid.operators import tfidf, topics
-from voicegrid.session import compact_table, cut_lineage
+from voicegrid.operators import canonical, sentiment, tfidf, topics
+from voicegrid.plans.pipeline import run_pipeline
+from voicegrid.schema import ColumnMapping, SentimentConfig, TopicConfig
+from voicegrid.session import compact_table, cut_lineage, scratch_dir
+from tests.conftest import THEMES
 
 
 def plan_of(df):
@@ -61,3 +66,49 @@ def test_compact_table_keeps_columns_and_places(spark):
         assert stored.columns == [*df.columns, "_file", "_row"]
         assert sorted(map(tuple, stored.select(df.columns).collect())) == rows
         assert stored.select("_file", "_row").distinct().count() == 2
+
+
+def stored_tables(spark, kind):
+    return set(Path(scratch_dir(spark).removeprefix("file:"), "voicegrid").glob(f"{kind}-*"))
+
+
+def size(paths):
+    return sum(part.stat().st_size for path in paths for part in path.glob("*.parquet"))
+
+
+def test_canonical_rows_travel_with_one_text(spark):
+    """Both forms of ids; equal positions do not bring blank texts back."""
+    rows = [(1, " a  b ", "x"), (2, "A b", "y"), (2, "  ", "z"), (3, None, "u"), (4, "c", "v"), (5, "c ", "w")]
+    df = spark.createDataFrame(rows, "n int, text string, product string")
+    expected = [("a b", " a  b ", "x"), ("c", "c", "v")]
+    for frame in (df, df.where("trim(text) != ''").withColumn("review_id", F.concat(F.lit("r"), "n", "product"))):
+        found = canonical.canonicalize(frame, ColumnMapping("text", product="product"), order_by="n").dataframe
+        assert sorted((r["clean_text"], r["review_text"], r["product"]) for r in found.collect()) == expected
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert not re.search(r"min_by\(struct\([^)]*_clean", plan)
+
+
+def test_features_go_when_the_model_is_fitted(spark, themed_reviews):
+    before = stored_tables(spark, "features")
+    model = sentiment.fit_sentiment(themed_reviews, SentimentConfig())
+    assert len(model.vocabulary) and stored_tables(spark, "features") == before
+
+
+def test_analysis_stores_like_texts_side_by_side(spark):
+    """The stored reviews take little more than their texts once, and come back as they were."""
+    rng, words = random.Random(1), " ".join(THEMES.values()).split()
+    texts = [" ".join(rng.choice(words) + str(rng.randrange(10**6)) * (k % 3 > 0) for k in range(400)) for _ in range(60)]
+    rows = [(f"r{i:03d}", f" {text} ", text, f"{i % 3}") for i, text in enumerate(texts)]
+    df = spark.createDataFrame(rows, "review_id string, review_text string, clean_text string, product string")
+    labelled = df.withColumn("sentiment_label", F.element_at(F.array(*map(F.lit, ("Negative", "Neutral", "Positive"))), F.col("product").cast("int") + 1))
+    model = sentiment.fit_sentiment(labelled, SentimentConfig(max_features=50))
+    before = {kind: stored_tables(spark, kind) for kind in ("scored", "enriched", "corpus")}
+    config = TopicConfig(n_topics=2, max_features=50)
+    done = run_pipeline(df, model, topic_config=config, vocabulary={"Battery": ["battery"]}, strict=False, stability_runs=1)
+    assert sorted(map(tuple, done.dataframe.select("review_id", "review_text", "clean_text", "product").collect())) == rows
+    path = f"{scratch_dir(spark)}/voicegrid/one-text-{rng.random()}"
+    df.select("clean_text").write.option("compression", "zstd").parquet(path)
+    one = size([Path(path.removeprefix("file:"))])
+    for kind, found in before.items():
+        new = stored_tables(spark, kind) - found
+        assert len(new) == 1 and size(new) < 1.7 * one

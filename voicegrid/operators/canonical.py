@@ -148,14 +148,18 @@ def canonicalize(
 
     With a usable source id the rows are shuffled once, on the text key.
     Without one, narrow (key, position) pairs decide which rows stay and what
-    number they get, and the wide rows are shuffled once by that join.  Text
-    keys, positions and optional cells are stored once: all that needs no text
-    reads them there.
+    number they get, and the wide rows are shuffled once by that join.  Either
+    way only the source text travels, and is cleaned anew.  Text keys, positions
+    and optional cells are stored once: all that needs no text reads them there.
     """
     if mapping.text not in df.columns:
         raise FeedbackError(f"Text column '{mapping.text}' does not exist.")
     placed = with_position(df, order_by)
-    filled = compute_once(placed, "_clean", normalize_whitespace(mapping.text)).where(F.col("_clean") != "")
+
+    def cleaned(rows: DataFrame) -> DataFrame:
+        return compute_once(rows, "_clean", normalize_whitespace(mapping.text)).where(F.col("_clean") != "")
+
+    filled = cleaned(placed)
     key = fold_key("_clean")
     aliases = [name for name in fixed.REVIEW_ID_ALIASES if name in df.columns]
     sources = list(dict.fromkeys(mapping.optional().values()))
@@ -164,11 +168,11 @@ def canonicalize(
     text_key = F.col("_text_key")
     alias = _usable_alias(keep_first(keyed, text_key, aliases), aliases) if aliases else None
     if alias is not None:
-        kept = keep_first(filled, key, [*df.columns, "_clean"])
+        kept = keep_first(filled, key, df.columns).withColumn("_clean", normalize_whitespace(mapping.text))
         review_id = strip(alias)
     else:
         winners = keyed.groupBy("_text_key").agg(F.min("_pos").alias("_pos"))
-        kept = filled.join(number_rows(winners), "_pos")
+        kept = cleaned(placed.join(number_rows(winners), "_pos"))
         review_id = F.format_string("review_%06d", "_number")
     optional = optional_columns(df, mapping, config)
     rows = kept.select(

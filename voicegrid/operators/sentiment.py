@@ -36,7 +36,7 @@ from voicegrid.operators.tfidf import (
     tokens_of,
 )
 from voicegrid.schema import FeedbackError, SentimentConfig, SplitConfig, require_columns
-from voicegrid.session import cut_lineage, scratch_table
+from voicegrid.session import cut_lineage, discard, write_scratch_table
 
 SCORE_TYPE = "struct<label:string,score:double>"
 
@@ -148,7 +148,7 @@ def fit_sentiment(
     """Fit vocabulary and balanced multinomial logistic regression.
 
     The solver passes over the data many times, so features are written once
-    to shared storage and read back as ML vectors.  Balanced class weights sum
+    to shared storage and read back as ML vectors; they go when it is done.  Balanced class weights sum
     to the row count, hence ``regParam = 1 / (C n)``.
     """
     counts = {row[label_column]: row["row_count"] for row in class_distribution(df, label_column).collect()}
@@ -186,7 +186,9 @@ def fit_sentiment(
         maxIter=config.max_iter,
         tol=config.tol,
     )
-    fitted = solver.fit(scratch_table(table, "features", schema))
+    path = write_scratch_table(table, "features")
+    fitted = solver.fit(df.sparkSession.read.schema(schema).parquet(path))
+    discard(df.sparkSession, path)
     return SentimentModel(vocabulary, fitted.coefficientMatrix.toArray(), fitted.interceptVector.toArray(), config)
 
 

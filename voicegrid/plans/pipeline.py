@@ -14,11 +14,12 @@ from voicegrid.operators.sentiment import SentimentModel, SuppliedModel, predict
 from voicegrid.operators.topic_quality import evaluate_topics
 from voicegrid.operators.topics import TopicFit, model_topics, topic_summary
 from voicegrid.schema import FeedbackError, TopicConfig, require_columns
-from voicegrid.session import scratch_table
+from voicegrid.session import compact_table, release
 from voicegrid.sources.sinks import write_topic_run
 
 AFTER_SENTIMENT = ("review_id", "review_text", "clean_text", "sentiment_label", "sentiment_score")
 AFTER_TOPICS = (*AFTER_SENTIMENT, "topic_id", "topic_label")
+TEXTS = ("review_text", "clean_text")
 
 
 @dataclass(frozen=True)
@@ -101,7 +102,8 @@ def run_pipeline(
 
     Scored reviews and aspect-enriched reviews are stored in shared space:
     each is read several times by what follows, and neither should be scored
-    again when an executor is lost.
+    again when an executor is lost.  The canonical table is given up once it
+    is scored.
     """
     if df.isEmpty():
         raise FeedbackError("Full analysis requires a non-empty canonical table.")
@@ -113,7 +115,9 @@ def run_pipeline(
         seconds[f"{name}_seconds"] = time.perf_counter() - started
         return result
 
-    scored = timed("sentiment", lambda: scratch_table(stages.sentiment(df, model), "scored"))
+    scored = timed("sentiment", lambda: compact_table(stages.sentiment(df, model), "scored", beside=TEXTS))
+    del df
+    release(scored.sparkSession)
     topics = timed(
         "topic",
         lambda: stages.topics(scored, topic_config, order_by=order_by, strict=strict, stability_runs=stability_runs),
@@ -121,7 +125,7 @@ def run_pipeline(
 
     def find_aspects() -> dict[str, DataFrame]:
         found = stages.aspects(topics.dataframe, vocabulary)
-        return {**found, "reviews": scratch_table(found["reviews"], "enriched")}
+        return {**found, "reviews": compact_table(found["reviews"], "enriched", beside=TEXTS)}
 
     aspects = timed("aspect", find_aspects)
     insights = timed("insight", lambda: stages.insights(aspects["reviews"], order_by=order_by))
