@@ -21,7 +21,7 @@ from pyspark.sql.functions import arrow_udf
 
 from voicegrid.functions.text import vector_tokens
 from voicegrid.operators.canonical import number_rows
-from voicegrid.session import cut_lineage, join_small
+from voicegrid.session import cut_lineage, join_small, release
 
 # Tokens weighed in one step inside a task; bounds memory for long texts.
 TOKENS_PER_STEP = 400_000
@@ -286,6 +286,8 @@ def fit_vocabulary(
         _bucket_counts(df, tokens, ngram_max), documents, max_features=max_features, min_df=min_df, max_df=max_df
     )
     rows = sorted((row["term"], row["idf"]) for row in chosen.select("term", "idf").collect())
+    del chosen
+    release(df.sparkSession)
     return Vocabulary(
         tuple(term for term, _ in rows), np.array([idf for _, idf in rows], dtype=float), documents, ngram_max
     )
