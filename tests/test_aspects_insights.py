@@ -50,6 +50,31 @@ def test_phrase_boundaries(spark, text, hit):
     assert (aspects.detect_aspects(frame, words).first().detected_aspects == ["A"]) == hit
 
 
+def test_only_runs_that_begin_like_a_phrase_are_looked_up(spark):
+    texts = ["my battery life is good, not life of a battery", "BATTERY", "", None, "' value' for  money for"]
+    rows = spark.createDataFrame([(t,) for t in texts], "clean_text string")
+    tokens = F.split(F.trim(aspects.aspect_match_text("clean_text")), " ")
+    found = [r[0] for r in rows.select(aspects._phrase_runs(tokens, ["battery life", "life", "value ' for"])).collect()]
+    assert [sorted(set(runs)) for runs in found] == [
+        ["battery", "battery life", "battery life is", "life", "life is", "life is good", "life of", "life of a"],
+        ["battery"], [], [], ["value", "value '", "value ' for"],
+    ]
+    words = {"A": ["battery life", "life"], "B": ["value' for", "for"], "C": ["battery"], "D": [f"word{k}" for k in range(20)]}
+    assert [r.detected_aspects for r in aspects.detect_aspects(rows, words).collect()] == [["A", "C"], ["C"], [], [], ["B"]]
+
+
+def test_examples_are_matched_once(spark):
+    rows = [("b", "a fine price"), ("a", "price, price"), ("a", "the price"), (None, "price"), ("c", None), ("d", "fine")]
+    reviews = spark.createDataFrame(rows, "review_id string, clean_text string").withColumn("sentiment_label", F.lit("Positive"))
+    mentions = aspects.explode_mentions(aspects.associate_aspect_sentiment(reviews, {"Price": ["price"], "Tone": ["fine"]}))
+    found = aspects.aspect_examples(mentions, "Price")
+    # What the sort reads, twice, is stored: no text is matched below it.
+    assert "Generate" in mentions._jdf.queryExecution().toString() and "Generate" not in found._jdf.queryExecution().toString()
+    assert [(r.review_id, r.aspect_sentiment_label) for r in found.collect()] == [(k, "Positive") for k in (None, "a", "a", "b")]
+    assert [r.review_id for r in aspects.aspect_examples(mentions, "Price", 2).collect()] == [None, "a"]
+    assert aspects.aspect_examples(mentions, "None").isEmpty()
+
+
 def test_vocabulary_checks(spark):
     assert aspects.validate_vocabulary({" A ": ["Life!", "life", "  "]}) == {"A": ("life",)}
     for bad in ({}, {" ": ["x"]}, {"A": ["!"]}):
