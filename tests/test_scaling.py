@@ -11,12 +11,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from voicegrid.functions.casts import date_formats_of
-from voicegrid.operators import canonical, labelled, text_index, tfidf, topic_quality, topics, validation
-from voicegrid.plans import surface
+from voicegrid.operators import canonical, labelled, sentiment, text_index, tfidf, topic_quality, topics, validation
+from voicegrid.plans import catalog, surface
 from voicegrid.plans.catalog import QUERIES
 from voicegrid.schema import ColumnMapping, LabelledDataError, TopicConfig
 from voicegrid.session import cut_lineage
-from voicegrid.sources.driver_tables import feedback
+from voicegrid.sources.driver_tables import feedback, gold_feedback
 
 
 @pytest.fixture(scope="module")
@@ -70,6 +70,51 @@ def test_models_learn_from_texts_with_two_labels(spark, tables):
     assert saved["changed"] == saved["out_of_range"] == 0
 
 
+def counted(spark, df, column):
+    """``df`` and a counter of the rows whose ``column`` is computed."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def same(value):
+        seen.add(1)
+        return value
+
+    return df.withColumn(column, same.asNondeterministic()(column)), seen
+
+
+def test_labelled_texts_are_read_once_for_a_model(spark, tables):
+    gold, seen = counted(spark, gold_feedback(spark, tables), "review_text")
+    catalog._fitted_on(gold)
+    assert seen.value == gold_feedback(spark, tables).count() == 61
+    few = [("a\tb", "positive"), ("a b", "Positive"), ("a b", "Negative"), ("", "Negative"), (None, "Neutral"), ("c", "Neutral")]
+    rows = spark.createDataFrame(few, "review_text string, sentiment_label string")
+    for settings in ({"keep_conflicts": True}, {"keep_conflicts": True, "min_per_class": 1}, {"min_per_class": 1}):
+        results = []
+        for store in (False, True):
+            try:
+                results.append(sorted(map(tuple, labelled.prepare_labelled(rows, store=store, **settings).collect())))
+            except LabelledDataError as problem:
+                results.append(str(problem))
+        assert results[0] == results[1]
+        assert settings.get("min_per_class") != 1 or not settings.get("keep_conflicts") or len(results[0]) == 3
+    with pytest.raises(LabelledDataError, match="No usable"):
+        labelled.prepare_labelled(rows.where("review_text = ''"), store=True)
+
+
+def test_saved_model_scores_in_the_same_pass(spark, tables, monkeypatch):
+    # Review 3 stands there twice, one row has no id and one no text.
+    odd = feedback(spark, tables).where("doc_id is not null").limit(1)
+    odd = odd.withColumn("review_id", F.lit(None).cast("string")).unionAll(odd.withColumn("review_id", F.lit("x")).withColumn("clean_text", F.lit(None).cast("string")))
+    rows, seen = counted(spark, feedback(spark, tables).unionAll(odd), "clean_text")
+    monkeypatch.setattr(surface, "feedback", lambda *_: rows)
+    found = QUERIES["saved_sentiment"](spark, tables).first()
+    assert seen.value == 63
+    # A repeated id meets itself, and a row without an id meets none.
+    assert found["reviews"] == 59 + 2 * 2 + 1 and found["out_of_range"] == 0
+    twice = {row["sentiment_score"] for row in sentiment.predict_sentiment(feedback(spark, tables).where("doc_id = 3"), catalog._fitted(spark, tables)).collect()}
+    assert found["changed"] == (0 if len(twice) == 1 else 2)
+
+
 def test_long_texts_are_indexed_in_one_go(spark, tmp_path):
     text = "".join(chr(0x4E00 + k * k % 5000) + "aé\n𝛼"[k % 4] for k in range(300_000))
     grams = spark.createDataFrame([(text,), ("",), (None,), ("xy",), ("xyz",), ("𝛼𝛼𝛼𝛼",)], "text string").select(text_index._grams(F.col("text")).alias("g"))
